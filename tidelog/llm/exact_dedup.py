@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, drop_path, forget_shuffles, is_empty, join_unique, new_path, stored, total_of
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state. Files aren't allocated ahead, as many partitions hold little state.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Rows of one state entry that are compared with one copy of the kept text.
 MEMBERS_PER_COPY = 256
 
@@ -45,8 +49,9 @@ def run_stream(journal_path: str, schema, spark, files_per_batch: int) -> DataFr
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state_stream(source).writeStream.outputMode("update").foreachBatch(keep)
@@ -54,10 +59,8 @@ def run_stream(journal_path: str, schema, spark, files_per_batch: int) -> DataFr
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     drop_path(spark, checkpoint)
     shape = state_stream(spark.createDataFrame([], schema)).schema
     last = query.lastProgress
