@@ -116,7 +116,7 @@ def clashing(located: DataFrame, decided: DataFrame, digest: Callable[[Column],
     texts = lambda picked: located.alias("r").join(
         picked.alias("h"), same & (F.col("r.locator") == F.col("h.locator")) & (F.col("r.mark") == F.col("h.mark"))
     ).select("h.digest", "r.doc_id", "h.copies", "h.keep_id", "r.mark", "h.keep_mark", "r.text")
-    got = texts(hit.dropDuplicates(["digest", "doc_id", *key]))
+    got = stored(texts(hit.dropDuplicates(["digest", "doc_id", *key])), "dedup-hits")
     is_kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
     kept = got.filter(is_kept).dropDuplicates(["digest"]).select(
         "digest", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy"), F.col("text").alias("kept_text")
