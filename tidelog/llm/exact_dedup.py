@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE_RUN, drop_path, forget_shuffles, is_empty, join_unique, new_path, stored, total_of
 
@@ -66,8 +67,8 @@ def run_stream(journal_path: str, schema, spark, files_per_batch: int) -> DataFr
     last = query.lastProgress
     if last is None or last["batchId"] == 0:
         return spark.read.schema(shape).option("recursiveFileLookup", True).parquet(out) if last else spark.createDataFrame([], shape)
-    updates = spark.read.schema(shape.add("batch", "int")).parquet(out)
-    newest = F.max_by(F.struct(*[c for c in shape.names if c != "digest" and c != "batch"]), "batch")
+    updates = spark.read.schema(T.StructType([*shape, T.StructField("batch", T.IntegerType())])).parquet(out)
+    newest = F.max_by(F.struct(*[c for c in shape.names if c != "digest"]), "batch")
     return stored(updates.groupBy("digest").agg(newest.alias("s")).select("digest", "s.*"), "dedup-last")
 
 
