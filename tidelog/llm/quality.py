@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents that training may see.
-LABELLED, POOL = 8_000, 4_000
+LABELLED, POOL = 6_000, 2_000
 #: Co-training rounds, labels handed over a round, and how sure a view must be of them.
 ROUNDS, HANDED, SURE = 3, 200, 0.97
-#: Words that a text model picks at most, and documents that must hold one.
-WORDS, WORD_DOCS = 1_500, 4
+#: Words that a text model picks at most, documents that must hold one, and how far its odds must be from chance.
+WORDS, WORD_DOCS, LEAST_Z = 1_500, 4, 2.7
+#: Bytes of a word's beginning that are features of their own.
+STEMS = (6,)
 BINS = 16
 TARGETS = ("quality", "toxic")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) else b for b in range(256))
@@ -55,10 +57,12 @@ def shape(text: bytes, tokens: list[bytes]) -> list[float]:
 
 
 def text_view(text: str | None) -> tuple[list[float], list[int]]:
-    """Shape numbers and the hashes of the distinct words."""
+    """Shape numbers, and the hashes of the distinct words and of their beginnings."""
     raw = (text or "").encode()
     tokens = raw.translate(_FOLD).split()
-    return shape(raw, tokens), sorted(map(xxhash.xxh32_intdigest, set(tokens)))
+    words = set(tokens)
+    stems = {w[:k] + b"*" for w in words for k in STEMS if len(w) > k}
+    return shape(raw, tokens), sorted(map(xxhash.xxh32_intdigest, words | stems))
 
 
 def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> list[int]:
@@ -112,6 +116,7 @@ class View:
             out.append(start + int(np.searchsorted(e, v, side="right")))
             start += len(e) + 1
         get = self.columns.get
+        hashed = hashed.tolist() if isinstance(hashed, np.ndarray) else hashed
         return out + [c for h in hashed if (c := get(h)) is not None]
 
     def matrix(self, rows: list[tuple[list[float], list[int]]]) -> np.ndarray:
@@ -125,7 +130,7 @@ def telling(hashed: list[list[int]], y: np.ndarray, most: int) -> list[int]:
     """The hashed features whose presence says most about ``y``: by a smoothed log-odds z-score."""
     pos, neg = Counter(), Counter()
     for h, v in zip(hashed, y):
-        (pos if v else neg).update(h)
+        (pos if v else neg).update(np.asarray(h).tolist())
     a, b = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     score = {}
     for h in pos.keys() | neg.keys():
@@ -133,7 +138,7 @@ def telling(hashed: list[list[int]], y: np.ndarray, most: int) -> list[int]:
         if p + q >= WORD_DOCS:
             odds = math.log((p + 0.5) / (a - p + 0.5)) - math.log((q + 0.5) / (b - q + 0.5))
             score[h] = abs(odds) / math.sqrt(1 / (p + 0.5) + 1 / (q + 0.5) + 1 / (a - p + 0.5) + 1 / (b - q + 0.5))
-    return sorted(score, key=lambda h: (-score[h], h))[:most]
+    return sorted((h for h in score if score[h] >= LEAST_Z), key=lambda h: (-score[h], h))[:most]
 
 
 @dataclass
@@ -210,8 +215,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sample(docs: DataFrame, ids: DataFrame) -> dict[int, Row]:
     """Features of the documents with the given ids (a bounded sample, so it is broadcast)."""
-    found = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_features, _ROW).collect()
-    return {r.doc_id: (list(r.numbers), list(r.words), list(r.meta)) for r in sorted(found, key=lambda r: (r.doc_id, r.numbers))}
+    found = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_features, _ROW).toArrow()
+    rows = sorted(range(found.num_rows), key=lambda k: (found["doc_id"][k].as_py(), found["numbers"][k].as_py()))
+    return {found["doc_id"][k].as_py(): (found["numbers"][k].as_py(), np.asarray(found["words"][k].values), np.asarray(found["meta"][k].values)) for k in rows}
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, Model | None]:
