@@ -36,9 +36,10 @@ def sha256_of(text: Column) -> Column:
 
 def state_stream(journal: DataFrame) -> DataFrame:
     """Keyed state over a (streaming or batch) journal: one entry per digest, never expired."""
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")  # a null id comes last
     return journal.groupBy("digest").agg(
-        F.min("doc_id").alias("keep_id"), F.min_by("locator", F.struct("doc_id", "mark")).alias("keep_locator"),
-        F.min_by("mark", F.struct("doc_id", "mark")).alias("keep_mark"), F.count(F.lit(1)).alias("group_size"),
+        F.min("doc_id").alias("keep_id"), F.min_by("locator", first).alias("keep_locator"), F.min_by("mark", first).alias("keep_mark"),
+        F.count(F.lit(1)).alias("group_size"),
     )
 
 
