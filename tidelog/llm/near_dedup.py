@@ -10,6 +10,8 @@
    the bucket's largest component is compared, as the centre of another star, with all
    members of other components, in blocks, until no such bucket has an untested member.
    So each pair that shares a bucket is either confirmed, refuted, or already connected.
+   Most are refuted without a look at their sets: shingles that only one node has bound a
+   pair's intersection from above and its union from below.
 """
 
 from __future__ import annotations
@@ -74,6 +76,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return stored(both.filter(ok).select("a", "b"), "near-links")
 
 
+def own_shingles(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """id, own: the number of a node's shingles that no other node has."""
+    sets = docs.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text").mapInArrow(_full_sets(width), "id long, shingles array<long>")
+    held = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    return held.filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def near_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
     bands: int = BANDS, rows: int = ROWS,
@@ -112,23 +121,30 @@ def near_components(
     links = confirmed(stored(star.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "near-star"), docs, width, percent)
     roots = components(links)
     forget_shuffles(spark)
-    live = placed.select("bucket", "id", "n").filter(~F.lit(False))
+    live, own = placed.select("bucket", "id", "n"), None
     while True:
-        live = stored(live.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root")), "near-live")
+        live = stored(live.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "near-live")
         mixed = live.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size"))
         mixed = stored(mixed.filter("x < y").select("bucket", "size"), "near-mixed")
         if is_empty(mixed):
             break
         live = stored(join_unique(live, mixed, ["bucket"], "size", total_of(mixed, "size")), "near-open")
+        if own is None:
+            own = own_shingles(live.select("id").distinct(), docs, width)
+            live = live.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+            live = stored(live.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "near-able")
         parts = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
         largest = stored(parts.groupBy("bucket").agg(F.max_by("root", F.struct("part", "root")).alias("largest"), F.sum("part").alias("size")), "near-largest")
         live = stored(join_unique(live.drop("size"), largest, ["bucket"], "size", total_of(largest, "size")), "near-parts")
         order = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
         centres = live.filter("root <> largest").withColumn("k", order).filter(F.col("k") <= F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / F.col("size"))))
-        centres = stored(centres.select("bucket", F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("root").alias("c_root")), "near-centres")
-        pairs = live.join(centres, "bucket").filter((F.col("root") != F.col("c_root")) & near_size(F.col("n"), F.col("c_n")))
+        centres = stored(centres.select("bucket", F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("own").alias("c_own"), F.col("root").alias("c_root")), "near-centres")
+        # What only one of two has is in their union and not in their intersection.
+        most_same = F.least(F.col("n") - F.col("own"), F.col("c_n") - F.col("c_own"))
+        least_all = F.greatest(F.col("n") + F.col("c_own"), F.col("c_n") + F.col("own"))
+        pairs = live.join(centres, "bucket").filter((F.col("root") != F.col("c_root")) & (most_same * 100 >= least_all * percent))
         pairs = stored(pairs.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct(), "near-pairs")
-        live = stored(live.select("bucket", "id", "n").join(centres.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti"), "near-live")
+        live = stored(live.select("bucket", "id", "n", "own").join(centres.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti"), "near-live")
         if not is_empty(pairs):
             more = confirmed(pairs, docs, width, percent)
             if not is_empty(more):
