@@ -50,7 +50,8 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and length(text) >= %d" % min_chars)
     lines = docs.select("doc_id", row_mark(F.col("text")).alias("mark"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     long = lines.filter(F.length("line") >= min_chars).withColumn("line", line_key(F.col("line"))).filter(F.length("line") >= min_chars)
-    keyed = long.select(F.unhex(F.md5("line")).alias("key"), "doc_id", "mark", "pos")
+    # Stored, as range partitioning samples its input and so would hash every line twice.
+    keyed = stored(long.select(F.unhex(F.md5("line")).alias("key"), "doc_id", "mark", "pos"), "line-keys")
     ranged = keyed.repartitionByRange("key", F.desc("doc_id")).sortWithinPartitions("key", F.desc("doc_id"), "mark", "pos")
     # The range partitioning holds all rows of a key and document together: no second shuffle.
     holders = stored(ranged.groupBy("key", "doc_id").agg(F.collect_list(F.struct("mark", "pos")).alias("at")), "line-holders")
