@@ -17,8 +17,9 @@ from .common import forget_shuffles, join_unique, row_mark, stored, total_of
 
 def line_key(line: Column) -> Column:
     """The line without ASCII white space at both ends and with A-Z lower-cased."""
-    stripped = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
-    return F.translate(stripped, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    stripped = F.trim(line, F.lit(" \t\n\x0b\f\r"))
+    letters = F.translate(stripped, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(stripped) == F.length(stripped), F.lower(stripped)).otherwise(letters)
 
 
 def lines_of(text: Column) -> Column:
