@@ -13,7 +13,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +47,11 @@ class Coder:
     def lookup(self, stretches: set[bytes]) -> dict[bytes, tuple[int, ...]]:
         """The ids of all given stretches, from memory or encoded in one batch."""
         new = [s for s in stretches if s not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(stretches)
         got = self.tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)
         ids = {s: tuple(e.ids) for s, e in zip(new, got)}
-        self.known.update((s, v) for s, v in ids.items() if len(s) <= REMEMBERED_CHARS and len(self.known) < REMEMBERED)
-        return self.known if len(ids) == 0 else _Both(ids, self.known)
+        room = max(0, REMEMBERED - len(self.known))  # the first seen are the common ones, and stay
+        self.known.update(islice(((s, v) for s, v in ids.items() if len(s) <= REMEMBERED_CHARS), room))
+        return _Both(ids, self.known) if ids else self.known
 
     def encode_many(self, texts: list[bytes]) -> list[list[int]]:
         split = [t.split() for t in texts]
