@@ -30,6 +30,8 @@ from .components import components
 BANDS, ROWS = 32, 5
 #: Candidate pairs of one bucket in one round of step 4.
 BLOCK = 200_000
+#: Bits of the filter in front of the full sets.
+SLOTS = 1 << 24
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -65,21 +67,39 @@ def _full_sets(width: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def maybe_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids`` (a column id), and a few others.
+
+    A hash of the id picks one of SLOTS bits. The bitmap that is broadcast has 2 MB whatever
+    the input; the fuller it is, the more other rows come along, and none is ever lost.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    bits = ids.select(slot("id").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    at = F.bitmap_bit_position(slot(id_col)).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("part", F.bitmap_bucket_number(slot(id_col))).join(F.broadcast(bits), "part")
+    return marked.filter(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1).select(*rows.columns)
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, shingles: the full sets of all documents in ``ids`` and of a few others, without a shuffle of texts."""
+    found = maybe_in(docs.filter("doc_id is not null").select("doc_id", "text"), "doc_id", ids)
+    return stored(found.mapInArrow(_full_sets(width), "id long, shingles array<long>"), "near-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    sets = stored(docs.join(nodes, "doc_id").select("doc_id", "text").mapInArrow(_full_sets(width), "id long, shingles array<long>"), "near-sets")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
     both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("s", "t")))
     ok = F.col("same") * 100 >= (F.size("s") + F.size("t") - F.col("same")) * percent
-    return stored(both.filter(ok).select("a", "b"), "near-links")
+    return stored(both.filter(ok).select("a", "b").distinct(), "near-links")
 
 
-def own_shingles(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def own_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """id, own: the number of a node's shingles that no other node has."""
-    sets = docs.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text").mapInArrow(_full_sets(width), "id long, shingles array<long>")
-    held = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    held = maybe_in(sets, "id", nodes).select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     return held.filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
 
@@ -118,7 +138,8 @@ def near_components(
     # Sizes that differ too much can't reach the threshold: a necessary condition, nothing is lost.
     near_size = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     star = placed.filter((F.col("id") != F.col("centre")) & near_size(F.col("n"), F.col("centre_n")))
-    links = confirmed(stored(star.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "near-star"), docs, width, percent)
+    sets = sets_of(docs, placed.select("id"), width)
+    links = confirmed(stored(star.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "near-star"), sets, percent)
     roots = components(links)
     forget_shuffles(spark)
     live, own = placed.select("bucket", "id", "n"), None
@@ -130,7 +151,7 @@ def near_components(
             break
         live = stored(join_unique(live, mixed, ["bucket"], "size", total_of(mixed, "size")), "near-open")
         if own is None:
-            own = own_shingles(live.select("id").distinct(), docs, width)
+            own = own_shingles(live.select("id"), sets)
             live = live.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
             live = stored(live.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "near-able")
         parts = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
@@ -146,7 +167,7 @@ def near_components(
         pairs = stored(pairs.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct(), "near-pairs")
         live = stored(live.select("bucket", "id", "n", "own").join(centres.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti"), "near-live")
         if not is_empty(pairs):
-            more = confirmed(pairs, docs, width, percent)
+            more = confirmed(pairs, sets, percent)
             if not is_empty(more):
                 links = stored(links.unionAll(more), "near-links")
                 roots = components(links)
