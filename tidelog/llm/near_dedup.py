@@ -6,12 +6,13 @@
    bands. Classes that share a band's key share a bucket.
 3. In every bucket the smallest member is the centre of a star of candidate edges, which
    are confirmed on the full sets. Confirmed links are merged into components.
-4. A star can leave a bucket with members of several components. Then every member outside
-   the bucket's largest component is compared, as the centre of another star, with all
-   members of other components, in blocks, until no such bucket has an untested member.
-   So each pair that shares a bucket is either confirmed, refuted, or already connected.
-   Most are refuted without a look at their sets: shingles that only one node has bound a
-   pair's intersection from above and its union from below.
+4. A star can leave a bucket with members of several components. Members of such buckets
+   are dealt anew by the rare shingles at which a linked pair's first common shingle can be
+   (a prefix filter, which loses no linked pair). There every member outside a shingle's
+   largest component is the centre of another star, in blocks, until no shingle has an
+   untested member. The position of the shingle in both sets bounds a pair's intersection,
+   which refutes most pairs without a look at their sets. So each pair that shares a bucket
+   is either confirmed, refuted, or already connected.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import forget_shuffles, is_empty, join_unique, stored, total_of
 from .components import components
 
 BANDS, ROWS = 32, 5
-#: Candidate pairs of one bucket in one round of step 4.
+#: Candidate pairs of one shingle in one round of step 4.
 BLOCK = 200_000
 #: Bits of the filter in front of the full sets.
 SLOTS = 1 << 24
@@ -97,10 +98,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(both.filter(ok).select("a", "b").distinct(), "near-links")
 
 
-def own_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """id, own: the number of a node's shingles that no other node has."""
-    held = maybe_in(sets, "id", nodes).select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    return held.filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """bucket, id, n, pos: the shingles at which a linked pair's first common one can be.
+
+    A set's shingles are ordered by the number of sets that hold them, the rarest first; pos
+    counts from 1 and shingles that no other set holds come first and give no row. What a
+    pair shares lies at or behind its first common shingle in either set, so a shingle with
+    fewer than ``percent`` of the set from it on can't be the first of a linked pair.
+    """
+    rows = sets.select("id", F.xxhash64("shingles").alias("mark"), F.size("shingles").alias("n"), F.explode("shingles").alias("bucket"))
+    held = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), "near-frequent")
+    rows = join_unique(rows, held, ["bucket"], "freq", total_of(held, "freq"))
+    one = Window.partitionBy("id", "mark")  # rows that share an id each have a set of their own
+    pos = F.col("n") - F.count(F.lit(1)).over(one) + F.row_number().over(one.orderBy("freq", "bucket"))
+    rows = rows.withColumn("pos", pos).filter((F.col("n") - F.col("pos") + 1) * 100 >= F.col("n") * percent)
+    return stored(rows.select("bucket", "id", "n", "pos"), "near-prefixes")
+
+
+def unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets whose members have several roots, with root and the bucket's size."""
+    rows = stored(rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "near-live")
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size"))
+    mixed = stored(mixed.filter("x < y").select("bucket", "size"), "near-mixed")
+    return stored(join_unique(rows, mixed, ["bucket"], "size", total_of(mixed, "size")), "near-open")
 
 
 def near_components(
@@ -142,35 +162,28 @@ def near_components(
     links = confirmed(stored(star.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "near-star"), sets, percent)
     roots = components(links)
     forget_shuffles(spark)
-    live, own = placed.select("bucket", "id", "n"), None
-    while True:
-        live = stored(live.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "near-live")
-        mixed = live.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size"))
-        mixed = stored(mixed.filter("x < y").select("bucket", "size"), "near-mixed")
-        if is_empty(mixed):
-            break
-        live = stored(join_unique(live, mixed, ["bucket"], "size", total_of(mixed, "size")), "near-open")
-        if own is None:
-            own = own_shingles(live.select("id"), sets)
-            live = live.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-            live = stored(live.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "near-able")
+    live = unsettled(placed.select("bucket", "id", "n"), roots)
+    if not is_empty(live):
+        live = unsettled(prefixes(maybe_in(sets, "id", live.select("id")), percent), roots)
+    while not is_empty(live):
         parts = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
         largest = stored(parts.groupBy("bucket").agg(F.max_by("root", F.struct("part", "root")).alias("largest"), F.sum("part").alias("size")), "near-largest")
         live = stored(join_unique(live.drop("size"), largest, ["bucket"], "size", total_of(largest, "size")), "near-parts")
         order = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
         centres = live.filter("root <> largest").withColumn("k", order).filter(F.col("k") <= F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / F.col("size"))))
-        centres = stored(centres.select("bucket", F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("own").alias("c_own"), F.col("root").alias("c_root")), "near-centres")
-        # What only one of two has is in their union and not in their intersection.
-        most_same = F.least(F.col("n") - F.col("own"), F.col("c_n") - F.col("c_own"))
-        least_all = F.greatest(F.col("n") + F.col("c_own"), F.col("c_n") + F.col("own"))
-        pairs = live.join(centres, "bucket").filter((F.col("root") != F.col("c_root")) & (most_same * 100 >= least_all * percent))
+        centres = stored(centres.select("bucket", F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("pos").alias("c_pos"), F.col("root").alias("c_root")), "near-centres")
+        # The largest intersection that a pair can have whose first common shingle is this one.
+        most = F.least(F.col("n") - F.col("pos"), F.col("c_n") - F.col("c_pos")) + 1
+        able = most * (100 + percent) >= (F.col("n") + F.col("c_n")) * percent
+        pairs = live.join(centres, "bucket").filter((F.col("root") != F.col("c_root")) & able)
         pairs = stored(pairs.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct(), "near-pairs")
-        live = stored(live.select("bucket", "id", "n", "own").join(centres.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti"), "near-live")
+        live = stored(live.select("bucket", "id", "n", "pos").join(centres.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti"), "near-rest")
         if not is_empty(pairs):
             more = confirmed(pairs, sets, percent)
             if not is_empty(more):
                 links = stored(links.unionAll(more), "near-links")
                 roots = components(links)
+        live = unsettled(live, roots)
         forget_shuffles(spark)
 
     placed = member.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
