@@ -145,6 +145,30 @@ def test_extract(spark):
     assert Counter((r.page_id, r.url, r.text) for r in got) == Counter([(1, "u", want), (1, "u", want), (2, None, ""), (None, "v", "")])
 
 
+BODY = "<h2 id='Related_work'>Related work</h2><p>The first paragraph, which is long, says something.</p><section id='search-algorithms'><p>A second one, about search, is long as well.</p></section>"
+BODY_TEXT = "Related work\nThe first paragraph, which is long, says something.\nA second one, about search, is long as well."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><article>{}</article></body>", "<body><div class='content with-sidebar'><article>{}</article></div></body>", "<body><div class='post has-comments'>{}</div></body>",
+        "<body><form id='aspnetForm'><div class='page'>{}</div></form></body>", "<body><form><main>{}</main></form></body>", "<body><div class='widget'><article>{}</article></div></body>",
+        "<body><div class='sidebar'><div>{}</div></div></body>", "<body><aside><article>{}</article></aside></body>", "<html><head><meta charset=utf-8><title>T</title><body><div>{}</div></body></html>",
+    ],
+)
+def test_extract_marks_are_hints(page):
+    chrome = "<nav><a>Home</a></nav><div class='site-footer'>Imprint, privacy.</div>"
+    assert html_extract.extract(page.format(BODY)) == BODY_TEXT
+    assert html_extract.extract(page.format(BODY).replace("</body>", chrome + "</body>")) == BODY_TEXT
+
+
+def test_extract_marks_that_hold():
+    long = "<p>I disagree, strongly, with all of this, and here is a long reason why.</p>" * 9
+    for away in (f"<div id='comments' class='comments-area'><article class='comment'>{long}</article></div>", f"<aside><article>{long}</article></aside>", f"<div class='ad'>{long}</div>", f"<nav> <b>{long}</b> </nav>"):
+        assert html_extract.extract(f"<body><article>{BODY}</article>{away}</body>") == BODY_TEXT
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -5,6 +5,7 @@ length per node, its punctuation ratio the punctuation per node; both are smooth
 page's sequence of nodes, fused by multiplication and thresholded by their spread. The
 smallest element that holds nearly all selected text is the article; its blocks are the
 result, but for parts that are marked as something else (navigation, forms, comments ...).
+A mark is a hint: it is void on an element that holds the page's article.
 """
 
 from __future__ import annotations
@@ -27,44 +28,63 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: An open element that a new tag of the same family ends.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 AWAY = frozenset("nav aside form footer head script style noscript template iframe button select textarea svg math canvas object dialog menu fieldset label audio video".split())
+#: Marked tags that also just wrap a page or its article, as a form does in ASP.NET.
+WRAPS = frozenset("form fieldset label object canvas audio video".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-#: Words that mark an element by its class or id as something other than the article.
+#: Words that mark an element as something other than the article, if a class or id consists of them (and PLACES) alone.
 AWAY_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs "
     "sidebar aside rail footer masthead topbar toolbar comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert "
     "popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget widgets form".split()
 )
+PLACES = frozenset("site page main primary secondary top bottom left right area list container wrapper wrap box block section bar header".split())
 NEVER_AWAY = frozenset(("html", "body", "article", "main"))
-_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: Tags that don't end an open <head>.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_a-zA-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、؛؟…]")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Node:
-    __slots__ = ("away", "parent", "path", "size", "tag")
+    __slots__ = ("away", "main", "mark", "parent", "path", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, away: bool) -> None:
-        self.tag, self.parent, self.away, self.size = tag, parent, away, 0
+    def __init__(self, tag: str, parent: Node | None, attrs: str = "") -> None:
+        self.tag, self.parent, self.away = tag, parent, False
         self.path = f"{parent.path}/{tag}" if parent else tag
+        self.mark = _mark(tag, attrs, parent) if parent else ""
+        self.main = tag == "main" or tag == "article" and not _hinted(tag, attrs)
 
 
-def _marked(tag: str, attrs: str, parent: Node) -> bool:
-    """Whether the element itself says that it isn't part of an article."""
-    if tag in AWAY:
-        return True
-    if tag == "header":
-        return not any(n.tag in ("article", "main") for n in _up(parent))
-    if not attrs.strip() or tag in NEVER_AWAY:
-        return False
-    for name, a, b, c in _ATTR.findall(attrs):
-        name, value = name.lower(), a or b or c
+def _values(attrs: str) -> list[tuple[str, str]]:
+    return [(name.lower(), html.unescape(a or b or c)) for name, a, b, c in _ATTR.findall(attrs)] if attrs.strip() else []
+
+
+def _hinted(tag: str, attrs: str) -> bool:
+    """Whether a whole class or id names something other than an article. Ids of headings are made of their text."""
+    for name, value in _values(attrs):
+        if name == "class" or name == "id" and tag not in HEADINGS:
+            for token in value.split():
+                words = {w.lower() for w in _WORDS.findall(token)}
+                if words & AWAY_WORDS and words <= AWAY_WORDS | PLACES:
+                    return True
+    return False
+
+
+def _mark(tag: str, attrs: str, parent: Node) -> str:
+    """How the element itself says that it isn't part of an article: "firm", by a "hint", as one that "wraps", or not ("")."""
+    if tag in NEVER_AWAY:
+        return ""
+    if tag in AWAY and tag not in WRAPS:
+        return "firm"
+    if tag == "header" and not any(n.tag in ("article", "main") for n in _up(parent)):
+        return "firm"
+    for name, value in _values(attrs):
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return "firm"
         if name == "role" and value.lower() in AWAY_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in AWAY_WORDS for w in _WORDS.findall(value)):
-            return True
-    return False
+            return "wraps" if value.lower() == "form" else "firm"
+    return "wraps" if tag in WRAPS else "hint" if _hinted(tag, attrs) else ""
 
 
 def _up(node: Node | None) -> Iterator[Node]:
@@ -75,7 +95,7 @@ def _up(node: Node | None) -> Iterator[Node]:
 
 def parse(page: str) -> list[tuple[Node, int, str]]:
     """Text nodes in page order: element, number of the block that they are in, raw text."""
-    root = Node("", None, False)
+    root = Node("", None)
     open_, out, block, at = root, [], 0, 0
     while at < len(page):
         m = _TOKEN.match(page, at)
@@ -83,6 +103,8 @@ def parse(page: str) -> list[tuple[Node, int, str]]:
             break
         at = m.end()
         if (text := m["text"]) is not None:
+            if open_.tag == "head" and not text.isspace():
+                open_ = open_.parent
             out.append((open_, block, text))
         elif (tag := m["tag"]) is not None:
             tag = tag.lower()
@@ -90,6 +112,10 @@ def parse(page: str) -> list[tuple[Node, int, str]]:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
                 continue
+            if open_.tag == "head" and tag not in IN_HEAD:
+                open_ = open_.parent
+            if tag == "body":
+                open_ = next((n.parent for n in _up(open_) if n.tag == "head"), open_)
             if tag in BLOCK:
                 block += 1
                 found = next((n for n in _up(open_) if n.tag == "p"), None)
@@ -105,7 +131,7 @@ def parse(page: str) -> list[tuple[Node, int, str]]:
             if tag == "br":
                 out.append((open_, block, " "))
             if tag not in VOID and not m["attrs"].endswith("/"):
-                open_ = Node(tag, open_, open_.away or _marked(tag, m["attrs"], open_))
+                open_ = Node(tag, open_, m["attrs"])
         elif (tag := m["end"]) is not None:
             tag = tag.lower()
             if tag in BLOCK:
@@ -144,6 +170,45 @@ def content_nodes(texts: list[tuple[Node, str]]) -> list[bool]:
     return [x >= least for x in fused]
 
 
+def put_away(nodes: list[Node], texts: list[tuple[Node, str]]) -> None:
+    """Sets ``away`` on the elements that are marked, or in such an element, unless the mark is void.
+
+    A hint, or a tag that only wraps, is void on an element that holds an <article> or <main>;
+    a firm mark if no <article> or <main> is outside firm marks. On a page without any of these
+    (or with none that holds selected text) every mark is void on an element that holds more
+    than half of the selected text, and that of a tag that only wraps is on any page.
+    """
+    elements: dict[Node, None] = {}  # parents first
+    for node in nodes:
+        chain = []
+        for n in _up(node):
+            if n in elements:
+                break
+            chain.append(n)
+        elements.update(dict.fromkeys(reversed(chain)))
+    if not any(n.mark for n in elements):
+        return
+    mains = [n for n in elements if n.main]
+    around = {a for n in mains for a in _up(n.parent)}
+    held: dict[Node, int] = defaultdict(int)
+    total = within = 0
+    for (node, text), ok in zip(texts, content_nodes(texts)):
+        if ok:
+            total += len(text)
+            up = list(_up(node))
+            within += any(n.main for n in up)
+            for n in up:
+                held[n] += len(text)
+    lost = all(any(a.mark == "firm" for a in _up(n.parent)) for n in mains)
+    for n in elements:
+        most = 2 * held[n] > total
+        if n.mark == "firm":
+            void = n in around and lost or most and not within
+        else:
+            void = n in around or most and (n.mark == "wraps" or not within)
+        n.away = n.parent is not None and n.parent.away or n.mark != "" and not void
+
+
 def article(texts: list[tuple[Node, str]], picked: list[bool], share: float = 0.9) -> Node:
     """The smallest element that holds ``share`` of the selected text; <article> and <main> win over what is in them."""
     held: dict[Node, int] = defaultdict(int)
@@ -164,23 +229,22 @@ def article(texts: list[tuple[Node, str]], picked: list[bool], share: float = 0.
 
 def extract(page: str) -> str:
     """The main text: blocks of the article in page order, one a line."""
-    nodes = [(node, block, html.unescape(text)) for node, block, text in parse(page) if not _away(node)]
+    nodes = [(node, block, html.unescape(text)) for node, block, text in parse(page)]
     texts = [(node, t) for node, _, text in nodes if (t := " ".join(text.split()))]
+    if texts:
+        put_away([node for node, _, _ in nodes], texts)
+        texts = [(node, t) for node, t in texts if not node.away]
     if not texts:
         return ""
     top = article(texts, content_nodes(texts))
     blocks: dict[int, list[str]] = defaultdict(list)
     for node, block, text in nodes:
-        if any(n is top for n in _up(node)):
+        if not node.away and any(n is top for n in _up(node)):
             blocks[block].append(text)
     lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)
 
 
-def _away(node: Node) -> bool:
-    return node.away
-
-
 def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     for batch in batches:
