@@ -169,6 +169,26 @@ def test_extract_marks_that_hold():
         assert html_extract.extract(f"<body><article>{BODY}</article>{away}</body>") == BODY_TEXT
 
 
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        ("<svg class='icon' />", ""), ("<svg width=1/><p>More.</p><svg><text>x</text></svg>", "\nMore."), ("<svg><title/><script/><style/><path d='M0'/></svg><p>More.</p>", "\nMore."),
+        ("<svg class=icon><path d='M0'><p>More.</p>", "\nMore."), ("<math/><p>More.</p>", "\nMore."), ("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p>", "\nSo x=1."),
+        ("<iframe src='x' /><p>More.</p><iframe></iframe>", "\nMore."), ("<iframe src='x'><p>More.</p>", "\nMore."), ("<p>So <noscript><div>No scripts</div></noscript>on.</p>", "\nSo on."),
+        ("<ul><li>So <template><li>gone</li></template>on.</ul>", "\nSo on."), ("<div><template shadowrootmode=open><p>More.</p></template></div>", "\nMore."),
+        ("<xmp><b>More</b> &lt;</xmp>", "\n<b>More</b> &lt;"), ("<script>a</script ><style>b</style x><p>More.</p>", "\nMore."),
+    ],
+)
+def test_extract_raw_and_foreign(inside, want):
+    assert html_extract.extract(f"<body><article>{BODY}{inside}</article></body>") == BODY_TEXT + want
+    assert html_extract.extract(f"<body>{inside}<article>{BODY}</article></body>").endswith(BODY_TEXT)
+
+
+def test_extract_page_in_noscript():
+    for tag in ("noscript", "noframes", "template"):
+        assert html_extract.extract(f"<body><{tag}><div>{BODY}</div></{tag}></body>") == BODY_TEXT
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

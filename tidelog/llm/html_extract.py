@@ -23,11 +23,21 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Tags whose content isn't read as HTML and is left out; without an end tag it is the rest of the page, but for an <iframe>, which is empty then.
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements in which "/>" ends any element, what in them holds HTML again, and the HTML tags that end them.
+FOREIGN = frozenset(("svg", "math"))
+HTML_IN_FOREIGN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var "
+    "article aside details dialog fieldset figcaption figure footer form header hgroup main nav section summary".split()
+)
+#: A tag in one of these doesn't end an element around it.
+WALLS = frozenset("button foreignobject marquee math mtext noembed noframes noscript object svg template".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul xmp".split())
 #: An open element that a new tag of the same family ends.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
-AWAY = frozenset("nav aside form footer head script style noscript template iframe button select textarea svg math canvas object dialog menu fieldset label audio video".split())
+AWAY = frozenset("nav aside form footer head script style noscript noembed noframes template iframe button select textarea svg canvas object dialog menu fieldset label audio video".split())
 #: Marked tags that also just wrap a page or its article, as a form does in ASP.NET.
 WRAPS = frozenset("form fieldset label object canvas audio video".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
@@ -44,15 +54,18 @@ IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes sty
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_a-zA-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、؛؟…]")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in (*RAW, "xmp")}
 
 
 class Node:
-    __slots__ = ("away", "main", "mark", "parent", "path", "tag")
+    __slots__ = ("away", "foreign", "main", "mark", "parent", "path", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = "") -> None:
         self.tag, self.parent, self.away = tag, parent, False
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.mark = _mark(tag, attrs, parent) if parent else ""
+        #: The <svg> or <math> whose syntax holds in this element.
+        self.foreign = self if tag in FOREIGN else None if parent is None or tag in HTML_IN_FOREIGN else parent.foreign
         self.main = tag == "main" or tag == "article" and not _hinted(tag, attrs)
 
 
@@ -75,7 +88,7 @@ def _mark(tag: str, attrs: str, parent: Node) -> str:
     """How the element itself says that it isn't part of an article: "firm", by a "hint", as one that "wraps", or not ("")."""
     if tag in NEVER_AWAY:
         return ""
-    if tag in AWAY and tag not in WRAPS:
+    if tag in AWAY and tag not in WRAPS and not (tag == "template" and "shadowrootmode" in attrs.lower()):
         return "firm"
     if tag == "header" and not any(n.tag in ("article", "main") for n in _up(parent)):
         return "firm"
@@ -93,10 +106,10 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def parse(page: str) -> list[tuple[Node, int, str]]:
-    """Text nodes in page order: element, number of the block that they are in, raw text."""
+def parse(page: str) -> list[tuple[Node, str | None]]:
+    """Text nodes in page order: element, raw text; None where a block in the element begins or ends."""
     root = Node("", None)
-    open_, out, block, at = root, [], 0, 0
+    open_, out, at = root, [], 0
     while at < len(page):
         m = _TOKEN.match(page, at)
         if m is None:  # an unfinished tag at the end
@@ -105,42 +118,50 @@ def parse(page: str) -> list[tuple[Node, int, str]]:
         if (text := m["text"]) is not None:
             if open_.tag == "head" and not text.isspace():
                 open_ = open_.parent
-            out.append((open_, block, text))
+            out.append((open_, text))
         elif (tag := m["tag"]) is not None:
             tag = tag.lower()
+            closed = m["attrs"].endswith("/")
+            while open_.foreign is not None and tag in BREAKS_OUT:
+                open_ = open_.foreign.parent
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if not (closed and (tag == "iframe" or open_.foreign is not None)):
+                    end = ENDS[tag].search(page, at)
+                    at = end.end() if end else at if tag == "iframe" else len(page)
                 continue
             if open_.tag == "head" and tag not in IN_HEAD:
                 open_ = open_.parent
             if tag == "body":
                 open_ = next((n.parent for n in _up(open_) if n.tag == "head"), open_)
             if tag in BLOCK:
-                block += 1
-                found = next((n for n in _up(open_) if n.tag == "p"), None)
-                if found is not None:
+                found = next((n for n in _up(open_) if n.tag == "p" or n.tag in WALLS), None)
+                if found is not None and found.tag == "p":
                     open_ = found.parent
             if tag in CLOSES:
                 ends, bars = (x.split() for x in CLOSES[tag])
                 for n in _up(open_):
-                    if n.tag in bars:
+                    if n.tag in bars or n.tag in WALLS:
                         break
                     if n.tag in ends:
                         open_ = n.parent
+            if tag in BLOCK:
+                out.append((open_, None))
             if tag == "br":
-                out.append((open_, block, " "))
-            if tag not in VOID and not m["attrs"].endswith("/"):
+                out.append((open_, " "))
+            if tag not in VOID and not closed:
                 open_ = Node(tag, open_, m["attrs"])
+                if tag == "xmp" and (end := ENDS[tag].search(page, at)):  # shown as it is written
+                    out.append((open_, html.escape(page[at : end.start()], quote=False)))
+                    at = end.start()
         elif (tag := m["end"]) is not None:
             tag = tag.lower()
-            if tag in BLOCK:
-                block += 1
             found = next((n for n in _up(open_) if n.tag == tag), None)
             if found is not None:
                 open_ = found.parent
+            if tag in BLOCK:
+                out.append((open_, None))
         elif m["cdata"]:
-            out.append((open_, block, m["cdata"]))
+            out.append((open_, m["cdata"]))
     return out
 
 
@@ -229,19 +250,23 @@ def article(texts: list[tuple[Node, str]], picked: list[bool], share: float = 0.
 
 def extract(page: str) -> str:
     """The main text: blocks of the article in page order, one a line."""
-    nodes = [(node, block, html.unescape(text)) for node, block, text in parse(page)]
-    texts = [(node, t) for node, _, text in nodes if (t := " ".join(text.split()))]
+    nodes = [(node, text and html.unescape(text)) for node, text in parse(page)]
+    texts = [(node, t) for node, text in nodes if text and (t := " ".join(text.split()))]
     if texts:
-        put_away([node for node, _, _ in nodes], texts)
+        put_away([node for node, _ in nodes], texts)
         texts = [(node, t) for node, t in texts if not node.away]
     if not texts:
         return ""
     top = article(texts, content_nodes(texts))
-    blocks: dict[int, list[str]] = defaultdict(list)
-    for node, block, text in nodes:
-        if not node.away and any(n is top for n in _up(node)):
-            blocks[block].append(text)
-    lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
+    blocks: list[list[str]] = [[]]
+    for node, text in nodes:
+        if node.away:
+            continue
+        if text is None:
+            blocks.append([])
+        elif any(n is top for n in _up(node)):
+            blocks[-1].append(text)
+    lines = (" ".join("".join(parts).split()) for parts in blocks)
     return "\n".join(x for x in lines if x)
 
 
