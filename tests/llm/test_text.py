@@ -189,6 +189,21 @@ def test_extract_page_in_noscript():
         assert html_extract.extract(f"<body><{tag}><div>{BODY}</div></{tag}></body>") == BODY_TEXT
 
 
+def test_extract_all_selected():
+    """Selected text outside the element that holds most of it, with its section; unselected text there isn't the article's."""
+    line, far = "This sentence, one of many, is as long as those of an article are.", "<div><a>Home</a></div>" * 9
+    long, end = f"<p>{line}</p>" * 30, f"<h2>End</h2><p>{line}</p>"
+    for first, last in (
+        (f"<div>{long}</div>", f"<div>{end}<ul><li>a</ul></div>"), (f"<div><div>{long}</div></div>", f"<section>{end}</section>"), (f"<article>{long}</article>", f"<article>{end}<div>a</div></article>"),
+        (f"<main>{long}</main>", f"<div>{end}</div>"), (f"<article>{long}</article>", f"<div>{end}<ol><li>a</ol></div>"),
+    ):
+        tail = ["End", line, "a"] if ">a<" in last else ["End", line]
+        assert html_extract.extract(f"<body>{first}{last}</body>").split("\n") == [line] * 30 + tail
+        assert html_extract.extract(f"<body>{last}{first}</body>").split("\n") == tail + [line] * 30
+    assert html_extract.extract(f"<body>{line}<div>{long}</div>{line}</body>").split("\n") == [line] * 32
+    assert "Home" not in html_extract.extract(f"<body>{far}<div>{long}</div></body>")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

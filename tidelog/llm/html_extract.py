@@ -3,8 +3,9 @@
 Text nodes are grouped by their root-to-leaf tag path. A path's text ratio is its text
 length per node, its punctuation ratio the punctuation per node; both are smoothed over the
 page's sequence of nodes, fused by multiplication and thresholded by their spread. The
-smallest element that holds nearly all selected text is the article; its blocks are the
-result, but for parts that are marked as something else (navigation, forms, comments ...).
+smallest element that holds nearly all selected text is the article; its blocks and those of
+every section with other selected text are the result, but for parts that are marked as
+something else (navigation, forms, comments ...).
 A mark is a hint: it is void on an element that holds the page's article.
 """
 
@@ -54,6 +55,8 @@ IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes sty
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_a-zA-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、؛؟…]")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Blocks that are parts of a section.
+PARTS = HEADINGS | frozenset("p ul ol li menu dl dt dd blockquote pre xmp table caption thead tbody tfoot tr th td figure figcaption hgroup hr".split())
 ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in (*RAW, "xmp")}
 
 
@@ -248,8 +251,21 @@ def article(texts: list[tuple[Node, str]], picked: list[bool], share: float = 0.
     return next((n for n in outer if n.tag == "article"), outer[0] if outer else best)
 
 
+def _section(node: Node, around: set[Node]) -> Node:
+    """What a selected text belongs to outside the article: its <article> or <main>, or else its nearest container, but nothing ``around`` the article."""
+    best, up = node, [n for n in _up(node) if n not in around]
+    outer = [n for n in up if n.tag in ("article", "main")]
+    if outer:
+        return outer[-1]
+    for n in up:
+        best = n
+        if n.tag in BLOCK and n.tag not in PARTS:
+            break
+    return best
+
+
 def extract(page: str) -> str:
-    """The main text: blocks of the article in page order, one a line."""
+    """The main text: blocks of the article and of the other selected sections in page order, one a line."""
     nodes = [(node, text and html.unescape(text)) for node, text in parse(page)]
     texts = [(node, t) for node, text in nodes if text and (t := " ".join(text.split()))]
     if texts:
@@ -257,16 +273,24 @@ def extract(page: str) -> str:
         texts = [(node, t) for node, t in texts if not node.away]
     if not texts:
         return ""
-    top = article(texts, content_nodes(texts))
+    picked = content_nodes(texts)
+    top = article(texts, picked)
+    around = set(_up(top))
+    whole = {top, *(_section(node, around) for (node, _), ok in zip(texts, picked) if ok)}
+    selected = iter(picked)
     blocks: list[list[str]] = [[]]
+    keep = [False]
     for node, text in nodes:
         if node.away:
             continue
         if text is None:
             blocks.append([])
-        elif any(n is top for n in _up(node)):
+            keep.append(False)
+        else:
             blocks[-1].append(text)
-    lines = (" ".join("".join(parts).split()) for parts in blocks)
+            if text.strip():
+                keep[-1] |= next(selected) or any(n in whole for n in _up(node))  # a selected text may be right in what is around the article
+    lines = (" ".join("".join(parts).split()) for parts, ok in zip(blocks, keep) if ok)
     return "\n".join(x for x in lines if x)
 
 
