@@ -108,6 +108,33 @@ def test_quality_edges(spark, make_docs, odd_rows):
     assert quality.classify(docs.limit(0), none).count() == 0
 
 
+def test_quality_learns_from_all_unlabelled(spark):
+    """Also where those with the 2,000 smallest hashes have labels, and repeated ids count once."""
+    rng = random.Random(5)
+    words = ["fine words of a good page", "buy junk now cheap deal"]
+    rows = [(k, " ".join(rng.choices(words[k % 2].split(), k=30)), "en", "s", 1) for k in range(2600)]
+    docs = spark.createDataFrame(rows + rows[:900], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    first = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("pool")), "doc_id").limit(2000)
+    labels = first.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    got = quality.train(docs, labels)
+    assert got["toxic"] is None and got["quality"].handed > quality.HANDED
+
+
+def test_quality_surest(spark):
+    rng = random.Random(6)
+    rows = [(k % 900, [rng.randrange(20) for _ in range(rng.randint(0, 9))], [k % 900]) for k in range(1200)]
+    rows = [rows[k % 900] for k in range(1200)]
+    free = spark.createDataFrame(rows, "doc_id long, quality0 array<int>, quality1 array<int>").repartition(4)
+    import numpy as np
+
+    w = np.array([rng.uniform(-3, 3) for _ in range(21)], dtype=np.float32)
+    p = {i: 1 / (1 + np.exp(-(sum(float(w[c]) for c in a) + float(w[-1])))) for i, a, _ in rows}
+    best = sorted((i for i in p if i % 7 and abs(p[i] - 0.5) >= quality.SURE - 0.5), key=lambda i: -abs(p[i] - 0.5))[: quality.HANDED]
+    got = quality._draw(free, "quality")(0, w, {i for i in p if i % 7 == 0})
+    assert len(got) == len({i for i, _, _ in got}) == len(best) and all(c == [i] for i, _, c in got)
+    assert np.allclose(sorted(abs(q - 0.5) for _, q, _ in got), sorted(abs(p[i] - 0.5) for i in best), atol=1e-6)
+
+
 def test_sharding(spark, tmp_path):
     names = [f"s{k}" for k in range(10)]
     table = sharding.fill_table(names, 1009)

@@ -6,15 +6,18 @@ among unlabelled documents to the other view. Each view is then calibrated on la
 held out from training, a last logistic step combines the calibrated views, and every
 document is scored.
 
-What is fitted comes from bounded samples: LABELLED labelled and POOL unlabelled documents,
-those with the smallest hashes of their ids. All documents are scored.
+What is fitted first comes from a bounded sample: LABELLED labelled documents, those with the
+smallest hashes of their ids. The labels handed over are the surest of all unlabelled documents:
+a view's features are known before the first round, so one pass stores which of them each
+document has, and every round scores those rows and takes the best of them. All documents
+are scored in the end.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents that training may see.
-LABELLED, POOL = 6_000, 2_000
+from .common import stored
+
+#: Labelled documents that training may see.
+LABELLED = 6_000
 #: Co-training rounds, labels handed over a round, and how sure a view must be of them.
 ROUNDS, HANDED, SURE = 3, 200, 0.97
 #: Words that a text model picks at most, documents that must hold one, and how far its odds must be from chance.
@@ -120,9 +125,12 @@ class View:
         return out + [c for h in hashed if (c := get(h)) is not None]
 
     def matrix(self, rows: list[tuple[list[float], list[int]]]) -> np.ndarray:
+        return self.of_columns([self.active(numbers, hashed) for numbers, hashed in rows])
+
+    def of_columns(self, rows: list[list[int]]) -> np.ndarray:
         out = np.zeros((len(rows), self.width), dtype=np.float32)
-        for k, (numbers, hashed) in enumerate(rows):
-            out[k, self.active(numbers, hashed)] = 1
+        for k, columns in enumerate(rows):
+            out[k, columns] = 1
         return out
 
 
@@ -164,8 +172,22 @@ class Model:
 Row = tuple[list[float], list[int], list[int]]  # shape, words, metadata
 
 
-def co_train(labelled: list[Row], y: np.ndarray, pool: list[Row]) -> Model | None:
-    """A target's model; None if the labels are all one (then there is nothing to tell apart)."""
+PARTS = (lambda r: (r[0], r[1])), (lambda r: ([], r[2]))  # what the text view and the metadata view see of a row
+
+
+@dataclass
+class Start:
+    """A target's labelled rows, which of them are fitted and held out, and its two views."""
+
+    rows: list[Row]
+    y: np.ndarray
+    fit: np.ndarray
+    held: np.ndarray
+    views: list[View]
+
+
+def start_of(labelled: list[Row], y: np.ndarray) -> Start | None:
+    """None if the labels are all one (then there is nothing to tell apart)."""
     if len(set(y.tolist())) < 2:
         return None
     held = np.arange(len(y)) % 5 == 0
@@ -177,27 +199,34 @@ def co_train(labelled: list[Row], y: np.ndarray, pool: list[Row]) -> Model | Non
     rows = [r for r, k in zip(labelled, fit) if k]
     text = View.of(np.array([r[0] for r in rows]), [], telling([r[1] for r in rows], y[fit], WORDS))
     meta = View.of(np.empty(0), [], telling([r[2] for r in rows], y[fit], WORDS))
-    views = [(text, lambda r: (r[0], r[1])), (meta, lambda r: ([], r[2]))]
-    x = [v.matrix([part(r) for r in rows]) for v, part in views]
-    u = [v.matrix([part(r) for r in pool]) if pool else np.zeros((0, v.width), dtype=np.float32) for v, part in views]
-    own = [(x[k], y[fit]) for k in (0, 1)]
-    free, handed, weights = np.ones(len(pool), dtype=bool), 0, []
+    return Start(labelled, y, fit, held, [text, meta])
+
+
+#: (giver, its weights, ids handed over before) -> (id, probability, the taker's columns) of the surest documents
+Draw = Callable[[int, np.ndarray, set[int]], list[tuple[int, float, list[int]]]]
+
+
+def co_train(begin: Start, draw: Draw) -> Model:
+    """A target's model, with labels for the unlabelled documents that ``draw`` finds."""
+    labelled, y, fit, held, views = begin.rows, begin.y, begin.fit, begin.held, list(zip(begin.views, PARTS))
+    text, meta = begin.views
+    rows = [r for r, k in zip(labelled, fit) if k]
+    own = [(v.matrix([part(r) for r in rows]), y[fit]) for v, part in views]
+    handed, weights = set(), []
     for turn in range(ROUNDS + 1):
         weights = [fit_logistic(m, t, 1e-3, weights[k] if turn else None, 60 if turn else 150) for k, (m, t) in enumerate(own)]
-        if turn == ROUNDS or not free.any():
+        if turn == ROUNDS:
             break
         for giver, taker in ((0, 1), (1, 0)):
-            p = sigmoid(u[giver] @ weights[giver][:-1] + weights[giver][-1])
-            sure = [k for k in np.argsort(-np.abs(p - 0.5), kind="stable") if free[k] and abs(p[k] - 0.5) >= SURE - 0.5][:HANDED]
+            sure = draw(giver, weights[giver], handed)
             if sure:
-                free[sure] = False
-                handed += len(sure)
-                own[taker] = np.vstack([own[taker][0], u[taker][sure]]), np.append(own[taker][1], p[sure] >= 0.5)
+                handed |= {i for i, _, _ in sure}
+                own[taker] = np.vstack([own[taker][0], begin.views[taker].of_columns([c for _, _, c in sure])]), np.append(own[taker][1], [p >= 0.5 for _, p, _ in sure])
     check = [r for r, k in zip(labelled, held) if k]
     raw = [v.matrix([part(r) for r in check]) @ w[:-1] + w[-1] for (v, part), w in zip(views, weights)]
     calibration = [tuple(map(float, fit_logistic(z[:, None].astype(np.float32), y[held], ridge=1e-2))) for z in raw]
     both = np.stack([s * z + o for z, (s, o) in zip(raw, calibration)], axis=1).astype(np.float32)
-    return Model(text, meta, weights[0], weights[1], calibration, fit_logistic(both, y[held], ridge=1e-2), handed)
+    return Model(text, meta, weights[0], weights[1], calibration, fit_logistic(both, y[held], ridge=1e-2), len(handed))
 
 
 _ROW = "doc_id long, numbers array<double>, words array<long>, meta array<long>"
@@ -220,23 +249,76 @@ def _sample(docs: DataFrame, ids: DataFrame) -> dict[int, Row]:
     return {found["doc_id"][k].as_py(): (found["numbers"][k].as_py(), np.asarray(found["words"][k].values), np.asarray(found["meta"][k].values)) for k in rows}
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, Model | None]:
-    """A model for each target, from at most ``labelled`` and ``pool`` documents.
+def _columns(views):
+    schema = pa.schema([("doc_id", pa.int64()), *[(f"{t}{k}", pa.list_(pa.int32())) for t in TARGETS for k in (0, 1)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "n_chars"))):
+                row = (*text_view(r[1]), meta_view(*r[2:]))
+                out.append((r[0], *[v[k].active(*PARTS[k](row)) if (v := views.value[t]) else [] for t in TARGETS for k in (0, 1)]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    return run
+
+
+def _surest(weights: np.ndarray, handed: set[int]):
+    """doc_id, p, taker: rows that a view with ``weights`` is sure of; its columns are the second of the input, the taker's the third."""
+    schema = pa.schema([("doc_id", pa.int64()), ("p", pa.float64()), ("taker", pa.list_(pa.int32()))])
+    gone = np.array(sorted(handed), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            sums = np.concatenate([[0.0], np.cumsum(weights[lists.flatten().to_numpy()], dtype=np.float64)])
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            p = sigmoid(np.diff(sums[np.concatenate([[0], ends])]) + float(weights[-1]))
+            keep = (np.abs(p - 0.5) >= SURE - 0.5) & ~np.isin(batch.column(0).to_numpy(), gone)
+            found = pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), batch.column(2).cast(schema.types[2])], schema=schema)
+            yield found.filter(pa.array(keep))
+
+    return run
+
+
+def _draw(free: DataFrame, target: str) -> Draw:
+    def draw(giver: int, weights: np.ndarray, handed: set[int]) -> list[tuple[int, float, list[int]]]:
+        rows, found = free.select("doc_id", f"{target}{giver}", f"{target}{1 - giver}"), {}
+        while True:  # again only where rows share an id
+            best = rows.mapInArrow(_surest(weights, handed | found.keys()), "doc_id long, p double, taker array<int>")
+            got = best.orderBy(F.desc(F.abs(F.col("p") - 0.5)), "doc_id", "p", "taker").limit(HANDED - len(found)).collect()
+            for r in got:
+                found.setdefault(r.doc_id, (r.doc_id, r.p, r.taker))
+            if not got or len(found) == HANDED or len(got) < HANDED and len({r.doc_id for r in got}) == len(got):
+                return list(found.values())
+
+    return draw
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[str, Model | None]:
+    """A model for each target, from at most ``labelled`` labelled and all unlabelled documents.
 
-    Labels with a null id or value are left out; of repeated labels one stays. Where no
-    labels tell two classes apart, a target has no model.
+    Labels with a null id or value are left out; of repeated labels one stays. Documents
+    with a null id aren't learnt from; of repeated ids one is. Where no labels tell two
+    classes apart, a target has no model.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *TARGETS).dropna().groupBy("doc_id").agg(*[F.min(t).cast("int").alias(t) for t in TARGETS])
     order = F.xxhash64("doc_id")
     spark = docs.sparkSession
     taken = sorted((r for r in labels.withColumn("o", order).orderBy("o", "doc_id").limit(labelled).collect()), key=lambda r: r.o)
-    some = docs.select("doc_id").filter("doc_id is not null").withColumn("o", F.xxhash64("doc_id", F.lit("pool"))).orderBy("o", "doc_id").limit(pool).select("doc_id")
-    free = {r.doc_id for r in some.distinct().join(labels.select("doc_id"), "doc_id", "left_anti").collect()}
-    wanted = spark.createDataFrame([(i,) for i in sorted({r.doc_id for r in taken} | free)], "doc_id long")
-    rows = _sample(docs, wanted)
+    rows = _sample(docs, spark.createDataFrame([(i,) for i in sorted({r.doc_id for r in taken})], "doc_id long"))
     known = [r for r in taken if r.doc_id in rows]
-    pool_rows = [rows[i] for i in sorted(free) if i in rows]
-    return {t: co_train([rows[r.doc_id] for r in known], np.array([float(r[t] > 0) for r in known]), pool_rows) for t in TARGETS}
+    starts = {t: start_of([rows[r.doc_id] for r in known], np.array([float(r[t] > 0) for r in known])) for t in TARGETS}
+    if not any(starts.values()):
+        return dict.fromkeys(TARGETS)
+    columns = _columns(spark.sparkContext.broadcast({t: s and s.views for t, s in starts.items()}))
+    shape = "doc_id long, " + ", ".join(f"{t}{k} array<int>" for t in TARGETS for k in (0, 1))
+    seen = docs.filter("doc_id is not null").select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(columns, shape)
+    free = stored(seen.join(labels.select("doc_id"), "doc_id", "left_anti"), "quality-unlabelled")
+    return {t: s and co_train(s, _draw(free, t)) for t, s in starts.items()}
 
 
 def _score(models):
