@@ -3,30 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate as decontamination
 from tidelog.llm import exact_dedup, near_dedup, quality
-from tidelog.llm.common import new_path, read_table
+from tidelog.llm.common import is_empty, new_path, read_table, stored
 from tidelog.llm.queries import bpe_digests
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``: no null, of one row each, in the order of doc_id (nulls last).
+
+    That is doc_id itself where it is so already; else all rows are sorted and numbered.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 or doc_id is null")
+    if is_empty(odd):
+        return docs.withColumn("row", F.col("doc_id"))
+    # The last key spreads repeated rows over tasks.
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("row")]
+    ordered = docs.withColumn("row", F.monotonically_increasing_id()).orderBy(*order)
+    return stored(ordered.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def first_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` without those that an operator, given ``row`` as their id, doesn't keep."""
+    return rows.join(found.filter("not kept").select(F.col("doc_id").alias("row")), "row", "left_anti").select(COLUMNS)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are probably of good quality and not toxic."""
     return quality.keep_good(docs.select(COLUMNS), read_table(spark, sf_dir, "labels"))
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of equal texts."""
-    docs = docs.select(COLUMNS)
-    return docs.join(exact_dedup.exact_dedup(docs).filter("not kept").select("doc_id"), "doc_id", "left_anti")
+    """The document with the smallest doc_id of each group of equal texts.
+
+    Rows are told apart even if they share an id: one row of a group stays, also of repeated
+    rows, and rows with one id and different texts go by their own. A null id is larger than
+    any other; of a group with no other, one row stays. A null text equals an empty one.
+    """
+    rows = numbered(docs.select(COLUMNS))
+    return first_rows(rows, exact_dedup.exact_dedup(rows, "row"))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near copies (five words, 0.8)."""
-    docs = docs.select(COLUMNS)
-    return docs.join(near_dedup.near_components(docs, width=5, percent=80).filter("not kept").select("doc_id"), "doc_id", "left_anti")
+    """The document with the smallest doc_id of each component of near copies (five words, 0.8).
+
+    Shared and null ids count as in the stage before. Texts without words are linked with
+    nothing, so all of them stay.
+    """
+    rows = numbered(docs.select(COLUMNS))
+    return first_rows(rows, near_dedup.near_components(rows, "row", width=5, percent=80))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

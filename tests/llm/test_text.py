@@ -246,6 +246,21 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in last.select("doc_id").collect())
 
 
+def kept_of(stage, spark, docs, sf_dir="unused"):
+    return Counter((r.doc_id, r.text) for r in stage(spark, docs, sf_dir).select("doc_id", "text").collect())
+
+
+def test_pipeline_shared_and_null_ids(spark, make_docs):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, a), (5, b), (3, b), (None, c), (None, c), (None, a), (None, None), (8, "")]
+    assert kept_of(corpus_pipeline.exact_deduplication, spark, make_docs(rows)) == Counter([(5, a), (3, b), (None, c), (8, "")])
+    near = [(5, a), (5, a), (5, b), (3, b + " end"), (None, c), (None, c + " end"), (None, "end " + a)]
+    got = kept_of(corpus_pipeline.near_deduplication, spark, make_docs(near))
+    assert got in (Counter([(5, a), (3, b + " end"), (None, c)]), Counter([(5, a), (3, b + " end"), (None, c + " end")]))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, name):
     from pathlib import Path
