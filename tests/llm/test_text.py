@@ -1,6 +1,7 @@
 """Chat formatting, BPE, decontamination, classifier, sharding, extraction and the pipeline."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -261,6 +262,56 @@ def test_pipeline_shared_and_null_ids(spark, make_docs):
     assert got in (Counter([(5, a), (3, b + " end"), (None, c)]), Counter([(5, a), (3, b + " end"), (None, c + " end")]))
 
 
+def first_of_groups(rows, linked):
+    """Brute force: one row of each component of ``linked`` rows, that of the smallest id (null last)."""
+    left, out = list(rows), []
+    while left:
+        group = [left.pop(0)]
+        for x in group:
+            group += [y for y in left if linked(x[1], y[1])]
+            left = [y for y in left if not linked(x[1], y[1])]
+        out.append(min(group, key=lambda r: (r[0] is None, r[0] or 0)))
+    return Counter(out)
+
+
+def test_pipeline_stages_by_brute_force(spark, make_docs, odd_rows, tmp_path):
+    """The rows that each filtering stage keeps, with nulls, empty texts, repeated rows and clashing column names."""
+    import corpus_pipeline as p
+
+    item = "what is the tallest mountain of the whole wide world it is mount everest in nepal"
+    filler = " ".join(f"f{k}" for k in range(80))
+    extra = [(30, filler), (31, filler + " more"), (32, f"{filler[:150]} {item} {filler[150:]}"), (33, item), (33, item), (34, "the tallest mountain"), (None, item), (35, filler.replace(" ", "  ")), (30, filler)]
+    rows = odd_rows + extra
+    docs, where = make_docs(rows), f"file://{tmp_path}"
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    good, bad = "a fine page about many useful things", "buy junk now cheap deal click"
+    taught = [(1000 + k, f"{(good, bad)[k % 2]} {k % 7}") for k in range(200)]
+    spark.createDataFrame([(i, int(x.startswith(good)), 0) for i, x in taught], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+
+    def same(x, y):
+        return re.sub(r"[ \t\n]+", " ", x or "") == re.sub(r"[ \t\n]+", " ", y or "")
+
+    assert kept_of(p.exact_deduplication, spark, docs) == first_of_groups(rows, same)
+
+    def shingles(x):
+        w = (x or "").lower().split()
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    def near(x, y):
+        a, b = shingles(x), shingles(y)
+        return bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+
+    got = kept_of(p.near_deduplication, spark, docs)
+    assert Counter(i for i, _ in got.elements()) == Counter(i for i, _ in first_of_groups(rows, near).elements())
+
+    clean = Counter(r for r in rows if item not in " ".join((r[1] or "").lower().split()))
+    assert kept_of(p.benchmark_decontamination, spark, docs, where) == clean
+
+    mixed = taught + [(None, good), (None, bad), (2000, good), (2000, bad), (2000, bad)]
+    kept = kept_of(p.quality_classifier, spark, make_docs(mixed), where)
+    assert kept == Counter(r for r in mixed if r[1].startswith(good))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, name):
     from pathlib import Path
