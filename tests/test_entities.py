@@ -77,3 +77,15 @@ def test_portfolio(spark):
     p = spark.createDataFrame([("x", 10.0), ("x", -4.0), ("y", 3.0)], "sector string, market_value double")
     assert tuple(portfolio.exposures(p, []).first()) == (17.0, 9.0, 2, 1)
     assert [(r.sector, r.share_of_max) for r in portfolio.top_shares(p, "sector").collect()] == [("x", 1.0), ("y", 3 / 14)]
+
+
+def test_cascade_gets_tickers(spark):
+    from tidelog.plans import entity_queries as Q
+    from tidelog.plans import views as V
+
+    data = "/root/testdata/sf0.001"
+    held = {r.value[:3] for r in V.identifiers(spark, data).join(V.entities(spark, data).filter("status = 'ACTIVE'"), "syn_id").filter("valid_to is null").collect()}
+    got = {r.text: r for r in Q.link_cascade(spark, data).collect()}
+    assert held and all(got[t].resolved_id.startswith("CO_") and got[t].confidence == 1.0 for t in held)
+    assert {r.mention_id for r in Q._ranked(spark, data).filter("strategy = 1").collect()} == {got[t].mention_id for t in held}
+    assert {r.text for r in V.mentions(spark, data).collect()} <= got.keys()

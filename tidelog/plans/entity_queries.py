@@ -184,8 +184,18 @@ def entity_id_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("syn_id", idf.id_valid(F.col("syn_id")).alias("valid"), idf.id_type(F.col("syn_id")).alias("type"))
 
 
+def _tickers(spark, sf_dir) -> DataFrame:
+    """Identifiers whose values look like tickers: their letters."""
+    return V.identifiers(spark, sf_dir).withColumn("value", F.regexp_replace("value", "[^A-Z]", ""))
+
+
 def _ticker_mentions(spark, sf_dir) -> DataFrame:
-    return V.identifiers(spark, sf_dir).select(F.regexp_replace("value", "[^A-Z]", "").alias("text")).distinct().select(F.xxhash64("text").alias("mention_id"), "text")
+    return _tickers(spark, sf_dir).select(F.col("value").alias("text")).distinct().select(F.xxhash64("text").alias("mention_id"), "text")
+
+
+def _cascade_mentions(spark, sf_dir) -> DataFrame:
+    """Part names and tickers."""
+    return V.mentions(spark, sf_dir).unionByName(_ticker_mentions(spark, sf_dir))
 
 
 @query(f"""WITH {V.ENTITIES}, {V.IDENTIFIERS}, t AS (SELECT syn_id, upper(substr(value, 1, 3)) AS value FROM ids WHERE valid_to IS NULL), m AS (SELECT DISTINCT value AS text FROM t)
@@ -224,13 +234,13 @@ def link_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
-    m, e, a = V.mentions(spark, sf_dir), V.entities(spark, sf_dir), V.aliases(spark, sf_dir)
-    return linker.cascade([linker.ticker_candidates(m, V.identifiers(spark, sf_dir), e), linker.alias_candidates(m, a, e), linker.canonical_candidates(m, e), linker.fuzzy_candidates(m, a, e)])
+    m, e, a = _cascade_mentions(spark, sf_dir), V.entities(spark, sf_dir), V.aliases(spark, sf_dir)
+    return linker.cascade([linker.ticker_candidates(m, _tickers(spark, sf_dir), e), linker.alias_candidates(m, a, e), linker.canonical_candidates(m, e), linker.fuzzy_candidates(m, a, e)])
 
 
 @query()
 def link_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = V.mentions(spark, sf_dir)
+    m = _cascade_mentions(spark, sf_dir)
     return linker.decide(m, _ranked(spark, sf_dir)).select("mention_id", "text", "resolved_id", F.round("confidence", 6).alias("confidence"), "reason")
 
 

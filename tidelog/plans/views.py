@@ -113,7 +113,7 @@ ALIASES = f"al AS (SELECT {_sid('CM', 'p_partkey')} AS syn_id, lower(p_name) AS
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part names with noise in case and spacing, and tickers of customers."""
+    """Distinct part names with noise in case and spacing."""
     p = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("k"))
     noisy = F.when(F.col("k") % 3 == 0, F.concat(F.lit("  "), F.upper("name"))).when(F.col("k") % 3 == 1, F.concat(F.col("name"), F.lit("s"))).otherwise(F.col("name"))
     return p.select(F.col("k").alias("mention_id"), noisy.alias("text"))
