@@ -41,28 +41,40 @@ def test_flat_conversations(spark):
     assert got == {"1": [("user", "a"), ("user", "a"), ("assistant", "")], "": [("", "x")]}
 
 
-def test_bpe(make_docs, odd_rows):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe(make_docs, odd_rows, name):
     from tokenizers import Tokenizer
 
-    path = queries.tokenizer_path()
+    path = queries.tokenizer_path(name)
     t = Tokenizer.from_file(path)
-    rows = [*odd_rows, (40, "it's <|endoftext|> Éé ß İ 漢字   " * 40)]
+    rows = [*odd_rows, (40, "it's <|endoftext|> Éé ß İ 漢字   " * 40)]
     got = bpe.decode(bpe.encode(make_docs(rows), path, piece=100), path).collect()
     want = Counter((i, tuple(ids := t.encode(x or "", add_special_tokens=False).ids), t.decode(ids, skip_special_tokens=False)) for i, x in rows)
     assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got) == want
+    empty = bpe.decode(bpe.encode(make_docs(rows).limit(0), path), path)
+    assert empty.columns == ["doc_id", "ids", "decoded"] and empty.count() == 0
 
 
-def test_bpe_joins():
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_joins(name):
     from tokenizers import Tokenizer
 
-    spec = open(queries.tokenizer_path()).read()
+    spec = open(queries.tokenizer_path(name)).read()
     tool, plain, rng = bpe.coder(spec), Tokenizer.from_str(spec), random.Random(1)
-    alphabet = ["a", "the", "'", "s", "S", "é", "é", "́", " ", "\n", " ", "ß", "İ", "1", "<|endoftext|>", "<|", "!!", "漢", "x" * 9]
-    for _ in range(800):
-        x = "".join(rng.choices(alphabet, k=rng.randint(0, 60)))
-        n = rng.choice([1, 2, 5, 17])
+    assert tool.space_bound == (name == "word_bpe_49k.json")
+    alphabet = ["a", "the", "'", "s", "S", "é", "é", "́", " ", "\n", " ", "ß", "İ", "1", "<|endoftext|>", "<|", "!!", "漢", "x" * 9, "  ", "'t"]
+    for k in range(1500):
+        x = "".join(rng.choices(alphabet, k=rng.randint(0, 60 if k % 3 else 700)))
+        n = rng.choice([1, 2, 5, 17, 90])
         parts = [x[k : k + n] for k in range(0, len(x), n)] or [""]
-        assert bpe.join_tree(tool, [(p, tool.segments(p)) for p in parts]) == plain.encode(x, add_special_tokens=False).ids
+        assert bpe.join_tree(tool, [tool.piece(p) for p in parts]).ids.tolist() == plain.encode(x, add_special_tokens=False).ids
+
+
+def test_bpe_memory_is_bounded():
+    tool = bpe.Coder(open(queries.tokenizer_path()).read())
+    tool.room, texts = 5_000, [" ".join(f"w{k}x{j}" for j in range(50)).encode() for k in range(40)]
+    first = tool.encode_many(texts)
+    assert 0 <= tool.room and 0 < len(tool.known) < 50 and tool.encode_many(texts) == first
 
 
 def test_search_is_exhaustive():

@@ -2,38 +2,75 @@
 
 A long text is cut into pieces at any code point, the pieces are encoded in parallel, and
 neighbours are joined pairwise as a tree: the text around a join is encoded again in a
-growing window until, on either side, a whole stretch between white space comes out as the
-piece had it. ASCII white space ends a word whatever stands around it, so from there outwards
-both encodings must be the same, and the result is the one of the unsplit text.
+growing window until, on either side, the window and the piece agree on AGREED whole words
+(pre-tokens) in a row. A pre-tokenizer reads on from a word's beginning as if nothing stood
+before it, so from there outwards all three encodings are the same, and the result is the
+one of the unsplit text. Where a tokenizer knows no words, nothing agrees before the window
+is the whole text, which is exact as well. A text of one piece is a tree of one leaf.
+
+Tokenizers that drop white space and never look across it (``space_bound``) remember the ids
+of stretches between ASCII white space; all others get whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_slices
+
 #: Code points of a piece, and of a window's half at first.
 PIECE, WINDOW = 32_768, 64
-#: Stretches whose encoding a worker remembers at most, and the longest that it remembers.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 40
-#: Bytes of text that are encoded at a time.
-AT_ONCE = 1 << 21
+#: Words in a row on which a window and a piece must agree.
+AGREED = 2
+#: Bytes that a worker's memory of stretches takes at most, those of an entry besides its text and ids, and the longest stretch.
+REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_CHARS = 96 << 20, 180, 40
+#: Bytes of text, and tokens, that are handled at a time.
+AT_ONCE, TOKENS_AT_ONCE = 1 << 21, 1 << 20
+#: Bytes of a tokenizer file that is broadcast.
+MOST_FILE = 64 << 20
 _STRETCH = re.compile(r"[^\x20\x09-\x0D]+")
 _coders: dict[str, Coder] = {}
 
-Segment = tuple[int, int, tuple[int, ...]]  # start, end, ids of a stretch without white space
+
+def space_bound(spec: dict) -> bool:
+    """Whether white space always ends a word and leaves no trace, judged by the file's own parts."""
+    parts = lambda x, name: [] if x is None else x[name] if x["type"] == "Sequence" else [x]
+    for n in parts(spec.get("normalizer"), "normalizers"):
+        spaces = n["type"] == "Replace" and n["pattern"] in ({"Regex": r"\s+"}, {"Regex": r"\s"}) and n["content"] == " "
+        if not spaces and n["type"] not in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"):
+            return False
+    first = (parts(spec.get("pre_tokenizer"), "pretokenizers") or [{"type": ""}])[0]
+    if first["type"] == "Split":
+        pattern = first["pattern"].get("Regex", " ")
+        outside = re.sub(r"\[\^[^\]]*\\s[^\]]*\]|\\p\{[LN]\}|\[(?:\\p\{[LN]\})+\]", "", pattern)  # what is left may match white space
+        splits = first["behavior"] == "Removed" and first["invert"] and not re.search(r"[\s.\\\[(]", outside)
+    else:
+        splits = first["type"] in ("WhitespaceSplit", "Whitespace", "BertPreTokenizer")
+    return splits and not any(re.search(r"\s", t["content"]) for t in spec.get("added_tokens") or []) and spec.get("post_processor") is None
+
+
+class Piece:
+    """A text's tokens: ids, where they start, and whether a word starts with them."""
+
+    __slots__ = ("ids", "starts", "text", "words")
+
+    def __init__(self, text: str, ids: np.ndarray, starts: np.ndarray, words: np.ndarray) -> None:
+        self.text, self.ids, self.starts, self.words = text, ids, starts, words
 
 
 class Coder:
-    """A tokenizer with a bounded memory of stretches between white space."""
+    """A tokenizer, and a memory of stretches between white space if it is ``space_bound``."""
 
     def __init__(self, spec: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,105 +79,134 @@ class Coder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def lookup(self, stretches: set[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """The ids of all given stretches, from memory or encoded in one batch."""
-        new = [s for s in stretches if s not in self.known]
+        self.space_bound = space_bound(json.loads(spec))
+        self.known: dict[bytes, bytes] = {}
+        self.room = REMEMBERED_BYTES
+        self.names: pa.Array | None = None
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of every text, as packed 32-bit integers."""
+        if not self.space_bound:
+            return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        return [b"".join(x) for x in self.stretches([t.split() for t in texts])]
+
+    def stretches(self, split: list[list[bytes]]) -> list[list[bytes]]:
+        """The packed ids of every stretch, from memory or encoded in one batch."""
+        known = self.known
+        new = list(set().union(*split).difference(known))
         got = self.tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)
-        ids = {s: tuple(e.ids) for s, e in zip(new, got)}
-        room = max(0, REMEMBERED - len(self.known))  # the first seen are the common ones, and stay
-        self.known.update(islice(((s, v) for s, v in ids.items() if len(s) <= REMEMBERED_CHARS), room))
-        return _Both(ids, self.known) if ids else self.known
-
-    def encode_many(self, texts: list[bytes]) -> list[list[int]]:
-        split = [t.split() for t in texts]
-        ids = self.lookup(set(chain.from_iterable(split)))
-        return [list(chain.from_iterable(map(ids.__getitem__, words))) for words in split]
-
-    def segments(self, text: str) -> list[Segment]:
-        found = [(m.start(), m.end(), m[0].encode()) for m in _STRETCH.finditer(text)]
-        ids = self.lookup({s for _, _, s in found})
-        return [(a, b, ids[s]) for a, b, s in found]
-
-
-class _Both(dict):
-    """New entries, and behind them the remembered ones."""
-
-    def __init__(self, new: dict, known: dict) -> None:
-        super().__init__(new)
-        self.rest = known
-
-    def __missing__(self, key: bytes) -> tuple[int, ...]:
-        return self.rest[key]
+        known.update((s, array("i", e.ids).tobytes()) for s, e in zip(new, got))
+        out = [[known[w] for w in words] for words in split]
+        for s in new:  # the first seen are the common ones, and stay
+            size = ENTRY_BYTES + len(s) + len(known[s])
+            if len(s) > REMEMBERED_CHARS or size > self.room:
+                del known[s]
+            else:
+                self.room -= size
+        return out
+
+    def piece(self, text: str) -> Piece:
+        """The tokens of a text by itself. Between blanks, a stretch counts as one word that begins where it does."""
+        if self.space_bound:
+            found = [(m.start(), m[0].encode()) for m in _STRETCH.finditer(text)]
+            ids = self.stretches([[s for _, s in found]])[0]
+            counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+            starts = np.repeat(np.fromiter((a for a, _ in found), dtype=np.int64, count=len(found)), counts)
+            words = np.zeros(len(starts), dtype=bool)
+            words[(np.cumsum(counts) - counts)[counts > 0]] = True
+            return Piece(text, np.frombuffer(b"".join(ids), dtype=np.int32), starts, words)
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        words = np.fromiter((-k - 2 if w is None else w for k, w in enumerate(e.word_ids)), dtype=np.int64, count=len(e))
+        starts = np.fromiter((a for a, _ in e.offsets), dtype=np.int64, count=len(e))
+        return Piece(text, np.array(e.ids, dtype=np.int32), starts, np.append(True, words[1:] != words[:-1])[: len(e)])
+
+    def decode_many(self, lists: pa.ListArray) -> pa.Array:
+        """The library's text for every list of ids; without a decoder that is the tokens' names and blanks between them."""
+        if self.tokenizer.decoder is not None:
+            return pa.array([self.tokenizer.decode(x or [], skip_special_tokens=False) for x in lists.to_pylist()], pa.string())
+        if self.names is None:
+            names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+            self.names = pa.array([names.get(i) for i in range(max(names, default=-1) + 1)], pa.string())
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        counts = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        there = (flat >= 0) & (flat < len(self.names))  # the library skips ids that it doesn't know
+        if not there.all():
+            owner = np.repeat(np.arange(len(lists)), counts)[there]
+            flat, counts = flat[there], np.bincount(owner, minlength=len(lists))
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), self.names.take(pa.array(flat))), " ")
 
 
 def coder(spec: str) -> Coder:
+    """This worker's coder; another tokenizer takes the place of the one before."""
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _coders:
+        _coders.clear()
         _coders[key] = Coder(spec)
     return _coders[key]
 
 
-Piece = tuple[str, list[Segment]]
+def _agreed(window: Piece, lo: int, own: Piece, shift: int, after: int, before: int, last: bool) -> tuple[int, int] | None:
+    """Token numbers in ``window`` and ``own`` from which both have AGREED equal words between the two positions.
+
+    The first such place, or the last one and then behind the words. ``lo`` and ``shift`` are
+    the positions of their texts.
+    """
+    heads, own_heads = np.flatnonzero(window.words), np.flatnonzero(own.words)
+    at, own_at = window.starts[heads] + lo, own.starts[own_heads] + shift
+    places = range(len(heads) - AGREED)  # the word behind the last agreed one has to begin in both
+    for k in reversed(places) if last else places:
+        if at[k] <= after or at[k + AGREED] >= before:
+            continue
+        j = int(np.searchsorted(own_at, at[k]))
+        if j + AGREED >= len(own_heads) or not np.array_equal(at[k : k + AGREED + 1], own_at[j : j + AGREED + 1]):
+            continue
+        a, b = (heads[k], heads[k + AGREED]), (own_heads[j], own_heads[j + AGREED])
+        if np.array_equal(window.ids[slice(*a)], own.ids[slice(*b)]) and np.array_equal(window.starts[slice(*a)] + lo, own.starts[slice(*b)] + shift):
+            return (int(a[1]), int(b[1])) if last else (int(a[0]), int(b[0]))
+    return None
 
 
 def join_pieces(tool: Coder, left: Piece, right: Piece, window: int = WINDOW) -> Piece:
     """The encoding of two neighbouring pieces' whole text."""
-    (a, left_seg), (b, right_seg) = left, right
-    text, cut = a + b, len(a)
-    by_start, by_end = {s[0]: k for k, s in enumerate(left_seg)}, {s[0] + cut: k for k, s in enumerate(right_seg)}
+    text, cut = left.text + right.text, len(left.text)
     while True:
         lo, hi = max(0, cut - window), min(len(text), cut + window)
-        seg = [(x + lo, y + lo, ids) for x, y, ids in tool.segments(text[lo:hi])]
-        # A stretch at a window's edge may be cut; one that touches the join is new by nature.
-        left_at = next((k for k, s in enumerate(seg) if lo < s[0] and s[1] < cut and s[0] in by_start and left_seg[by_start[s[0]]] == s), None)
-        right_at = next((k for k in range(len(seg) - 1, -1, -1) if cut < seg[k][0] and seg[k][1] < hi and seg[k][0] in by_end and _moved(right_seg[by_end[seg[k][0]]], cut) == seg[k]), None)
-        if (left_at is not None or lo == 0) and (right_at is not None or hi == len(text)):
-            first = [] if left_at is None else left_seg[: by_start[seg[left_at][0]]]
-            last = [] if right_at is None else right_seg[by_end[seg[right_at][0]] + 1 :]
-            middle = seg[0 if left_at is None else left_at : len(seg) if right_at is None else right_at + 1]
-            return text, first + middle + [_moved(s, cut) for s in last]
+        mid = tool.piece(text[lo:hi])
+        first = (0, 0) if lo == 0 else _agreed(mid, lo, left, 0, lo, cut, last=False)
+        last = (len(mid.ids), len(right.ids)) if hi == len(text) else _agreed(mid, lo, right, cut, cut, hi, last=True)
+        if first is not None and last is not None:
+            (a, i), (b, j) = first, last
+            parts = ((left, slice(0, i), 0), (mid, slice(a, b), lo), (right, slice(j, None), cut))
+            return Piece(
+                text, np.concatenate([p.ids[s] for p, s, _ in parts]), np.concatenate([p.starts[s] + by for p, s, by in parts]),
+                np.concatenate([p.words[s] for p, s, _ in parts]),
+            )
         window *= 2
 
 
-def _moved(s: Segment, by: int) -> Segment:
-    return s[0] + by, s[1] + by, s[2]
-
-
-def join_tree(tool: Coder, pieces: list[Piece]) -> list[int]:
+def join_tree(tool: Coder, pieces: list[Piece]) -> Piece:
     while len(pieces) > 1:
         pieces = [join_pieces(tool, *pieces[k : k + 2]) if k + 1 < len(pieces) else pieces[k] for k in range(0, len(pieces), 2)]
-    return [i for _, _, ids in pieces[0][1] for i in ids]
-
-
-def _ids_array(rows: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)], dtype=np.int64).astype(np.int32)
-    flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    return pieces[0]
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= AT_ONCE:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _lists(rows: list[bytes] | list[np.ndarray]) -> pa.ListArray:
+    rows = [np.frombuffer(r, dtype=np.int32) if isinstance(r, bytes) else r for r in rows]
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int64).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype=np.int32), *rows])))
 
 
 def _encode(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = coder(spec.value)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for a, b in _groups(texts):
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), _ids_array(tool.encode_many(texts[a:b]))], schema=_IDS)
+            for part in row_slices(batch, "text", AT_ONCE):
+                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(tool.encode_many(texts))], schema=_IDS)
 
     return run
 
@@ -150,23 +216,25 @@ def _cut(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                parts = [r["text"][k : k + size] for k in range(0, len(r["text"]), size)]
-                yield pa.RecordBatch.from_pylist([{"row": r["row"], "doc_id": r["doc_id"], "piece": k, "text": t} for k, t in enumerate(parts)], schema)
+            for part in row_slices(batch, "text", AT_ONCE):
+                for r in part.to_pylist():
+                    parts = [r["text"][k : k + size] for k in range(0, len(r["text"]), size)]
+                    yield pa.RecordBatch.from_pylist([{"row": r["row"], "doc_id": r["doc_id"], "piece": k, "text": t} for k, t in enumerate(parts)], schema)
 
     return run
 
 
 def _encode_pieces(spec):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("text", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = coder(spec.value)
         for batch in batches:
-            for r in batch.to_pylist():
-                seg = tool.segments(r["text"])
-                r |= {"starts": [s[0] for s in seg], "ends": [s[1] for s in seg], "counts": [len(s[2]) for s in seg], "ids": [i for s in seg for i in s[2]]}
-                yield pa.RecordBatch.from_pylist([r], schema)
+            for k in range(batch.num_rows):
+                part = batch.slice(k, 1)
+                p = tool.piece(part.column("text")[0].as_py())
+                starts = np.where(p.words, p.starts, ~p.starts).astype(np.int32)  # complemented inside a word
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists([p.ids]), _lists([starts])], schema=schema)
 
     return run
 
@@ -176,36 +244,37 @@ def _join(spec):
         tool = coder(spec.value)
         for batch in batches:
             for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
                 pieces = []
-                for p in r["pieces"]:
-                    ids, seg = iter(p["ids"]), []
-                    for a, b, n in zip(p["starts"], p["ends"], p["counts"]):
-                        seg.append((a, b, tuple(next(ids) for _ in range(n))))
-                    pieces.append((p["text"], seg))
-                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]], pa.int64()), _ids_array([join_tree(tool, pieces)])], schema=_IDS)
+                for p in batch.column("pieces")[k]:
+                    starts = np.asarray(p["starts"].values, dtype=np.int64)
+                    pieces.append(Piece(p["text"].as_py(), np.asarray(p["ids"].values, dtype=np.int32), np.where(starts < 0, ~starts, starts), starts >= 0))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 1), _lists([join_tree(tool, pieces).ids])], schema=_IDS)
 
     return run
 
 
+def _broadcast(spark, tokenizer_path: str):
+    if os.path.getsize(tokenizer_path) > MOST_FILE:
+        raise ValueError("a tokenizer file of over 64 MB isn't broadcast")
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
     """doc_id, ids: token ids of every whole text, as the library encodes it unsplit.
 
     No special tokens are added; their strings in a text become their ids, as the library
     does. A null or empty text has no ids. One row per row, repeated ones too. Other columns
     are ignored; an empty table gives no rows. The tokenizer file is read on the driver
-    (a few MB at most, checked) and broadcast.
+    (a few MB at most, checked) and broadcast. Any kind of tokenizer will do.
     """
-    if os.path.getsize(tokenizer_path) > 64 << 20:
-        raise ValueError("a tokenizer file of over 64 MB isn't broadcast")
-    with open(tokenizer_path, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+    spec = _broadcast(docs.sparkSession, tokenizer_path)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     short = docs.filter(F.length("text") <= piece).mapInArrow(_encode(spec), "doc_id long, ids array<int>")
     long = docs.filter(F.length("text") > piece).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     cut = long.mapInArrow(_cut(piece), "row long, doc_id long, piece int, text string").repartition("row", "piece")
-    coded = cut.mapInArrow(_encode_pieces(spec), cut.schema.simpleString()[7:-1] + ",starts array<int>,ends array<int>,counts array<int>,ids array<int>")
-    whole = coded.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("piece", "text", "starts", "ends", "counts", "ids"))).alias("pieces"))
+    coded = cut.mapInArrow(_encode_pieces(spec), cut.schema.simpleString()[7:-1] + ",ids array<int>,starts array<int>")
+    whole = coded.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("piece", "text", "ids", "starts"))).alias("pieces"))
     return short.unionAll(whole.mapInArrow(_join(spec), "doc_id long, ids array<int>"))
 
 
@@ -213,18 +282,16 @@ def _decode(spec):
     schema = pa.schema([*_IDS, ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = coder(spec.value).tokenizer
+        tool = coder(spec.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                texts = [tool.decode(ids or [], skip_special_tokens=False) for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], schema=schema)
+            for part in row_slices(batch, "ids", TOKENS_AT_ONCE):
+                ids = part.column("ids").cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, tool.decode_many(ids)], schema=schema)
 
     return run
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, ids, decoded: the library's text for the ids; null or no ids give an empty text."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        spec = encoded.sparkSession.sparkContext.broadcast(f.read())
+    spec = _broadcast(encoded.sparkSession, tokenizer_path)
     return encoded.select("doc_id", "ids").mapInArrow(_decode(spec), "doc_id long, ids array<int>, decoded string")

@@ -5,7 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +86,17 @@ def join_unique(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str,
 def row_mark(text: Column) -> Column:
     """31 bits of a text, to tell rows apart that share a doc_id."""
     return F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1))
+
+
+def row_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose ``column`` has about ``most`` bytes, or list items; a longer row is one slice.
+
+    What Python holds of a batch at once is then bounded by the data's size, not by a number of rows.
+    """
+    values = batch.column(column)
+    sizes = values.value_lengths() if pa.types.is_list(values.type) else pc.binary_length(values)
+    group = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
