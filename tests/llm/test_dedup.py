@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import exact_dedup, kernels, line_dedup, near_dedup, substring_dedup
+from tidelog.llm import common, exact_dedup, kernels, line_dedup, near_dedup, substring_dedup
 from tidelog.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,9 +164,13 @@ def brute_lines(rows, chars, docs):
     return Counter(out)
 
 
-def test_lines(make_docs, odd_rows):
-    line = "A line that is long enough to count as one, é!"
+@pytest.mark.parametrize("hot_keys", [2000, 3])
+def test_lines(make_docs, odd_rows, monkeypatch, hot_keys):
+    """With 3, the common line is hot and the others are streamed."""
+    monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+    line, other = "A line that is long enough to count as one, é!", "Another line of more than forty code points, too."
     rows = [*odd_rows, *((k, f"{line}\nown {k}\n {line.upper().replace('É', 'é')}\x0b\n\n{line[:30]}") for k in range(30, 38)), (37, line), (38, line + "\r"), (None, line)]
+    rows += [(k, f"{other}\n{k}") for k in range(50, 56)] + [(60, other[1:]), (61, other[1:]), (62, "\n" * 20_000 + line)]
     docs = make_docs(rows)
     got = line_dedup.apply_bitmaps(docs, line_dedup.line_bitmaps(docs)).collect()
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == brute_lines(rows, 40, 5)
@@ -175,7 +179,24 @@ def test_lines(make_docs, odd_rows):
     assert line_dedup.apply_bitmaps(empty, line_dedup.line_bitmaps(empty)).count() == 0
 
 
-def test_runs(spark):
-    d = spark.createDataFrame([([1, 2, 3, 7, 9, 10],), ([],)], "p array<int>").withColumn("r", line_dedup.to_runs(F.col("p")))
-    got = d.select("p", "r", line_dedup.from_runs(F.col("r")).alias("b")).collect()
-    assert [tuple(x) for x in got[0].r] == [(1, 3), (7, 1), (9, 2)] and all(r.p == r.b for r in got)
+def test_lines_plan(make_docs):
+    """The sorted stream takes one range partitioning, and no other exchange before it decides."""
+    rows = [(k, f"line {k % 7} that is long enough to be counted by the operator") for k in range(60)]
+    keyed = make_docs(rows).select("doc_id", F.unhex(F.md5("text")).alias("key"), F.lit(0).alias("mark"), F.lit(1).alias("n_lines"), F.lit(0).alias("pos"))
+    plan = line_dedup.lost_lines(keyed, 5)._jdf.queryExecution().executedPlan().toString()
+    stream = plan[: plan.index("BroadcastHashJoin [key")] if "BroadcastHashJoin [key" in plan else plan
+    assert "rangepartitioning(key" in plan and stream.count("Exchange hashpartitioning(key") == 0
+
+
+def test_keep_runs(spark):
+    d = spark.createDataFrame([([1, 2, 3, 7, 9, 10], 11), ([], 2), ([0, 1], 2), ([0], 3)], "p array<int>, n int")
+    got = d.select(line_dedup.keep_runs(F.col("p"), F.col("n")).alias("r")).collect()
+    assert [[tuple(x) for x in g.r] for g in got] == [[(0, 1), (4, 3), (8, 1)], [(0, 2)], [], [(1, 2)]]
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_marked(spark, n):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    got = common.marked(rows, "doc_id", spark.range(n).select((F.col("id") * 7).alias("id"))).collect()
+    true = {r.doc_id for r in got if r.maybe}
+    assert len(got) == 20_000 and {7 * k for k in range(n)} <= true and len(true) < n * 1.2 + 5

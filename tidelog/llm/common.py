@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: holds more than 1/HOT_KEYS of all rows, so fewer than HOT_KEYS keys can be hot.
 HOT_KEYS = 2000
 
+#: Bits of the bitmap that ``marked`` broadcasts: 8 an id, between 128 KB and 32 MB in all.
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 28
+
 #: ASCII white space, ``[\x20\x09-\x0D]``; it is also what ``bytes.split()`` splits on.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -47,7 +50,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned, once all that reads them is stored itself."""
+    for t in tables:
+        if path := getattr(t, "stored_at", None):
+            drop_path(t.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -83,6 +95,38 @@ def join_unique(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str,
     return rows.join(hot, keys).unionByName(rest.join(cold, keys))
 
 
+def marked(rows: DataFrame, id_col: str, ids: DataFrame, name: str = "maybe") -> DataFrame:
+    """``rows`` with a boolean column: true where the id is among ``ids`` (a column id), and for a few others.
+
+    A hash of the id picks one bit of a bitmap with 8 bits an id, which is broadcast: 32 MB at
+    most, whatever the input. The fuller it is, the more other rows are marked; none is lost.
+    So a join that concerns some documents needn't shuffle the texts of all.
+    """
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (8 * ids.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
+    bits = ids.select(slot("id").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_part"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    at = F.bitmap_bit_position(slot(id_col)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_part", F.bitmap_bucket_number(slot(id_col))).join(F.broadcast(bits), "_part", "left")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
+    return found.withColumn(name, F.coalesce(bit, F.lit(False))).select(*rows.columns, name)
+
+
+def maybe_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids``, and a few others, without a shuffle."""
+    return marked(rows, id_col, ids, "_maybe").filter("_maybe").drop("_maybe")
+
+
+def hot_hashes(keys: DataFrame, key: str) -> list[int]:
+    """xxhash64 of every key with more than 1/HOT_KEYS of all rows, and of some that are nearly as common.
+
+    A sketch of bounded size in one pass; it misses none, as its error is far below 1/HOT_KEYS.
+    """
+    found = keys.select(F.xxhash64(key).alias("h")).agg(F.expr(f"approx_top_k(h, {4 * HOT_KEYS}, {64 * HOT_KEYS})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return sorted(r["item"] for r in found["top"] if r["count"] > found["n"] // HOT_KEYS)
+
+
 def row_mark(text: Column) -> Column:
     """31 bits of a text, to tell rows apart that share a doc_id."""
     return F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1))

@@ -1,18 +1,19 @@
 """Line deduplication (operator 7, native: DataFrame functions only).
 
 The keys of long lines are range-partitioned with a secondary sort by document (largest
-first) and position. Each partition is then read as a stream: the rows of one key and
-document become one holder with its line positions, and a key's first holder is the document
-that keeps its lines. What leaves the operator is one run-length coded bitmap of dropped
-lines per document, not text.
+first) and position. Each partition is then read as one sorted stream: a key's first
+occurrence is in the document that keeps its lines, and all that follows in other documents
+goes if the stream meets enough documents. Keys with more than 1/HOT_KEYS of all lines, which
+no single stream should hold, are aggregated before they meet. What leaves the operator is one
+run-length coded keep bitmap per document that loses lines, not text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget_shuffles, join_unique, row_mark, stored, total_of
+from .common import forget_shuffles, hot_hashes, marked, release, row_mark, stored
 
 
 def line_key(line: Column) -> Column:
@@ -26,20 +27,34 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def to_runs(positions: Column) -> Column:
-    """Sorted distinct positions as runs (start, length): the compressed bitmap."""
-    n = F.size(positions)
-    starts = F.filter(positions, lambda p, i: (i == 0) | (F.get(positions, i - 1) != p - 1))
-    ends = F.filter(positions, lambda p, i: (i == n - 1) | (F.get(positions, i + 1) != p + 1))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length")))
+def keep_runs(dropped: Column, n_lines: Column) -> Column:
+    """The compressed keep bitmap: runs (start, length) of the positions below ``n_lines`` that aren't in ``dropped`` (sorted, distinct)."""
+    before = F.concat(F.array(F.lit(-1)), dropped)
+    gaps = F.transform(before, lambda p, i: F.struct((p + 1).alias("start"), (F.coalesce(F.get(dropped, i), n_lines) - p - 1).alias("length")))
+    return F.filter(gaps, lambda r: r["length"] > 0)
 
 
-def from_runs(runs: Column) -> Column:
-    return F.flatten(F.transform(runs, lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
+def lost_lines(keyed: DataFrame, min_docs: int) -> DataFrame:
+    """doc_id, mark, n_lines, pos of the lines of ``keyed`` (those and key) that go."""
+    hot = hot_hashes(keyed, "key")
+    hot = keyed.sparkSession.createDataFrame([(h,) for h in hot], "h long")  # fewer than 4 * HOT_KEYS
+    rows = keyed.withColumn("h", F.xxhash64("key"))
+    place = ["doc_id", "mark", "n_lines", "pos"]
+
+    stream = rows.join(F.broadcast(hot), "h", "left_anti").repartitionByRange("key").sortWithinPartitions("key", F.desc("doc_id"), "mark", "pos")
+    key = Window.partitionBy("key")  # the range partitioning and the sort serve this as they are
+    nth = F.dense_rank().over(key.orderBy(F.desc("doc_id")))
+    stream = stream.withColumn("nth", nth).withColumn("n_docs", F.max("nth").over(key.orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    cold = stream.filter((F.col("nth") > 1) & (F.col("n_docs") >= min_docs)).select(place)
+
+    common = rows.join(F.broadcast(hot), "h", "left_semi")
+    firsts = common.groupBy("key", "doc_id").agg(F.count(F.lit(1))).groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("first_doc"))
+    firsts = firsts.filter(F.col("n_docs") >= min_docs)
+    return cold.unionByName(common.join(F.broadcast(firsts), "key").filter("doc_id != first_doc").select(place))
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """doc_id, mark, dropped: run-length bitmaps of dropped lines, for documents that lose any.
+    """doc_id, mark, kept: keep bitmaps, as runs (start, length), of the documents that lose lines; all others keep all.
 
     A key of at least ``min_chars`` code points that at least ``min_docs`` documents hold
     loses all its lines but those of the largest doc_id. A null text is one empty line.
@@ -49,28 +64,35 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and length(text) >= %d" % min_chars)
-    lines = docs.select("doc_id", row_mark(F.col("text")).alias("mark"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    lines = docs.select("doc_id", row_mark(F.col("text")).alias("mark"), lines_of(F.col("text")).alias("lines"))
+    lines = lines.select("doc_id", "mark", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
     long = lines.filter(F.length("line") >= min_chars).withColumn("line", line_key(F.col("line"))).filter(F.length("line") >= min_chars)
     # Stored, as range partitioning samples its input and so would hash every line twice.
-    keyed = stored(long.select(F.unhex(F.md5("line")).alias("key"), "doc_id", "mark", "pos"), "line-keys")
-    ranged = keyed.repartitionByRange("key", F.desc("doc_id")).sortWithinPartitions("key", F.desc("doc_id"), "mark", "pos")
-    # The range partitioning holds all rows of a key and document together: no second shuffle.
-    holders = stored(ranged.groupBy("key", "doc_id").agg(F.collect_list(F.struct("mark", "pos")).alias("at")), "line-holders")
-    keys = holders.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("first_doc"))
-    common = stored(keys.filter(F.col("n_docs") >= min_docs), "line-keys")
-    lost = join_unique(holders, common, ["key"], "n_docs", total_of(common, "n_docs"))
-    lost = lost.filter("doc_id != first_doc").select("doc_id", F.explode("at").alias("at")).select("doc_id", "at.*")
-    bitmaps = lost.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
-    out = stored(bitmaps.select("doc_id", "mark", to_runs(F.col("positions")).alias("dropped")), "line-bitmaps")
+    keyed = stored(long.select(F.unhex(F.md5("line")).alias("key"), "doc_id", "mark", "n_lines", "pos"), "line-keys")
+    lost = lost_lines(keyed, min_docs)
+    bitmaps = lost.groupBy("doc_id", "mark", "n_lines").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    out = stored(bitmaps.select("doc_id", "mark", keep_runs(F.col("dropped"), F.col("n_lines")).alias("kept")), "line-bitmaps")
+    release(keyed)
     forget_shuffles(spark)
     return out
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped, text (the lines that stay, joined by a line feed)."""
+    """doc_id, n_lines, n_dropped, text (the lines that stay, joined by a line feed): one row per row of ``docs``.
+
+    Only documents that may have a bitmap are shuffled to it, whatever the sizes; all others pass whole.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("mark", row_mark(F.col("text"))).join(bitmaps, ["doc_id", "mark"], "left")
-    rows = rows.withColumns({"lines": lines_of(F.col("text")), "lost": F.coalesce(from_runs(F.col("dropped")), F.array().cast("array<int>"))})
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
-    kept = F.when(F.size("lost") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
-    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped"), kept.alias("text"))
+    rows = marked(rows, "doc_id", bitmaps.select(F.col("doc_id").alias("id")))
+    text = F.coalesce("text", F.lit(""))
+    n_lines = lambda t: (F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    whole = rows.filter("not maybe").select("doc_id", n_lines(text).alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), text.alias("text"))
+    cut = rows.filter("maybe").withColumn("mark", row_mark(F.col("text"))).join(bitmaps.hint("merge"), ["doc_id", "mark"], "left")
+    lines = F.flatten(F.transform("kept", lambda r: F.slice(F.col("lines"), r["start"] + 1, r["length"])))
+    cut = cut.withColumn("lines", F.when(F.col("kept").isNotNull(), lines_of(F.col("text")))).withColumn("stay", lines)
+    cut = cut.select(
+        "doc_id", F.coalesce(F.size("lines").cast("long"), n_lines(text)).alias("n_lines"),
+        F.coalesce((F.size("lines") - F.size("stay")).cast("long"), F.lit(0).cast("long")).alias("n_dropped"),
+        F.coalesce(F.array_join("stay", "\n"), text).alias("text"),
+    )
+    return whole.unionAll(cut)

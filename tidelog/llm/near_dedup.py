@@ -25,14 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import forget_shuffles, is_empty, join_unique, stored, total_of
+from .common import forget_shuffles, is_empty, join_unique, maybe_in, stored, total_of
 from .components import components
 
 BANDS, ROWS = 32, 5
 #: Candidate pairs of one shingle in one round of step 4.
 BLOCK = 200_000
-#: Bits of the filter in front of the full sets.
-SLOTS = 1 << 24
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -68,21 +66,6 @@ def _full_sets(width: int):
     return run
 
 
-def maybe_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """The rows whose id is among ``ids`` (a column id), and a few others.
-
-    A hash of the id picks one of SLOTS bits. The bitmap that is broadcast has 2 MB whatever
-    the input; the fuller it is, the more other rows come along, and none is ever lost.
-    """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    bits = ids.select(slot("id").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part"))
-    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    at = F.bitmap_bit_position(slot(id_col)).cast("int")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = rows.withColumn("part", F.bitmap_bucket_number(slot(id_col))).join(F.broadcast(bits), "part")
-    return marked.filter(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1).select(*rows.columns)
-
-
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """id, shingles: the full sets of all documents in ``ids`` and of a few others, without a shuffle of texts."""
     found = maybe_in(docs.filter("doc_id is not null").select("doc_id", "text"), "doc_id", ids)
