@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices
+from .common import sliced
 
 #: Code points of a piece, and of a window's half at first.
 PIECE, WINDOW = 32_768, 64
@@ -35,8 +35,8 @@ PIECE, WINDOW = 32_768, 64
 AGREED = 2
 #: Bytes that a worker's memory of stretches takes at most, those of an entry besides its text and ids, and the longest stretch.
 REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_CHARS = 96 << 20, 180, 40
-#: Bytes of text, and tokens, that are handled at a time.
-AT_ONCE, TOKENS_AT_ONCE = 1 << 21, 1 << 20
+#: Tokens that are decoded at a time.
+TOKENS_AT_ONCE = 1 << 20
 #: Bytes of a tokenizer file that is broadcast.
 MOST_FILE = 64 << 20
 _STRETCH = re.compile(r"[^\x20\x09-\x0D]+")
@@ -203,10 +203,9 @@ def _lists(rows: list[bytes] | list[np.ndarray]) -> pa.ListArray:
 def _encode(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = coder(spec.value)
-        for batch in batches:
-            for part in row_slices(batch, "text", AT_ONCE):
-                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(tool.encode_many(texts))], schema=_IDS)
+        for part in sliced(batches, "text"):
+            texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(tool.encode_many(texts))], schema=_IDS)
 
     return run
 
@@ -215,11 +214,10 @@ def _cut(size: int):
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_slices(batch, "text", AT_ONCE):
-                for r in part.to_pylist():
-                    parts = [r["text"][k : k + size] for k in range(0, len(r["text"]), size)]
-                    yield pa.RecordBatch.from_pylist([{"row": r["row"], "doc_id": r["doc_id"], "piece": k, "text": t} for k, t in enumerate(parts)], schema)
+        for part in sliced(batches, "text"):
+            for r in part.to_pylist():
+                parts = [r["text"][k : k + size] for k in range(0, len(r["text"]), size)]
+                yield pa.RecordBatch.from_pylist([{"row": r["row"], "doc_id": r["doc_id"], "piece": k, "text": t} for k, t in enumerate(parts)], schema)
 
     return run
 
@@ -283,10 +281,9 @@ def _decode(spec):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = coder(spec.value)
-        for batch in batches:
-            for part in row_slices(batch, "ids", TOKENS_AT_ONCE):
-                ids = part.column("ids").cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, tool.decode_many(ids)], schema=schema)
+        for part in sliced(batches, "ids", TOKENS_AT_ONCE):
+            ids = part.column("ids").cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, tool.decode_many(ids)], schema=schema)
 
     return run
 

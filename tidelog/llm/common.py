@@ -20,6 +20,9 @@ HOT_KEYS = 2000
 #: Bits of the bitmap that ``marked`` broadcasts: 8 an id, between 128 KB and 32 MB in all.
 LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 28
 
+#: Bytes of text that a Python worker turns into objects at a time.
+AT_ONCE = 1 << 21
+
 #: ASCII white space, ``[\x20\x09-\x0D]``; it is also what ``bytes.split()`` splits on.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -132,15 +135,16 @@ def row_mark(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1))
 
 
-def row_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices whose ``column`` has about ``most`` bytes, or list items; a longer row is one slice.
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose ``column`` has about ``most`` bytes, or list items; a longer row is one slice.
 
-    What Python holds of a batch at once is then bounded by the data's size, not by a number of rows.
+    What a worker holds as Python objects is then bounded by the data's size, not by a number of rows.
     """
-    values = batch.column(column)
-    sizes = values.value_lengths() if pa.types.is_list(values.type) else pc.binary_length(values)
-    group = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if a < b:
-            yield batch.slice(a, b - a)
+    for batch in batches:
+        values = batch.column(column)
+        sizes = values.value_lengths() if pa.types.is_list(values.type) else pc.binary_length(values)
+        group = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield batch.slice(a, b - a)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Bytes of item text that are indexed and broadcast at most.
 MOST_BYTES = 256 << 20
 K1, B = 1.2, 0.75
@@ -194,7 +196,7 @@ def _map(index, least: float, overlap: float):
     schema = pa.schema([("doc_id", pa.int64()), ("n_passages", pa.int64()), ("items", pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 n, found = matches(index.value, text or "", least, overlap)
@@ -236,7 +238,7 @@ def decontaminate(
 
 def _filter(index, least: float, overlap: float, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             clean = [not matches(index.value, t or "", least, overlap)[1] for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 

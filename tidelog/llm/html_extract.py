@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -296,11 +298,9 @@ def extract(page: str) -> str:
 
 def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
-    for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            part = batch.slice(start, 500)
-            texts = [extract(x or "") for x in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url").cast(pa.string()), pa.array(texts, pa.string())], schema=schema)
+    for part in sliced(batches, "html"):
+        texts = [extract(x or "") for x in part.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url").cast(pa.string()), pa.array(texts, pa.string())], schema=schema)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

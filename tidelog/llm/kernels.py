@@ -9,6 +9,8 @@ U64 = np.uint64
 BASE_A = 0x9E3779B97F4A7C15
 BASE_B = 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
+#: Words of a text up to which powers are kept from text to text.
+KEPT = 1 << 16
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -24,13 +26,15 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n; an odd base has an inverse mod 2**64."""
+    """base**i and base**-i for i < n; an odd base has an inverse mod 2**64. Short tables are kept, 512 KB each."""
     got = _tables.get(base)
     if got is None or len(got[0]) < n:
-        size = max(4096, 1 << n.bit_length())
+        size = max(KEPT, n)
         up, down = np.full(size, base, dtype=U64), np.full(size, pow(base, -1, 1 << 64), dtype=U64)
         up[0] = down[0] = 1
-        got = _tables[base] = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+        got = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+        if size == KEPT:
+            _tables[base] = got
     return got[0][:n], got[1][:n]
 
 

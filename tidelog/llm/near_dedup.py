@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import forget_shuffles, is_empty, join_unique, maybe_in, stored, total_of
+from .common import forget_shuffles, is_empty, join_unique, maybe_in, sliced, stored, total_of
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -42,7 +42,7 @@ def _signatures(width: int, bands: int, rows: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             out = []
             for doc_id, s in _sets(batch, width):
                 keys = K.band_keys(K.one_permutation(s, bands * rows), rows) if len(s) else np.empty(0, dtype=np.int64)
@@ -57,11 +57,9 @@ def _full_sets(width: int):
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                out = [(i, s.view(np.int64)) for i, s in _sets(part, width)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        for batch in sliced(batches, "text"):
+            out = [(i, s.view(np.int64)) for i, s in _sets(batch, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     return run
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced, stored
 
 #: Labelled documents that training may see.
 LABELLED = 6_000
@@ -234,7 +234,7 @@ _ROW = "doc_id long, numbers array<double>, words array<long>, meta array<long>"
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("numbers", pa.list_(pa.float64())), ("words", pa.list_(pa.int64())), ("meta", pa.list_(pa.int64()))])
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         rows = []
         for r in batch.to_pylist():
             numbers, words = text_view(r["text"])
@@ -253,7 +253,7 @@ def _columns(views):
     schema = pa.schema([("doc_id", pa.int64()), *[(f"{t}{k}", pa.list_(pa.int32())) for t in TARGETS for k in (0, 1)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             out = []
             for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "n_chars"))):
                 row = (*text_view(r[1]), meta_view(*r[2:]))
@@ -326,7 +326,7 @@ def _score(models):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quality, toxic = (models.value[t] for t in TARGETS)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             a, b = [], []
             for r in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))):
                 numbers, words = text_view(r[0])
@@ -356,8 +356,8 @@ def _filter(models, least_quality: float, most_toxic: float):
     score = _score(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (got,) = score([batch])
+        for batch in sliced(batches, "text"):
+            got = pa.Table.from_batches(score([batch])).combine_chunks()
             keep = [q >= least_quality and t < most_toxic for q, t in zip(got.column("p_quality").to_pylist(), got.column("p_toxic").to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
