@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import forget_shuffles, join_unique, row_mark, stored, total_of
+from .common import forget_shuffles, join_unique, marked, maybe_in, release, row_mark, sliced, stored, total_of
 
 #: Rows of one Arrow batch that a kernel returns at most.
 OUT_ROWS = 200_000
@@ -52,7 +52,7 @@ def _minimizer_rows(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
-            for batch in batches:
+            for batch in sliced(batches, "text"):
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), _texts(batch, "text")):
                     m = np.unique(minimizers(K.word_hashes(text.split()), width))
                     if len(m):
@@ -69,7 +69,7 @@ def _window_rows(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
-            for batch in batches:
+            for batch in sliced(batches, "text"):
                 shared = batch.column("shared")
                 for k, (doc_id, mark, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), _texts(batch, "text"))):
                     hashes = K.word_hashes(text.split())
@@ -94,14 +94,20 @@ def shared_windows(docs: DataFrame, width: int) -> DataFrame:
     shared = stored(shared.filter("low < high").select("m", "n"), "sub-shared")
     own = join_unique(marks, shared, ["m"], "n", total_of(shared, "n"))
     own = stored(own.groupBy("doc_id").agg(F.collect_set("m").alias("shared")), "sub-own")
+    release(marks, shared)
     forget_shuffles(spark)
-    windows = docs.join(own, "doc_id").select("doc_id", "mark", "text", "shared")
+    # Only texts that may have a shared minimizer are shuffled, and at any size.
+    some = maybe_in(docs, "doc_id", own.select(F.col("doc_id").alias("id")))
+    windows = some.join(own.hint("merge"), "doc_id").select("doc_id", "mark", "text", "shared")
     windows = stored(windows.mapInArrow(_window_rows(width), "h long, g int, doc_id long, at long"), "sub-windows")
+    release(own)
     forget_shuffles(spark)
     first = windows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
     first = stored(first.filter("low < high").select("h", "g", "low", "n"), "sub-first")
+    forget_shuffles(spark)
     later = join_unique(windows, first, ["h", "g"], "n", total_of(first, "n")).filter("doc_id > low")
     out = stored(later.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "sub-later")
+    release(windows, first)
     forget_shuffles(spark)
     return out
 
@@ -124,7 +130,7 @@ def _cut(width: int):
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             rows = []
             found = batch.column("at")
             for k, (doc_id, mark, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), _texts(batch, "text"))):
@@ -154,5 +160,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("mark", F.coalesce(row_mark(F.col("text")), F.lit(0)))
-    found = docs.join(shared_windows(docs, width), "doc_id", "left").select("doc_id", "mark", "text", "at")
-    return found.mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, text string, spans array<struct<start:int,end:int>>")
+    later = shared_windows(docs, width)
+    docs = marked(docs, "doc_id", later.select(F.col("doc_id").alias("id")))
+    whole = docs.filter("not maybe").select("doc_id", "mark", "text", F.lit(None).cast("array<long>").alias("at"))
+    cut = docs.filter("maybe").join(later.hint("merge"), "doc_id", "left").select("doc_id", "mark", "text", "at")
+    schema = "doc_id long, n_words long, n_removed long, text string, spans array<struct<start:int,end:int>>"
+    return whole.mapInArrow(_cut(width), schema).unionAll(cut.mapInArrow(_cut(width), schema))
