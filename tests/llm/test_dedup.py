@@ -28,7 +28,7 @@ def brute_exact(rows):
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact(make_docs, odd_rows, weak):
     digest = (lambda c: F.substring(exact_dedup.sha256_of(c), 1, 0)) if weak else exact_dedup.sha256_of
-    got = exact_dedup.exact_dedup(make_docs(odd_rows), digest=digest, files_per_batch=1).collect()
+    got = exact_dedup.exact_dedup(make_docs(odd_rows), digest=digest, batches=3).collect()
     want = brute_exact(odd_rows)
     if weak:  # every text collides; only whole texts tell groups apart
         assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == Counter(x[:4] for x in want.elements())
@@ -36,6 +36,29 @@ def test_exact(make_docs, odd_rows, weak):
         assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, bytes(r.digest).hex()) for r in got) == want
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_later_runs(spark, make_docs, odd_rows, tmp_path, weak):
+    """A second and third run meet the state, and the texts, of the runs before."""
+    digest = (lambda c: F.substring(exact_dedup.sha256_of(c), 1, 0)) if weak else exact_dedup.sha256_of
+    runs = [odd_rows, [(1, "short  text"), (6, "new"), (30, odd_rows[0][1])], [(4, "new"), (31, "newer"), (None, "short text")]]
+    seen = []
+    for k, rows in enumerate(runs):
+        docs = make_docs(rows)
+        if k == 1:  # from files, read by their own locators
+            docs.write.parquet(str(tmp_path / "in"))
+            docs = spark.read.parquet(str(tmp_path / "in"))
+        got = exact_dedup.exact_dedup(docs, digest=digest, state_dir=str(tmp_path / "state")).collect()
+        seen += rows
+        ids = Counter(rows)
+        want = Counter()
+        for i, t in ids:
+            same = [j for j, u in seen if re.sub(r"[\x20\x09-\x0D]+", " ", u or "") == re.sub(r"[\x20\x09-\x0D]+", " ", t or "")]
+            low = min((j for j in same if j is not None), default=None)
+            want[i, low, len(same), low is None or i == low] += ids[i, t]
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == want
+    assert exact_dedup.exact_dedup(make_docs([]).limit(0), digest=digest, state_dir=str(tmp_path / "state")).count() == 0
+
+
 def test_exact_empty(make_docs):
     assert exact_dedup.exact_dedup(make_docs([]).limit(0)).count() == 0
 

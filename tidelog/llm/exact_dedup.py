@@ -1,29 +1,39 @@
 """Exact deduplication as a stateful stream (operator 2, native: DataFrame functions only).
 
 Documents pass a journal of (doc_id, digest, locator). A streaming aggregation keeps, for
-every digest, the smallest doc_id, the locator of that document's content and a count, in a
-RocksDB state store without watermark or expiry. On a hit the bytes themselves are compared:
-every later document's whole normalised text against the text at the state's locator; where
-a digest proves ambiguous, its texts are grouped by their bytes instead.
+every digest, the smallest doc_id, the locator of that document's content (file and row) and a
+count, in a RocksDB state store without watermark or expiry. On a hit the bytes themselves are
+compared: the whole normalised text of every later document against the text that is read at
+the state's locator; where a digest proves ambiguous, its texts are grouped by their bytes.
+
+With a ``state_dir`` journal, state and checkpoint outlive the run, so that later input is
+deduplicated against all earlier input, whose texts are read again at their locators only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_RUN, drop_path, forget_shuffles, is_empty, join_unique, new_path, stored, total_of
+from .common import SPACE_RUN, drop_path, forget_shuffles, is_empty, join_unique, maybe_in, new_path, release, stored, total_of
 
-#: Disk-backed state. Files aren't allocated ahead, as many partitions hold little state.
+#: Disk-backed state. Files aren't allocated ahead, as many partitions hold little state; memory is bounded for an executor.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
+#: Micro-batches of a run; the state of one meets the next.
+BATCHES = 2
 #: Rows of one state entry that are compared with one copy of the kept text.
 MEMBERS_PER_COPY = 256
+#: Where a document's content is: a hash of its file's path, and the row in the file.
+LOCATOR = "struct<file:bigint,row:bigint>"
 
 
 def normalised(text: Column) -> Column:
@@ -34,22 +44,33 @@ def sha256_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
+def located(docs: DataFrame, id_col: str, text_col: str, state_dir: str | None) -> DataFrame:
+    """doc_id, text, path, locator of every row; input that isn't read from Parquet files is written to some first."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        path = new_path(docs.sparkSession, "dedup-texts") if state_dir is None else f"{state_dir}/texts/{new_path(docs.sparkSession, 'texts').rsplit('/', 1)[1]}"
+        docs.write.parquet(path)
+        return located(docs.sparkSession.read.schema(docs.schema).parquet(path), "doc_id", "text", state_dir)
+    return rows.withColumn("locator", F.struct(F.xxhash64("path").alias("file"), F.col("row").cast("long").alias("row"))).drop("row")
+
+
 def state_stream(journal: DataFrame) -> DataFrame:
     """Keyed state over a (streaming or batch) journal: one entry per digest, never expired."""
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")  # a null id comes last
-    return journal.groupBy("digest").agg(
-        F.min("doc_id").alias("keep_id"), F.min_by("locator", first).alias("keep_locator"), F.min_by("mark", first).alias("keep_mark"),
-        F.count(F.lit(1)).alias("group_size"),
-    )
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "locator")  # a null id comes last
+    return journal.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.min_by("locator", first).alias("keep_locator"), F.count(F.lit(1)).alias("group_size"))
 
 
-def run_stream(journal_path: str, schema, spark, files_per_batch: int) -> DataFrame:
-    """Stream the journal through the state store; returns the last state of every digest."""
-    out, checkpoint = new_path(spark, "dedup-state"), new_path(spark, "dedup-checkpoint")
+def run_stream(spark: SparkSession, journal_path: str, schema: T.StructType, checkpoint: str, files_per_batch: int) -> DataFrame:
+    """Stream what is new in the journal through the state store; returns the last state of every digest that occurs in it."""
+    out = new_path(spark, "dedup-state")
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(journal_path)
+    batches: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batches.append(number)
 
     before = {k: spark.conf.get(k, None) for k in STATE_STORE}
     for k, v in STATE_STORE.items():
@@ -63,19 +84,19 @@ def run_stream(journal_path: str, schema, spark, files_per_batch: int) -> DataFr
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    drop_path(spark, checkpoint)
     shape = state_stream(spark.createDataFrame([], schema)).schema
-    last = query.lastProgress
-    if last is None or last["batchId"] == 0:
-        return spark.read.schema(shape).option("recursiveFileLookup", True).parquet(out) if last else spark.createDataFrame([], shape)
+    if not batches:
+        return spark.createDataFrame([], shape)
     updates = spark.read.schema(T.StructType([*shape, T.StructField("batch", T.IntegerType())])).parquet(out)
     newest = F.max_by(F.struct(*[c for c in shape.names if c != "digest"]), "batch")
-    return stored(updates.groupBy("digest").agg(newest.alias("s")).select("digest", "s.*"), "dedup-last")
+    last = stored(updates.groupBy("digest").agg(newest.alias("s")).select("digest", "s.*"), "dedup-last")
+    drop_path(spark, out)
+    return last
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    digest: Callable[[Column], Column] = sha256_of, files_per_batch: int = 10_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_of,
+    state_dir: str | None = None, batches: int = BATCHES,
 ) -> DataFrame:
     """doc_id, keep_id, group_size, kept, digest: one row per row of ``docs``, dropped ones too.
 
@@ -85,52 +106,91 @@ def exact_dedup(
     share the kept id are all marked kept. A null id is larger than any other: such a row
     stays only if its whole group has none. Other columns are ignored. An empty table gives
     no rows.
+
+    ``state_dir``, a folder that all executors reach, keeps the state. Then keep_id and
+    group_size also count the documents of all earlier runs with this folder and ``digest``;
+    the files that these were read from must still be there, as hits are compared with them.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"))
-    located = docs.withColumns({"locator": F.xxhash64(F.input_file_name()), "mark": F.xxhash64("text")})
-    rows = located.select("doc_id", "locator", "mark", digest(F.col("text")).alias("digest"))
-    journal_path = new_path(spark, "dedup-journal")
-    rows.write.parquet(journal_path)
-    journal = spark.read.schema(rows.schema).parquet(journal_path)
-    state = run_stream(journal_path, rows.schema, spark, files_per_batch)
-    total = total_of(state, "group_size")
-    decided = stored(join_unique(journal, state, ["digest"], "group_size", total), "dedup-decided")
-    clashes = stored(clashing(located, decided, digest), "dedup-clashes")
+    where = state_dir or new_path(spark, "dedup")
+    rows = located(docs, id_col, text_col, state_dir)
+    entry = rows.select("doc_id", "locator", digest(normalised(F.col("text"))).alias("digest"), "path")
+    run = f"{where}/journal/run-{new_path(spark, 'x')[-32:]}"
+    entry.drop("path").write.parquet(run)
+    shape = entry.drop("path").schema
+    journal = spark.read.schema(shape).parquet(run)
+    if state_dir:
+        rows.select(F.col("locator.file").alias("file"), "path").distinct().write.mode("append").parquet(f"{where}/files")
+    files = len(journal.inputFiles())
+    state = run_stream(spark, f"{where}/journal/run-*", shape, f"{where}/checkpoint", max(1, -(-files // batches)))
+    decided = stored(join_unique(journal, state, ["digest"], "group_size", total_of(state, "group_size")), "dedup-decided")
+    forget_shuffles(spark)
+    clashes = stored(clashing(rows, decided, f"{where}/files" if state_dir else None), "dedup-clashes")
     forget_shuffles(spark)
+    release(state)
+    if not state_dir:
+        drop_path(spark, where)
     if not is_empty(clashes):
-        decided = regrouped(located, decided, clashes, digest)
+        decided = regrouped(rows, decided, clashes, digest, f"{where}/files" if state_dir else None, f"{where}/journal/run-*", shape)
     return decided.select(
         "doc_id", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "digest",
     )
 
 
-def clashing(located: DataFrame, decided: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+def texts_at(rows: DataFrame, picked: DataFrame) -> DataFrame:
+    """``picked`` (locator and others) with the normalised text that ``rows`` has at each locator; no other text is shuffled."""
+    place = lambda d: d.withColumn("_at", F.xxhash64("locator.file", "locator.row"))
+    some = maybe_in(place(rows), "_at", place(picked).select(F.col("_at").alias("id")))
+    some = some.select("locator", normalised(F.col("text")).alias("text"))
+    return picked.hint("merge").join(some, "locator")
+
+
+def earlier_rows(spark: SparkSession, picked: DataFrame, files: str, text_col: str = "text") -> DataFrame | None:
+    """The documents (locator, text) of the files of earlier runs in which ``picked`` locators are.
+
+    The driver gets the files' names, as for any read.
+    """
+    names = spark.read.parquet(files).join(picked.select("locator.file").distinct(), "file", "left_semi").select("path").distinct()
+    names = [r.path for r in names.collect()]
+    if not names:
+        return None
+    rows = spark.read.parquet(*names).select(F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").cast("long").alias("row"))
+    return rows.select("text", F.struct(F.xxhash64("path").alias("file"), "row").alias("locator"))
+
+
+def clashing(rows: DataFrame, decided: DataFrame, files: str | None) -> DataFrame:
     """Digests under which a text differs from the kept one, by comparing whole texts.
 
-    Only rows of entries with a hit fetch their text, by locator, id and mark. The kept text
-    is copied once for every MEMBERS_PER_COPY rows, so no task gets a whole hot group.
+    Only documents of entries with a hit are read, by their locators. The kept text is copied
+    once for every MEMBERS_PER_COPY rows, so no task gets a whole hot group.
     """
-    hit = decided.filter("group_size > 1").withColumn("copies", F.ceil(F.col("group_size") / MEMBERS_PER_COPY))
-    key = ["locator", "mark"]
-    same = F.col("r.doc_id").eqNullSafe(F.col("h.doc_id"))
-    texts = lambda picked: located.alias("r").join(
-        picked.alias("h"), same & (F.col("r.locator") == F.col("h.locator")) & (F.col("r.mark") == F.col("h.mark"))
-    ).select("h.digest", "r.doc_id", "h.copies", "h.keep_id", "r.mark", "h.keep_mark", "r.text")
-    got = stored(texts(hit.dropDuplicates(["digest", "doc_id", *key])), "dedup-hits")
-    is_kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
-    kept = got.filter(is_kept).dropDuplicates(["digest"]).select(
-        "digest", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy"), F.col("text").alias("kept_text")
-    )
-    members = got.select("digest", F.pmod(F.xxhash64("doc_id", "mark"), F.col("copies")).cast("int").alias("copy"), "text")
+    hit = decided.filter("group_size > 1").withColumn("copies", F.ceil(F.col("group_size") / MEMBERS_PER_COPY).cast("int"))
+    got = stored(texts_at(rows, hit.select("locator", "keep_locator", "digest", "copies")), "dedup-hits")
+    kept = got.filter("locator = keep_locator").select("digest", "copies", "text")
+    if files:
+        old = hit.select("digest", "copies", F.col("keep_locator").alias("locator")).distinct()
+        old = stored(old.join(rows.select("locator"), "locator", "left_anti"), "dedup-earlier")
+        there = earlier_rows(rows.sparkSession, old, files)
+        if there is not None:
+            kept = kept.unionByName(texts_at(there, old).select("digest", "copies", "text"))
+    kept = kept.select("digest", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("text").alias("kept_text"))
+    members = got.select("digest", F.pmod(F.xxhash64("locator.file", "locator.row"), F.col("copies")).cast("int").alias("copy"), "text")
     return members.join(kept, ["digest", "copy"]).filter(F.col("text") != F.col("kept_text")).select("digest").distinct()
 
 
-def regrouped(located: DataFrame, decided: DataFrame, clashes: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """``decided`` with the rows of ambiguous digests grouped by their bytes."""
-    rows = located.withColumn("digest", digest(F.col("text"))).join(clashes, "digest")
-    groups = rows.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    fixed = rows.join(groups, ["digest", "text"])
+def regrouped(rows: DataFrame, decided: DataFrame, clashes: DataFrame, digest: Callable[[Column], Column], files: str | None, journal: str, shape: T.StructType) -> DataFrame:
+    """``decided`` with the rows of ambiguous digests grouped by their bytes, those of earlier runs among them."""
+    spark = rows.sparkSession
+    now = rows.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text"))).join(clashes, "digest")
+    every = now
+    if files:
+        entries = spark.read.schema(shape).parquet(journal).join(clashes, "digest").join(rows.select("locator"), "locator", "left_anti")
+        entries = stored(entries.select("locator", "doc_id", "digest"), "dedup-ambiguous")
+        there = earlier_rows(spark, entries, files)
+        if there is not None:
+            every = now.unionByName(texts_at(there, entries).select("doc_id", "digest", "text"))
+    groups = every.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    fixed = now.join(groups, ["digest", "text"])
     columns = ["doc_id", "digest", "keep_id", "group_size"]
     return decided.join(clashes, "digest", "left_anti").select(columns).unionByName(fixed.select(columns))
