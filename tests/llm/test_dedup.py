@@ -130,6 +130,28 @@ def test_near(make_docs, odd_rows):
     assert near_dedup.near_components(make_docs([]).limit(0), width=4).count() == 0
 
 
+def test_near_shared_ids(make_docs):
+    """Rows that share an id each go by their own text."""
+    b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "bc")
+    rows = [(3, b + " more"), (5, b), (9, b + " more"), (5, c), (7, c), (None, c), (11, None), (11, c + " end"), (11, "")]
+    got = near_dedup.near_components(make_docs(rows), width=4).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(rows, 4)
+    assert {(r.doc_id, r.component_id) for r in got if r.kept} == {(3, 3), (5, 5), (None, None), (11, 11)}
+
+
+def test_near_recall():
+    """At a similarity of 0.8 nearly every pair shares a band, for few and many shingles."""
+    rng = np.random.default_rng(9)
+    for n in (9, 45, 450):
+        missed = 0
+        for _ in range(200):
+            both = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            own = rng.integers(0, 1 << 63, (2, max(1, n // 9)), dtype=np.uint64)[:, : n // 8]
+            keys = [set(kernels.band_keys(kernels.one_permutation(np.unique(np.concatenate([both, x])), 160), 5).tolist()) for x in own]
+            missed += not keys[0] & keys[1]
+        assert missed == 0
+
+
 def test_near_dense_group(make_docs, monkeypatch):
     """A group in which many pairs are just below and just above the threshold, in small blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 40)

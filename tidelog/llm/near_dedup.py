@@ -134,8 +134,24 @@ def near_components(
     text. A row without an id is linked with nothing, its component_id is null and it is
     kept. Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    there = docs.filter("doc_id is not null")
+    if is_empty(there.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")):
+        return _components(docs, width, percent, bands, rows)
+    # Rows that share an id get numbers of their own, in the order of the ids.
+    numbers = stored(there.orderBy("doc_id", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    found = _components(numbers.select(F.col("row").alias("doc_id"), "text"), width, percent, bands, rows).drop("kept")
+    found = stored(found.withColumnRenamed("doc_id", "row").withColumnRenamed("component_id", "first"), "near-found")
+    names = numbers.select(F.col("row").alias("first"), F.col("doc_id").alias("component_id"))
+    names = found.groupBy("first").agg(F.count(F.lit(1)).alias("members")).join(names, "first")
+    named = join_unique(found, names, ["first"], "members", found.count()).join(numbers.select("row", "doc_id"), "row")
+    named = named.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return named.unionByName(_components(docs.filter("doc_id is null"), width, percent, bands, rows))
+
+
+def _components(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``near_components`` of documents (doc_id, text) whose ids are distinct or null."""
+    spark = docs.sparkSession
     signed = stored(docs.mapInArrow(_signatures(width, bands, rows), "doc_id long, n long, d1 long, d2 long, bands array<long>"), "near-signatures")
     real = signed.filter("n > 0 and doc_id is not null")
     classes = stored(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "near-classes")
