@@ -1,5 +1,6 @@
 """Chat formatting, BPE, decontamination, classifier, sharding, extraction and the pipeline."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -104,6 +105,66 @@ def test_decontaminate(spark, make_docs):
     assert decontaminate.decontaminate(make_docs(rows), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def brute_decontaminate(items, rows, least=0.6, overlap=0.8):
+    """Every passage against every item, with BM25 scores from the formula."""
+    parts = [(i, *map(decontaminate.folded_words, decontaminate.question_answer(t or ""))) for i, t in items]
+    parts = [p for p in parts if p[1] or p[2]]
+    bags = [Counter(q + a) for _, q, a in parts]
+    mean = sum(sum(b.values()) for b in bags) / max(1, len(bags))
+    step = max((sum(b.values()) for b in bags), default=1)
+    idf = lambda t: math.log(1 + (len(bags) - sum(t in b for b in bags) + 0.5) / (sum(t in b for b in bags) + 0.5))
+    weights = [{t: idf(t) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for t, n in b.items()} for b in bags]
+    windows = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+    out = Counter()
+    for i, t in rows:
+        words = decontaminate.folded_words(t or "")
+        found = set()
+        for start in range(0, max(1, len(words) - step), step):
+            passage = words[start : start + 2 * step]
+            for (item, q, a), w in zip(parts, weights):
+                shares = [len(windows(x, min(5, len(x))) & windows(passage, min(5, len(x)))) / max(1, len(windows(x, min(5, len(x))))) if x else 1 for x in (q, a)]
+                if sum(w[x] for x in set(passage) if x in w) / sum(w.values()) >= least and min(shares) >= overlap:
+                    found.add(item)
+        out[i, tuple(sorted(found))] += 1
+    return out
+
+
+@pytest.mark.parametrize("shard", [1 << 22, 400])
+def test_decontaminate_brute(spark, make_docs, odd_rows, monkeypatch, shard):
+    """With items of one index and of several shards; whole, cut, mixed and long passages."""
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    rng = random.Random(4)
+    vocabulary = [f"v{k}" for k in range(60)]
+    words = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(k, f"{words(rng.randint(4, 20))}? {words(rng.choice([0, 1, 3, 9]))}".strip()) for k in range(40)]
+    items += [(41, None), (42, " "), (43, "one"), (None, words(9))]
+    rows = list(odd_rows)
+    for k in range(90):
+        q, a = decontaminate.question_answer(rng.choice(items[:40])[1])
+        kind = k % 6
+        text = [q + a, q, a, f"{q} {words(3)} {a}", f"{q} {words(200)} {a}", words(50)][kind]
+        if k % 4 == 3:
+            w = text.split()
+            w[rng.randrange(len(w))] = "changed"
+            text = " ".join(w)
+        rows.append((100 + k, f"{words(rng.randint(0, 90))} {text}, {words(rng.randint(0, 90))}"))
+    rows += [rows[20]] * 2
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = decontaminate.decontaminate(make_docs(rows), bench).collect()
+    assert Counter((r.doc_id, tuple(sorted({x.item_id for x in r.items}))) for r in got) == brute_decontaminate(items, rows)
+    assert any(r.contaminated for r in got) and not all(r.contaminated for r in got)
+    kept = Counter(r.doc_id for r in decontaminate.keep_clean(make_docs(rows), bench).collect())
+    assert kept == Counter(r.doc_id for r in got if not r.contaminated)
+    assert decontaminate.decontaminate(make_docs([]).limit(0), bench).count() == 0
+
+
+def test_question_without_answer(spark, make_docs):
+    bench = spark.createDataFrame([(1, "What is the name of the tallest mountain in the world? Everest")], "item_id long, text string")
+    q = bench.first().text.rsplit(" ", 1)[0]
+    got = decontaminate.decontaminate(make_docs([(1, f"{q} Nobody knows"), (2, f"{q} Everest")]), bench).collect()
+    assert {r.doc_id: r.contaminated for r in got} == {1: False, 2: True}
+
+
 def test_quality_held_out(spark):
     """On documents whose labels training didn't see."""
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -2,8 +2,11 @@
 
 The benchmark's items form a BM25 inverted index with block maxima. Each passage of each
 document is a query; block-max WAND returns every item whose score reaches a share of the
-score that the item's own text gets. Retrieved items are then verified on word shingles of
-their question and their answer.
+score that the item's own text gets. Retrieved items are then verified on word shingles: both
+the question and the answer have to occur.
+
+A benchmark of over SHARD_BYTES of text is cut into shards, each with an index of its own whose
+weights come from the whole benchmark's word counts, so the result is that of a single index.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import row_mark, sliced, stored
 
-#: Bytes of item text that are indexed and broadcast at most.
-MOST_BYTES = 256 << 20
+#: Bytes of item text of one index, which is built in the driver and broadcast.
+SHARD_BYTES = 4 << 20
 K1, B = 1.2, 0.75
 #: Items of a block, and block bounds kept at most (larger indexes get larger blocks).
 BLOCK, BOUNDS = 2, 1 << 24
@@ -56,6 +59,16 @@ class Postings:
     most: float
 
 
+@dataclass
+class Whole:
+    """What a shard has to know of the whole benchmark: items, words, the longest item, items by word."""
+
+    items: int
+    words: int
+    longest: int
+    seen: dict[bytes, int]
+
+
 class Index:
     """BM25 weights of the items, each divided by the item's score for its own text.
 
@@ -63,17 +76,16 @@ class Index:
     ``block_most`` has every term's largest weight in every block.
     """
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], whole: Whole | None = None) -> None:
         parts = [(i, *map(folded_words, question_answer(t))) for i, t in items]
         parts = sorted((p for p in parts if p[1] or p[2]), key=lambda p: len(p[1]) + len(p[2]))
         self.ids = [p[0] for p in parts]
         self.question, self.answer = [p[1] for p in parts], [p[2] for p in parts]
         bags = [Counter(q + a) for _, q, a in parts]
         lengths = [sum(b.values()) for b in bags]
-        self.longest = max(lengths, default=1)
-        mean = sum(lengths) / max(1, len(lengths))
-        seen = Counter(t for b in bags for t in b)
-        idf = {t: math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for t, n in seen.items()}
+        whole = whole or Whole(len(bags), sum(lengths), max(lengths, default=1), Counter(t for b in bags for t in b))
+        self.longest, mean = whole.longest, whole.words / max(1, whole.items)
+        idf = {t: math.log(1 + (whole.items - n + 0.5) / (n + 0.5)) for t, n in whole.seen.items()}
         lists: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for k, bag in enumerate(bags):
             w = {t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[k] / mean)) for t, n in bag.items()}
@@ -180,7 +192,7 @@ def matches(index: Index, text: str, least: float, overlap: float) -> tuple[int,
         for k, score in found:
             sizes = [(len(s), sum(x in there for x in s) if len(part) >= SHINGLE else _short(s, words[a:b])) for part in (index.question[k], index.answer[k]) for s in [shingles(part)]]
             total, same = sum(n for n, _ in sizes), sum(m for _, m in sizes)
-            if same >= overlap * total and (k not in best or same / total > best[k].share):
+            if all(m >= overlap * n for n, m in sizes) and (k not in best or same / total > best[k].share):
                 q, r = (m / n if n else 1.0 for n, m in sizes)
                 best[k] = Found(index.ids[k], score, q, r, same / total)
     return (max(1, -(-(len(words) - step) // step)) if words else 0), [best[k] for k in sorted(best)]
@@ -192,27 +204,51 @@ def _short(part: set[tuple[bytes, ...]], words: list[bytes]) -> int:
     return len(part & shingles(words, width)) if width else 0
 
 
-def _map(index, least: float, overlap: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_passages", pa.int64()), ("items", pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])))])
+_ITEMS = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>"
+
+
+def _map(index, least: float, overlap: float, hits_only: bool):
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_passages", pa.int64()), ("items", pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
                 n, found = matches(index.value, text or "", least, overlap)
-                rows.append({"doc_id": doc_id, "n_passages": n, "items": [{"item_id": f.item, "score": f.score, "question_overlap": f.question, "answer_overlap": f.answer} for f in found]})
+                if found or not hits_only:
+                    rows.append({"doc_id": doc_id, "mark": mark, "n_passages": n, "items": [{"item_id": f.item, "score": f.score, "question_overlap": f.question, "answer_overlap": f.answer} for f in found]})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
-def broadcast_index(spark, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"):
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("terms", pa.list_(pa.binary()))])
+    for batch in sliced(batches, "text"):
+        words = [[w for part in question_answer(t) for w in folded_words(part)] for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))], schema=schema)
+
+
+def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator:
+    """The broadcast indexes of all shards of the benchmark, one by one; the driver holds one shard's items at a time."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MOST_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; split it and run once for each part")
-    rows = sorted(((r.item_id, r.text) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    return spark.sparkContext.broadcast(Index(rows))
+    order = lambda r: (r.item_id is None, r.item_id or 0, r.text)
+    if size <= SHARD_BYTES:
+        yield spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in sorted(items.collect(), key=order)]))
+        return
+    shards = -(-size // SHARD_BYTES)
+    items = stored(items.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), "bench-items")
+    words = stored(items.mapInArrow(_item_words, "shard int, n long, terms array<binary>").filter("n > 0"), "bench-words")
+    n, total, longest = words.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
+    each = words.select("shard", F.explode("terms").alias("term")).groupBy("shard", "term").agg(F.count(F.lit(1)).alias("n"))
+    each = stored(each, "bench-each")
+    seen = stored(each.select("shard", "term").join(each.groupBy("term").agg(F.sum("n").alias("n")), "term"), "bench-seen")
+    for k in range(shards):
+        whole = Whole(n or 0, total or 0, longest or 1, {bytes(r.term): r.n for r in seen.filter(F.col("shard") == k).select("term", "n").collect()})
+        rows = sorted(items.filter(F.col("shard") == k).select("item_id", "text").collect(), key=order)
+        yield spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in rows], whole))
 
 
 def decontaminate(
@@ -222,18 +258,31 @@ def decontaminate(
     """doc_id, n_passages, items, contaminated: one row per row of ``docs``.
 
     Passages are as long as two of the longest items and overlap by one, so each item lies
-    whole in a passage. ``items`` has the verified items with score (1 is the item's own
-    text), question and answer overlap; a document with any is contaminated. Verified means
-    that the passage has ``overlap`` of the 5-word shingles of question and answer together;
-    a part of fewer words is one shingle. Letter case and ASCII punctuation don't count. A
-    null or empty text has no passages; an item without words matches nothing; repeated
-    items and rows are each reported. Other columns are ignored; an empty table gives no
-    rows. The index is broadcast: items may hold MOST_BYTES of text, which is checked.
+    whole in a passage. ``items`` has the verified items, by item_id, with score (1 is the
+    item's own text), question and answer overlap; a document with any is contaminated.
+    Verified means that the passage has ``overlap`` of the 5-word shingles of the question and
+    of those of the answer; a part of fewer words is one shingle, one without words none.
+    Letter case and ASCII punctuation don't count. A null or empty text has no passages; an
+    item without words matches nothing; repeated items and rows are each reported. Other
+    columns are ignored; an empty table gives no rows. Any size of benchmark will do: each
+    SHARD_BYTES of it take one pass over ``docs``.
     """
-    index = broadcast_index(docs.sparkSession, benchmark, item_col, item_text_col)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_passages long, items array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>"
-    return docs.mapInArrow(_map(index, least, overlap), schema).withColumn("contaminated", F.size("items") > 0)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.coalesce(row_mark(F.col("text")), F.lit(-1)))
+    schema = f"doc_id long, mark long, n_passages long, items {_ITEMS}"
+    found, more = None, None
+    for index in indexes(benchmark, item_col, item_text_col):
+        if found is None:
+            found = docs.mapInArrow(_map(index, least, overlap, False), schema)
+        else:
+            hits = stored(docs.mapInArrow(_map(index, least, overlap, True), schema).dropDuplicates(["doc_id", "mark"]), "bench-hits")
+            index.destroy()
+            more = hits if more is None else more.unionAll(hits)
+    if more is not None:
+        more = more.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("items")).alias("more"))
+        more = more.select(F.col("doc_id").alias("id"), F.col("mark").alias("its"), "more")
+        found = found.join(more, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its")), "left")
+        found = found.withColumn("items", F.concat("items", F.coalesce("more", F.array().cast(_ITEMS))))
+    return found.select("doc_id", "n_passages", F.sort_array("items").alias("items"), (F.size("items") > 0).alias("contaminated"))
 
 
 def _filter(index, least: float, overlap: float, text_col: str):
@@ -247,5 +296,8 @@ def _filter(index, least: float, overlap: float, text_col: str):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, as ``decontaminate`` judges, with all columns."""
-    index = broadcast_index(docs.sparkSession, benchmark)
-    return docs.mapInArrow(_filter(index, least, overlap, text_col), docs.schema)
+    for k, index in enumerate(indexes(benchmark)):
+        if k:
+            docs = stored(docs, "bench-clean")  # one shard's index at a time in a worker's memory
+        docs = docs.mapInArrow(_filter(index, least, overlap, text_col), docs.schema)
+    return docs
