@@ -3,9 +3,11 @@
 import math
 import random
 import re
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, chat_format, decontaminate, html_extract, quality, queries, sharding
@@ -39,7 +41,23 @@ def test_reply_tree(spark):
 def test_flat_conversations(spark):
     c = spark.createDataFrame([(1, 2, "assistant", None), (1, 1, "user", "a"), (1, 1, "user", "a"), (None, None, None, "x")], "conv_id long, turn long, role string, text string")
     got = {r.tree: chat_format.parse_turns(r.formatted) for r in chat_format.format_chats(chat_format.thread_of(c)).collect()}
-    assert got == {"1": [("user", "a"), ("user", "a"), ("assistant", "")], "": [("", "x")]}
+    assert got == {"1": [("user", "a"), ("user", "a"), ("assistant", "")], None: [("", "x")]}
+
+
+def test_odd_messages(spark):
+    """No tree, no msg, repeated and differing messages, clashing columns, long texts and many turns."""
+    long = "a\\ ### </turn> : <" * 100_000
+    rows = [(None, 1, None, None, "user", "q", "x"), (None, 2, 1, 1.0, None, long, "x"), ("t", 1, None, 0.0, "user", "b", "x"), ("t", 1, None, 0.0, "user", "a", "y"), ("t", None, 1, 9.0, "user", "lost", "x")]
+    rows += [("t", 2, 1, 0.5, "assistant", "same", "x")] * 4 + [("", 5, None, 0.0, "u:", "", "x"), ("t", 3, 1, 0.5, "assistant", "as good", "x")]
+    m = spark.createDataFrame(rows, "tree string, msg long, parent long, score double, role string, text string, pos string").withColumns({"leaf": F.lit(1), "up": F.lit(2), "depth": F.lit(3)})
+    got = {r.tree: chat_format.parse_turns(r.formatted) for r in chat_format.format_chats(m).collect()}
+    assert got == {None: [("user", "q"), ("", long)], "t": [("user", "a"), ("assistant", "same")], "": [("u:", "")]}
+
+
+def test_broken_turns():
+    for x in ("### a: b", "### a b </turn>\n", "a: b </turn>\n", "### a: b</turn>\n", "### a: \\</turn>\n", "### a: b </turn>"):
+        with pytest.raises(ValueError):
+            chat_format.parse_turns(x)
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -227,6 +245,29 @@ def test_sharding(spark, tmp_path):
     assert len({(r.doc_id, r.shard) for r in placed}) == 501
     sharding.write_shards(rows, "doc_id", f"file://{tmp_path}/out", names, 2, 1009)
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 1001
+    # A key's slot, found without Spark.
+    for r in placed:
+        if r.doc_id is not None:
+            assert r.slot == _signed(xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42)) % 1009
+
+
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize("key", ["slot", "shard", "_part", "doc_id"])
+def test_sharding_clashes(spark, tmp_path, key):
+    """Keys and columns that are named like the operator's own; an empty table."""
+    rows = spark.createDataFrame([(k, f"s{k}", f"h{k}", f"p{k}") for k in range(50)], "doc_id long, slot string, shard string, _part string")
+    names = ["a", "b"]
+    placed = sharding.place(rows, key, names, 1009).collect()
+    assert len(placed) == 50 and {r.shard for r in placed} == {"a", "b"}
+    out = f"file://{tmp_path}/out"
+    sharding.write_shards(rows, key, out, names, 2, 1009)
+    back = spark.read.parquet(out)
+    assert sorted(back.columns) == ["_part", "doc_id", "shard", "shard_", "slot"]
+    assert {(r.doc_id, r.slot, r.shard_, r._part) for r in back.collect()} == {tuple(r) for r in rows.collect()}
+    assert sharding.place(rows.limit(0), key, names, 1009).count() == 0
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="page"><header><h1>Site</h1></header><nav><ul><li>Home<li>News</ul></nav>

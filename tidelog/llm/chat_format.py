@@ -21,7 +21,8 @@ from .common import is_empty, stored
 TURN, END = "### ", " </turn>\n"
 _ESCAPE = re.compile(r"\\|###|</turn>|:(?= )")
 _UNESCAPE = re.compile(r"\\(\\|###|</turn>|:)")
-_TURN = re.compile(r"### ((?:[^\\:]|\\(?:\\|###|</turn>|:)|:(?! ))*): ((?:[^\\<]|\\(?:\\|###|</turn>|:)|<(?!/turn>))*) </turn>\n")
+#: An escaped string or the end of a role, and of a text.
+_ROLE_END, _TEXT_END = (re.compile(rf"\\(?:\\|###|</turn>|:)|({end})") for end in (": ", "</turn>"))
 
 
 def escape(text: str) -> str:
@@ -46,15 +47,26 @@ def format_turns(turns: list[tuple[str, str]], learn: frozenset[str]) -> tuple[s
     return "".join(out), mask
 
 
+def _until(end: re.Pattern, formatted: str, at: int) -> tuple[int, int]:
+    """Where the first ``end`` that isn't escaped begins and ends."""
+    m = next((m for m in end.finditer(formatted, at) if m[1]), None)
+    if m is None:
+        raise ValueError(f"a turn doesn't end after {at}")
+    return m.span()
+
+
 def parse_turns(formatted: str) -> list[tuple[str, str]]:
     """The turns of a formatted conversation: the inverse of ``format_turns``."""
     out, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if m is None:
+        if not formatted.startswith(TURN, at):
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        role, text = _until(_ROLE_END, formatted, at + len(TURN))
+        last, end = _until(_TEXT_END, formatted, text)
+        if formatted[last - 1 : end + 1] != END or last <= text:
+            raise ValueError(f"no end of a turn at {last}")
+        out.append((unescape(formatted[at + len(TURN) : role]), unescape(formatted[text : last - 1])))
+        at = end + 1
     return out
 
 
@@ -109,13 +121,20 @@ def _format(learn: frozenset[str]):
 def format_chats(messages: DataFrame, top: int = 1, learn: frozenset[str] = frozenset({"assistant"})) -> DataFrame:
     """tree, leaf, score, formatted, mask: one conversation for each chosen path.
 
-    ``messages``: tree string, msg long (unique in its tree), parent long, score double,
-    role, text. A null role or text is empty. Other columns are ignored; an empty table
-    gives no rows.
+    ``messages``: tree string, msg long, parent long, score double, role, text. A null role
+    or text is empty. Messages without a tree form one of their own. Of a message that is
+    repeated in its tree the one with the smallest parent, score, role and text counts (nulls
+    first); one without a msg can't be placed and is left out. Other columns are ignored; an
+    empty table gives no rows.
     """
-    messages = messages.select("tree", F.col("msg").cast("long").alias("msg"), F.col("parent").cast("long").alias("parent"), "score", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    tree = F.coalesce(F.concat(F.lit("="), F.col("tree")), F.lit(""))  # a join on a null would lose its rows
+    messages = messages.select(tree.alias("tree"), F.col("msg").cast("long").alias("msg"), F.col("parent").cast("long").alias("parent"), F.col("score").cast("double").alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    messages = messages.filter("msg is not null")
+    if not is_empty(messages.groupBy("tree", "msg").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")):
+        messages = messages.groupBy("tree", "msg").agg(F.min(F.struct("parent", "score", "role", "text")).alias("m")).select("tree", "msg", "m.*")
     path = best_paths(messages, top).join(messages.select("tree", "msg", "role", "text"), ["tree", "msg"])
     turns = path.groupBy("tree", "leaf", "score").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
+    turns = turns.withColumn("tree", F.when(F.col("tree") != "", F.substring("tree", 2, 1 << 30)))
     return turns.mapInArrow(_format(learn), "tree string, leaf long, score double, formatted string, mask array<struct<start:long,end:long>>")
 
 
@@ -123,9 +142,9 @@ def thread_of(conversations: DataFrame) -> DataFrame:
     """Flat conversations (conv_id, turn, role, text) as reply trees that are single chains.
 
     Rows go by turn, then by role and text where turns repeat; null turns come first. Rows
-    without a conv_id form one conversation of their own. Each row answers the one before it.
+    without a conv_id form one conversation of their own, without a tree. Each row answers the one before it.
     """
     rows = conversations.select("conv_id", "turn", "role", "text")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("msg", F.row_number().over(order).cast("long"))
-    return rows.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("tree"), "msg", F.when(F.col("msg") > 1, F.col("msg") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    return rows.select(F.col("conv_id").cast("string").alias("tree"), "msg", F.when(F.col("msg") > 1, F.col("msg") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")

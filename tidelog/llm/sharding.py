@@ -48,19 +48,40 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
 
 
+def _free(rows: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from all columns."""
+    while name.lower() in {c.lower() for c in rows.columns}:
+        name += "_"
+    return name
+
+
 def place(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS, weights: dict[str, int] | None = None) -> DataFrame:
     """``rows`` with the columns slot and shard.
 
     The table has ``slots`` rows whatever the input and is broadcast. A null key goes where
     its hash says, like any other; repeated keys go to the same shard. Columns of ``rows``
-    named slot or shard are replaced. An empty table gives no rows.
+    named slot or shard are replaced, even if one is the key. An empty table gives no rows.
     """
     spark = rows.sparkSession
     table = spark.createDataFrame([(k, shards[s]) for k, s in enumerate(fill_table(shards, slots, weights))], "slot int, shard string")
-    return rows.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(table), "slot")
+    own = _free(rows, "_slot")
+    return rows.withColumn(own, slot_of(F.col(f"`{key}`"), slots)).drop("slot", "shard").withColumnRenamed(own, "slot").join(F.broadcast(table), "slot")
 
 
 def write_shards(rows: DataFrame, key: str, path: str, shards: list[str], files_per_shard: int = 1, slots: int = SLOTS) -> None:
-    """Write ``rows`` as one folder a shard; a shard's rows are spread over ``files_per_shard`` tasks by slot."""
-    placed = place(rows, key, shards, slots).withColumn("_part", F.pmod("slot", F.lit(files_per_shard)))
-    placed.repartition(len(shards) * files_per_shard, "shard", "_part").drop("slot", "_part").write.partitionBy("shard").parquet(path)
+    """Write ``rows`` as one folder a shard; a shard's rows are spread over ``files_per_shard`` tasks.
+
+    They are spread by their whole content (but for maps), so rows of a hot key go to several
+    tasks, and a task that is run again gets the same rows.
+    A column named shard would clash with the folders' names and is written as the next free
+    name (shard_, shard__ ...); all others keep theirs.
+    """
+    if "shard" in (c.lower() for c in rows.columns):
+        name = next(c for c in rows.columns if c.lower() == "shard")
+        rows, key = rows.withColumnRenamed(name, _free(rows, "shard")), _free(rows, "shard") if key == name else key
+    part, slot = _free(rows, "_part"), _free(rows, "_own_slot")
+    kept = rows.withColumnRenamed("slot", slot) if "slot" in rows.columns else rows
+    placed = place(kept, slot if key == "slot" else key, shards, slots).drop("slot").withColumnRenamed(slot, "slot")
+    content = [f"`{c}`" for c, kind in placed.dtypes if "map<" not in kind and "variant" not in kind]
+    placed = placed.withColumn(part, F.pmod(F.xxhash64(*content), F.lit(files_per_shard)))
+    placed.repartition(len(shards) * files_per_shard, "shard", part).drop(part).write.partitionBy("shard").parquet(path)
