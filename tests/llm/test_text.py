@@ -4,6 +4,7 @@ import math
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import pytest
@@ -326,6 +327,19 @@ def test_extract_raw_and_foreign(inside, want):
     assert html_extract.extract(f"<body>{inside}<article>{BODY}</article></body>").endswith(BODY_TEXT)
 
 
+@pytest.mark.parametrize("page", ["<b>" * 20_000 + "text, here. " * 50, "<div>" * 20_000 + "text, here. " * 50, "<i>x, y. " * 20_000, "<div><p>x, y. " * 20_000, "<ul><li>x, y. " * 10_000, '<p title="x>y, z. ' * 3_000])
+def test_extract_deep(page):
+    """Time and memory go with a page's length, whatever its depth."""
+    start = time.process_time()
+    found = html_extract.extract(page)
+    assert time.process_time() - start < 10 and "<" not in found and ", " in found
+
+
+def test_extract_torn_tag():
+    assert html_extract.extract(f'<body><article><p title="x>Torn, but read. </p>{BODY}</article></body>') == "Torn, but read.\n" + BODY_TEXT
+    assert html_extract.extract(f"<body><article>{BODY}<p>A long text, 10 MB of it. {'Word, word. ' * 900_000}</p></article></body>").startswith(BODY_TEXT)
+
+
 def test_extract_page_in_noscript():
     for tag in ("noscript", "noframes", "template"):
         assert html_extract.extract(f"<body><{tag}><div>{BODY}</div></{tag}></body>") == BODY_TEXT

@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import sliced
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S)
+#: A tag whose quotes don't close before the page ends is read up to its first ">" (the last but one alternative).
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
+    r"|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<torn>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>|(?P<text>[^<]+|<)",
+    re.S,
+)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags whose content isn't read as HTML and is left out; without an end tag it is the rest of the page, but for an <iframe>, which is empty then.
@@ -62,16 +67,32 @@ PARTS = HEADINGS | frozenset("p ul ol li menu dl dt dd blockquote pre xmp table
 ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in (*RAW, "xmp")}
 
 
+#: Tags that end an open element, or keep it from being ended.
+_FAMILIES = WALLS | {"p"} | {t for ends, bars in CLOSES.values() for t in f"{ends} {bars}".split()}
+
+
 class Node:
-    __slots__ = ("away", "foreign", "main", "mark", "parent", "path", "tag")
+    """An element. What it takes from those around it is found once, so that a page takes time in proportion to its length at any depth."""
+
+    __slots__ = ("away", "depth", "firm_above", "foreign", "held", "in_main", "main", "mark", "near", "parent", "path", "tag", "under_main", "whole")
 
-    def __init__(self, tag: str, parent: Node | None, attrs: str = "") -> None:
+    def __init__(self, tag: str, parent: Node | None, attrs: str, paths: dict[tuple[int, str], int]) -> None:
         self.tag, self.parent, self.away = tag, parent, False
-        self.path = f"{parent.path}/{tag}" if parent else tag
+        self.depth = parent.depth + 1 if parent else 0
+        #: Number of the root-to-leaf tag path.
+        self.path = paths.setdefault((parent.path if parent else -1, tag), len(paths))
         self.mark = _mark(tag, attrs, parent) if parent else ""
+        #: Whether it is, or is in, an <article> or <main>.
+        self.in_main = parent is not None and parent.in_main or tag in ("article", "main")
+        #: The nearest element, itself included, that ends others or is ended by others.
+        self.near = self if tag in _FAMILIES else parent and parent.near
         #: The <svg> or <math> whose syntax holds in this element.
         self.foreign = self if tag in FOREIGN else None if parent is None or tag in HTML_IN_FOREIGN else parent.foreign
         self.main = tag == "main" or tag == "article" and not _hinted(tag, attrs)
+        #: Whether an element that is main, or firmly marked, is around or is this one.
+        self.under_main = parent is not None and parent.under_main or self.main
+        self.firm_above = parent is not None and parent.firm_above or self.mark == "firm"
+        self.held, self.whole = 0, False
 
 
 def _values(attrs: str) -> list[tuple[str, str]]:
@@ -95,7 +116,7 @@ def _mark(tag: str, attrs: str, parent: Node) -> str:
         return ""
     if tag in AWAY and tag not in WRAPS and not (tag == "template" and "shadowrootmode" in attrs.lower()):
         return "firm"
-    if tag == "header" and not any(n.tag in ("article", "main") for n in _up(parent)):
+    if tag == "header" and not parent.in_main:
         return "firm"
     for name, value in _values(attrs):
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -111,10 +132,29 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def parse(page: str) -> list[tuple[Node, str | None]]:
-    """Text nodes in page order: element, raw text; None where a block in the element begins or ends."""
-    root = Node("", None)
-    open_, out, at = root, [], 0
+def _near(node: Node) -> Iterator[Node]:
+    """The elements around, itself included, that end others or are ended by others."""
+    n = node.near
+    while n is not None:
+        yield n
+        n = n.parent and n.parent.near
+
+
+def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
+    """All elements, parents first, and the text nodes in page order: element, raw text; None where a block in the element begins or ends."""
+    paths: dict[tuple[int, str], int] = {}
+    root = Node("", None, "", paths)
+    open_, out, at, elements = root, [], 0, [root]
+    count: Counter[str] = Counter()
+
+    def end_to(node: Node) -> Node:
+        """Ends the open elements up to, but not with, ``node``."""
+        n = open_
+        while n is not node:
+            count[n.tag] -= 1
+            n = n.parent
+        return node
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         if m is None:  # an unfinished tag at the end
@@ -122,52 +162,67 @@ def parse(page: str) -> list[tuple[Node, str | None]]:
         at = m.end()
         if (text := m["text"]) is not None:
             if open_.tag == "head" and not text.isspace():
-                open_ = open_.parent
+                open_ = end_to(open_.parent)
             out.append((open_, text))
-        elif (tag := m["tag"]) is not None:
-            tag = tag.lower()
-            closed = m["attrs"].endswith("/")
+        elif (tag := m["tag"] or m["torn"]) is not None:
+            tag, attrs = tag.lower(), m["attrs"] if m["tag"] else m["rest"]
+            closed = attrs.endswith("/")
             while open_.foreign is not None and tag in BREAKS_OUT:
-                open_ = open_.foreign.parent
+                open_ = end_to(open_.foreign.parent)
             if tag in RAW:
                 if not (closed and (tag == "iframe" or open_.foreign is not None)):
                     end = ENDS[tag].search(page, at)
                     at = end.end() if end else at if tag == "iframe" else len(page)
                 continue
             if open_.tag == "head" and tag not in IN_HEAD:
-                open_ = open_.parent
-            if tag == "body":
-                open_ = next((n.parent for n in _up(open_) if n.tag == "head"), open_)
-            if tag in BLOCK:
-                found = next((n for n in _up(open_) if n.tag == "p" or n.tag in WALLS), None)
+                open_ = end_to(open_.parent)
+            if tag == "body" and count["head"]:
+                open_ = end_to(next(n.parent for n in _up(open_) if n.tag == "head"))
+            if tag in BLOCK and count["p"]:
+                found = next((n for n in _near(open_) if n.tag == "p" or n.tag in WALLS), None)
                 if found is not None and found.tag == "p":
-                    open_ = found.parent
+                    open_ = end_to(found.parent)
             if tag in CLOSES:
                 ends, bars = (x.split() for x in CLOSES[tag])
-                for n in _up(open_):
-                    if n.tag in bars or n.tag in WALLS:
-                        break
-                    if n.tag in ends:
-                        open_ = n.parent
+                if any(count[x] for x in ends):
+                    for n in _near(open_):
+                        if n.tag in bars or n.tag in WALLS:
+                            break
+                        if n.tag in ends:
+                            open_ = end_to(n.parent)
             if tag in BLOCK:
                 out.append((open_, None))
             if tag == "br":
                 out.append((open_, " "))
             if tag not in VOID and not closed:
-                open_ = Node(tag, open_, m["attrs"])
+                open_ = Node(tag, open_, attrs, paths)
+                elements.append(open_)
+                count[tag] += 1
                 if tag == "xmp" and (end := ENDS[tag].search(page, at)):  # shown as it is written
                     out.append((open_, html.escape(page[at : end.start()], quote=False)))
                     at = end.start()
         elif (tag := m["end"]) is not None:
             tag = tag.lower()
-            found = next((n for n in _up(open_) if n.tag == tag), None)
-            if found is not None:
-                open_ = found.parent
+            if count[tag]:
+                open_ = end_to(next(n.parent for n in _up(open_) if n.tag == tag))
             if tag in BLOCK:
                 out.append((open_, None))
         elif m["cdata"]:
             out.append((open_, m["cdata"]))
-    return out
+    return elements, out
+
+
+def hold(elements: list[Node], texts: list[tuple[Node, str]], picked: list[bool]) -> int:
+    """Sets ``held``, the selected text in every element; returns all of it."""
+    for n in elements:
+        n.held = 0
+    for (node, text), ok in zip(texts, picked):
+        if ok:
+            node.held += len(text)
+    for n in reversed(elements):
+        if n.parent is not None:
+            n.parent.held += n.held
+    return elements[0].held
 
 
 def _smoothed(values: list[float], width: int = 2) -> list[float]:
@@ -196,7 +251,7 @@ def content_nodes(texts: list[tuple[Node, str]]) -> list[bool]:
     return [x >= least for x in fused]
 
 
-def put_away(nodes: list[Node], texts: list[tuple[Node, str]]) -> None:
+def put_away(elements: list[Node], texts: list[tuple[Node, str]]) -> None:
     """Sets ``away`` on the elements that are marked, or in such an element, unless the mark is void.
 
     A hint, or a tag that only wraps, is void on an element that holds an <article> or <main>;
@@ -204,30 +259,21 @@ def put_away(nodes: list[Node], texts: list[tuple[Node, str]]) -> None:
     (or with none that holds selected text) every mark is void on an element that holds more
     than half of the selected text, and that of a tag that only wraps is on any page.
     """
-    elements: dict[Node, None] = {}  # parents first
-    for node in nodes:
-        chain = []
-        for n in _up(node):
-            if n in elements:
-                break
-            chain.append(n)
-        elements.update(dict.fromkeys(reversed(chain)))
     if not any(n.mark for n in elements):
         return
-    mains = [n for n in elements if n.main]
-    around = {a for n in mains for a in _up(n.parent)}
-    held: dict[Node, int] = defaultdict(int)
-    total = within = 0
-    for (node, text), ok in zip(texts, content_nodes(texts)):
-        if ok:
-            total += len(text)
-            up = list(_up(node))
-            within += any(n.main for n in up)
-            for n in up:
-                held[n] += len(text)
-    lost = all(any(a.mark == "firm" for a in _up(n.parent)) for n in mains)
+    hold(elements, texts, [True] * len(texts))
+    mains, around = [n for n in elements if n.main and n.held], set()  # an empty one says nothing
+    for n in mains:
+        for a in _up(n.parent):
+            if a in around:
+                break
+            around.add(a)
+    picked = content_nodes(texts)
+    total = hold(elements, texts, picked)
+    within = any(ok and node.under_main for (node, _), ok in zip(texts, picked))
+    lost = all(n.parent.firm_above for n in mains)
     for n in elements:
-        most = 2 * held[n] > total
+        most = 2 * n.held > total
         if n.mark == "firm":
             void = n in around and lost or most and not within
         else:
@@ -235,16 +281,10 @@ def put_away(nodes: list[Node], texts: list[tuple[Node, str]]) -> None:
         n.away = n.parent is not None and n.parent.away or n.mark != "" and not void
 
 
-def article(texts: list[tuple[Node, str]], picked: list[bool], share: float = 0.9) -> Node:
+def article(elements: list[Node], texts: list[tuple[Node, str]], picked: list[bool], share: float = 0.9) -> Node:
     """The smallest element that holds ``share`` of the selected text; <article> and <main> win over what is in them."""
-    held: dict[Node, int] = defaultdict(int)
-    total = 0
-    for (node, text), ok in zip(texts, picked):
-        if ok:
-            total += len(text)
-            for n in _up(node):
-                held[n] += len(text)
-    best = min((n for n in held if held[n] >= share * total), key=lambda n: (-n.path.count("/"), n.path))
+    least = share * hold(elements, texts, picked)
+    best = max((n for n in elements if n.held >= least), key=lambda n: n.depth)
     while best.parent is not None and best.tag not in BLOCK:
         best = best.parent
     if best.tag == "p" or best.tag in HEADINGS:  # a single paragraph: its siblings belong to it
@@ -253,32 +293,43 @@ def article(texts: list[tuple[Node, str]], picked: list[bool], share: float = 0.
     return next((n for n in outer if n.tag == "article"), outer[0] if outer else best)
 
 
-def _section(node: Node, around: set[Node]) -> Node:
-    """What a selected text belongs to outside the article: its <article> or <main>, or else its nearest container, but nothing ``around`` the article."""
-    best, up = node, [n for n in _up(node) if n not in around]
-    outer = [n for n in up if n.tag in ("article", "main")]
-    if outer:
-        return outer[-1]
-    for n in up:
-        best = n
-        if n.tag in BLOCK and n.tag not in PARTS:
-            break
-    return best
+def sections(elements: list[Node], around: set[Node]) -> dict[Node, Node]:
+    """What a selected text in an element belongs to outside the article.
+
+    Its outermost <article> or <main>, or else its nearest container, but nothing ``around``
+    the article; a text right in what is around it, to that.
+    """
+    outer: dict[Node, Node] = {}
+    box: dict[Node, Node] = {}
+    for n in elements:
+        if n in around:
+            box[n] = n
+            continue
+        inner = n.parent not in around
+        if inner and n.parent in outer:
+            outer[n] = outer[n.parent]
+        elif n.tag in ("article", "main"):
+            outer[n] = n
+        box[n] = n if not inner or n.tag in BLOCK and n.tag not in PARTS else box[n.parent]
+    return box | outer
 
 
 def extract(page: str) -> str:
     """The main text: blocks of the article and of the other selected sections in page order, one a line."""
-    nodes = [(node, text and html.unescape(text)) for node, text in parse(page)]
+    elements, nodes = parse(page)
+    nodes = [(node, text and html.unescape(text)) for node, text in nodes]
     texts = [(node, t) for node, text in nodes if text and (t := " ".join(text.split()))]
     if texts:
-        put_away([node for node, _ in nodes], texts)
+        put_away(elements, texts)
         texts = [(node, t) for node, t in texts if not node.away]
     if not texts:
         return ""
     picked = content_nodes(texts)
-    top = article(texts, picked)
-    around = set(_up(top))
-    whole = {top, *(_section(node, around) for (node, _), ok in zip(texts, picked) if ok)}
+    top = article(elements, texts, picked)
+    of = sections(elements, set(_up(top)))
+    whole = {top, *(of[node] for (node, _), ok in zip(texts, picked) if ok)}
+    for n in elements:
+        n.whole = n in whole or n.parent is not None and n.parent.whole
     selected = iter(picked)
     blocks: list[list[str]] = [[]]
     keep = [False]
@@ -291,7 +342,7 @@ def extract(page: str) -> str:
         else:
             blocks[-1].append(text)
             if text.strip():
-                keep[-1] |= next(selected) or any(n in whole for n in _up(node))  # a selected text may be right in what is around the article
+                keep[-1] |= next(selected) or node.whole
     lines = (" ".join("".join(parts).split()) for parts, ok in zip(blocks, keep) if ok)
     return "\n".join(x for x in lines if x)
 
