@@ -71,6 +71,8 @@ def test_bpe(make_docs, odd_rows, name):
     got = bpe.decode(bpe.encode(make_docs(rows), path, piece=100), path).collect()
     want = Counter((i, tuple(ids := t.encode(x or "", add_special_tokens=False).ids), t.decode(ids, skip_special_tokens=False)) for i, x in rows)
     assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got) == want
+    at_once = bpe.encode(make_docs(rows), path, piece=100, decoded=True).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in at_once) == want
     empty = bpe.decode(bpe.encode(make_docs(rows).limit(0), path), path)
     assert empty.columns == ["doc_id", "ids", "decoded"] and empty.count() == 0
 

@@ -27,20 +27,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import CACHES, sliced
 
 #: Code points of a piece, and of a window's half at first.
 PIECE, WINDOW = 32_768, 64
 #: Words in a row on which a window and a piece must agree.
 AGREED = 2
 #: Bytes that a worker's memory of stretches takes at most, those of an entry besides its text and ids, and the longest stretch.
-REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_CHARS = 96 << 20, 180, 40
+REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_CHARS = 64 << 20, 180, 40
 #: Tokens that are decoded at a time.
 TOKENS_AT_ONCE = 1 << 20
 #: Bytes of a tokenizer file that is broadcast.
 MOST_FILE = 64 << 20
 _STRETCH = re.compile(r"[^\x20\x09-\x0D]+")
 _coders: dict[str, Coder] = {}
+CACHES.append(_coders)
 
 
 def space_bound(spec: dict) -> bool:
@@ -192,6 +193,7 @@ def join_tree(tool: Coder, pieces: list[Piece]) -> Piece:
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_BOTH = pa.schema([*_IDS, ("decoded", pa.string())])
 
 
 def _lists(rows: list[bytes] | list[np.ndarray]) -> pa.ListArray:
@@ -200,12 +202,18 @@ def _lists(rows: list[bytes] | list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype=np.int32), *rows])))
 
 
-def _encode(spec):
+def _out(tool: Coder, doc_ids: pa.Array, ids: pa.ListArray, decoded: bool) -> pa.RecordBatch:
+    if decoded:
+        return pa.RecordBatch.from_arrays([doc_ids, ids, tool.decode_many(ids)], schema=_BOTH)
+    return pa.RecordBatch.from_arrays([doc_ids, ids], schema=_IDS)
+
+
+def _encode(spec, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = coder(spec.value)
-        for part in sliced(batches, "text"):
+        for part in sliced(batches, "text", own=_coders):
             texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(tool.encode_many(texts))], schema=_IDS)
+            yield _out(tool, part.column("doc_id"), _lists(tool.encode_many(texts)), decoded)
 
     return run
 
@@ -214,7 +222,7 @@ def _cut(size: int):
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, "text"):
+        for part in sliced(batches, "text", own=_coders):
             for r in part.to_pylist():
                 parts = [r["text"][k : k + size] for k in range(0, len(r["text"]), size)]
                 yield pa.RecordBatch.from_pylist([{"row": r["row"], "doc_id": r["doc_id"], "piece": k, "text": t} for k, t in enumerate(parts)], schema)
@@ -237,7 +245,7 @@ def _encode_pieces(spec):
     return run
 
 
-def _join(spec):
+def _join(spec, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = coder(spec.value)
         for batch in batches:
@@ -246,7 +254,7 @@ def _join(spec):
                 for p in batch.column("pieces")[k]:
                     starts = np.asarray(p["starts"].values, dtype=np.int64)
                     pieces.append(Piece(p["text"].as_py(), np.asarray(p["ids"].values, dtype=np.int32), np.where(starts < 0, ~starts, starts), starts >= 0))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 1), _lists([join_tree(tool, pieces).ids])], schema=_IDS)
+                yield _out(tool, batch.column("doc_id").slice(k, 1), _lists([join_tree(tool, pieces).ids]), decoded)
 
     return run
 
@@ -258,9 +266,12 @@ def _broadcast(spark, tokenizer_path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, decoded: bool = False) -> DataFrame:
     """doc_id, ids: token ids of every whole text, as the library encodes it unsplit.
 
+    ``decoded`` adds a column of that name, which ``decode`` would give for the ids, without
+    a second worker and pass for each task.
+
     No special tokens are added; their strings in a text become their ids, as the library
     does. A null or empty text has no ids. One row per row, repeated ones too. Other columns
     are ignored; an empty table gives no rows. The tokenizer file is read on the driver
@@ -268,22 +279,20 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """
     spec = _broadcast(docs.sparkSession, tokenizer_path)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    short = docs.filter(F.length("text") <= piece).mapInArrow(_encode(spec), "doc_id long, ids array<int>")
+    schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
+    short = docs.filter(F.length("text") <= piece).mapInArrow(_encode(spec, decoded), schema)
     long = docs.filter(F.length("text") > piece).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     cut = long.mapInArrow(_cut(piece), "row long, doc_id long, piece int, text string").repartition("row", "piece")
     coded = cut.mapInArrow(_encode_pieces(spec), cut.schema.simpleString()[7:-1] + ",ids array<int>,starts array<int>")
     whole = coded.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("piece", "text", "ids", "starts"))).alias("pieces"))
-    return short.unionAll(whole.mapInArrow(_join(spec), "doc_id long, ids array<int>"))
+    return short.unionAll(whole.mapInArrow(_join(spec, decoded), schema))
 
 
 def _decode(spec):
-    schema = pa.schema([*_IDS, ("decoded", pa.string())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = coder(spec.value)
-        for part in sliced(batches, "ids", TOKENS_AT_ONCE):
-            ids = part.column("ids").cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, tool.decode_many(ids)], schema=schema)
+        for part in sliced(batches, "ids", TOKENS_AT_ONCE, _coders):
+            yield _out(tool, part.column("doc_id"), part.column("ids").cast(pa.list_(pa.int32())), True)
 
     return run
 

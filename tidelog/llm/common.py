@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -135,11 +137,29 @@ def row_mark(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+#: What kernels remember in a worker from task to task.
+CACHES: list[dict] = []
+
+
+def forget_caches(own: dict | None) -> None:
+    """Give back what other operators' kernels have left in this worker, as workers outlive a job."""
+    left = [c for c in CACHES if c is not own and c]
+    if left:
+        for c in left:
+            c.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = AT_ONCE, own: dict | None = None) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose ``column`` has about ``most`` bytes, or list items; a longer row is one slice.
 
-    What a worker holds as Python objects is then bounded by the data's size, not by a number of rows.
+    What a worker holds as Python objects is then bounded by the data's size, not by a number
+    of rows. ``own`` is the caller's cache among CACHES; all others are emptied first.
     """
+    forget_caches(own)
     for batch in batches:
         values = batch.column(column)
         sizes = values.value_lengths() if pa.types.is_list(values.type) else pc.binary_length(values)

@@ -61,7 +61,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame, *keep: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
+    coded = bpe.encode(docs, tokenizer_path(), decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_hex(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"), *keep)
 
 
