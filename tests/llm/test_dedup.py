@@ -81,7 +81,9 @@ def brute_substring(rows, width):
     return Counter(out)
 
 
-def test_substring(make_docs, odd_rows):
+@pytest.mark.parametrize("hot_keys", [2000, 3])
+def test_substring(make_docs, odd_rows, monkeypatch, hot_keys):
+    monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
     got = substring_dedup.substring_dedup(make_docs(odd_rows), width=50).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == brute_substring(odd_rows, 50)
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
@@ -245,3 +247,17 @@ def test_marked(spark, n):
     got = common.marked(rows, "doc_id", spark.range(n).select((F.col("id") * 7).alias("id"))).collect()
     true = {r.doc_id for r in got if r.maybe}
     assert len(got) == 20_000 and {7 * k for k in range(n)} <= true and len(true) < n * 1.2 + 5
+
+
+def test_beside(spark, tmp_path):
+    """A hot key, others, nulls and no rows."""
+    spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 9_000).alias("k"), "id").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert common.hot_hashes(rows, ["k"]) == sorted(r[0] for r in rows.filter("k = 7 or k is null").select(F.xxhash64("k")).distinct().collect())
+    want = Counter((r.k, r.id) for r in rows.filter("k is not null").collect())
+    got = common.beside(rows.filter("k is not null"), ["k"], low=F.min("id"), n=F.count(F.lit(1))).collect()
+    low, n = {}, Counter()
+    for k, i in want:
+        low[k], n[k] = min(low.get(k, i), i), n[k] + 1
+    assert Counter((r.k, r.id) for r in got) == want and all(r.low == low[r.k] and r.n == n[r.k] for r in got)
+    assert common.beside(rows.limit(0), ["k"], low=F.min("id")).count() == 0

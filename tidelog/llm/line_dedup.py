@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget_shuffles, hot_hashes, marked, release, row_mark, stored
+from .common import forget_shuffles, marked, release, row_mark, split_hot, stored
 
 
 def line_key(line: Column) -> Column:
@@ -36,18 +36,15 @@ def keep_runs(dropped: Column, n_lines: Column) -> Column:
 
 def lost_lines(keyed: DataFrame, min_docs: int) -> DataFrame:
     """doc_id, mark, n_lines, pos of the lines of ``keyed`` (those and key) that go."""
-    hot = hot_hashes(keyed, "key")
-    hot = keyed.sparkSession.createDataFrame([(h,) for h in hot], "h long")  # fewer than 4 * HOT_KEYS
-    rows = keyed.withColumn("h", F.xxhash64("key"))
+    stream, common = split_hot(keyed, ["key"])
     place = ["doc_id", "mark", "n_lines", "pos"]
 
-    stream = rows.join(F.broadcast(hot), "h", "left_anti").repartitionByRange("key").sortWithinPartitions("key", F.desc("doc_id"), "mark", "pos")
+    stream = stream.repartitionByRange("key").sortWithinPartitions("key", F.desc("doc_id"), "mark", "pos")
     key = Window.partitionBy("key")  # the range partitioning and the sort serve this as they are
     nth = F.dense_rank().over(key.orderBy(F.desc("doc_id")))
     stream = stream.withColumn("nth", nth).withColumn("n_docs", F.max("nth").over(key.orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     cold = stream.filter((F.col("nth") > 1) & (F.col("n_docs") >= min_docs)).select(place)
 
-    common = rows.join(F.broadcast(hot), "h", "left_semi")
     firsts = common.groupBy("key", "doc_id").agg(F.count(F.lit(1))).groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("first_doc"))
     firsts = firsts.filter(F.col("n_docs") >= min_docs)
     return cold.unionByName(common.join(F.broadcast(firsts), "key").filter("doc_id != first_doc").select(place))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import forget_shuffles, join_unique, marked, maybe_in, release, row_mark, sliced, stored, total_of
+from .common import beside, forget_shuffles, marked, maybe_in, release, row_mark, sliced, stored
 
 #: Rows of one Arrow batch that a kernel returns at most.
 OUT_ROWS = 200_000
@@ -90,11 +90,9 @@ def shared_windows(docs: DataFrame, width: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.filter("doc_id is not null")
     marks = stored(docs.select("doc_id", "text").mapInArrow(_minimizer_rows(width), "m long, doc_id long"), "sub-minimizers")
-    shared = marks.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
-    shared = stored(shared.filter("low < high").select("m", "n"), "sub-shared")
-    own = join_unique(marks, shared, ["m"], "n", total_of(shared, "n"))
-    own = stored(own.groupBy("doc_id").agg(F.collect_set("m").alias("shared")), "sub-own")
-    release(marks, shared)
+    shared = beside(marks, ["m"], low=F.min("doc_id"), high=F.max("doc_id")).filter("low < high")
+    own = stored(shared.groupBy("doc_id").agg(F.collect_set("m").alias("shared")), "sub-own")
+    release(marks)
     forget_shuffles(spark)
     # Only texts that may have a shared minimizer are shuffled, and at any size.
     some = maybe_in(docs, "doc_id", own.select(F.col("doc_id").alias("id")))
@@ -102,12 +100,9 @@ def shared_windows(docs: DataFrame, width: int) -> DataFrame:
     windows = stored(windows.mapInArrow(_window_rows(width), "h long, g int, doc_id long, at long"), "sub-windows")
     release(own)
     forget_shuffles(spark)
-    first = windows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
-    first = stored(first.filter("low < high").select("h", "g", "low", "n"), "sub-first")
-    forget_shuffles(spark)
-    later = join_unique(windows, first, ["h", "g"], "n", total_of(first, "n")).filter("doc_id > low")
+    later = beside(windows, ["h", "g"], low=F.min("doc_id")).filter("doc_id > low")
     out = stored(later.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "sub-later")
-    release(windows, first)
+    release(windows)
     forget_shuffles(spark)
     return out
 
