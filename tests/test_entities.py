@@ -1,11 +1,16 @@
 """Entity registry, type-2 history, linker and metrics on hand-made rows."""
 
 import datetime as dt
+import random
+import re
+from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import ids, text
-from tidelog.operators import linker, metrics, portfolio, registry, scd2
+from tidelog.operators import linker, metrics, portfolio, registry, scd2, store
+from tidelog.sources import files
 
 
 def day(n):
@@ -54,7 +59,7 @@ def test_cascade(spark):
     ranked = linker.cascade([linker.ticker_candidates(m, tickers, entities), linker.alias_candidates(m, aliases, entities), linker.canonical_candidates(m, entities), linker.fuzzy_candidates(m, aliases, entities)])
     got = {r.mention_id: (r.resolved_id, r.reason) for r in linker.decide(m, ranked).collect()}
     assert got[1] == ("CO_1", None) and got[2] == ("CO_2", None)
-    assert got[3] == (None, "Low confidence (0.40 < 0.95)") and got[5] == (None, "No candidates found") and got[4][0] is None
+    assert got[3] == (None, "Low confidence: best=0.40 < threshold=0.95") and got[5] == (None, "No candidates found") and got[4][0] is None
     assert linker.quarantine(linker.decide(m, ranked), ranked).filter("context is not null").count() == 2
 
 
@@ -89,3 +94,108 @@ def test_cascade_gets_tickers(spark):
     assert held and all(got[t].resolved_id.startswith("CO_") and got[t].confidence == 1.0 for t in held)
     assert {r.mention_id for r in Q._ranked(spark, data).filter("strategy = 1").collect()} == {got[t].mention_id for t in held}
     assert {r.text for r in V.mentions(spark, data).collect()} <= got.keys()
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def grams(x):
+    return {("  " + w + " ")[i : i + 3] for w in re.findall(r"[^\W_]+", x.lower()) for i in range(len(w) + 1)}
+
+
+def test_fuzzy_against_all_pairs(spark):
+    """The prefix filter loses no pair, at any threshold."""
+    rng = random.Random(8)
+    words = ["aluminium", "alu", "bolt", "bolts", "blue", "blew", "widget", "wid", "red", "a", "ax"]
+    names = sorted({" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(60)})
+    entities = spark.createDataFrame([(f"E{k}", n, "ACTIVE") for k, n in enumerate(names)], "syn_id string, canonical_name string, status string")
+    aliases = spark.createDataFrame([(f"E{k}", n, None) for k, n in enumerate(names)], "syn_id string, alias string, confidence double")
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(40)] + ["", "zzz", "..."]
+    m = spark.createDataFrame(list(enumerate(texts)), "mention_id long, text string")
+    for least in (0.3, 0.5, 0.8):
+        found = {(r.mention_id, r.syn_id): r.similarity for r in linker.fuzzy_candidates(m, aliases, entities, least).collect()}
+        for i, t in enumerate(texts):
+            want = sorted(((-len(grams(t) & grams(n)) / len(grams(t) | grams(n)), f"E{k}") for k, n in enumerate(names) if grams(t) and len(grams(t) & grams(n)) >= least * len(grams(t) | grams(n)) - 1e-12))[:10]
+            assert {k: round(v, 9) for (j, k), v in found.items() if j == i} == {k: round(-v, 9) for v, k in want}
+
+
+def test_cascade_against_loop(spark):
+    """The whole cascade over the stand-ins, mention by mention."""
+    from tidelog.plans import entity_queries as Q
+    from tidelog.plans import views as V
+
+    live = {r.syn_id: r.canonical_name for r in V.entities(spark, SMALL).filter("status = 'ACTIVE'").collect()}
+    tickers = [(r.value.upper(), r.syn_id) for r in Q._tickers(spark, SMALL).filter("valid_to is null").collect() if r.syn_id in live]
+    aliases = [r for r in V.aliases(spark, SMALL).collect() if r.syn_id in live]
+    conf = lambda c: c if c else 1.0
+    lex = lambda x: {w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w for w in re.findall(r"[^\W_]+", x.lower()) if w not in text.STOP_WORDS}
+    tier = lambda s: 0.9 if s >= 0.9 else 0.8 if s >= 0.8 else 0.7
+    got = {r.mention_id: r for r in Q.link_cascade(spark, SMALL).collect()}
+    canonical = {}
+    for r in Q.link_canonical(spark, SMALL).collect():
+        canonical.setdefault(r.mention_id, {})[r.syn_id] = r.confidence
+    for r in Q._cascade_mentions(spark, SMALL).collect():
+        n = re.sub(r"\s+", " ", r.text.lower()).strip()
+        found = {s: 1.0 for t, s in tickers if re.fullmatch(r"[A-Z]{1,5}(\.[A-Z])?", r.text) and t == r.text.strip().upper()}
+        if not found:
+            for a in aliases:
+                if a.alias.lower() == n:
+                    found[a.syn_id] = max(found.get(a.syn_id, 0), min(conf(a.confidence), 0.95))
+        by_name = {s: SequenceMatcher(None, n, name.lower()).ratio() * 0.85 for s, name in live.items() if lex(n) and lex(n) <= lex(name)}
+        top = sorted(by_name.items(), key=lambda x: (-x[1], x[0]))[:10]
+        assert {s: round(v, 6) for s, v in top} == canonical.get(r.mention_id, {}) or r.mention_id not in {m.mention_id for m in V.mentions(spark, SMALL).collect()}
+        if not found:
+            found = dict(top)
+        if not found:
+            sims = sorted({(-len(grams(n) & grams(a.alias)) / max(1, len(grams(n) | grams(a.alias))), a.syn_id, -min(tier(len(grams(n) & grams(a.alias)) / max(1, len(grams(n) | grams(a.alias)))), conf(a.confidence))) for a in aliases})
+            for s, i, c in [x for x in sims if -x[0] >= 0.3][:10]:
+                found[i] = max(found.get(i, 0), -c)
+        ranked = sorted(found.items(), key=lambda x: (-x[1], x[0]))[: 10 if found else 0]
+        g = got[r.mention_id]
+        if not ranked:
+            assert (g.resolved_id, g.reason) == (None, "No candidates found")
+        elif ranked[0][1] >= 0.95:
+            assert (g.resolved_id, g.reason) == (ranked[0][0], None)
+        else:
+            assert g.resolved_id is None and round(ranked[0][1], 6) == g.confidence and g.reason.startswith("Ambiguous" if len(ranked) > 1 and ranked[0][1] - ranked[1][1] < 0.1 else "Low")
+
+
+def test_resolve_ties(spark):
+    ids_ = [(f"CO_{k}", "TICKER", "T", day(1 + k % 2), None) for k in range(1, 9)]
+    held = spark.createDataFrame(ids_, "syn_id string, scheme string, value string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    entities = held.select("syn_id")
+    probe = spark.createDataFrame([("TICKER", "T", day(1)), ("TICKER", "T", day(3))], "scheme string, value string, at timestamp_ntz")
+    assert [r.syn_id for r in registry.resolve(probe, held, entities).orderBy("at").collect()] == ["CO_2", "CO_1"]
+
+
+def test_store(spark, tmp_path):
+    good = ids.make_id("CO", F.lit(1))
+    j = spark.createDataFrame([('{"b": 1, "a": [1, {"y": null, "x": 2}]}', '{ "a":[1,{"x":2,"y":null}],"b":1}'), ("{}", None), ("{x", None)], "a string, b string")
+    rows = j.select(store.canonical_json(F.col("a")).alias("a"), store.canonical_json(F.col("b")).alias("b"), store.no_empty_json(F.col("a")).alias("n")).collect()
+    assert rows[0].a == rows[0].b and rows[1].a == "{}" and rows[1].n is None and rows[2].a is None
+    items = spark.createDataFrame([(1, day(1), None, None, None), (2, day(2), "CO_9", day(3), "x"), (3, day(3), None, None, None)], "id long, ingested_at timestamp_ntz, resolved_syn_id string, resolved_at timestamp_ntz, resolved_by string")
+    d = spark.createDataFrame([(1, 2, day(6), "late"), (1, 1, day(5), "early"), (2, 1, day(5), "taken"), (7, 1, day(5), "none")], "id long, k long, resolved_at timestamp_ntz, resolved_by string").withColumn("syn_id", ids.make_id("CO", F.col("k"))).drop("k")
+    table, refused = store.resolve_items(items, d)
+    assert {r.id: r.resolved_by for r in table.collect()} == {1: "early", 2: "x", 3: None}
+    assert sorted((r.id, r.resolved_by) for r in refused.collect()) == [(1, "late"), (2, "taken"), (7, "none")]
+    assert [r.id for r in store.quarantine_items(items, False).collect()] == [3, 1]
+    e = spark.range(1).select(good.alias("src_syn_id"), good.alias("dst_syn_id"), F.lit("OWNS").alias("rel_type"), F.lit(1.0).alias("confidence"))
+    assert e.select(store.edge_error()).first()[0] == "source is destination"
+    (tmp_path / "c.csv").write_text("ticker,name,figi,lei,isin\nAAPL, Apple Inc.,F1,,\n,Nameless\nX,,,,\n")
+    entities, held = files.load_companies(spark, f"file://{tmp_path}/c.csv")
+    assert entities.count() == 2 and entities.filter(~ids.id_valid(F.col("syn_id"))).count() == 0
+    assert sorted((r.scheme, r.value) for r in held.collect()) == [("FIGI", "F1"), ("TICKER", "AAPL")]
+    (tmp_path / "x.csv").write_text("mic,name,country\nXNAS,Nasdaq,US\n,No,US\n")
+    assert [r.value for r in files.load_exchanges(spark, f"file://{tmp_path}/x.csv")[1].collect()] == ["XNAS"]
+
+
+def test_batch_is_atomic(spark):
+    current = spark.createDataFrame([(1, day(3), "a", 0.5, None)], "k long, valid_from timestamp_ntz, v string, confidence double, valid_to timestamp_ntz")
+    staged = spark.createDataFrame([(1, day(5), "b", 0.5), (2, day(5), "b", 0.5), (2, day(5), "c", 0.5)], "k long, valid_from timestamp_ntz, v string, confidence double")
+    args = ["k"], ["v"], ["confidence"], ["valid_from", "v"], F.when(F.col("confidence") > 1, "too sure")
+    merged, errors = scd2.merge_batch(current, staged, *args)
+    assert merged is None and [(r.v, r.error) for r in errors.collect()] == [("c", "valid_from isn't after the version before")]
+    merged, errors = scd2.merge_batch(current, staged.filter("v = 'b'"), *args)
+    assert sorted((r.k, r.v, r.action) for r in merged.collect()) == [(1, "a", "kept"), (1, "b", "updated"), (2, "b", "inserted")] and errors.count() == 0
+    with pytest.raises(ValueError):
+        scd2.merge_batch(current, staged.limit(0), *args)

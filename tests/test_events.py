@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,8 +71,54 @@ def test_golden_round_trip(spark, tmp_path):
     assert manifest.agg(F.sum("events")).first()[0] == 83 and manifest.count() == 4
     assert eventlog.incomplete_files(back, manifest).count() == 0
     assert [r.symbol for r in eventlog.list_files(spark, path).select("symbol").collect()] == ["AAPL", "MSFT", "SPY", "TSLA"]
-    eventlog.write_log(events(spark, [dict(symbol="NEW", price=1.0, size=1.0)]), path, "s2", "live")
-    assert eventlog.read_manifest(spark, path).count() == 5
+    for _ in range(2):  # a commit that is written again replaces itself
+        eventlog.write_log(events(spark, [dict(symbol="NEW", price=1.0, size=1.0)]), path, "s2", "live", commit="c2")
+    assert eventlog.read_manifest(spark, path).count() == 5 and eventlog.read_log(spark, path).count() == 84
+    back.limit(1).drop("commit", "symbol", "event_date").write.parquet(f"{path}/events/commit=torn/symbol=X/event_date=2024-01-10")
+    torn = eventlog.read_log(spark, path)
+    assert [r.file.split("commit=")[1].split("/")[0] for r in eventlog.incomplete_files(torn, eventlog.read_manifest(spark, path)).collect()] == ["torn"]
+
+
+def test_append_refuses(spark, tmp_path):
+    """Validation first, then the order of a symbol's day; a refused event doesn't advance the state."""
+    day = 86_400 * clock.NS
+    rows = [dict(level=k, price=1.0, size=1.0, ts_monotonic_ns=m, seq=q) | more for k, (m, q, more) in enumerate([
+        (10, 1, {}), (50, 9, {"price": -1.0}), (5, 2, {}), (20, 2, {}), (20, 2, {}), (30, 1, {"source": "other"}), (30, 1, {"symbol": "MSFT"}), (40, 3, {"ts_event_ns": BASE + day, "ts_receive_ns": BASE + day}), (31, 3, {}),
+    ])]
+    bad = eventlog.write_log(events(spark, rows), f"file://{tmp_path}/log", "s", "live", arrival=["level"]).collect()
+    assert {r.level: r.error for r in bad} == {1: "bad price", 2: ordering.CLOCK_BACK, 4: ordering.SEQUENCE_BACK}
+    assert sorted(r.level for r in eventlog.read_log(spark, f"file://{tmp_path}/log").collect()) == [0, 3, 5, 6, 7, 8]
+
+
+def test_fold_against_loop():
+    rng = np.random.default_rng(2)
+    for n in range(300):
+        clock_, seq = rng.integers(0, 30, n % 40).cumsum() // 8 - rng.integers(0, 3, n % 40), rng.integers(0, 12, n % 40)
+        source = rng.choice(np.array(["a", "b"], dtype=object), n % 40)
+        want, last = [], None
+        for m, s, q in zip(clock_, source, seq):
+            bad = 0 if last is None else 1 if m < last[0] else 2 if s == last[1] and q <= last[2] else 0
+            last = last if bad else (m, s, q)
+            want.append(bad)
+        cut = n % 7  # in two parts, with the state between
+        first, state = ordering.fold(clock_[:cut], source[:cut], seq[:cut], ordering.NOTHING)
+        rest, state = ordering.fold(clock_[cut:], source[cut:], seq[cut:], state)
+        assert [*first, *rest] == want and (not want or state == last)
+
+
+def test_row_groups_of_files(spark, tmp_path):
+    """600,000 trades over 100 minutes in groups of 250,000 rows at most; a narrow range touches few of them."""
+    path = f"file://{tmp_path}/log"
+    rows = spark.range(600_000).select(*[F.lit(v).alias(k) for k, v in HEADER.items() if k not in ("ts_event_ns", "ts_receive_ns", "seq")], (F.lit(BASE) + F.col("id") * 10_000_000).alias("ts_event_ns"), (F.lit(BASE) + F.col("id") * 10_000_000).alias("ts_receive_ns"), (F.col("id") + 1).alias("seq"), F.lit(1.0).alias("price"), F.lit(1.0).alias("size"))
+    assert eventlog.write_log(rows, path, "s", "replay").count() == 0
+    groups = eventlog.footers(spark, path)
+    assert groups.agg(F.sum("rows"), F.max("rows")).first()[0] == 600_000 and groups.filter("rows > 250000").count() == 0 and groups.count() >= 3
+    early = (BASE, BASE + 60 * clock.NS)
+    hit = eventlog.touched(groups, early)
+    assert 0 < hit.filter("touched").count() < 0.7 * groups.count()
+    assert eventlog.footers(spark, path, early).count() < groups.count() and eventlog.footers(spark, path, (0, 1)).count() == 0
+    found = eventlog.in_range(eventlog.read_log(spark, path), early)
+    assert found.count() == 6001
 
 
 @pytest.mark.parametrize(
@@ -120,6 +167,23 @@ def test_clock(spark):
     t = spark.createDataFrame([(dt.datetime(2025, 11, 2, 1, 30),), (dt.datetime(2025, 3, 9, 2, 30),), (dt.datetime(2025, 7, 1, 9, 30),), (None,)], "t timestamp_ntz")
     got = [r[0] for r in t.select(clock.localize(F.col("t"), F.lit("NYSE"), F.lit(None).cast("timestamp_ntz"))).collect()]
     assert got == [dt.datetime(2025, 11, 2, 6, 30), dt.datetime(2025, 3, 9, 6, 30), dt.datetime(2025, 7, 1, 13, 30), None]
+    text = spark.createDataFrame([("2025-07-01 09:30:00",), ("2025-07-01T09:30:00+02:00",), ("2025-07-01T09:30:00Z",), ("bad",), (None,)], "s string")
+    got = [r[0] for r in text.select(clock.localize_text(F.col("s"), F.lit("NYSE"), F.lit("2000-01-01").cast("timestamp_ntz"))).collect()]
+    assert got == [dt.datetime(2025, 7, 1, 13, 30), dt.datetime(2025, 7, 1, 7, 30), dt.datetime(2025, 7, 1, 9, 30), dt.datetime(2000, 1, 1), dt.datetime(2000, 1, 1)]
+
+
+def test_localize_like_zoneinfo(spark):
+    """Every quarter of an hour of the days on which clocks change, in zones of both hemispheres."""
+    from zoneinfo import ZoneInfo
+
+    days = [dt.datetime(2025, *d) for d in ((3, 9), (3, 30), (4, 6), (10, 5), (10, 26), (11, 2))]
+    rows = [(v, d + dt.timedelta(minutes=15 * k)) for v in ("NYSE", "LSE", "ASX", "XETRA", "KRX", "NSE") for d in days for k in range(96)]
+    got = spark.createDataFrame(rows, "v string, t timestamp_ntz").select("v", "t", clock.localize(F.col("t"), F.col("v"), F.lit(None).cast("timestamp_ntz")).alias("u")).collect()
+    for r in got:
+        z = ZoneInfo(clock.VENUE_ZONES[r.v])
+        early, late = (r.t.replace(tzinfo=z, fold=f).utcoffset() for f in (0, 1))
+        offset = min(early, late) if early > late else max(early, late)  # twice: standard time; skipped: summer time
+        assert r.u == r.t - offset, (r, offset)
 
 
 def test_aggressor(spark):

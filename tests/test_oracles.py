@@ -43,7 +43,15 @@ def test_query(spark, sql, name):
     assert rows(have, got.columns) == rows(cur.fetchall(), columns)
 
 
-def test_pushdown(spark):
-    """Ranges and types reach the scan, and only needed columns are read."""
-    plan = plans.QUERIES["replay_time_range"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "props" not in plan.split("ReadSchema")[1].split("\n")[0]
+def scan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("name", "columns"), [("replay_time_range", ["ts_event_ns"]), ("replay_seq_range", ["seq"]), ("replay_combined", ["ts_event_ns", "seq"])])
+def test_pushdown(spark, name, columns):
+    """Ranges reach the Parquet scan of the written log, and only needed columns are read."""
+    plan = scan_of(plans.QUERIES[name](spark, DATA))
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    for c in columns:
+        assert f"GreaterThanOrEqual({c}," in pushed and f"LessThanOrEqual({c}," in pushed
+    assert "order_id" not in plan.split("ReadSchema")[1].split("\n")[0]

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import timedelta, timezone
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 NS = 1_000_000_000
 MIN_WALL_NS, MAX_WALL_NS = 1_577_836_800 * NS, 2_524_608_000 * NS
@@ -23,10 +19,6 @@ VENUE_ZONES = {
 }
 
 
-def _c(x: Column | str) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def whole_seconds(ns: Column | str) -> Column:
     """Integer division that rounds toward zero."""
     return F.expr(f"{ns} div {NS}") if isinstance(ns, str) else F.when(ns >= 0, F.floor(ns / NS)).otherwise(F.ceil(ns / NS))
@@ -58,31 +50,46 @@ def venue_zone(venue: Column) -> Column:
     return F.coalesce(F.element_at(table, venue), F.lit("UTC"))
 
 
-def _to_utc(local: pd.Series, zone: pd.Series) -> pd.Series:
-    from zoneinfo import ZoneInfo
+def _offset(utc: Column, zone: Column) -> Column:
+    """Seconds that a zone's local time is ahead of UTC at an instant (timestamp_ntz in UTC)."""
+    return F.timestamp_diff("SECOND", utc, F.convert_timezone(F.lit("UTC"), zone, utc))
+
+
+def local_to_utc(local: Column, zone: Column) -> Column:
+    """Local wall time of a zone as UTC, both timestamp_ntz.
+
+    A time that occurs twice is standard time (the later instant), one that is skipped takes
+    the summer offset. The offsets half a day before and after show a change of clocks.
+    """
+    ahead = lambda s: F.timestamp_add("SECOND", s, local)
+    early, late = (_offset(F.timestamp_add("HOUR", F.lit(h), F.convert_timezone(zone, F.lit("UTC"), local)), zone) for h in (-12, 12))
+    fits = lambda o: _offset(ahead(-o), zone) == o
+    pick = F.when(fits(early) & fits(late), F.least(early, late)).when(fits(early), early).when(fits(late), late).otherwise(F.greatest(early, late))
+    return ahead(-pick)
+
+
+def localize(local: Column, venue: Column, fallback: Column, aware: Column | None = None) -> Column:
+    """A venue's local time as UTC; a zone-aware time (a timestamp) counts as it is; the fallback where both are null."""
+    utc = local_to_utc(local, venue_zone(venue))
+    if aware is not None:
+        utc = F.coalesce(F.convert_timezone(F.current_timezone(), F.lit("UTC"), aware.cast("timestamp_ntz")), utc)
+    return F.coalesce(utc, fallback)
 
-    def one(t, name):
-        if t is None or pd.isna(t):
-            return None
-        z = ZoneInfo(name)
-        t = t.to_pydatetime().replace(tzinfo=None)
-        late, early = t.replace(tzinfo=z, fold=1).utcoffset(), t.replace(tzinfo=z, fold=0).utcoffset()
-        # An ambiguous time is standard time (the later instant); one in a gap takes the summer offset.
-        offset = min(early, late) if early > late else max(early, late) if late > early else early
-        return pd.Timestamp(t.replace(tzinfo=timezone.utc) - (offset or timedelta(0))).tz_localize(None)
 
-    return pd.to_datetime(pd.Series([one(t, n) for t, n in zip(local, zone)]))
+def localize_text(text: Column, venue: Column, fallback: Column) -> Column:
+    """As ``localize`` for a time given as text, with or without an offset; what can't be read gives the fallback."""
+    aware = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    return localize(F.when(~aware, F.try_to_timestamp(text).cast("timestamp_ntz")), venue, fallback, F.when(aware, F.try_to_timestamp(text)))
 
 
-@F.pandas_udf(T.TimestampNTZType())
-def local_to_utc(local: pd.Series, zone: pd.Series) -> pd.Series:
-    """Local wall time of a zone as UTC, with the daylight-saving rules of ``localize``."""
-    return _to_utc(local, zone)
+def wall_ns() -> Column:
+    """Now, in nanoseconds (of microsecond precision)."""
+    return F.unix_micros(F.current_timestamp()) * 1000
 
 
-def localize(local: Column, venue: Column, fallback: Column) -> Column:
-    """A venue's local time as UTC; the fallback where it is null."""
-    return F.coalesce(local_to_utc(local, venue_zone(venue)), fallback)
+def local_clock(utc: Column, zone: Column) -> Column:
+    """HH:MM of a venue's wall clock."""
+    return F.date_format(F.convert_timezone(F.lit("UTC"), zone, utc), "HH:mm")
 
 
 def market_open(utc: Column, zone: str, opens: int, closes: int, inclusive: bool = False) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +34,8 @@ def ulid_id(prefix: str) -> Column:
     time = [char(F.shiftright(millis, 5 * k)) for k in range(9, -1, -1)]
     noise = [char(F.floor(F.rand() * 32)) for _ in range(16)]
     return F.concat(F.lit(prefix + "_"), *time, *noise)
+
+
+def session_id() -> str:
+    """A random version 4 UUID for a writing session."""
+    return str(uuid.uuid4())

@@ -5,7 +5,7 @@ Mentions: (mention_id, text). Candidates: (mention_id, syn_id, name, confidence,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexemes, normalize_text, sequence_ratio, similarity, text_match, ticker_like, trigrams
@@ -39,19 +39,32 @@ def alias_candidates(mentions: DataFrame, aliases: DataFrame, entities: DataFram
     return rank_in(rows, ["mention_id"], [F.desc("confidence"), F.col("syn_id")], MOST).drop("rank")
 
 
+def _rare_first(rows: DataFrame, key: str, freq: DataFrame, least: float) -> DataFrame:
+    """key, _t: the rarest trigrams of each text at one of which a pair of similarity ``least`` must meet.
+
+    Of n trigrams a pair shares ``least`` * n at least, so it shares one of the n - ceil(least * n) + 1
+    that come first in any order that both sides keep; here the rarest come first.
+    """
+    each = rows.select(key, "_n", F.explode("_g").alias("_t")).join(freq, "_t", "left").withColumn("_f", F.coalesce("_f", F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("_f", "_t"))
+    return each.withColumn("_k", nth).filter((F.col("_k") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1) & (F.col("_f") > 0)).select(key, "_t")
+
+
 def fuzzy_candidates(mentions: DataFrame, aliases: DataFrame, entities: DataFrame, least: float = TRIGRAM_AT) -> DataFrame:
-    """Trigram similarity of at least ``least``, blocked by shared trigrams instead of comparing all pairs.
+    """Trigram similarity of at least ``least``, by a prefix filter over rare trigrams instead of comparing all pairs.
 
-    A pair at the threshold shares at least ``least`` of its trigrams, so the count of an
-    equi join over exploded trigrams is its exact intersection.
+    Common trigrams, which would pair everything with everything, come last in the order and
+    seldom take part; the similarity of the pairs that meet is then taken from their whole
+    arrays, so no pair is lost.
     """
-    m = mentions.select("mention_id", trigrams(normalize_text(F.col("text"))).alias("_g")).withColumn("_gm", F.size("_g"))
-    texts = aliases.select(F.lower("alias").alias("_a")).distinct().withColumn("_h", trigrams(F.col("_a"))).withColumn("_gh", F.size("_h"))
-    pairs = m.select("mention_id", "_gm", F.explode("_g").alias("_t")).join(texts.select("_a", "_gh", F.explode("_h").alias("_t")), "_t")
-    same = pairs.groupBy("mention_id", "_gm", "_a", "_gh").agg(F.count(F.lit(1)).alias("_same"))
-    near = same.withColumn("similarity", F.col("_same") / (F.col("_gm") + F.col("_gh") - F.col("_same"))).filter(F.col("similarity") >= least)
+    m = mentions.select("mention_id", trigrams(normalize_text(F.col("text"))).alias("_g")).withColumn("_n", F.size("_g"))
+    texts = aliases.select(F.lower("alias").alias("_a")).distinct().withColumn("_g", trigrams(F.col("_a"))).withColumn("_n", F.size("_g"))
+    freq = texts.select(F.explode("_g").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_f"))
+    pairs = _rare_first(m, "mention_id", freq, least).join(_rare_first(texts, "_a", freq, least), "_t").select("mention_id", "_a").distinct()
+    both = pairs.join(m.withColumnsRenamed({"_g": "_gm", "_n": "_nm"}), "mention_id").join(texts, "_a")
+    near = both.filter((F.least("_n", "_nm") >= F.greatest("_n", "_nm") * least)).withColumn("similarity", similarity(F.col("_gm"), F.col("_g"))).filter(F.col("similarity") >= least)
     names = entities.filter("status = 'ACTIVE'").select("syn_id", F.col("canonical_name").alias("name"))
-    hit = near.join(aliases.withColumn("_a", F.lower("alias")), "_a").join(names, "syn_id")
+    hit = near.select("mention_id", "_a", "similarity").join(aliases.withColumn("_a", F.lower("alias")), "_a").join(names, "syn_id")
     tier = F.when(F.col("similarity") >= 0.9, 0.90).when(F.col("similarity") >= 0.8, 0.80).otherwise(0.70)
     rows = hit.select("mention_id", "syn_id", "name", F.least(tier, _alias_confidence(F.col("confidence"))).alias("confidence"), F.lit(FUZZY).alias("strategy"), "similarity").distinct()
     return rank_in(rows, ["mention_id"], [F.desc("similarity"), F.col("syn_id"), F.desc("confidence")], MOST).drop("rank")
@@ -66,13 +79,19 @@ def canonical_candidates(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return rank_in(rows, ["mention_id"], [F.desc("confidence"), F.col("syn_id")], MOST).drop("rank")
 
 
-def cascade(candidates: list[DataFrame]) -> DataFrame:
-    """Each mention keeps the candidates of its first strategy that found any, one per entity, best first."""
+def cascade(candidates: list[DataFrame], entities: DataFrame | None = None, kind: str | None = None) -> DataFrame:
+    """Each mention keeps the candidates of its first strategy that found any, one per entity, best first.
+
+    With ``kind``, only entities of that type are left, after the strategy is chosen.
+    """
     rows = candidates[0].select("mention_id", "syn_id", "name", "confidence", "strategy")
     for more in candidates[1:]:
         rows = rows.unionByName(more.select(rows.columns))
     first = rows.groupBy("mention_id").agg(F.min("strategy").alias("strategy"))
-    return dedup(rows.join(first, ["mention_id", "strategy"]))
+    rows = rows.join(first, ["mention_id", "strategy"])
+    if kind is not None:
+        rows = rows.join(entities.filter(F.col("type") == kind).select("syn_id"), "syn_id", "left_semi")
+    return dedup(rows)
 
 
 def dedup(candidates: DataFrame) -> DataFrame:
@@ -83,11 +102,11 @@ def dedup(candidates: DataFrame) -> DataFrame:
 
 def decide(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
     """mention_id, resolved id if the best is sure enough, else the reason for quarantine."""
-    top = ranked.filter("rank <= 2").groupBy("mention_id").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("syn_id"))).alias("best"), F.max(F.when(F.col("rank") == 1, F.col("confidence"))).alias("c1"), F.max(F.when(F.col("rank") == 2, F.col("confidence"))).alias("c2")
-    )
-    low = F.format_string("Low confidence (%.2f < 0.95)", "c1")
-    reason = F.when(F.col("c1").isNull(), "No candidates found").when(F.col("c1") >= RESOLVE_AT, None).when(F.col("c1") - F.col("c2") < AMBIGUOUS_GAP, "Ambiguous match").otherwise(low)
+    of = lambda rank, c: F.max(F.when(F.col("rank") == rank, F.col(c)))
+    top = ranked.groupBy("mention_id").agg(of(1, "syn_id").alias("best"), of(1, "confidence").alias("c1"), of(2, "confidence").alias("c2"), F.count(F.lit(1)).alias("n"))
+    low = F.format_string("Low confidence: best=%.2f < threshold=0.95", "c1")
+    ambiguous = F.format_string("Ambiguous: %d candidates with similar confidence", "n")
+    reason = F.when(F.col("c1").isNull(), "No candidates found").when(F.col("c1") >= RESOLVE_AT, None).when(F.col("c1") - F.col("c2") < AMBIGUOUS_GAP, ambiguous).otherwise(low)
     rows = mentions.select("mention_id", "text").join(top, "mention_id", "left")
     return rows.select("mention_id", "text", F.when(F.col("c1") >= RESOLVE_AT, F.col("best")).alias("resolved_id"), F.col("c1").alias("confidence"), reason.alias("reason"))
 
@@ -98,14 +117,32 @@ def quarantine(decided: DataFrame, ranked: DataFrame) -> DataFrame:
     return decided.filter("resolved_id is null").join(context, "mention_id", "left")
 
 
+def case_verdicts(cases: DataFrame) -> DataFrame:
+    """Cases (expected, resolved, confidence) with ``verdict`` (tp, fp, tn or fn), ``correct`` and ``brier``.
+
+    The Brier score is there only for cases that should and did resolve. Optional columns
+    narrow what is correct: expected_type against resolved_type, expected_confidence (within
+    0.05, if not 0), expected_confidence_min and, where nothing was expected,
+    expected_confidence_max, up to which a resolution counts as none.
+    """
+    e, r = F.col("expected").isNotNull(), F.col("resolved").isNotNull()
+    right = F.coalesce(F.col("expected") == F.col("resolved"), F.lit(False))
+    have = set(cases.columns)
+    if {"expected_type", "resolved_type"} <= have:
+        right = right & F.coalesce(F.col("expected_type") == F.col("resolved_type"), F.col("expected_type").isNull())
+    if "expected_confidence" in have:
+        right = right & ~F.coalesce((F.col("expected_confidence") != 0) & (F.abs(F.col("confidence") - F.col("expected_confidence")) > 0.05), F.lit(False))
+    if "expected_confidence_min" in have:
+        right = right & ~F.coalesce(F.col("confidence") < F.col("expected_confidence_min"), F.lit(False))
+    let_off = F.coalesce((F.col("expected_confidence_max") != 0) & (F.col("confidence") <= F.col("expected_confidence_max")), F.lit(False)) if "expected_confidence_max" in have else F.lit(False)
+    verdict = F.when(e & r & right, "tp").when(e & ~r, "fn").when(~e & (~r | let_off), "tn").otherwise("fp")
+    brier = F.when(e & r, F.pow(F.col("confidence") - F.when(right, 1.0).otherwise(0.0), 2))
+    return cases.withColumns({"verdict": verdict, "correct": verdict.isin("tp", "tn"), "brier": brier})
+
+
 def calibration(cases: DataFrame) -> DataFrame:
     """Confusion counts, precision, recall, F1, accuracy and mean Brier of (expected, resolved, confidence)."""
-    e, r = F.col("expected").isNotNull(), F.col("resolved").isNotNull()
-    right = F.col("expected") == F.col("resolved")
-    counts = cases.agg(
-        F.count_if(e & r & right).alias("tp"), F.count_if(r & ~F.coalesce(right, F.lit(False))).alias("fp"), F.count_if(~e & ~r).alias("tn"), F.count_if(e & ~r).alias("fn"),
-        F.avg(F.when(e & r, F.pow(F.col("confidence") - F.when(right, 1.0).otherwise(0.0), 2))).alias("brier"),
-    )
+    counts = case_verdicts(cases).agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("tp", "fp", "tn", "fn")], F.avg("brier").alias("brier"))
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     out = counts.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "accuracy": ratio(tp + tn, tp + fp + tn + fn)})

@@ -2,31 +2,114 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Monotonic clock, source and sequence of the last accepted event; before the first one.
+Last = tuple[int, str | None, int]
+NOTHING: Last = (-(1 << 63), None, 0)
+CLOCK_BACK, SEQUENCE_BACK = "monotonic clock went back", "sequence didn't grow"
+
+
+def fold(clock: np.ndarray, source: np.ndarray, seq: np.ndarray, last: Last) -> tuple[np.ndarray, Last]:
+    """Which events of one file are accepted (0), or refused by their clock (1) or sequence (2), and the state behind them.
+
+    An event is compared with the last accepted one. Where each event is in order with the
+    one before, all are accepted, so only stretches with a fault are gone through one by one.
+    """
+    n = len(clock)
+    out = np.zeros(n, dtype=np.int8)
+    if not n:
+        return out, last
+    with_last = lambda x, v: np.concatenate([np.array([v], dtype=x.dtype), x[:-1]])
+    same = source == with_last(source, last[1])
+    fine = (clock >= with_last(clock, last[0])) & (~same | (seq > with_last(seq, last[2])))
+    if last == NOTHING:
+        fine[0] = True
+    at = 0
+    while at < n:
+        bad = np.flatnonzero(~fine[at:])
+        stop = at + int(bad[0]) if len(bad) else n
+        if stop > at:
+            last = (int(clock[stop - 1]), source[stop - 1], int(seq[stop - 1]))
+        at = stop
+        while at < n:  # until an event is accepted that the one behind it can be compared with
+            if clock[at] < last[0]:
+                out[at] = 1
+            elif source[at] == last[1] and seq[at] <= last[2]:
+                out[at] = 2
+            else:
+                last = (int(clock[at]), source[at], int(seq[at]))
+                at += 1
+                break
+            at += 1
+    return out, last
+
+
+def starts_of(batch: pa.RecordBatch, keys: list[str], before: tuple | None) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before; ``before`` are the keys of the last row of the batch before."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    for k in keys:
+        x = batch.column(k)
+        a, b = x.slice(1), x.slice(0, len(x) - 1)
+        differ = pc.or_kleene(pc.xor(pc.is_null(a), pc.is_null(b)), pc.fill_null(pc.not_equal(a, b), False))
+        new[1:] |= differ.to_numpy(zero_copy_only=False)
+    new[0] = before is None or before != tuple(batch.column(k)[0].as_py() for k in keys)
+    return new
+
+
+def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
+
 
+def _order_errors(file: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last = None, NOTHING
+        names = pa.array([None, CLOCK_BACK, SEQUENCE_BACK], pa.string())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cuts = [0, *np.flatnonzero(starts_of(batch, file, before)).tolist(), batch.num_rows]
+            fresh = set(cuts[1:-1])
+            flags = []
+            clock, seq = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ts_monotonic_ns", "seq"))
+            source = batch.column("source").to_numpy(zero_copy_only=False)
+            for a, b in zip(cuts, cuts[1:]):
+                if a in fresh:
+                    last = NOTHING
+                if a < b:
+                    found, last = fold(clock[a:b], source[a:b], seq[a:b], last)
+                    flags.append(found)
+            before = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in file)
+            yield with_column(batch, "order_error", names.take(pa.array(np.concatenate(flags))))
 
-def accept_in_order(events: DataFrame, arrival: list[str], file: str = "symbol") -> DataFrame:
-    """``events`` with ``accepted``: compared with the last *accepted* event of the same file.
+    return run
 
-    The monotonic clock must not go back and the sequence must grow for one source; a
-    rejected event doesn't advance the state, so this is a fold over each file's events in
-    arrival order, not a comparison with the row before. One file (a symbol's day) is one
-    ordered log by definition, so its fold is one task's work.
+
+def order_errors(events: DataFrame, arrival: list[str], file: list[str]) -> DataFrame:
+    """``events`` with ``order_error``: null if accepted by the order check of its file.
+
+    The monotonic clock must not go back and the sequence must grow for one source, both
+    against the last *accepted* event of the file; a refused one doesn't advance the state.
+    So this is a fold over each file's events in arrival order and not a comparison with the
+    row before. A file (a symbol's day) is read as a sorted stream in which the fold keeps
+    three values; no list of its events is ever built.
     """
-    fields = [c for c in events.columns]
-    packed = events.groupBy(file).agg(F.sort_array(F.collect_list(F.struct(*arrival, F.struct(*fields).alias("row")))).alias("log"))
-    none = F.struct(F.lit(-(1 << 63)).cast("long").alias("m"), F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("seq"), F.array().cast("array<boolean>").alias("ok"))
+    schema = T.StructType([*events.schema, T.StructField("order_error", T.StringType())])
+    sorted_rows = events.repartition(*file).sortWithinPartitions(*file, *arrival)
+    return sorted_rows.mapInArrow(_order_errors(file), schema)
 
-    def step(acc: Column, x: Column) -> Column:
-        r = x["row"]
-        ok = (r["ts_monotonic_ns"] >= acc["m"]) & (~acc["source"].eqNullSafe(r["source"]) | (r["seq"] > acc["seq"]))
-        pick = lambda new, old: F.when(ok, new).otherwise(old)
-        return F.struct(pick(r["ts_monotonic_ns"], acc["m"]).alias("m"), pick(r["source"], acc["source"]).alias("source"), pick(r["seq"], acc["seq"]).alias("seq"), F.concat(acc["ok"], F.array(ok)).alias("ok"))
 
-    flags = F.aggregate("log", none, step, lambda acc: acc["ok"])
-    both = packed.select(F.explode(F.arrays_zip(F.col("log"), flags.alias("ok"))).alias("e"))
-    return both.select("e.log.row.*", F.col("e.ok").alias("accepted"))
+def accept_in_order(events: DataFrame, arrival: list[str], file: list[str] | str = "symbol") -> DataFrame:
+    """``events`` with ``accepted``: the verdict of ``order_errors``."""
+    file = [file] if isinstance(file, str) else file
+    return order_errors(events, arrival, file).withColumn("accepted", F.col("order_error").isNull()).drop("order_error")
 
 
 def assign_sequence(ticks: DataFrame, key: str, arrival: list[str]) -> DataFrame:
@@ -45,3 +128,38 @@ def flush_batches(events: DataFrame, key: str, order: list[str], size: int = 200
     """Number of the flush that writes a row, if a file is flushed every ``size`` rows."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return events.withColumn("flush", F.floor((n - 1) / size).cast("long"))
+
+
+def _timed(key: str, at: str, size: int, wait: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, flush, count, since = None, 0, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = []
+            for new, t in zip(starts_of(batch, [key], before).tolist(), batch.column(at).to_pylist()):
+                if new:
+                    flush, count, since = 0, 0, t
+                elif count >= size or t - since >= wait:
+                    flush, count, since = flush + 1, 0, t
+                count += 1
+                out.append(flush)
+            before = (batch.column(key)[batch.num_rows - 1].as_py(),)
+            yield with_column(batch, "flush", pa.array(out, pa.int64()))
+
+    return run
+
+
+def timed_flushes(events: DataFrame, key: str, at: str, order: list[str], size: int = 2000, wait: int = 2_000_000_000) -> DataFrame:
+    """``events`` with ``flush``: a key's buffer is written once it holds ``size`` rows, or ``wait`` of ``at`` after its first row.
+
+    A fold over each key's sorted stream, as the next buffer's time counts from its own first row.
+    """
+    schema = T.StructType([*events.schema, T.StructField("flush", T.LongType())])
+    rows = events.repartition(key).sortWithinPartitions(key, at, *order)
+    return rows.mapInArrow(_timed(key, at, size, wait), schema)
+
+
+def monotonic_valid(ns: Column, now_ns: Column) -> Column:
+    """A monotonic clock above 0 and not over a second ahead of now."""
+    return (ns > 0) & (ns <= now_ns + 1_000_000_000)

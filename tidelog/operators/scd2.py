@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .ordering import starts_of, with_column
 
 TOLERANCE = 0.01
 
@@ -16,38 +22,62 @@ def as_of(at: Column, prefix: str = "") -> Column:
     return (F.col(f"{prefix}valid_from") <= at) & (F.col(f"{prefix}valid_to").isNull() | (F.col(f"{prefix}valid_to") > at))
 
 
-def changed(old: Column, new: Column, exact: list[str], near: list[str]) -> Column:
-    out = F.lit(False)
-    for c in exact:
-        out = out | ~old[c].eqNullSafe(new[c])
-    for c in near:
-        out = out | (F.abs(F.coalesce(old[c], F.lit(0.0)) - F.coalesce(new[c], F.lit(0.0))) > TOLERANCE) | (old[c].isNull() != new[c].isNull())
-    return out
+def _differs(old: tuple, new: tuple, exact: int) -> bool:
+    if old[:exact] != new[:exact]:
+        return True
+    return any((a is None) != (b is None) or a is not None and abs(a - b) > TOLERANCE for a, b in zip(old[exact:], new[exact:]))
+
+
+def _kept(keys: list[str], exact: list[str], near: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last = None, ()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flags = []
+            for new, row in zip(starts_of(batch, keys, before).tolist(), zip(*(batch.column(c).to_pylist() for c in [*exact, *near]))):
+                flags.append(new or _differs(last, row, len(exact)))
+                if flags[-1]:
+                    last = row
+            before = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+            yield with_column(batch, "_keep", pa.array(flags, pa.bool_()))
+
+    return run
+
+
+def _flagged(rows: DataFrame, keys: list[str], exact: list[str], near: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``_keep``: whether a row differs from the last kept one of its key."""
+    if not near:  # equality carries over from row to row, so the row before does
+        w = Window.partitionBy(*keys).orderBy(*order)
+        same = F.row_number().over(w) > 1
+        for c in exact:
+            same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
+        return rows.withColumn("_keep", ~same)
+    schema = T.StructType([*rows.schema, T.StructField("_keep", T.BooleanType())])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(_kept(keys, exact, near), schema)
 
 
 def merge(current: DataFrame | None, staged: DataFrame, keys: list[str], exact: list[str], near: list[str], order: list[str]) -> DataFrame:
-    """All versions after applying the staged rows in order, with ``action``.
+    """All versions after applying the staged rows in order, with ``action`` (kept, inserted or updated).
 
     Per key: a first row is inserted; a changed one closes the kept version at its own
-    valid_from and is inserted; one without change is dropped. A change is judged against
-    the last kept version, so slow drift inside the tolerance adds up. ``current`` holds
-    stored versions (its open rows take part as the first kept version). The staged rows of
-    a key are a batch of one entity's facts and fit one array.
+    valid_from and is inserted (updated); one without change is dropped. A change is judged
+    against the last kept version, so slow drift inside the tolerance adds up: where there is a
+    tolerance, each key's rows are read as a sorted stream that holds one version. ``current``
+    holds stored versions (its open rows take part as the first kept version).
     """
     fields = ["valid_from", *exact, *near]
-    rows = staged.select(*keys, F.lit(1).alias("_new"), F.struct(*order).alias("_order"), F.struct(*fields, F.lit("inserted").alias("action")).alias("_row"))
+    steps = [f"_o{k}" for k in range(len(order))]
+    rows = staged.select(*keys, *fields, F.lit(1).alias("_new"), *[F.col(c).alias(o) for c, o in zip(order, steps)])
     done = None
     if current is not None:
-        open_rows = current.filter("valid_to is null")
-        blank = F.lit(None).cast(rows.schema["_order"].dataType)
-        rows = rows.unionByName(open_rows.select(*keys, F.lit(0).alias("_new"), blank.alias("_order"), F.struct(*fields, F.lit("kept").alias("action")).alias("_row")))
+        open_rows = current.filter("valid_to is null").select(*keys, *fields, F.lit(0).alias("_new"), *[F.lit(None).cast(rows.schema[o].dataType).alias(o) for o in steps])
+        rows = open_rows.unionByName(rows)
         done = current.filter("valid_to is not null").select(*keys, *fields, "valid_to", F.lit("kept").alias("action"))
-    log = rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_new", "_order", "_row"))), lambda x: x["_row"]).alias("log"))
-    kind = log.schema["log"].dataType
-    kept = F.aggregate("log", F.array().cast(kind), lambda acc, x: F.when((F.size(acc) == 0) | changed(F.element_at(acc, -1), x, exact, near), F.concat(acc, F.array(x))).otherwise(acc))
-    versions = log.select(*keys, kept.alias("v")).select(*keys, F.posexplode("v").alias("_i", "r"), "v")
-    out = versions.select(*keys, "r.*", F.get("v", F.col("_i") + 1)["valid_from"].alias("valid_to"))
-    out = out.select(*keys, *fields, "valid_to", "action")
+    kept = _flagged(rows, keys, exact, near, ["_new", *steps]).filter("_keep")
+    w = Window.partitionBy(*keys).orderBy("_new", *steps)
+    action = F.when(F.col("_new") == 0, "kept").when(F.row_number().over(w) == 1, "inserted").otherwise("updated")
+    out = kept.select(*keys, *fields, F.lead("valid_from").over(w).alias("valid_to"), action.alias("action"))
     return out if done is None else out.unionByName(done)
 
 
@@ -57,6 +87,25 @@ def merge_errors(current: DataFrame, staged: DataFrame, keys: list[str]) -> Data
     return staged.join(old, keys).filter("valid_from <= open_from")
 
 
+def merge_batch(current: DataFrame, staged: DataFrame, keys: list[str], exact: list[str], near: list[str], order: list[str], error: Column, most: int = 1000) -> tuple[DataFrame | None, DataFrame]:
+    """An atomic batch of 1 to ``most`` staged rows: the new versions, or None and the rows at fault with their errors.
+
+    ``error`` names what is wrong with a row's own values. A row that doesn't start after its
+    key's open version, or after the row before, is at fault as well. Nothing is applied if any is.
+    """
+    n = staged.count()
+    if not 1 <= n <= most:
+        raise ValueError(f"a batch has 1 to {most} rows, not {n}")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    opened = current.filter("valid_to is null").select(*keys, F.col("valid_from").alias("_open"))
+    checked = staged.join(opened, keys, "left").withColumn("_last", F.coalesce(F.lag("valid_from").over(w), F.col("_open")))
+    late = F.when(F.col("valid_from") <= F.col("_last"), F.lit("valid_from isn't after the version before"))
+    errors = checked.withColumn("error", F.coalesce(error, late)).filter("error is not null").drop("_open", "_last")
+    if errors.take(1):
+        return None, errors
+    return merge(current, staged, keys, exact, near, order), errors
+
+
 def close(current: DataFrame, keys: DataFrame, on: list[str], at: Column) -> DataFrame:
     """Open rows of the given keys get ``valid_to``."""
     hit = keys.select(*on).distinct().withColumn("_hit", F.lit(True))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids as idf
-from ..operators import linker, registry, scd2
+from ..operators import linker, registry, scd2, store
 from . import query
 from . import views as V
 
@@ -22,11 +22,12 @@ def resolve_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.groupBy("scheme", "value").agg(F.count(F.lit(1)).alias("holders"))
 
 
-@query(f"""WITH {V.ENTITIES}, {V.IDENTIFIERS}, h AS (SELECT scheme, value || '-' || syn_id AS value, syn_id, valid_from, valid_to FROM ids)
-SELECT h.value, h.syn_id, en.canonical_name, 1.0 AS confidence, h.scheme AS matched_via FROM h JOIN en USING (syn_id) WHERE h.valid_from <= TIMESTAMP '{ASOF}' AND (h.valid_to IS NULL OR h.valid_to > TIMESTAMP '{ASOF}')""")
+@query(f"""WITH {V.ENTITIES}, {V.IDENTIFIERS}, h AS (SELECT *, row_number() OVER (PARTITION BY scheme, value ORDER BY valid_from DESC, syn_id) AS k FROM ids
+  WHERE valid_from <= TIMESTAMP '{ASOF}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{ASOF}'))
+SELECT h.value, h.syn_id, en.canonical_name, 1.0 AS confidence, h.scheme AS matched_via FROM h JOIN en USING (syn_id) WHERE k = 1""")
 def resolve_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Point-in-time resolution of every (scheme, value); values are made unique per entity, so one row answers."""
-    i = V.identifiers(spark, sf_dir).withColumn("value", F.concat_ws("-", "value", "syn_id"))
+    """Point-in-time resolution of every (scheme, value); most are shared, so the latest start and then the smallest id answers."""
+    i = V.identifiers(spark, sf_dir)
     probes = i.select("scheme", "value").distinct().withColumn("at", F.lit(ASOF).cast("timestamp_ntz"))
     return registry.resolve(probes, i, V.entities(spark, sf_dir)).select("value", "syn_id", "canonical_name", "confidence", "matched_via")
 
@@ -60,12 +61,12 @@ def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.missing_parents(V.edges(spark, sf_dir), "dst_syn_id", live, "syn_id").select("src_syn_id", "dst_syn_id")
 
 
-@query(f"""WITH {V.IDENTIFIERS}, st AS (SELECT syn_id, scheme, value FROM ids WHERE valid_to IS NULL AND CAST(substr(syn_id, 20) AS BIGINT) % 2 = 0),
+@query(f"""WITH {V.IDENTIFIERS}, st AS (SELECT syn_id, scheme, value FROM ids WHERE valid_to IS NULL),
 sx AS (SELECT replace(syn_id, 'CO_0', 'CO_1') AS syn_id, scheme, value FROM st) SELECT DISTINCT sx.syn_id, sx.scheme, sx.value FROM sx JOIN ids USING (scheme, value) WHERE ids.valid_to IS NULL AND ids.syn_id <> sx.syn_id""")
 def identifier_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New identifiers that are refused as another entity holds the value."""
     i = V.identifiers(spark, sf_dir)
-    staged = i.filter("valid_to is null").filter(F.substring("syn_id", 20, 10).cast("long") % 2 == 0).withColumn("syn_id", F.regexp_replace("syn_id", "CO_0", "CO_1"))
+    staged = i.filter("valid_to is null").withColumn("syn_id", F.regexp_replace("syn_id", "CO_0", "CO_1"))
     return registry.add_identifiers(i, staged.select("syn_id", "scheme", "value", "valid_from"))[1].select("syn_id", "scheme", "value").distinct()
 
 
@@ -109,15 +110,12 @@ def edge_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("historical", F.col("total") - F.col("active"))
 
 
-@query(f"""WITH {V.ENTITIES}, {V.IDENTIFIERS}, {V.EDGES}, {V.ALIASES} SELECT (SELECT count(*) FROM en) AS entities, (SELECT count(DISTINCT type) FROM en) AS types, (SELECT count(*) FROM ids WHERE valid_to IS NULL) AS identifiers,
-  (SELECT count(*) FROM al) AS aliases, (SELECT count(*) FROM ed WHERE valid_to IS NULL) AS edges""")
+@query(f"""WITH {V.ENTITIES}, {V.IDENTIFIERS}, {V.EDGES}, {V.ALIASES}, {V.ATTRIBUTES}, {V.QUARANTINE} SELECT (SELECT count(*) FROM en WHERE status = 'ACTIVE') AS active_entities, (SELECT count(*) FROM en WHERE status = 'MERGED') AS merged_entities,
+  (SELECT count(*) FROM ids WHERE valid_to IS NULL) AS active_identifiers, (SELECT count(*) FROM al) AS total_aliases, (SELECT count(*) FROM att WHERE valid_to IS NULL) AS active_attributes,
+  (SELECT count(*) FROM ed WHERE valid_to IS NULL) AS active_edges, (SELECT count(*) FROM qu WHERE resolved_syn_id IS NULL) AS unresolved_quarantine, (SELECT count(DISTINCT type) FROM en WHERE status = 'ACTIVE') AS entity_types_used""")
 def ontology_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scalar counts, one aggregate row per table."""
-    n = F.count(F.lit(1))
-    out = V.entities(spark, sf_dir).agg(n.alias("entities"), F.countDistinct("type").alias("types"))
-    for name, df in (("identifiers", V.identifiers(spark, sf_dir).filter(scd2.active())), ("aliases", V.aliases(spark, sf_dir)), ("edges", V.edges(spark, sf_dir).filter(scd2.active()))):
-        out = out.join(df.agg(n.alias(name)))
-    return out
+    """The eight counts, one aggregate row per table."""
+    return registry.stats(*[f(spark, sf_dir) for f in (V.entities, V.identifiers, V.aliases, V.attributes, V.edges, V.quarantine)])
 
 
 def _staged(spark, sf_dir) -> DataFrame:
@@ -244,15 +242,14 @@ def link_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linker.decide(m, _ranked(spark, sf_dir)).select("mention_id", "text", "resolved_id", F.round("confidence", 6).alias("confidence"), "reason")
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 10 AS c FROM lineitem), x AS (SELECT DISTINCT l_orderkey, l_partkey, max(c) AS c FROM r GROUP BY 1, 2),
-k AS (SELECT l_orderkey, c, row_number() OVER (PARTITION BY l_orderkey ORDER BY c DESC, l_partkey) AS i FROM x), t AS (SELECT l_orderkey, max(CASE WHEN i = 1 THEN c END) AS c1, max(CASE WHEN i = 2 THEN c END) AS c2 FROM k GROUP BY 1)
-SELECT l_orderkey AS mention_id, CASE WHEN c1 >= 0.95 THEN 'resolved' WHEN c1 - c2 < 0.1 THEN 'Ambiguous match' ELSE 'Low confidence' END AS outcome FROM t""")
+@query("""WITH x AS (SELECT l_orderkey, l_partkey, max(l_discount * 10) AS c FROM lineitem GROUP BY 1, 2), k AS (SELECT l_orderkey, c, row_number() OVER (PARTITION BY l_orderkey ORDER BY c DESC, l_partkey) AS i FROM x),
+t AS (SELECT l_orderkey, max(CASE WHEN i = 1 THEN c END) AS c1, max(CASE WHEN i = 2 THEN c END) AS c2, count(*) AS n FROM k GROUP BY 1)
+SELECT l_orderkey AS mention_id, CASE WHEN c1 >= 0.95 THEN NULL WHEN c1 - c2 < 0.1 THEN 'Ambiguous: ' || n || ' candidates with similar confidence' ELSE printf('Low confidence: best=%.2f < threshold=0.95', c1) END AS reason FROM t""")
 def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of orders as mentions and their parts as candidates, discount as confidence."""
+    """Why orders as mentions stay unresolved, with their parts as candidates and discount as confidence."""
     c = V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mention_id"), F.format_string("%020d", "l_partkey").alias("syn_id"), F.lit("").alias("name"), (F.col("l_discount") * 10).alias("confidence"))
     m = c.select("mention_id").distinct().withColumn("text", F.lit(""))
-    d = linker.decide(m, linker.dedup(c))
-    return d.select("mention_id", F.when(F.col("resolved_id").isNotNull(), "resolved").when(F.col("reason").startswith("Low"), "Low confidence").otherwise(F.col("reason")).alias("outcome"))
+    return linker.decide(m, linker.dedup(c)).select("mention_id", "reason")
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_partkey, max(l_discount) AS c FROM lineitem GROUP BY 1, 2)
@@ -267,10 +264,13 @@ _CAL = f"""WITH {_CASES}, s AS (SELECT count(*) FILTER (WHERE expected = resolve
   count(*) FILTER (WHERE expected IS NOT NULL AND resolved IS NULL) AS fn, avg(CASE WHEN expected IS NOT NULL AND resolved IS NOT NULL THEN power(conf - CASE WHEN expected = resolved THEN 1.0 ELSE 0.0 END, 2) END) AS brier FROM c) """
 
 
-def _calibrated(spark, sf_dir) -> DataFrame:
+def _cases(spark, sf_dir) -> DataFrame:
     k = F.col("o_orderkey")
-    o = V.table(spark, sf_dir, "orders").select(F.when(k % 5 != 0, F.col("o_custkey")).alias("expected"), F.when(k % 7 != 0, F.col("o_custkey") + F.when(k % 11 == 0, 1).otherwise(0)).alias("resolved"), (F.lit(0.5) + (k % 50) / 100.0).alias("confidence"))
-    return linker.calibration(o)
+    return V.table(spark, sf_dir, "orders").select(F.when(k % 5 != 0, F.col("o_custkey")).alias("expected"), F.when(k % 7 != 0, F.col("o_custkey") + F.when(k % 11 == 0, 1).otherwise(0)).alias("resolved"), (F.lit(0.5) + (k % 50) / 100.0).alias("confidence"))
+
+
+def _calibrated(spark, sf_dir) -> DataFrame:
+    return linker.calibration(_cases(spark, sf_dir))
 
 
 @query(_CAL + "SELECT tp, fp, tn, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(brier, 6) AS brier, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM s")
@@ -283,12 +283,217 @@ def calibration_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linker.gates(_calibrated(spark, sf_dir))
 
 
-@query(f"WITH {V.ENTITIES} SELECT syn_id, canonical_name FROM en WHERE canonical_name LIKE '%red%' AND canonical_name LIKE '%widget%' ORDER BY canonical_name, syn_id LIMIT 20")
+@query(f"""WITH {V.ENTITIES} SELECT syn_id, canonical_name, round(2.0 / len(list_distinct(string_split(lower(canonical_name), ' '))), 6) AS rank FROM en WHERE list_contains(string_split(lower(canonical_name), ' '), 'red') AND list_contains(string_split(lower(canonical_name), ' '), 'widget')
+ORDER BY rank DESC, canonical_name, syn_id LIMIT 20""")
 def search_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.search(V.entities(spark, sf_dir), "the red widgets", 20).select("syn_id", "canonical_name")
+    return registry.search(V.entities(spark, sf_dir), "the red widgets", 20).select("syn_id", "canonical_name", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {V.ENTITIES}, {V.EDGES} SELECT src_syn_id, dst_syn_id FROM ed WHERE src_syn_id NOT IN (SELECT syn_id FROM en WHERE status = 'INACTIVE')")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = V.entities(spark, sf_dir).filter("status = 'INACTIVE'")
     return registry.cascade_delete(V.edges(spark, sf_dir), "src_syn_id", gone, "syn_id").select("src_syn_id", "dst_syn_id")
+
+
+_GOOD = "'{p}_' || lpad(CAST({k} AS VARCHAR), {n}, '0')"
+
+
+def _new_entities(spark, sf_dir) -> DataFrame:
+    """Suppliers as new entities with planted faults."""
+    k = F.col("s_suppkey")
+    return V.table(spark, sf_dir, "supplier").select(idf.make_id("OR", k + 1_000_000).alias("syn_id"), F.when(k % 5 == 1, "PLANET").otherwise("ORG").alias("type"), F.when(k % 5 == 2, " ").otherwise(F.concat(F.lit(" "), "s_name")).alias("canonical_name"), F.when(k % 5 == 3, "GONE").when(k % 5 == 4, None).otherwise("ACTIVE").alias("status"))
+
+
+@query(f"""WITH {V.ENTITIES}, n AS (SELECT s_suppkey AS k, {_GOOD.format(p="OR", k="s_suppkey + 1000000", n=26)} AS syn_id, s_name FROM supplier)
+SELECT syn_id, canonical_name, status, CAST(NULL AS VARCHAR) AS error FROM en WHERE type = 'ORG' UNION ALL SELECT syn_id, s_name, 'ACTIVE', NULL FROM n WHERE k % 5 IN (0, 4)
+UNION ALL SELECT syn_id, CASE WHEN k % 5 = 2 THEN ' ' ELSE ' ' || s_name END, CASE WHEN k % 5 = 3 THEN 'GONE' ELSE 'ACTIVE' END, CASE k % 5 WHEN 1 THEN 'unknown type' WHEN 2 THEN 'no name' ELSE 'unknown status' END FROM n WHERE k % 5 IN (1, 2, 3)""")
+def insert_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, bad = store.insert_entities(V.entities(spark, sf_dir).filter("type = 'ORG'"), _new_entities(spark, sf_dir))
+    return table.select("syn_id", "canonical_name", "status", F.lit(None).cast("string").alias("error")).unionByName(bad.select("syn_id", "canonical_name", "status", "error"))
+
+
+@query(f"""WITH {V.ALIASES}, n AS (SELECT p_partkey AS k, {_GOOD.format(p="CM", k="p_partkey", n="CASE WHEN p_partkey % 4 = 1 THEN 20 ELSE 26 END")} AS syn_id, p_name, CASE WHEN p_partkey % 4 = 2 THEN 1.5 WHEN p_partkey % 4 = 0 THEN 0.5 END AS c FROM part)
+SELECT syn_id, alias, round(confidence, 6) AS confidence, CAST(NULL AS VARCHAR) AS error FROM al UNION ALL SELECT syn_id, p_name, coalesce(c, 1.0), NULL FROM n WHERE k % 4 IN (0, 3)
+UNION ALL SELECT syn_id, ' ' || p_name, coalesce(c, 1.0), CASE k % 4 WHEN 1 THEN 'bad syn_id' ELSE 'confidence not in 0..1' END FROM n WHERE k % 4 IN (1, 2)""")
+def insert_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    new = V.table(spark, sf_dir, "part").select(F.when(k % 4 == 1, F.concat(F.lit("CM_"), F.lpad(k.cast("string"), 20, "0"))).otherwise(idf.make_id("CM", k)).alias("syn_id"), F.concat(F.lit(" "), "p_name").alias("alias"), F.when(k % 4 == 2, 1.5).when(k % 4 == 0, 0.5).alias("confidence"))
+    table, bad = store.insert_aliases(V.aliases(spark, sf_dir), new)
+    out = table.withColumn("error", F.lit(None).cast("string")).unionByName(bad.select("syn_id", "alias", "confidence", "error"))
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"""WITH {V.IDENTIFIERS}, o AS (SELECT * FROM ids WHERE valid_to IS NULL), n AS (SELECT 'CO_' || lpad(CAST(c_custkey AS VARCHAR), 26, '0') AS syn_id, CASE WHEN c_custkey % 3 = 1 THEN 'NICK' ELSE 'TICKER' END AS scheme, 'X' || (c_custkey - c_custkey % 2) AS value, c_custkey AS k FROM customer)
+SELECT syn_id, scheme, value, CASE WHEN k % 3 = 1 THEN 'unknown scheme' WHEN EXISTS (SELECT 1 FROM o WHERE o.scheme = n.scheme AND o.value = n.value AND o.syn_id <> n.syn_id) THEN 'another entity holds the value' END AS error FROM n""")
+def insert_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New identifiers of all customers: which go in, and why the others don't."""
+    k = F.col("c_custkey")
+    new = V.table(spark, sf_dir, "customer").select(idf.make_id("CO", k).alias("syn_id"), F.when(k % 3 == 1, "NICK").otherwise("TICKER").alias("scheme"), F.concat(F.lit("X"), k - k % 2).alias("value"), F.lit("2001-01-01").cast("timestamp_ntz").alias("valid_from"))
+    i = V.identifiers(spark, sf_dir)
+    table, bad = store.insert_identifiers(i, new)
+    fresh = table.filter("valid_from = timestamp_ntz'2001-01-01'").select("syn_id", "scheme", "value", F.lit(None).cast("string").alias("error"))
+    return fresh.unionByName(bad.select("syn_id", "scheme", "value", "error"))
+
+
+@query(f"""WITH e AS (SELECT s_suppkey AS k, {_GOOD.format(p="OR", k="s_suppkey", n=26)} AS src_syn_id, CASE WHEN s_suppkey % 6 = 1 THEN 'XX_1' WHEN s_suppkey % 6 = 2 THEN {_GOOD.format(p="OR", k="s_suppkey", n=26)} ELSE {_GOOD.format(p="CM", k="s_suppkey", n=26)} END AS dst_syn_id FROM supplier)
+SELECT src_syn_id, CASE k % 6 WHEN 1 THEN 'bad dst_syn_id' WHEN 2 THEN 'source is destination' WHEN 3 THEN 'unknown relation' WHEN 4 THEN 'confidence not in 0..1' END AS error FROM e""")
+def edge_input_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    own = idf.make_id("OR", k)
+    e = V.table(spark, sf_dir, "supplier").select(own.alias("src_syn_id"), F.when(k % 6 == 1, "XX_1").when(k % 6 == 2, own).otherwise(idf.make_id("CM", k)).alias("dst_syn_id"), F.when(k % 6 == 3, "LIKES").otherwise("SUPPLIES").alias("rel_type"), F.when(k % 6 == 4, -0.1).otherwise(0.5).alias("confidence"))
+    return e.select("src_syn_id", store.edge_error().alias("error"))
+
+
+@query(f"""WITH {V.ATTRIBUTES} SELECT syn_id, key, CASE WHEN key = 'SEGMENT' AND right(syn_id, 1) = '3' THEN 'value isn''t of the datatype' WHEN key = 'PROFILE' AND right(syn_id, 1) = '4' THEN 'value isn''t JSON' WHEN key = 'BALANCE' AND right(syn_id, 1) = '5' THEN 'unknown datatype' END AS error FROM att""")
+def attribute_input_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.substring("syn_id", -1, 1)
+    a = V.attributes(spark, sf_dir).withColumns({
+        "value_string": F.when((F.col("key") == "SEGMENT") & (last == "3"), None).otherwise(F.col("value_string")), "value_json": F.when((F.col("key") == "PROFILE") & (last == "4"), "{no json").otherwise(F.col("value_json")),
+        "datatype": F.when((F.col("key") == "BALANCE") & (last == "5"), "DATE").otherwise(F.col("datatype")),
+    })
+    return a.select("syn_id", "key", store.attribute_error().alias("error"))
+
+
+@query(f"""WITH {V.ATTRIBUTES}, o AS (SELECT *, TIMESTAMP '1995-01-01' AS valid_from FROM att WHERE valid_to IS NULL), c AS (SELECT * FROM o WHERE (key = 'SEGMENT' AND value_string <> 'BUILDING') OR (key = 'BALANCE' AND value_number <> round(value_number)))
+SELECT syn_id, key, CASE WHEN key = 'SEGMENT' THEN value_string END AS value_string, CAST(valid_from AS TIMESTAMP) AS valid_from, CASE WHEN (syn_id, key) IN (SELECT (syn_id, key) FROM c) THEN TIMESTAMP '2001-01-01' ELSE valid_to END AS valid_to FROM (SELECT *, TIMESTAMP '1995-01-01' AS valid_from FROM att)
+UNION ALL SELECT syn_id, key, CASE WHEN key = 'SEGMENT' THEN 'BUILDING' END, TIMESTAMP '2001-01-01', NULL FROM c""")
+def attribute_upsert_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open attributes staged again: segments all set to BUILDING, balances rounded, profiles with their JSON keys in another order, which is no change."""
+    a = V.attributes(spark, sf_dir)
+    staged = a.filter("valid_to is null").withColumns({
+        "value_string": F.when(F.col("key") == "SEGMENT", "BUILDING"), "value_number": F.round("value_number"), "valid_from": F.lit("2001-01-01").cast("timestamp_ntz"),
+        "value_json": F.regexp_replace("value_json", r'\{("segment": "[^"]*"), ("nation": \d+)\}', "{ $2,  $1 }"),
+    })
+    tidy = lambda d: d.withColumn("value_json", store.no_empty_json(F.col("value_json")))
+    exact = ["datatype", "value_string", "value_number", "value_json", "source"]
+    return scd2.merge(tidy(a), tidy(staged), ["syn_id", "key"], exact, ["confidence"], ["valid_from"]).select("syn_id", "key", "value_string", "valid_from", "valid_to")
+
+
+@query(f"""WITH {V.EDGES}, n AS (SELECT count(*) AS open FROM ed WHERE valid_to IS NULL AND rel_type = 'BELONGS_TO' AND left(src_syn_id, 2) = 'SC')
+SELECT 'good' AS batch, true AS applied, CAST(open AS BIGINT) AS n FROM n UNION ALL SELECT 'late', false, CAST(open AS BIGINT) FROM n UNION ALL SELECT 'faulty', false, 1 FROM n""")
+def atomic_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over the nations' edges: one is applied (versions updated), two are refused as a whole (rows at fault)."""
+    e = V.edges(spark, sf_dir).filter("valid_to is null and rel_type = 'BELONGS_TO' and src_syn_id like 'SC%'").withColumn("valid_from", F.col("observed_at"))
+    keys, at = ["src_syn_id", "dst_syn_id", "rel_type"], F.lit("2002-01-01").cast("timestamp_ntz")
+    staged = e.drop("valid_to", "observed_at").withColumns({"confidence": F.lit(0.5), "valid_from": at})
+    first = staged.agg(F.min("src_syn_id")).first()[0]
+    batches = {"good": staged, "late": staged.withColumn("valid_from", F.lit("1990-01-01").cast("timestamp_ntz")), "faulty": staged.withColumn("confidence", F.when(F.col("src_syn_id") == first, 7.0).otherwise(F.col("confidence")))}
+    out = None
+    for name, rows in batches.items():
+        merged, errors = scd2.merge_batch(e, rows, keys, [], ["confidence"], ["valid_from"], store.edge_error())
+        counted = (errors if merged is None else merged.filter("action = 'updated'")).agg(F.count(F.lit(1)).alias("n"))
+        part = counted.select(F.lit(name).alias("batch"), F.lit(merged is not None).alias("applied"), "n")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query(f"WITH {V.QUARANTINE} SELECT resolved_syn_id IS NOT NULL AS resolved, count(*) AS n FROM qu GROUP BY 1")
+def quarantine_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.quarantine_totals(V.quarantine(spark, sf_dir))
+
+
+@query(f"WITH {V.QUARANTINE} (SELECT 'open' AS kind, id, raw_identifier FROM qu WHERE resolved_syn_id IS NULL ORDER BY ingested_at DESC, id LIMIT 100 OFFSET 50) UNION ALL (SELECT 'resolved', id, raw_identifier FROM qu WHERE resolved_syn_id IS NOT NULL ORDER BY resolved_at DESC, id LIMIT 100)")
+def quarantine_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = V.quarantine(spark, sf_dir)
+    part = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), "id", "raw_identifier")
+    return part("open", store.quarantine_items(q, False, 100, 50)).unionAll(part("resolved", store.quarantine_items(q, True)))
+
+
+@query(f"""WITH {V.QUARANTINE} SELECT id, CASE WHEN resolved_syn_id IS NULL AND id % 3 = 0 THEN 'CO_' || lpad(CAST(id AS VARCHAR), 26, '0') ELSE resolved_syn_id END AS resolved_syn_id,
+  CASE WHEN resolved_syn_id IS NULL AND id % 3 = 0 THEN 'me' ELSE resolved_by END AS resolved_by, CASE WHEN id % 3 = 1 THEN 'bad syn_id' WHEN id % 3 = 0 AND resolved_syn_id IS NOT NULL THEN 'not found or resolved' END AS error FROM qu""")
+def quarantine_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all items decided well, a third with a bad id; those resolved before stay as they are."""
+    q, i = V.quarantine(spark, sf_dir), F.col("id")
+    asked = q.filter(i % 3 != 2).select("id", F.when(i % 3 == 0, idf.make_id("CO", i)).otherwise(F.lit("nobody")).alias("syn_id"), F.lit("me").alias("resolved_by"), F.lit("2003-01-01").cast("timestamp_ntz").alias("resolved_at"))
+    rows, errors = store.resolve_items(q, asked)
+    return rows.join(errors.select("id", "error"), "id", "left").select("id", "resolved_syn_id", "resolved_by", "error")
+
+
+@query(f"""WITH {V.ENTITIES}, s AS (SELECT syn_id, CAST(substr(syn_id, 4) AS BIGINT) AS k, status FROM en WHERE type = 'ORG')
+SELECT syn_id, CASE WHEN k % 4 = 1 THEN 'MERGED' ELSE status END AS status, CASE WHEN k % 4 = 0 AND k + 1 IN (SELECT k FROM s) THEN 'OR_' || lpad(CAST(k + 1 AS VARCHAR), 26, '0') END AS replaces FROM s""")
+def merge_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth supplier merged into the one before it."""
+    e = V.entities(spark, sf_dir).filter("type = 'ORG'")
+    k = F.substring("syn_id", 4, 26).cast("long")
+    pairs = e.filter(k % 4 == 1).select(F.col("syn_id").alias("from_syn_id"), idf.make_id("OR", k - 1).alias("into_syn_id"))
+    return store.merge_entities(e, pairs).select("syn_id", "status", F.get("replaces_syn_id", F.lit(0)).alias("replaces"))
+
+
+@query(f"WITH {V.EDGES} SELECT rel_type, count(*) AS edges FROM (SELECT DISTINCT src_syn_id, dst_syn_id, rel_type FROM ed WHERE valid_to IS NULL AND rel_type IN ('LISTED_ON', 'BELONGS_TO')) GROUP BY 1")
+def edge_refresh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.refresh_counts(V.edges(spark, sf_dir), ["LISTED_ON", "BELONGS_TO"])
+
+
+@query(f"""WITH {V.ENTITIES}, {V.IDENTIFIERS}, h AS (SELECT ids.*, row_number() OVER (PARTITION BY value ORDER BY valid_from DESC, syn_id) AS k FROM ids WHERE valid_from <= TIMESTAMP '{ASOF}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{ASOF}')),
+w AS (SELECT value, syn_id FROM h JOIN en USING (syn_id) WHERE k = 1), p AS (SELECT DISTINCT substr(o_orderpriority, 3, 3) || (o_custkey % 50) AS a, substr(o_orderpriority, 3, 3) || (o_custkey % 60) AS b FROM orders)
+SELECT x.syn_id AS src_syn_id, y.syn_id AS dst_syn_id, 'LISTED_ON' AS rel_type FROM p JOIN w x ON x.value = a JOIN w y ON y.value = b""")
+def seed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of tickers as edges between the entities that hold them at a time; a missing end drops the pair."""
+    o = V.table(spark, sf_dir, "orders")
+    value = lambda n: F.concat(F.substring("o_orderpriority", 3, 3), F.col("o_custkey") % n)
+    pairs = o.select(value(50).alias("a"), value(60).alias("b")).distinct()
+    e = registry.seed_edges(pairs, ("a", "TICKER"), ("b", "TICKER"), "LISTED_ON", V.identifiers(spark, sf_dir), V.entities(spark, sf_dir), F.lit(ASOF).cast("timestamp_ntz"))
+    return e.select("src_syn_id", "dst_syn_id", "rel_type")
+
+
+@query(f"WITH {V.IDENTIFIERS} SELECT DISTINCT a.value || a.syn_id AS mention_id, b.syn_id FROM ids a JOIN ids b ON a.scheme = b.scheme AND a.value = b.value WHERE a.valid_to IS NOT NULL AND b.valid_to IS NULL")
+def link_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed identifiers as mentions, and who holds them now."""
+    i = V.identifiers(spark, sf_dir)
+    m = i.filter("valid_to is not null").select(F.concat("value", "syn_id").alias("mention_id"), "scheme", "value")
+    return linker.identifier_candidates(m, i)
+
+
+@query(f"WITH {V.ALIASES} SELECT syn_id, alias, CAST(row_number() OVER (ORDER BY confidence DESC NULLS FIRST, alias, syn_id) AS BIGINT) AS k FROM al QUALIFY k <= 50")
+def aliases_nulls_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.aliases(spark, sf_dir).orderBy(F.desc_nulls_first("confidence"), "alias", "syn_id").limit(50)
+    return rows.select("syn_id", "alias", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_first("confidence"), "alias", "syn_id")).cast("long").alias("k"))
+
+
+@query(f"WITH {V.ATTRIBUTES} SELECT syn_id, key, datatype, value_string, value_number FROM att WHERE valid_to IS NULL")
+def attributes_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.attributes_of(V.attributes(spark, sf_dir)).select("syn_id", "key", "datatype", "value_string", "value_number")
+
+
+@query(f"WITH {V.ATTRIBUTES} SELECT syn_id, key, valid_to FROM att WHERE key = 'SEGMENT'")
+def attributes_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.attributes_of(V.attributes(spark, sf_dir), key="SEGMENT", active_only=False).select("syn_id", "key", "valid_to")
+
+
+@query(f"WITH {V.ENTITIES}, {V.EDGES} {_OUT} WHERE rel_type = 'SUPPLIES' AND observed_at <= TIMESTAMP '{ASOF}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{ASOF}')")
+def edges_of_relation_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.edges(spark, sf_dir).withColumn("valid_from", F.col("observed_at"))
+    return registry.neighbours(e, V.entities(spark, sf_dir), "out", "SUPPLIES", at=F.lit(ASOF).cast("timestamp_ntz")).select("syn_id", "related_id", "direction", "rel_type", "related_name")
+
+
+@query(f"WITH {_CASES} SELECT CASE WHEN expected = resolved THEN 'tp' WHEN expected IS NOT NULL AND resolved IS NULL THEN 'fn' WHEN expected IS NULL AND resolved IS NULL THEN 'tn' ELSE 'fp' END AS verdict, count(*) AS n, round(avg(CASE WHEN expected IS NOT NULL AND resolved IS NOT NULL THEN power(conf - CASE WHEN expected = resolved THEN 1.0 ELSE 0.0 END, 2) END), 6) AS brier FROM c GROUP BY 1")
+def case_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linker.case_verdicts(_cases(spark, sf_dir)).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("brier"), 6).alias("brier"))
+
+
+@query(f"WITH {V.EDGES}, x AS (SELECT src_syn_id, dst_syn_id, confidence * 1.5 AS c, observed_at, valid_to FROM ed) SELECT src_syn_id, dst_syn_id, CASE WHEN valid_to <= observed_at THEN 'ends before it starts' ELSE 'confidence not in 0..1' END AS violation FROM x WHERE valid_to <= observed_at OR NOT c BETWEEN 0 AND 1")
+def check_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges whose confidence is raised by half, and that end when they are observed."""
+    e = V.edges(spark, sf_dir).withColumns({"confidence": F.col("confidence") * 1.5, "valid_from": F.col("observed_at")})
+    return store.check_violations(e).select("src_syn_id", "dst_syn_id", "violation")
+
+
+@query("SELECT r_name AS name, CASE WHEN r_regionkey % 2 = 0 THEN 'old' ELSE 'new' END AS origin FROM region")
+def seed_insert_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions seeded into a table that has half of them: known ones are left alone."""
+    r = V.table(spark, sf_dir, "region")
+    have = r.filter("r_regionkey % 2 = 0").select(F.col("r_name").alias("name"), F.lit("old").alias("origin"))
+    return registry.insert_missing(have, r.select(F.col("r_name").alias("name"), F.lit("new").alias("origin")), ["name"])
+
+
+@query("SELECT 'COMPANY' AS type, count(*) AS n FROM customer UNION ALL SELECT 'COMMODITY', count(*) FROM part UNION ALL SELECT 'ORG', count(*) FROM supplier UNION ALL SELECT 'SECTOR', count(*) FROM nation UNION ALL SELECT 'THEME', count(*) FROM region")
+def seed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.entities(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {V.ENTITIES}, {V.ALIASES}, {V.MENTIONS}, c AS (SELECT DISTINCT mention_id, al.syn_id, least({_CONF}, 0.95) AS confidence, type FROM mn JOIN al ON al.alias = {_NORM} JOIN en ON en.syn_id = al.syn_id WHERE status = 'ACTIVE'),
+r AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY confidence DESC, syn_id) AS k FROM c) SELECT mention_id, syn_id, round(confidence, 6) AS confidence FROM r WHERE k <= 10 AND type = 'COMMODITY'""")
+def link_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.entities(spark, sf_dir)
+    found = linker.alias_candidates(V.mentions(spark, sf_dir), V.aliases(spark, sf_dir), e)
+    return linker.cascade([found], e, "COMMODITY").select("mention_id", "syn_id", F.round("confidence", 6).alias("confidence"))

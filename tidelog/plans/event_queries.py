@@ -21,19 +21,19 @@ def _head(df: DataFrame) -> DataFrame:
     return df.select("symbol", "seq", "ts_event_ns", F.col("event_type").cast("long").alias("event_type"))
 
 
-@query(f"WITH {V.EVENTS} SELECT {_HEAD} FROM ev WHERE ts_event_ns BETWEEN {T0} AND {T1}")
+@query(f"WITH {V.LOG} SELECT {_HEAD} FROM lg WHERE ts_event_ns BETWEEN {T0} AND {T1}")
 def replay_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _head(eventlog.in_range(V.events(spark, sf_dir), time=(T0, T1)))
+    return _head(eventlog.in_range(V.log(spark, sf_dir), time=(T0, T1)))
 
 
-@query(f"WITH {V.EVENTS} SELECT {_HEAD} FROM ev WHERE seq BETWEEN {S0} AND {S1}")
+@query(f"WITH {V.LOG} SELECT {_HEAD} FROM lg WHERE seq BETWEEN {S0} AND {S1}")
 def replay_seq_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _head(eventlog.in_range(V.events(spark, sf_dir), seq=(S0, S1)))
+    return _head(eventlog.in_range(V.log(spark, sf_dir), seq=(S0, S1)))
 
 
-@query(f"WITH {V.EVENTS} SELECT symbol, seq, ts_event_ns, round(value, 6) AS price, k AS size FROM ev WHERE kind = 2 AND ts_event_ns BETWEEN {T0} AND {T1} AND seq BETWEEN {S0} AND {S1}")
+@query(f"WITH {V.LOG} SELECT symbol, seq, ts_event_ns, round(value, 6) AS price, k AS size FROM lg WHERE kind = 2 AND ts_event_ns BETWEEN {T0} AND {T1} AND seq BETWEEN {S0} AND {S1}")
 def replay_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = eventlog.in_range(V.events(spark, sf_dir), (T0, T1), (S0, S1))
+    rows = eventlog.in_range(V.log(spark, sf_dir), (T0, T1), (S0, S1))
     return eventlog.replay(eventlog.of_type(rows, "trade")).select("symbol", "seq", "ts_event_ns", F.round("price", 6).alias("price"), "size")
 
 
@@ -129,7 +129,7 @@ def validate_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("part", "day", F.coalesce(validate.first_error(validate.type_rules("bar")), F.lit("ok")).alias("verdict"))
 
 
-_OK = "CASE WHEN kind = 2 AND (value <= 0 OR k <= 0) THEN 0 WHEN kind = 1 AND value <= 0 AND seq % 3 <> 2 THEN 0 WHEN kind = 3 AND k <= 0 THEN 0 ELSE 1 END"
+_OK = V.OK
 
 
 @query(f"WITH {V.EVENTS} SELECT CAST(kind AS BIGINT) AS event_type, count(*) AS received, CAST(sum({_OK}) AS BIGINT) AS written, CAST(sum(1 - {_OK}) AS BIGINT) AS invalid FROM ev GROUP BY kind")
@@ -209,19 +209,31 @@ def iso8601_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("seq", clock.parse_iso8601(F.col("iso")).alias("ns"))
 
 
-@query("""WITH x AS (SELECT event_id, ts - INTERVAL 5 HOUR AS l FROM events)
+_YEAR = "y AS (SELECT event_id, ts + to_days(CAST(event_id % 366 AS INTEGER)) AS t FROM events)"
+
+
+def _over_a_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times spread over a year, so that both changes of clocks are in it."""
+    return V.table(spark, sf_dir, "events").select("event_id", F.timestamp_add("DAY", (F.col("event_id") % 366).cast("int"), F.col("ts")).alias("t"))
+
+
+@query(f"""WITH {_YEAR}, x AS (SELECT event_id, CASE WHEN (t >= TIMESTAMP '2024-03-10 07:00' AND t < TIMESTAMP '2024-11-03 06:00') OR t >= TIMESTAMP '2025-03-09 07:00' THEN t - INTERVAL 4 HOUR ELSE t - INTERVAL 5 HOUR END AS l FROM y)
 SELECT event_id, isodow(l) <= 5 AND hour(l) * 60 + minute(l) >= 570 AND hour(l) * 60 + minute(l) < 960 AS is_open, isodow(l) <= 5 AND hour(l) * 60 + minute(l) >= 570 AND hour(l) * 60 + minute(l) <= 960 AS is_open_inclusive FROM x""")
 def market_open_utc_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New York hours, 09:30 to 16:00; January is all standard time, so SQL may subtract five hours."""
-    t = F.col("ts").cast("timestamp")
+    """New York hours, 09:30 to 16:00, in summer and winter."""
+    t = F.col("t").cast("timestamp")
     zone = "America/New_York"
-    return V.table(spark, sf_dir, "events").select("event_id", clock.market_open(t, zone, 570, 960).alias("is_open"), clock.market_open(t, zone, 570, 960, True).alias("is_open_inclusive"))
+    return _over_a_year(spark, sf_dir).select("event_id", clock.market_open(t, zone, 570, 960).alias("is_open"), clock.market_open(t, zone, 570, 960, True).alias("is_open_inclusive"))
 
 
-@query("SELECT event_id, ts + INTERVAL 5 HOUR AS utc FROM events")
+@query(f"""WITH {_YEAR}, d AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN TIMESTAMP '2024-03-10 01:59' + to_minutes(CAST(event_id % 90 AS INTEGER)) WHEN 1 THEN TIMESTAMP '2024-11-03 00:30' + to_minutes(CAST(event_id % 120 AS INTEGER)) ELSE t END AS l FROM y)
+SELECT event_id, CASE WHEN (l >= TIMESTAMP '2024-03-10 02:00' AND l < TIMESTAMP '2024-11-03 01:00') OR l >= TIMESTAMP '2025-03-09 02:00' THEN l + INTERVAL 4 HOUR ELSE l + INTERVAL 5 HOUR END AS utc FROM d""")
 def localize_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event times as New York local times in UTC (standard time throughout January)."""
-    return V.table(spark, sf_dir, "events").select("event_id", clock.localize(F.col("ts"), F.lit("NYSE"), F.col("ts")).alias("utc"))
+    """New York local times in UTC, many of them in the hours that are skipped or occur twice."""
+    i = F.col("event_id")
+    at = lambda start, n: F.timestamp_add("MINUTE", (i % n).cast("int"), F.lit(start).cast("timestamp_ntz"))
+    l = F.when(i % 5 == 0, at("2024-03-10 01:59:00", 90)).when(i % 5 == 1, at("2024-11-03 00:30:00", 120)).otherwise(F.col("t"))  # noqa: E741
+    return _over_a_year(spark, sf_dir).select("event_id", clock.localize(l, F.lit("NYSE"), F.col("t")).alias("utc"))
 
 
 _QUOTED = "tq AS (SELECT l_orderkey, l_linenumber, part, price, size, p_retailprice * 0.99 AS bid, p_retailprice * 1.01 AS ask FROM tr JOIN part ON part = p_partkey)"
@@ -249,9 +261,108 @@ def tick_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(((F.col("event_type") == 2) & ingest.tick_gate(F.col("price"), F.col("size"))).alias("passes")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {V.EVENTS}, g AS (SELECT * FROM ev WHERE {_OK} = 1) SELECT seq, symbol, CAST(kind AS BIGINT) AS event_type FROM g")
+@query(f"WITH {V.LOG} SELECT seq, symbol, CAST(kind AS BIGINT) AS event_type FROM lg")
 def write_read_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log written with its manifest and read back: what was valid, all of it, once."""
-    path = ingest.shared_path(spark, "parity-log")
-    eventlog.write_log(V.events(spark, sf_dir), path, "session", "replay")
-    return eventlog.read_log(spark, path).select("seq", "symbol", F.col("event_type").cast("long").alias("event_type"))
+    return V.log(spark, sf_dir).select("seq", "symbol", F.col("event_type").cast("long").alias("event_type"))
+
+
+@query(f"""WITH RECURSIVE {V.EVENTS}, v AS (SELECT symbol, CAST(ts AS DATE) AS d, seq, ts_monotonic_ns AS m, row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY (seq * 37) % 101, seq) AS i FROM ev WHERE {_OK} = 1),
+f AS (SELECT symbol, d, i, seq, CAST(NULL AS VARCHAR) AS error, m AS last_m, seq AS last_s FROM v WHERE i = 1
+  UNION ALL SELECT v.symbol, v.d, v.i, v.seq, CASE WHEN v.m < f.last_m THEN 'monotonic clock went back' WHEN v.seq <= f.last_s THEN 'sequence didn''t grow' END, CASE WHEN v.m >= f.last_m AND v.seq > f.last_s THEN v.m ELSE f.last_m END,
+    CASE WHEN v.m >= f.last_m AND v.seq > f.last_s THEN v.seq ELSE f.last_s END FROM f JOIN v ON v.symbol = f.symbol AND v.d = f.d AND v.i = f.i + 1)
+SELECT symbol, seq, error FROM f WHERE error IS NOT NULL
+UNION ALL SELECT symbol, seq, CASE WHEN kind = 3 THEN 'bad size' WHEN value <= 0 THEN 'bad price' ELSE 'bad size' END FROM ev WHERE {_OK} = 0""")
+def append_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an append in a permuted order of arrival refuses, by validation or by the order check of a symbol's day."""
+    e = V.events(spark, sf_dir).withColumn("arrival", (F.col("seq") * 37) % 101)
+    return eventlog.check(e, ["arrival", "seq"]).filter("error is not null").select("symbol", "seq", "error")
+
+
+@query(f"""WITH RECURSIVE {V.EVENTS}, n AS (SELECT symbol, seq, ts_event_ns AS t, row_number() OVER (PARTITION BY symbol ORDER BY ts_event_ns, seq) AS i FROM ev),
+f AS (SELECT symbol, seq, i, CAST(0 AS BIGINT) AS flush, 1 AS c, t AS since FROM n WHERE i = 1
+  UNION ALL SELECT n.symbol, n.seq, n.i, CASE WHEN f.c >= 3 OR n.t - f.since >= 172800000000000 THEN f.flush + 1 ELSE f.flush END, CASE WHEN f.c >= 3 OR n.t - f.since >= 172800000000000 THEN 1 ELSE f.c + 1 END,
+    CASE WHEN f.c >= 3 OR n.t - f.since >= 172800000000000 THEN n.t ELSE f.since END FROM f JOIN n ON n.symbol = f.symbol AND n.i = f.i + 1)
+SELECT symbol, seq, flush FROM f""")
+def flush_by_rows_or_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flushes of a symbol's buffer at three rows, or two days after its first one."""
+    e = V.events(spark, sf_dir).select("symbol", "seq", "ts_event_ns")
+    return ordering.timed_flushes(e, "symbol", "ts_event_ns", ["seq"], 3, 172_800 * clock.NS).select("symbol", "seq", "flush")
+
+
+@query(f"""WITH {V.LOG}, d AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n, min(ts_event_ns) AS low, max(ts_event_ns) AS high FROM lg GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS rows, min(low) AS low, max(high) AS high, CAST(sum(n) FILTER (WHERE low <= {T1} AND high >= {T0}) AS BIGINT) AS touched_rows FROM d""")
+def footer_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the written log's row groups, by the statistics in the files' footers, and of those that a time range touches."""
+    log = V.log(spark, sf_dir)
+    groups = eventlog.touched(eventlog.footers(spark, log.log_path), (T0, T1))
+    return groups.agg(F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum(F.when(F.col("touched"), F.col("rows"))).alias("touched_rows"))
+
+
+@query(f"WITH {V.LOG} SELECT CAST(ts AS DATE) AS day, count(*) AS events, min(ts_event_ns) AS first_ts_ns, max(ts_event_ns) AS last_ts_ns FROM lg GROUP BY 1")
+def manifest_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written log's manifest, by day."""
+    m = eventlog.read_manifest(spark, V.log(spark, sf_dir).log_path).filter("write_complete")
+    day = F.to_date(F.regexp_extract("file", "event_date=([0-9-]+)", 1))
+    return m.groupBy(day.alias("day")).agg(F.sum("events").alias("events"), F.min("first_ts_ns").alias("first_ts_ns"), F.max("last_ts_ns").alias("last_ts_ns"))
+
+
+@query(f"WITH {V.EVENTS} SELECT seq, CASE kind WHEN 1 THEN 'depth' WHEN 2 THEN 'trade' WHEN 3 THEN 'order' ELSE 'heartbeat' END AS name FROM ev")
+def event_type_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.events(spark, sf_dir).select("seq", eventlog.type_name(F.col("event_type")).alias("name"))
+
+
+@query(f"WITH {_BARS} SELECT CAST(part AS VARCHAR) AS symbol, t AS ts_open_ns, t + 60000000000 AS ts_close_ns, CAST(floor(open * 1000) AS BIGINT) AS open, CAST(floor(high * 1000) AS BIGINT) AS high, CAST(floor(low * 1000) AS BIGINT) AS low, CAST(floor(close * 1000) AS BIGINT) AS close, volume FROM bars")
+def type_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir).withColumns({"symbol": F.col("part").cast("string"), "ts_event_ns": F.col("ts_open_ns"), "ts_close_ns": F.col("ts_open_ns") + 60 * clock.NS})
+    r = eventlog.of_type(eventlog.union_events({"bar": b, "trade": V.trades(spark, sf_dir).filter("false")}), "bar")
+    return r.select("symbol", "ts_open_ns", "ts_close_ns", *[F.floor(F.col(c) * 1000).alias(c) for c in ("open", "high", "low", "close")], "volume")
+
+
+@query(f"WITH {V.EVENTS} SELECT symbol, seq, ts_event_ns FROM ev WHERE kind = 5")
+def type_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eventlog.of_type(V.events(spark, sf_dir), "heartbeat").select("symbol", "seq", "ts_event_ns")
+
+
+@query(f"WITH {V.LOG} SELECT symbol, seq, ts_event_ns FROM lg ORDER BY ts_event_ns DESC, seq DESC, symbol LIMIT 100")
+def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eventlog.newest(V.log(spark, sf_dir)).select("symbol", "seq", "ts_event_ns")
+
+
+@query("SELECT event_type, CAST(floor(count(*) * 1000 / 250000.0) AS BIGINT) AS row_groups FROM events GROUP BY 1")
+def row_group_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row groups that a thousand times the events would fill."""
+    n = V.table(spark, sf_dir, "events").groupBy("event_type").agg((F.count(F.lit(1)) * 1000).alias("n"))
+    return n.select("event_type", eventlog.row_group_estimate(F.col("n")).alias("row_groups"))
+
+
+@query(f"WITH {V.EVENTS} SELECT seq, ts_monotonic_ns - 1704844800000000000 > 0 AND ts_monotonic_ns <= 1705708800000000000 + 1000000000 AS valid FROM ev")
+def monotonic_clock_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monotonic clocks counted from a boot time, against a fixed now."""
+    boot = 1_704_844_800 * clock.NS
+    return V.events(spark, sf_dir).select("seq", ordering.monotonic_valid(F.col("ts_monotonic_ns") - boot, F.lit(T1 - boot)).alias("valid"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(least(power(2, l_linenumber) * 5, 60) AS DOUBLE) AS wait FROM lineitem")
+def reconnect_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ingest.backoff_seconds(F.col("l_linenumber")).alias("wait"))
+
+
+@query()
+def mock_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many random ticks as there are orders, through the gate and as trades."""
+    n = V.table(spark, sf_dir, "orders").count()
+    t = ingest.ticks_to_trades(ingest.mock_ticks(spark, n, ["AAPL", "MSFT", "SPY"], seed=7))
+    return t.filter(validate.event_error().isNull()).select("symbol", "seq", "price", "size", "venue", "aggressor")
+
+
+@query("SELECT count(*) AS received, count(*) FILTER (WHERE value > 0) AS written, count(*) FILTER (WHERE NOT value > 0) AS invalid, epoch_us(max(ts)) * 1000 AS last_ts_ns FROM events")
+def feed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events").select(F.col("value").alias("price"), F.lit(1.0).alias("size"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_event_ns"))
+    return ingest.feed_counters(e)
+
+
+@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS \"at\", 'U' || user_id AS symbol, count(*) AS events FROM events GROUP BY 1, 2")
+def heartbeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events").select(F.concat(F.lit("U"), "user_id").alias("symbol"), F.col("ts").alias("at"))
+    return ingest.heartbeats(e, "at", "1 hour")

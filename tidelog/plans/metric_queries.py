@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics, portfolio
@@ -52,10 +54,71 @@ def bucket_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.bucket_quantiles(histogram(spark, sf_dir), [0.5, 0.95, 0.99]).select("q", F.round("value", 6).alias("value"))
 
 
-@query("SELECT event_type, round(sum(value) / count(*), 6) AS mean FROM events GROUP BY 1")
+_GROWN = f"{V.LABELLED}, gw AS (SELECT *, \"at\" > {V.AT - DAY} AND \"at\" <= {V.AT} AS inside FROM le WHERE grows)"
+
+
+def _instant(spark, sf_dir, kind: str, name: str, **more) -> DataFrame:
+    return metrics.query_instant(V.labelled(spark, sf_dir), metrics.Expr(kind, name, window=DAY, **more), V.AT, "event_id")
+
+
+@query(f"WITH {_GROWN} SELECT kind, round(sum(value) / count(*), 6) AS mean FROM gw WHERE inside GROUP BY 1")
 def mean_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = V.table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
-    return e.select("event_type", F.round(metrics.share(F.col("s"), F.col("n")), 6).alias("mean"))
+    """Rate of the sums over rate of the counts, by kind."""
+    return _instant(spark, sf_dir, "mean", "value", by=("kind",)).select("kind", F.round("value", 6).alias("mean"))
+
+
+@query(f"WITH {_GROWN} SELECT zone, round(count(*) / {DAY}.0, 9) AS rate FROM gw WHERE inside AND kind = 'view' GROUP BY 1")
+def label_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request rates of one kind by zone."""
+    return _instant(spark, sf_dir, "sum_rate", "requests_total", where={"kind": "view"}, by=("zone",)).select("zone", F.round("value", 9).alias("rate"))
+
+
+@query(f"WITH {V.LABELLED} SELECT zone, CAST(count(*) AS DOUBLE) AS value FROM le WHERE \"at\" <= {V.AT} GROUP BY 1")
+def label_latest_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _instant(spark, sf_dir, "sum", "requests_total", by=("zone",)).select("zone", "value")
+
+
+@query(f"WITH {_GROWN} SELECT zone, round(count(*) FILTER (WHERE kind = 'error') / count(*), 9) AS ratio FROM gw WHERE inside GROUP BY 1")
+def label_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = metrics.Expr("sum_rate", "requests_total", by=("zone",), window=DAY)
+    return _instant(spark, sf_dir, "ratio", "requests_total", where={"kind": "error"}, by=("zone",), over=every).select("zone", F.round("value", 9).alias("ratio"))
+
+
+_LES = ", ".join("1e308" if x > 1e300 else str(x) for x in V.LES)
+
+
+@query(f"""WITH {_GROWN}, e AS (SELECT unnest([{_LES}]) AS le), b AS (SELECT zone, le, count(*) FILTER (WHERE value <= le) AS c FROM gw, e WHERE inside GROUP BY 1, 2),
+l AS (SELECT *, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(c) OVER w, 0) AS u, max(c) OVER (PARTITION BY zone) AS n FROM b WINDOW w AS (PARTITION BY zone ORDER BY le)), h AS (SELECT zone, min_by(le, le) AS le, min_by(low, le) AS low, min_by(u, le) AS u, min_by(c, le) AS c, any_value(n) AS n FROM l WHERE c >= 0.95 * n GROUP BY 1)
+SELECT zone, round(CASE WHEN le > 1e300 THEN 250.0 WHEN c = u THEN le ELSE low + (le - low) * (0.95 * n - u) / (c - u) END, 6) AS p95 FROM h""")
+def bucket_rate_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 95th percentile of the rates of a histogram's buckets, summed by le in each zone."""
+    return _instant(spark, sf_dir, "quantile", "value_bucket", by=("zone",), q=0.95).select("zone", F.round("value", 6).alias("p95"))
+
+
+@query(f"""WITH {V.LABELLED}, g AS (SELECT unnest(range({V.AT - 2 * DAY}, {V.AT} + 1, 21600)) AS t)
+SELECT CAST(t AS BIGINT) AS "at", zone, round(count(*) / {DAY}.0, 9) AS value FROM g JOIN le ON le."at" > t - {DAY} AND le."at" <= t WHERE grows AND kind <> 'none' GROUP BY 1, 2""")
+def label_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request rates by zone on a grid of six hours."""
+    e = metrics.Expr("sum_rate", "requests_total", by=("zone",), window=DAY)
+    return metrics.query_range(V.labelled(spark, sf_dir), e, V.AT - 2 * DAY, V.AT, 21_600, "event_id").select("at", "zone", F.round("value", 9).alias("value"))
+
+
+@query(f"""WITH {V.LABELLED}, x AS (SELECT kind, zone, count(*) AS n FROM le WHERE "at" <= {V.AT} GROUP BY 1, 2) SELECT 'requests_total{{kind="' || kind || '",zone="' || zone || '"}} ' || n || '.0' AS line FROM x""")
+def metric_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = metrics.matching(V.labelled(spark, sf_dir), "requests_total").filter(F.col("at") <= V.AT)
+    last = s.groupBy("name", F.array_sort(F.map_entries("labels")).alias("e")).agg(F.max("value").alias("value"))
+    return metrics.exposition(last.select("name", F.map_from_entries("e").alias("labels"), "value"))
+
+
+@query("""WITH h AS (SELECT event_type, user_id % 4 AS p, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) // 21600 AS w FROM events), k AS (SELECT DISTINCT event_type, p FROM h),
+g AS (SELECT unnest(range(1704499200, 1705276800 + 1, 21600)) AS t), c AS (SELECT event_type, p, t, EXISTS (SELECT 1 FROM (SELECT event_type, user_id % 4 AS p, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s, row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY event_id) AS i FROM events) e
+  WHERE e.event_type = k.event_type AND e.p = k.p AND e.i > 1 AND e.s > t - 21600 AND e.s <= t) AS flow FROM k, g)
+SELECT event_type, p, CAST(t AS BIGINT) AS "at", t - 1704499200 >= 43200 AND max(CASE WHEN flow THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, p ORDER BY t RANGE BETWEEN 43200 PRECEDING AND CURRENT ROW) = 0 AS alert FROM c""")
+def zero_flow_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters by type and part that haven't grown for half a day, on a grid of six hours."""
+    e = V.table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 4).alias("p"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    n = F.row_number().over(Window.partitionBy("event_type", "p").orderBy("event_id")).cast("double")
+    return metrics.zero_flow(e.withColumn("value", n), ["event_type", "p"], 1_704_499_200, 1_705_276_800, 21_600, 43_200, "event_id")
 
 
 @query(f"WITH {_RATE} SELECT round(sum(CASE WHEN series = 'error' THEN rate END) / nullif(sum(rate), 0), 6) AS ratio FROM rt")
@@ -82,18 +145,80 @@ def alert_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.alerts(values).select("id", F.round("value", 9).alias("value"))
 
 
-@query(f"""WITH {V.EVENTS}, w AS (SELECT symbol, count(*) AS written FROM ev WHERE kind <> 3 GROUP BY 1), e AS (SELECT symbol, count(*) AS errors FROM ev WHERE was = 'error' GROUP BY 1)
-SELECT w.symbol, written, CAST(coalesce(errors, 0) AS BIGINT) AS errors FROM w LEFT JOIN e USING (symbol)""")
+@query(f"""WITH {V.EVENTS}, w AS (SELECT symbol, count(*) AS n FROM ev WHERE kind <> 3 GROUP BY 1), r AS (SELECT symbol, count(*) / 86400.0 AS n FROM ev WHERE kind = 2 GROUP BY 1), o AS (SELECT symbol, count(*) AS n FROM ev WHERE kind = 1 GROUP BY 1), e AS (SELECT symbol, count(*) AS n FROM ev WHERE was = 'error' GROUP BY 1)
+SELECT w.symbol, CAST(w.n AS DOUBLE) AS events_written, round(coalesce(r.n, 0), 9) AS rate, CAST(coalesce(o.n, 0) AS DOUBLE) AS rows_written, CAST(coalesce(e.n, 0) AS DOUBLE) AS validation_errors FROM w LEFT JOIN r USING (symbol) LEFT JOIN o USING (symbol) LEFT JOIN e USING (symbol)""")
 def per_symbol_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass: counters per symbol, symbols without written events left out."""
-    e = V.events(spark, sf_dir).groupBy("symbol").agg(F.count_if(F.col("event_type") != 3).alias("written"), F.count_if(F.col("state") == 5).alias("errors"))
-    return e.filter("written > 0")
+    """Four metrics by symbol, joined onto the symbols of the written counter."""
+    e = V.events(spark, sf_dir)
+    by = lambda cond, scale=1.0: e.filter(cond).groupBy("symbol").agg((F.count(F.lit(1)) / scale).cast("double").alias("value"))
+    out = metrics.per_symbol(by("event_type <> 3"), by("event_type = 2", 86_400.0), by("event_type = 1"), by("state = 5"))
+    return out.withColumn("rate", F.round("rate", 9))
+
+
+_VENUES = [("NYSE", "U1"), ("NASDAQ", "U2"), ("LSE", "U3"), ("TSE", "none"), ("HKEX", "U4"), ("CME", "nobody")]
 
 
-@query(f"WITH {V.EVENTS}, x AS (SELECT symbol, count(*) FILTER (WHERE kind = 5) AS beats FROM ev GROUP BY 1) SELECT CASE WHEN beats > 10 THEN 'connected' WHEN beats > 0 THEN 'unknown' ELSE 'disconnected' END AS status, count(*) AS n FROM x GROUP BY 1")
+@query(f"""WITH {V.EVENTS}, d AS (SELECT * FROM (VALUES {", ".join(str(v) for v in _VENUES)}) AS t(venue, symbol)), l AS (SELECT symbol, avg(k) AS v FROM ev WHERE kind = 5 GROUP BY 1)
+SELECT d.venue, round(l.v, 6) AS latency, CASE WHEN d.venue = 'CME' THEN 'unknown' WHEN l.v IS NOT NULL THEN 'connected' ELSE 'disconnected' END AS status FROM d LEFT JOIN l USING (symbol)""")
 def venue_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = V.events(spark, sf_dir).groupBy("symbol").agg(F.count_if(F.col("event_type") == 5).alias("beats"))
-    return x.groupBy(F.when(F.col("beats") > 10, "connected").when(F.col("beats") > 0, "unknown").otherwise("disconnected").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    """A dimension of six venues with the latencies that are known; one lookup failed."""
+    venues = spark.createDataFrame(_VENUES, "venue string, symbol string")
+    k = F.get_json_object("props", "$.k").cast("double")
+    lat = V.table(spark, sf_dir, "events").filter("event_type = 'view'").groupBy(F.concat(F.lit("U"), "user_id").alias("symbol")).agg(F.avg(k).alias("value"))
+    lat = lat.join(F.broadcast(venues), "symbol").select("venue", "value")
+    return metrics.venue_status(venues, lat, venues.filter("venue = 'CME'")).select("venue", F.round("latency", 6).alias("latency"), "status")
+
+
+@query(f"WITH {V.EVENTS}, s AS (SELECT symbol, count(*) FILTER (WHERE kind = 2) / 60.0 AS r FROM ev GROUP BY 1) SELECT symbol, r > 0 AS live FROM s")
+def live_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = V.events(spark, sf_dir).groupBy("symbol").agg((F.count_if(F.col("event_type") == 2) / 60.0).alias("value"))
+    return metrics.live_symbols(rates)
+
+
+@query("SELECT p_partkey, round(p_retailprice * (p_size - 25) / 10 / 100, 2) AS change FROM part")
+def ticker_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change of a price by a percentage."""
+    return V.table(spark, sf_dir, "part").select("p_partkey", metrics.ticker_change(F.col("p_retailprice"), (F.col("p_size") - 25) / 10).alias("change"))
+
+
+@query("""WITH x AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'tick' WHEN 1 THEN 'flush' ELSE 'network' END AS kind, quantile_cont(l_discount, 0.99) AS s FROM lineitem GROUP BY 1)
+SELECT kind, round(s, 9) AS seconds, s * 1000 < CASE kind WHEN 'tick' THEN 10 WHEN 'flush' THEN 50 ELSE 100 END AS good FROM x""")
+def latency_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber") % 3
+    x = V.table(spark, sf_dir, "lineitem").groupBy(F.when(n == 0, "tick").when(n == 1, "flush").otherwise("network").alias("kind")).agg(F.percentile("l_discount", 0.99).alias("seconds"))
+    return metrics.latency_verdicts(x).select("kind", F.round("seconds", 9).alias("seconds"), "good")
+
+
+@query("""WITH x AS (SELECT o_orderkey, o_custkey * o_custkey * 7 AS us FROM orders) SELECT o_orderkey, CASE WHEN us < 1000 THEN us || 'us' WHEN us < 1000000 THEN printf('%.1fms', us / 1000.0) ELSE printf('%.2fs', us / 1000000.0) END AS text FROM x""")
+def latency_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    us = (F.col("o_custkey") * F.col("o_custkey") * 7).cast("double")
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", metrics.latency_text(us).alias("text"))
+
+
+@query("""WITH v AS (SELECT 'disconnected' AS id, 0.0 AS v UNION ALL SELECT 'zero_flow', 0.0 UNION ALL SELECT 'high_latency', 0.01 UNION ALL SELECT 'connection_errors', (SELECT count(*) FROM events WHERE event_type = 'error') UNION ALL SELECT 'high_cache_miss_rate', 0.9)
+SELECT severity, count(*) AS n FROM (SELECT CASE WHEN id IN ('disconnected', 'zero_flow') AND v = 0 THEN 'critical' WHEN id = 'connection_errors' AND v > 0 THEN 'warning' WHEN id = 'high_cache_miss_rate' AND v > 0.5 THEN 'info' END AS severity FROM v) WHERE severity IS NOT NULL GROUP BY 1""")
+def alert_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = V.table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "error").cast("double").alias("value")).select(F.lit("connection_errors").alias("id"), "value")
+    given = spark.createDataFrame([("disconnected", 0.0), ("zero_flow", 0.0), ("high_latency", 0.01), ("high_cache_miss_rate", 0.9)], "id string, value double")
+    return metrics.alert_counts(metrics.alerts(given.unionByName(errors)))
+
+
+@query("SELECT CAST(round(avg(p_size * 2)) AS BIGINT) AS overall, count(*) FILTER (WHERE p_size = 50) AS completed, count(*) FILTER (WHERE p_size BETWEEN 1 AND 49) AS in_progress FROM part")
+def mean_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("p_size")
+    return metrics.progress(V.table(spark, sf_dir, "part").select((s * 2).alias("progress"), F.when(s == 50, "complete").otherwise("in-progress").alias("status")))
+
+
+@query("SELECT o_orderkey, message FROM (SELECT o_orderkey, o_orderdate AS ts, 'order of customer ' || o_custkey AS message, o_orderpriority AS level FROM orders) WHERE contains(message, 'customer 1') AND level = '1-URGENT' AND ts >= TIMESTAMP '1995-01-01' ORDER BY ts DESC, message LIMIT 100")
+def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = V.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("ts"), F.concat(F.lit("order of customer "), "o_custkey").alias("message"), F.col("o_orderpriority").alias("level"))
+    return metrics.search_logs(o, "Customer 1", "1-urgent", datetime.datetime(1995, 1, 1)).select("o_orderkey", "message")
+
+
+@query("SELECT p_partkey, coalesce(try_cast(CASE WHEN p_size % 5 = 0 THEN p_name ELSE CAST(p_retailprice AS VARCHAR) END AS DOUBLE), 0) AS value FROM part")
+def metric_value_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("p_size") % 5 == 0, F.col("p_name")).otherwise(F.col("p_retailprice").cast("string"))
+    return V.table(spark, sf_dir, "part").select("p_partkey", metrics.parse_value(text).alias("value"))
 
 
 @query("SELECT user_id, date_trunc('day', ts) AS start, count(*) AS n, count(*) >= 3 AS limited FROM events GROUP BY 1, 2")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import validate
+from ..sources import eventlog
 from ..streaming import ingest
 from . import query
 from . import views as V
@@ -43,10 +44,33 @@ def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.EVENTS}, v AS (SELECT symbol, seq, ts_event_ns AS m, row_number() OVER (PARTITION BY symbol ORDER BY (seq * 37) % 101, seq) AS i FROM ev),
+f AS (SELECT symbol, i, seq, true AS accepted, m AS last_m, seq AS last_s FROM v WHERE i = 1
+  UNION ALL SELECT v.symbol, v.i, v.seq, v.m >= f.last_m AND v.seq > f.last_s, CASE WHEN v.m >= f.last_m AND v.seq > f.last_s THEN v.m ELSE f.last_m END,
+    CASE WHEN v.m >= f.last_m AND v.seq > f.last_s THEN v.seq ELSE f.last_s END FROM f JOIN v ON v.symbol = f.symbol AND v.i = f.i + 1)
+SELECT symbol, seq, accepted FROM f""")
 def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-symbol order check with state: late events are marked, and don't advance the state."""
     s = _stream(spark, sf_dir)
     seq = F.col("event_id") + 1
     rows = s.select(F.concat(F.lit("U"), "user_id").alias("symbol"), seq.alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_monotonic_ns"), ((seq * 37) % 101 * 1_000_000_000 + seq).alias("arrival"))
     return ingest.run_available(ingest.order_check(rows)).drop("batch")
+
+
+@query(f"WITH {V.EVENTS} SELECT symbol, event_id AS arrival, CAST(row_number() OVER (PARTITION BY symbol ORDER BY event_id) AS BIGINT) AS seq FROM ev")
+def stream_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each symbol's events numbered with state."""
+    rows = _stream(spark, sf_dir).select(F.concat(F.lit("U"), "user_id").alias("symbol"), F.col("event_id").alias("arrival"))
+    return ingest.run_available(ingest.sequence_numbers(rows)).drop("batch")
+
+
+@query(f"WITH {V.EVENTS} SELECT symbol, seq, round(value, 6) AS price, k AS size, 'live' AS feed_mode FROM ev WHERE kind = 2 AND value > 0 AND k > 0")
+def stream_to_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks streamed into the event log, one commit for each micro-batch, and read back from it."""
+    s = _stream(spark, sf_dir).filter("event_type = 'purchase'")
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    day = F.concat(F.lit("D"), F.dayofmonth("ts"))  # few symbols, so few files
+    ticks = s.select(ns.alias("ts_event_ns"), (ns + 1000).alias("ts_receive_ns"), (ns + 500).alias("ts_monotonic_ns"), F.lit("").alias("venue"), day.alias("symbol"), F.concat(F.lit("U"), "user_id").alias("source"), (F.col("event_id") + 1).alias("seq"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("size"), F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask"))
+    path, checkpoint = ingest.shared_path(spark, "stream-log"), ingest.shared_path(spark, "stream-log-checkpoint")
+    eventlog.append_stream(ingest.ticks_to_trades(ticks), path, checkpoint, "session", "live", every=None).awaitTermination()
+    return eventlog.read_log(spark, path).select(F.col("source").alias("symbol"), "seq", F.round("price", 6).alias("price"), "size", "feed_mode")

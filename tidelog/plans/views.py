@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import make_id
-from ..sources.eventlog import as_events
+from ..sources.eventlog import as_events, read_log, write_log
+from ..streaming.ingest import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,30 @@ EVENTS = """ev AS (SELECT epoch_us(ts) * 1000 AS ts_event_ns, epoch_us(ts) * 100
   value, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k, ts, event_id, user_id FROM events)"""
 
 
+_logs: dict[tuple[str, str], str] = {}
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a written log, by date and then by time; written once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _logs.get(key)
+    if path is not None:
+        there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+        if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            path = None
+    if path is None:
+        path = _logs[key] = shared_path(spark, "log")
+        write_log(events(spark, sf_dir), path, "driver", "replay", layout=("event_date",), order=("ts_event_ns", "seq"))
+    out = read_log(spark, path)
+    out.log_path = path
+    return out
+
+
+#: Which stand-in events the log's writer accepts (0 or 1).
+OK = "CASE WHEN kind = 2 AND (value <= 0 OR k <= 0) THEN 0 WHEN kind = 1 AND value <= 0 AND seq % 3 <> 2 THEN 0 WHEN kind = 3 AND k <= 0 THEN 0 ELSE 1 END"
+LOG = f"{EVENTS}, lg AS (SELECT * FROM ev WHERE {OK} = 1)"
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as trades of a part; dates are shifted by 30 years into the log's bounds."""
     li = table(spark, sf_dir, "lineitem")
@@ -112,6 +137,39 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALIASES = f"al AS (SELECT {_sid('CM', 'p_partkey')} AS syn_id, lower(p_name) AS alias, CASE WHEN p_partkey % 7 <> 0 THEN p_size / 50.0 END AS confidence FROM part)"
 
 
+def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per customer its segment (text), balance (number) and profile (JSON); a sixth are closed."""
+    c = table(spark, sf_dir, "customer")
+    kinds = [
+        ("BALANCE", "NUMBER", F.lit(None).cast("string"), F.col("c_acctbal"), F.lit(None).cast("string")), ("SEGMENT", "STRING", F.col("c_mktsegment"), F.lit(None).cast("double"), F.lit(None).cast("string")),
+        ("PROFILE", "JSON", F.lit(None).cast("string"), F.lit(None).cast("double"), F.format_string('{"segment": "%s", "nation": %d}', "c_mktsegment", "c_nationkey")),
+    ]
+    each = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(d).alias("datatype"), a.alias("value_string"), b.alias("value_number"), j.alias("value_json")) for k, d, a, b, j in kinds])
+    rows = c.select(make_id("CO", F.col("c_custkey")).alias("syn_id"), F.when(F.col("c_custkey") % 6 == 0, F.lit("1997-01-01").cast("timestamp_ntz")).alias("valid_to"), F.explode(each).alias("a"))
+    return rows.select("syn_id", "a.*", F.lit("1995-01-01").cast("timestamp_ntz").alias("valid_from"), "valid_to", F.lit("driver").alias("source"), F.lit(1.0).alias("confidence"))
+
+
+_ATT = "SELECT 'CO_' || lpad(CAST(c_custkey AS VARCHAR), 26, '0') AS syn_id, '{k}' AS key, '{d}' AS datatype, {a} AS value_string, {b} AS value_number, {j} AS value_json, CASE WHEN c_custkey % 6 = 0 THEN TIMESTAMP '1997-01-01' END AS valid_to FROM customer"
+ATTRIBUTES = "att AS (" + " UNION ALL ".join([
+    _ATT.format(k="BALANCE", d="NUMBER", a="NULL", b="c_acctbal", j="NULL"), _ATT.format(k="SEGMENT", d="STRING", a="c_mktsegment", b="NULL", j="NULL"),
+    _ATT.format(k="PROFILE", d="JSON", a="NULL", b="NULL", j="'{\"segment\": \"' || c_mktsegment || '\", \"nation\": ' || c_nationkey || '}'"),
+]) + ")"
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as unresolved names; the finished ones are resolved to their customer five days later."""
+    o = table(spark, sf_dir, "orders")
+    done = F.col("o_orderstatus") == "F"
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("raw_identifier"), F.lit("No candidates found").alias("reason"), F.col("o_orderdate").cast("timestamp_ntz").alias("ingested_at"),
+        F.when(done, make_id("CO", F.col("o_custkey"))).alias("resolved_syn_id"), F.when(done, F.col("o_orderdate").cast("timestamp_ntz") + F.expr("interval 5 days")).alias("resolved_at"), F.when(done, "ops").alias("resolved_by"),
+    )
+
+
+QUARANTINE = """qu AS (SELECT o_orderkey AS id, o_orderpriority AS raw_identifier, CAST(o_orderdate AS TIMESTAMP) AS ingested_at, CASE WHEN o_orderstatus = 'F' THEN 'CO_' || lpad(CAST(o_custkey AS VARCHAR), 26, '0') END AS resolved_syn_id,
+  CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 5 DAY END AS resolved_at, CASE WHEN o_orderstatus = 'F' THEN 'ops' END AS resolved_by FROM orders)"""
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct part names with noise in case and spacing."""
     p = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("k"))
@@ -131,5 +189,26 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SAMPLES = "sm AS (SELECT event_type AS series, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS \"at\", event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) % 500 AS DOUBLE) AS value FROM events)"
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters at each event with labels kind and zone (one of three): requests_total, value_sum, value_count and value_bucket by le."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), (F.col("user_id") % 3).cast("string").alias("zone"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "value")
+    w = Window.partitionBy("kind", "zone").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.count(F.lit(1)).over(w).cast("double")
+    e = e.withColumns({"n": n, "s": F.sum("value").over(w), **{f"b{k}": F.count_if(F.col("value") <= le).over(w).cast("double") for k, le in enumerate(LES)}})
+    labels = lambda *more: F.create_map(F.lit("kind"), F.col("kind"), F.lit("zone"), F.col("zone"), *more)
+    one = lambda name, value, *more: F.struct(F.lit(name).alias("name"), labels(*more).alias("labels"), value.alias("value"))
+    rows = [one("requests_total", F.col("n")), one("value_sum", F.col("s")), one("value_count", F.col("n"))]
+    rows += [one("value_bucket", F.col(f"b{k}"), F.lit("le"), F.lit("+Inf" if le > 1e300 else str(le))) for k, le in enumerate(LES)]
+    return e.select("event_id", "at", F.explode(F.array(*rows)).alias("x")).select("event_id", "at", "x.*")
+
+
+LES = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 1.7e308]
+#: Growth of each labelled counter at each event (the first sample of a series has none).
+LABELLED = """le AS (SELECT event_id, event_type AS kind, CAST(user_id % 3 AS VARCHAR) AS zone, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS "at", value,
+  row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY event_id) > 1 AS grows FROM events)"""
 #: Evaluation time of the metric queries: 2024-01-15 00:00 UTC.
 AT = 1_705_276_800

@@ -1,16 +1,28 @@
-"""The event log: partitioned Parquet by symbol and UTC date, with a manifest of committed files."""
+"""The event log: Parquet partitioned by commit, symbol and UTC date, with a manifest of committed files.
+
+A commit is one folder, so its files are known without a look at any other, and writing it
+again replaces it. Files that no manifest entry names are incomplete.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import utc_date
-from ..operators.validate import split_valid, with_decimals
+from ..operators.ordering import order_errors
+from ..operators.validate import event_error, with_decimals
 from ..schema import EVENT, EVENT_TYPES, TYPE_COLUMNS
 
 ROWS_PER_GROUP = 250_000
-OPTIONS = {"compression": "zstd", "parquet.compression.codec.zstd.level": "3", "parquet.page.size": str(1 << 20), "parquet.enable.dictionary": "true"}
+OPTIONS = {
+    "compression": "zstd", "parquet.compression.codec.zstd.level": "3", "parquet.page.size": str(1 << 20), "parquet.enable.dictionary": "true",
+    "parquet.block.row.count.limit": str(ROWS_PER_GROUP),
+}
+#: Columns of the folders below a commit's.
+LAYOUT = ("symbol", "event_date")
 
 
 def as_events(rows: DataFrame) -> DataFrame:
@@ -28,25 +40,65 @@ def union_events(kinds: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def write_log(events: DataFrame, path: str, session_id: str, feed_mode: str, max_file_rows: int = 2_000_000) -> DataFrame:
-    """Append the valid events; returns the rejected ones with their errors.
+def check(events: DataFrame, arrival: list[str], file: tuple[str, ...] = LAYOUT) -> DataFrame:
+    """``events`` with ``error`` and ``event_date``: the validation's first error, or else that of the order check.
 
-    Rows are range-partitioned by (symbol, date, seq) and sorted, so that a busy symbol's day
-    spreads over tasks, files hold narrow sequence ranges and a quiet symbol gets one file.
-    Each commit adds its files to the manifest, which is what marks them complete.
+    As in a writer's append, events that fail validation don't take part in the order check.
+    """
+    rows = events.withColumns({"event_date": utc_date("ts_event_ns"), "error": event_error()})
+    good = order_errors(rows.filter("error is null").drop("error"), arrival, list(file))
+    return good.withColumnRenamed("order_error", "error").unionByName(rows.filter("error is not null"))
+
+
+def write_log(
+    events: DataFrame, path: str, session_id: str, feed_mode: str, max_file_rows: int = 2_000_000, arrival: list[str] | None = None,
+    commit: str | None = None, layout: tuple[str, ...] = LAYOUT, order: tuple[str, ...] = ("seq",),
+) -> DataFrame:
+    """Append the events that validation and order check accept; returns the rejected ones with their errors.
+
+    ``arrival`` is the order of appending (receive time and sequence if not given). Rows are
+    range-partitioned by ``layout`` and ``order`` and sorted, so that a busy symbol's day
+    spreads over tasks, files and row groups hold narrow ranges, and a quiet symbol gets one
+    file. Only this commit's files are read again, for their manifest entries. A ``commit``
+    that is written again, as by a stream that restarts, replaces itself.
     """
-    good, bad = split_valid(as_events(events))
-    rows = with_decimals(good).withColumns({"event_date": utc_date("ts_event_ns"), "feed_mode": F.lit(feed_mode)})
-    key = ["symbol", "event_date", "seq"]
-    rows.repartitionByRange(*key).sortWithinPartitions(*key).write.mode("append").options(**OPTIONS).option("maxRecordsPerFile", max_file_rows).partitionBy("symbol", "event_date").parquet(f"{path}/events")
-    facts = manifest_of(read_log(events.sparkSession, path)).join(read_manifest(events.sparkSession, path).select("file"), "file", "left_anti")
-    facts.withColumns({"session_id": F.lit(session_id), "feed_mode": F.lit(feed_mode), "write_complete": F.lit(True)}).write.mode("append").parquet(f"{path}/manifest")
-    return bad
+    spark, commit = events.sparkSession, commit or uuid.uuid4().hex
+    staged = f"{path}/staged/commit={commit}"
+    check(as_events(events), arrival or ["ts_receive_ns", "seq"]).write.mode("overwrite").parquet(staged)
+    checked = spark.read.parquet(staged)
+    rows = with_decimals(checked.filter("error is null").drop("error")).withColumn("feed_mode", F.lit(feed_mode))
+    key = [*layout, *order]
+    rows.repartitionByRange(*key).sortWithinPartitions(*key).write.mode("overwrite").options(**OPTIONS).option("maxRecordsPerFile", max_file_rows).partitionBy(*layout).parquet(f"{path}/events/commit={commit}")
+    facts = manifest_of(read_log(spark, path, [commit])).withColumns({"session_id": F.lit(session_id), "feed_mode": F.lit(feed_mode), "write_complete": F.lit(True)})
+    facts.write.mode("overwrite").parquet(f"{path}/manifest/commit={commit}")
+    refused = f"{path}/refused/commit={commit}"
+    checked.filter("error is not null").drop("event_date").write.mode("overwrite").parquet(refused)
+    where = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return spark.read.parquet(refused)
+
+
+def read_log(spark: SparkSession, path: str, commits: list[str] | None = None) -> DataFrame:
+    """All events, or those of some commits; ranges of event time and sequence are pushed to the Parquet scan."""
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT)
+    reader = spark.read.schema(f"{ddl}, feed_mode string, event_date date, commit string").option("basePath", f"{path}/events")
+    return reader.parquet(*[f"{path}/events/commit={c}" for c in commits] if commits else [f"{path}/events"])
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT)
-    return spark.read.schema(f"{ddl}, feed_mode string, event_date date").parquet(f"{path}/events")
+def append_stream(stream: DataFrame, path: str, checkpoint: str, session_id: str, feed_mode: str, arrival: list[str] | None = None, every: str | None = "2 seconds"):
+    """A running query that appends a stream to the log: one commit for each micro-batch, every two seconds.
+
+    With ``every=None`` it takes what is available and ends. After a failure the next run with
+    the same ``checkpoint`` goes on where this one ended, and a batch that was half written is
+    replaced. A batch's order check starts anew; ``order_check`` keeps it over batches. Date
+    rollover and a change of ``feed_mode`` need no closing of files, as both are in the layout
+    or in each row.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        write_log(batch, path, session_id, feed_mode, arrival=arrival, commit=f"{session_id}-{number:09d}")
+
+    out = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
 MANIFEST = "file string, events long, first_ts_ns long, last_ts_ns long, first_symbol string, first_venue string, first_source string, session_id string, feed_mode string, write_complete boolean"
@@ -55,8 +107,8 @@ MANIFEST = "file string, events long, first_ts_ns long, last_ts_ns long, first_s
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
     if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        return spark.createDataFrame([], MANIFEST)
-    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+        return spark.createDataFrame([], f"{MANIFEST}, commit string")
+    return spark.read.schema(f"{MANIFEST}, commit string").parquet(f"{path}/manifest")
 
 
 def file_facts(events: DataFrame, file: Column) -> DataFrame:
@@ -76,6 +128,33 @@ def incomplete_files(log: DataFrame, manifest: DataFrame) -> DataFrame:
     return log.select(F.col("_metadata.file_path").alias("file")).distinct().join(manifest.filter("write_complete").select("file"), "file", "left_anti")
 
 
+def footers(spark: SparkSession, path: str, time: tuple[int, int] | None = None) -> DataFrame:
+    """file, row_group, rows, low, high, low_seq, high_seq of the log's row groups, from the files' footers.
+
+    With a time range, only of files whose manifest entry overlaps it. The driver reads the
+    footers, some KB each, so ask for a range on a large log.
+    """
+    files = read_manifest(spark, path)
+    if time:
+        files = files.filter((F.col("first_ts_ns") <= time[1]) & (F.col("last_ts_ns") >= time[0]))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rows = []
+    for f in sorted(r.file for r in files.select("file").collect()):
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)), conf))
+        try:
+            for k, block in enumerate(reader.getFooter().getBlocks()):
+                of = {c.getPath().toDotString(): c.getStatistics() for c in block.getColumns()}
+                rows.append((f, k, block.getRowCount(), *[int(x) for c in ("ts_event_ns", "seq") for x in (of[c].genericGetMin(), of[c].genericGetMax())]))
+        finally:
+            reader.close()
+    return spark.createDataFrame(rows, "file string, row_group long, rows long, low long, high long, low_seq long, high_seq long")
+
+
+def touched(groups: DataFrame, time: tuple[int, int]) -> DataFrame:
+    """``groups`` with whether a time range touches them, by their statistics."""
+    return groups.withColumn("touched", (F.col("low") <= time[1]) & (F.col("high") >= time[0]))
+
+
 def in_range(events: DataFrame, time: tuple[int, int] | None = None, seq: tuple[int, int] | None = None) -> DataFrame:
     """Inclusive ranges of event time and sequence; both reach the Parquet scan."""
     if time:
@@ -89,6 +168,16 @@ def replay(events: DataFrame) -> DataFrame:
     return events.orderBy("symbol", "event_date", "seq") if "event_date" in events.columns else events.orderBy("symbol", "seq")
 
 
+def type_name(code: Column) -> Column:
+    """The name of an event type's code; null for an unknown one."""
+    return F.element_at(F.create_map(*[F.lit(x) for k, v in EVENT_TYPES.items() for x in (v, k)]), code.cast("int"))
+
+
+def newest(events: DataFrame, most: int = 100) -> DataFrame:
+    """The newest events, newest first."""
+    return events.orderBy(F.desc("ts_event_ns"), F.desc("seq"), "symbol").limit(most)
+
+
 def of_type(events: DataFrame, kind: str) -> DataFrame:
     """One event type with its own columns."""
     header = [c for c in EVENT.names[:8] if c != "event_type"]
@@ -99,8 +188,12 @@ def row_groups(events: DataFrame, order: list[str], time: tuple[int, int], size:
     """Each file's row groups (of ``size`` rows in order) and whether a time range touches them."""
     n = F.row_number().over(Window.partitionBy("symbol").orderBy(*order))
     groups = events.withColumn("row_group", F.floor((n - 1) / size).cast("long")).groupBy("symbol", "row_group")
-    facts = groups.agg(F.count(F.lit(1)).alias("rows"), F.min("ts_event_ns").alias("low"), F.max("ts_event_ns").alias("high"))
-    return facts.withColumn("touched", (F.col("low") <= time[1]) & (F.col("high") >= time[0]))
+    return touched(groups.agg(F.count(F.lit(1)).alias("rows"), F.min("ts_event_ns").alias("low"), F.max("ts_event_ns").alias("high")), time)
+
+
+def row_group_estimate(rows: Column) -> Column:
+    """Full row groups that so many rows would fill."""
+    return F.floor(rows / ROWS_PER_GROUP).cast("long")
 
 
 def legacy_path(base: str) -> Column:
@@ -127,10 +220,15 @@ def list_files(spark: SparkSession, path: str, symbol: str | None = None) -> Dat
     return (files.filter(F.col("symbol") == symbol) if symbol else files).orderBy("path")
 
 
+def size_text(bytes_: Column, unit: str) -> Column:
+    """Bytes as MB or GB with two decimals."""
+    return F.format_string("%.2f", bytes_ / (1024 ** {"MB": 2, "GB": 3}[unit]))
+
+
 def storage_by_symbol(files: DataFrame) -> DataFrame:
     """(symbol, day, bytes) -> per symbol: bytes, files, first and last day, distinct days, MB as text."""
     out = files.groupBy("symbol").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.countDistinct("day").alias("distinct_days"))
-    return out.withColumn("size_mb", F.format_string("%.2f", F.col("bytes") / (1024 * 1024)))
+    return out.withColumn("size_mb", size_text(F.col("bytes"), "MB"))
 
 
 def storage_total(by_symbol: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import ENTITY_PREFIXES
+
 
 def read_seed_csv(spark: SparkSession, path: str, columns: list[str], required: list[str]) -> DataFrame:
     """A CSV with header: trimmed values, rows that lack a required one are skipped."""
@@ -18,6 +20,39 @@ def read_seed_csv(spark: SparkSession, path: str, columns: list[str], required:
     return rows
 
 
+def load_companies(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and identifiers of a CSV ticker,name,figi,lei,isin; rows without a name are skipped."""
+    return _entities(read_seed_csv(spark, path, ["ticker", "name", "figi", "lei", "isin"], ["name"]), "COMPANY", {"TICKER": "ticker", "FIGI": "figi", "LEI": "lei", "ISIN": "isin"})
+
+
+def load_exchanges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and identifiers of a CSV mic,name,country; rows without mic or name are skipped."""
+    return _entities(read_seed_csv(spark, path, ["mic", "name", "country"], ["mic", "name"]), "EXCHANGE", {"MIC": "mic"})
+
+
+def load_commodities(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and identifiers of a CSV code,name,class; rows without code or name are skipped."""
+    return _entities(read_seed_csv(spark, path, ["code", "name", "class"], ["code", "name"]), "COMMODITY", {"COMMODITY_CODE": "code"})
+
+
+def _entities(rows: DataFrame, kind: str, schemes: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Ids come from all of a row's values, so that loading a file again gives the same entities."""
+    values = F.concat_ws("\x1f", F.lit(kind), *[F.coalesce(c, F.lit("")) for c in rows.columns])
+    rows = rows.withColumn("syn_id", F.concat(F.lit(ENTITY_PREFIXES[kind] + "_"), F.upper(F.substring(F.sha2(values, 256), 1, 26))))
+    entities = rows.select("syn_id", F.lit(kind).alias("type"), F.col("name").alias("canonical_name"), F.lit("ACTIVE").alias("status")).distinct()
+    pairs = F.array(*[F.struct(F.lit(s).alias("scheme"), F.col(c).alias("value")) for s, c in schemes.items()])
+    identifiers = rows.select("syn_id", F.explode(pairs).alias("p")).select("syn_id", "p.*").filter("length(value) > 0").distinct()
+    return entities, identifiers
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] = (0, 0), partitions: int = 1, properties: dict[str, str] | None = None) -> DataFrame:
+    """A database table; with a numeric ``column``, read by ranges of it in parallel. Statements time out after 5 s unless ``properties`` say otherwise."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).option("queryTimeout", 5).options(**(properties or {}))
+    if column:
+        reader = reader.option("partitionColumn", column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
+    return reader.load()
+
+
 CASES = "test_cases array<struct<id:string,text:string,expected_syn_id:string,expected_name:string,expected_type:string,expected_confidence:double,category:string>>"
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ordering import NOTHING, fold
 from ..operators.validate import positive
-from ..sources.eventlog import as_events
+from ..sources.eventlog import as_events, newest
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -49,10 +50,14 @@ def ticks_to_trades(ticks: DataFrame) -> DataFrame:
     return as_events(rows.withColumns({"event_type": F.lit(2), "venue": F.coalesce(F.when(F.col("venue") == "", None).otherwise(F.col("venue")), F.lit("SMART")), "aggressor": infer_aggressor(F.col("price"), F.col("bid"), F.col("ask"))}))
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a streaming DataFrame over all available input; its result as a table."""
+def run_available(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """Run a streaming DataFrame over all available input; its result as a table with the batch's number.
+
+    With a ``checkpoint`` and ``out`` that are kept, the next run takes only what is new and
+    the table has the results of all runs; a batch that is run again replaces itself.
+    """
     spark = stream.sparkSession
-    out, checkpoint = shared_path(spark, "stream-out"), shared_path(spark, "stream-checkpoint")
+    out, checkpoint = out or shared_path(spark, "stream-out"), checkpoint or shared_path(spark, "stream-checkpoint")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -62,30 +67,82 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.IntegerType())])).parquet(out)
 
 
-def window_counts(stream: DataFrame, at: str, keys: list[str], size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Counts per key and tumbling or sliding window; windows close when the watermark has passed."""
+def window_counts(stream: DataFrame, at: str, keys: list[str], size: str, slide: str | None = None, late: str | None = None) -> DataFrame:
+    """Counts per key and tumbling or sliding window.
+
+    With ``late``, a window's state goes once the watermark (the latest time seen by the
+    batches before, less ``late``) has passed its end, and rows that come later are dropped.
+    Without, no row is ever dropped and the state of all windows stays: for bounded input, or
+    few windows.
+    """
     w = F.window(at, size, slide) if slide else F.window(at, size)
-    return stream.withWatermark(at, late).groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+    rows = stream.withWatermark(at, late) if late else stream
+    return rows.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+
 
+_STATE = "m long, source string, seq long"
 
-_STATE = "m long, seq long"
-_VERDICT = "symbol string, seq long, accepted boolean"
+
+def _fold(batches: Iterator[pd.DataFrame], state: GroupState) -> pd.DataFrame:
+    last = tuple(state.get) if state.exists else NOTHING
+    rows = pd.concat(list(batches)).sort_values("arrival", kind="stable")
+    found, last = fold(rows.ts_monotonic_ns.to_numpy(), rows.source.to_numpy(dtype=object), rows.seq.to_numpy(), last)
+    state.update(last)
+    return rows.assign(accepted=found == 0)
 
 
 def _check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    m, last = state.get if state.exists else (-(1 << 63), 0)
-    rows = pd.concat(list(batches)).sort_values("arrival")
-    ok = []
-    for mono, seq in zip(rows.ts_monotonic_ns, rows.seq):
-        good = mono >= m and seq > last
-        ok.append(good)
-        if good:
-            m, last = int(mono), int(seq)
-    state.update((m, last))
-    yield pd.DataFrame({"symbol": rows.symbol, "seq": rows.seq, "accepted": ok})
+    yield _fold(batches, state)[["symbol", "seq", "accepted"]]
 
 
 def order_check(stream: DataFrame) -> DataFrame:
-    """Rejects late rows: per symbol, against the last accepted event, with state across batches."""
-    rows = stream.select("symbol", "seq", "ts_monotonic_ns", "arrival")
-    return rows.groupBy("symbol").applyInPandasWithState(_check, _VERDICT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    """Rejects late rows: per symbol, against the last accepted event, with state across batches (symbol, seq, ts_monotonic_ns, arrival, and source if there is one)."""
+    source = F.col("source") if "source" in stream.columns else F.lit("")
+    rows = stream.select("symbol", "seq", "ts_monotonic_ns", "arrival", source.alias("source"))
+    return rows.groupBy("symbol").applyInPandasWithState(_check, "symbol string, seq long, accepted boolean", _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def _number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    (last,) = state.get if state.exists else (0,)
+    rows = pd.concat(list(batches)).sort_values("arrival", kind="stable")
+    state.update((last + len(rows),))
+    yield rows.assign(seq=range(last + 1, last + len(rows) + 1))[["symbol", "arrival", "seq"]]
+
+
+def sequence_numbers(stream: DataFrame) -> DataFrame:
+    """symbol, arrival, seq: each symbol's rows numbered from 1 by arrival, with state across batches."""
+    return stream.select("symbol", "arrival").groupBy("symbol").applyInPandasWithState(_number, "symbol string, arrival long, seq long", "seq long", "append", GroupStateTimeout.NoTimeout)
+
+
+def mock_ticks(spark: SparkSession, n: int, symbols: list[str], seed: int = 0, start_ns: int = 1_704_844_800_000_000_000, step_ns: int = 1_000_000) -> DataFrame:
+    """``n`` random ticks: price from 100 to 200, size from 1 to 1000, any of the symbols; the same for a seed."""
+    u = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 53)) / float(1 << 53)  # noqa: E731  doesn't depend on partitions
+    names = F.array(*[F.lit(s) for s in symbols])
+    ns = F.lit(start_ns) + F.col("id") * step_ns
+    return spark.range(n).select(
+        F.get(names, F.floor(u(1) * len(symbols)).cast("int")).alias("symbol"), (100 + 100 * u(2)).alias("price"), (1 + 999 * u(3)).alias("size"), ns.alias("ts_event_ns"),
+        (ns + 1000).alias("ts_receive_ns"), (ns + 500).alias("ts_monotonic_ns"), F.lit("").alias("venue"), F.lit("mock").alias("source"), (F.col("id") + 1).alias("seq"),
+        F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask"),
+    )
+
+
+def heartbeats(stream: DataFrame, at: str, every: str = "30 seconds") -> DataFrame:
+    """One heartbeat for each symbol and interval in which it has events (symbol and the time column ``at``)."""
+    return stream.groupBy(F.window(at, every).alias("w"), "symbol").agg(F.count(F.lit(1)).alias("events")).select("symbol", F.col("w.start").alias("at"), "events")
+
+
+def keep_newest(spark: SparkSession, batch: DataFrame, kept: DataFrame | None, most: int = 100) -> DataFrame:
+    """The bounded buffer behind a live view: the newest ``most`` events of what was kept and a new batch, newest first."""
+    rows = batch if kept is None else kept.unionByName(batch)
+    return newest(rows, most)
+
+
+def backoff_seconds(attempt: Column) -> Column:
+    """Wait before the next try to connect: 5 seconds, doubled each time, a minute at most."""
+    return F.least(F.pow(F.lit(2), attempt) * 5, F.lit(60.0))
+
+
+def feed_counters(ticks: DataFrame) -> DataFrame:
+    """Received, written and invalid ticks of a feed, and the last event time."""
+    good = tick_gate(F.col("price"), F.col("size"))
+    return ticks.agg(F.count(F.lit(1)).alias("received"), F.count_if(good).alias("written"), F.count_if(~good).alias("invalid"), F.max("ts_event_ns").alias("last_ts_ns"))
