@@ -328,10 +328,10 @@ SELECT syn_id, scheme, value, CASE WHEN k % 3 = 1 THEN 'unknown scheme' WHEN EXI
 def insert_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New identifiers of all customers: which go in, and why the others don't."""
     k = F.col("c_custkey")
-    new = V.table(spark, sf_dir, "customer").select(idf.make_id("CO", k).alias("syn_id"), F.when(k % 3 == 1, "NICK").otherwise("TICKER").alias("scheme"), F.concat(F.lit("X"), k - k % 2).alias("value"), F.lit("2001-01-01").cast("timestamp_ntz").alias("valid_from"))
+    new = V.table(spark, sf_dir, "customer").select(idf.make_id("CO", k).alias("syn_id"), F.when(k % 3 == 1, "NICK").otherwise("TICKER").alias("scheme"), F.concat(F.lit("X"), k - k % 2).alias("value"), F.lit("2030-01-01").cast("timestamp_ntz").alias("valid_from"))
     i = V.identifiers(spark, sf_dir)
     table, bad = store.insert_identifiers(i, new)
-    fresh = table.filter("valid_from = timestamp_ntz'2001-01-01'").select("syn_id", "scheme", "value", F.lit(None).cast("string").alias("error"))
+    fresh = table.filter("valid_from = timestamp_ntz'2030-01-01'").select("syn_id", "scheme", "value", F.lit(None).cast("string").alias("error"))
     return fresh.unionByName(bad.select("syn_id", "scheme", "value", "error"))
 
 

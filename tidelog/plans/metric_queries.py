@@ -175,10 +175,10 @@ def live_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.live_symbols(rates)
 
 
-@query("SELECT p_partkey, round(p_retailprice * (p_size - 25) / 10 / 100, 2) AS change FROM part")
+@query("SELECT p_partkey, round(p_retailprice * ((p_size - 25) * 0.10371) / 100, 2) AS change FROM part")
 def ticker_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change of a price by a percentage."""
-    return V.table(spark, sf_dir, "part").select("p_partkey", metrics.ticker_change(F.col("p_retailprice"), (F.col("p_size") - 25) / 10).alias("change"))
+    return V.table(spark, sf_dir, "part").select("p_partkey", metrics.ticker_change(F.col("p_retailprice"), (F.col("p_size") - 25) * 0.10371).alias("change"))
 
 
 @query("""WITH x AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'tick' WHEN 1 THEN 'flush' ELSE 'network' END AS kind, quantile_cont(l_discount, 0.99) AS s FROM lineitem GROUP BY 1)
