@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, sliced
+from .common import CACHES, sliced, small_batches
 
 #: Code points of a piece, and of a window's half at first.
 PIECE, WINDOW = 32_768, 64
@@ -277,6 +277,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     are ignored; an empty table gives no rows. The tokenizer file is read on the driver
     (a few MB at most, checked) and broadcast. Any kind of tokenizer will do.
     """
+    small_batches(docs.sparkSession)
     spec = _broadcast(docs.sparkSession, tokenizer_path)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc_id long, ids array<int>" + ", decoded string" * decoded

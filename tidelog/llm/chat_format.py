@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_empty, stored
+from .common import is_empty, small_batches, stored
 
 #: ``### role: text </turn>\n`` a turn; a backslash goes before these strings inside a role or text.
 TURN, END = "### ", " </turn>\n"
@@ -130,6 +130,7 @@ def format_chats(messages: DataFrame, top: int = 1, learn: frozenset[str] = froz
     tree = F.coalesce(F.concat(F.lit("="), F.col("tree")), F.lit(""))  # a join on a null would lose its rows
     messages = messages.select(tree.alias("tree"), F.col("msg").cast("long").alias("msg"), F.col("parent").cast("long").alias("parent"), F.col("score").cast("double").alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     messages = messages.filter("msg is not null")
+    small_batches(messages.sparkSession)
     if not is_empty(messages.groupBy("tree", "msg").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")):
         messages = messages.groupBy("tree", "msg").agg(F.min(F.struct("parent", "score", "role", "text")).alias("m")).select("tree", "msg", "m.*")
     path = best_paths(messages, top).join(messages.select("tree", "msg", "role", "text"), ["tree", "msg"])

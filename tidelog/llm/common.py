@@ -29,6 +29,18 @@ AT_ONCE = 1 << 21
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of an Arrow batch at most; each task holds a few batches in the JVM and in its worker.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of an Arrow batch to ARROW, as texts may be long; smaller ones stay."""
+    for k, most in ARROW.items():
+        now = int((spark.conf.get(k, None) or "0").rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(k, str(most))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

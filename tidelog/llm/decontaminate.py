@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_mark, sliced, stored
+from .common import row_mark, sliced, small_batches, stored
 
 #: Bytes of item text of one index, which is built in the driver and broadcast.
 SHARD_BYTES = 4 << 20
@@ -232,6 +232,7 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator:
     """The broadcast indexes of all shards of the benchmark, one by one; the driver holds one shard's items at a time."""
     spark = benchmark.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = lambda r: (r.item_id is None, r.item_id or 0, r.text)

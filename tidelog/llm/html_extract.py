@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, small_batches
 
 #: A tag whose quotes don't close before the page ends is read up to its first ">" (the last but one alternative).
 _TOKEN = re.compile(
@@ -362,5 +362,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     an empty text; repeated rows each give theirs. Other columns are ignored; an empty
     table gives no rows.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(_map, "page_id long, url string, text string")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import forget_shuffles, is_empty, join_unique, maybe_in, sliced, stored, total_of
+from .common import forget_shuffles, is_empty, join_unique, maybe_in, sliced, small_batches, stored, total_of
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -135,6 +135,7 @@ def near_components(
     kept. Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     there = docs.filter("doc_id is not null")
     if is_empty(there.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")):
         return _components(docs, width, percent, bands, rows)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stored
+from .common import sliced, small_batches, stored
 
 #: Labelled documents that training may see.
 LABELLED = 6_000
@@ -347,6 +347,7 @@ def classify(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, mos
     an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+    small_batches(docs.sparkSession)
     models = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     scored = docs.mapInArrow(_score(models), "doc_id long, p_quality double, p_toxic double")
     return scored.withColumn("kept", (F.col("p_quality") >= least_quality) & (F.col("p_toxic") < most_toxic))
@@ -366,5 +367,6 @@ def _filter(models, least_quality: float, most_toxic: float):
 
 def keep_good(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with all columns (types as in ``documents``)."""
+    small_batches(docs.sparkSession)
     models = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     return docs.mapInArrow(_filter(models, least_quality, most_toxic), docs.schema)

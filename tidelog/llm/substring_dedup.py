@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import beside, forget_shuffles, marked, maybe_in, release, row_mark, sliced, stored
+from .common import beside, forget_shuffles, marked, maybe_in, release, row_mark, sliced, small_batches, stored
 
 #: Rows of one Arrow batch that a kernel returns at most.
 OUT_ROWS = 200_000
@@ -155,6 +155,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("mark", F.coalesce(row_mark(F.col("text")), F.lit(0)))
+    small_batches(docs.sparkSession)
     later = shared_windows(docs, width)
     docs = marked(docs, "doc_id", later.select(F.col("doc_id").alias("id")))
     whole = docs.filter("not maybe").select("doc_id", "mark", "text", F.lit(None).cast("array<long>").alias("at"))
