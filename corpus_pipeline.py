@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate as decontamination
 from tidelog.llm import exact_dedup, near_dedup, quality
-from tidelog.llm.common import is_empty, new_path, read_table, stored
+from tidelog.llm.common import is_empty, marked, new_path, read_table, stored
 from tidelog.llm.queries import bpe_digests
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,12 +28,25 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def first_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` without those that an operator, given ``row`` as their id, doesn't keep."""
-    return rows.join(found.filter("not kept").select(F.col("doc_id").alias("row")), "row", "left_anti").select(COLUMNS)
+    """``rows`` without those that an operator, given ``row`` as their id, doesn't keep.
+
+    Only rows that may go are shuffled, whatever the sizes; all others pass whole.
+    """
+    gone = stored(found.filter("not kept").select(F.col("doc_id").alias("row")), "pipeline-gone")
+    split = marked(rows, "row", gone.select(F.col("row").alias("id")))
+    left = split.filter("maybe").join(gone.hint("merge"), "row", "left_anti")
+    return split.filter("not maybe").select(COLUMNS).unionAll(left.select(COLUMNS))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are probably of good quality and not toxic."""
+    """Documents that are probably of good quality and not toxic.
+
+    Each row is judged by itself, so ties, repeated rows and shared or null ids make no
+    difference; equal rows share a fate. A null text counts as empty, null metadata as a kind
+    of its own, and texts are read whole at any length. Without usable labels all rows stay;
+    an empty table gives no rows. Columns besides those of ``documents`` are dropped, here and
+    in all stages.
+    """
     return quality.keep_good(docs.select(COLUMNS), read_table(spark, sf_dir, "labels"))
 
 
@@ -43,6 +56,7 @@ def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Rows are told apart even if they share an id: one row of a group stays, also of repeated
     rows, and rows with one id and different texts go by their own. A null id is larger than
     any other; of a group with no other, one row stays. A null text equals an empty one.
+    Texts are compared whole at any length; an empty table gives no rows.
     """
     rows = numbered(docs.select(COLUMNS))
     return first_rows(rows, exact_dedup.exact_dedup(rows, "row"))
@@ -52,19 +66,28 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The document with the smallest doc_id of each component of near copies (five words, 0.8).
 
     Shared and null ids count as in the stage before. Texts without words are linked with
-    nothing, so all of them stay.
+    nothing, so all of them stay. Texts are compared whole; an empty table gives no rows.
     """
     rows = numbered(docs.select(COLUMNS))
     return first_rows(rows, near_dedup.near_components(rows, "row", width=5, percent=80))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark item."""
+    """Documents without any benchmark item.
+
+    Each row is judged by itself: shared and null ids, ties and repeated rows make no
+    difference. A null or empty text holds no item and stays; a long one is searched whole. An
+    empty table gives no rows, and an empty benchmark drops none.
+    """
     return decontamination.keep_clean(docs.select(COLUMNS), read_table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and digests of the ids and of the decoded text."""
+    """doc_id, n_tokens, ids and digests of the ids and of the decoded text: one row per row.
+
+    A null or empty text has no ids. Repeated rows and shared or null ids each have their row;
+    texts are encoded whole at any length; an empty table gives no rows.
+    """
     return bpe_digests(docs, "ids")
 
 
