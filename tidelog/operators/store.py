@@ -21,6 +21,22 @@ def _share(c: str) -> Column:
     return F.col(c).between(0.0, 1.0)
 
 
+#: Least and most characters of a request's texts (fixed values).
+LENGTHS = {
+    "canonical_name": (1, 500), "syn_id": (1, 30), "scheme": (1, 30), "value": (1, 500), "alias": (1, 500), "lang": (0, 10), "source": (0, 50),
+    "src_syn_id": (1, 30), "dst_syn_id": (1, 30), "rel_type": (1, 30), "key": (1, 100),
+}
+
+
+def length_error(columns: list[str]) -> Column:
+    """Which of the columns has a text that is too short or too long; null if none has. A missing text counts where one is needed."""
+    out = F.lit(None).cast("string")
+    for c in reversed([c for c in columns if c in LENGTHS]):
+        least, most = LENGTHS[c]
+        out = F.when(~F.coalesce(F.length(c), F.lit(0)).between(least, most), F.lit(f"{c} has not {least} to {most} characters")).otherwise(out)
+    return out
+
+
 def entity_error() -> Column:
     """What is wrong with a new entity (type, canonical_name, status); null if nothing is."""
     return first_error([(_filled("canonical_name"), "no name"), (F.col("type").isin(list(ENTITY_PREFIXES)), "unknown type"), (F.col("status").isin(*STATUSES), "unknown status")])

@@ -497,3 +497,11 @@ def link_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.entities(spark, sf_dir)
     found = linker.alias_candidates(V.mentions(spark, sf_dir), V.aliases(spark, sf_dir), e)
     return linker.cascade([found], e, "COMMODITY").select("mention_id", "syn_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 'alias has not 1 to 500 characters' WHEN p_partkey % 4 = 2 THEN 'lang has not 0 to 10 characters' END AS error FROM part""")
+def request_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases that are empty or of 501 characters, and languages of 11, among good ones."""
+    k = F.col("p_partkey")
+    rows = V.table(spark, sf_dir, "part").select(k, F.when(k % 8 == 1, "").when(k % 8 == 5, F.repeat(F.lit("x"), 501)).otherwise(F.col("p_name")).alias("alias"), F.when(k % 4 == 2, F.repeat(F.lit("e"), 11)).otherwise(F.lit("en")).alias("lang"))
+    return rows.select("p_partkey", store.length_error(["alias", "lang"]).alias("error"))
