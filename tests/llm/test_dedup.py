@@ -249,11 +249,20 @@ def test_marked(spark, n):
     assert len(got) == 20_000 and {7 * k for k in range(n)} <= true and len(true) < n * 1.2 + 5
 
 
-def test_beside(spark, tmp_path):
+def test_beside(spark, tmp_path, monkeypatch):
     """A hot key, others, nulls and no rows."""
     spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 9_000).alias("k"), "id").write.parquet(str(tmp_path / "t"))
     rows = spark.read.parquet(str(tmp_path / "t"))
-    assert common.hot_hashes(rows, ["k"]) == sorted(r[0] for r in rows.filter("k = 7 or k is null").select(F.xxhash64("k")).distinct().collect())
+    hot = {r[0] for r in rows.filter("k = 7 or k is null").select(F.xxhash64("k")).distinct().collect()}
+    assert hot <= set(common.hot_hashes(rows, ["k"])) and len(common.hot_hashes(rows, ["k"])) < 16 * common.HOT_KEYS
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    assert set(common.hot_hashes(rows, ["k"])) == hot
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # then many partitions are empty
+    try:
+        assert set(common.hot_hashes(rows.repartition(3), ["k"])) == hot
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     want = Counter((r.k, r.id) for r in rows.filter("k is not null").collect())
     got = common.beside(rows.filter("k is not null"), ["k"], low=F.min("id"), n=F.count(F.lit(1))).collect()
     low, n = {}, Counter()
