@@ -243,9 +243,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sample(docs: DataFrame, ids: DataFrame) -> dict[int, Row]:
-    """Features of the documents with the given ids (a bounded sample, so it is broadcast)."""
-    found = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_features, _ROW).toArrow()
-    rows = sorted(range(found.num_rows), key=lambda k: (found["doc_id"][k].as_py(), found["numbers"][k].as_py()))
+    """Features of the documents with the given ids (a bounded sample, so it is broadcast); of rows that share an id the smallest."""
+    one = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
+    found = one.select("doc_id", "d.*").mapInArrow(_features, _ROW).toArrow()
+    rows = range(found.num_rows)
     return {found["doc_id"][k].as_py(): (found["numbers"][k].as_py(), np.asarray(found["words"][k].values), np.asarray(found["meta"][k].values)) for k in rows}
 
 
