@@ -283,7 +283,9 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
     short = docs.filter(F.length("text") <= piece).mapInArrow(_encode(spec, decoded), schema)
     long = docs.filter(F.length("text") > piece).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    cut = long.mapInArrow(_cut(piece), "row long, doc_id long, piece int, text string").repartition("row", "piece")
+    # A fixed number of tasks: by their bytes, pieces would be coalesced into too few for the work they are.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = long.mapInArrow(_cut(piece), "row long, doc_id long, piece int, text string").repartition(tasks, "row", "piece")
     coded = cut.mapInArrow(_encode_pieces(spec), cut.schema.simpleString()[7:-1] + ",ids array<int>,starts array<int>")
     whole = coded.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("piece", "text", "ids", "starts"))).alias("pieces"))
     return short.unionAll(whole.mapInArrow(_join(spec, decoded), schema))
