@@ -230,6 +230,38 @@ def test_quality_surest(spark):
     assert np.allclose(sorted(abs(q - 0.5) for _, q, _ in got), sorted(abs(p[i] - 0.5) for i in best), atol=1e-6)
 
 
+def test_quality_scores_recomputed(spark, make_docs, odd_rows):
+    """Every score again from the models' weights, without the operator's own sums; nulls, repeated and very long rows among them."""
+    rng = random.Random(11)
+    good, bad, rude = ("fine useful page about science".split(), "buy cheap junk now click".split(), "awful hateful words".split())
+    taught = [(1000 + k, " ".join(rng.choices(bad if k % 2 else good, k=rng.randint(3, 30)) + (rng.choices(rude, k=3) if k % 5 == 0 else []))) for k in range(300)]
+    labels = spark.createDataFrame([(i, int("junk" not in t and "buy" not in t), int("hateful" in t)) for i, t in taught] + [(None, 1, 0), (1000, None, 0)], "doc_id long, quality int, toxic int")
+    docs = make_docs(taught + odd_rows)
+    narrow = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    models = quality.train(narrow, labels)
+    got = quality.classify(docs, labels).collect()
+
+    def plain(m, text, lang, source, n):
+        numbers, words = quality.text_view(text)
+        z = []
+        for view, w, part, (slope, offset) in ((m.text, m.text_w, (numbers, words), m.calibration[0]), (m.meta, m.meta_w, ([], quality.meta_view(lang, source, n)), m.calibration[1])):
+            x, at = [0.0] * view.width, 0
+            for edges, v in zip(view.edges, part[0]):
+                x[at + sum(v >= e for e in edges)] = 1.0
+                at += len(edges) + 1
+            for h in set(part[1]):
+                if h in view.columns:
+                    x[view.columns[h]] = 1.0
+            z.append(slope * (sum(a * b for a, b in zip(x, w)) + w[-1]) + offset)
+        return 1 / (1 + math.exp(-(z[0] * m.mix[0] + z[1] * m.mix[1] + m.mix[2])))
+
+    want = Counter((r.doc_id, *(round(plain(models[t], r.text, r.lang, r.source, r.n_chars), 4) for t in quality.TARGETS)) for r in narrow.collect())
+    have = Counter((r.doc_id, round(r.p_quality, 4), round(r.p_toxic, 4)) for r in got)
+    assert have == want and len(got) == len(taught) + len(odd_rows)
+    assert all(r.kept == (r.p_quality >= 0.5 and r.p_toxic < 0.5) for r in got)
+    assert quality.classify(docs.limit(0), labels).count() == 0
+
+
 def test_sharding(spark, tmp_path):
     names = [f"s{k}" for k in range(10)]
     table = sharding.fill_table(names, 1009)
