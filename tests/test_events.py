@@ -71,6 +71,8 @@ def test_golden_round_trip(spark, tmp_path):
     assert manifest.agg(F.sum("events")).first()[0] == 83 and manifest.count() == 4
     assert eventlog.incomplete_files(back, manifest).count() == 0
     assert [r.symbol for r in eventlog.list_files(spark, path).select("symbol").collect()] == ["AAPL", "MSFT", "SPY", "TSLA"]
+    by_symbol = eventlog.storage_by_symbol(eventlog.storage_files(spark, path)).collect()
+    assert {r.symbol: (r.files, r.distinct_days) for r in by_symbol} == {s: (1, 1) for s in ("AAPL", "MSFT", "SPY", "TSLA")} and all(r.bytes > 1000 for r in by_symbol)
     for _ in range(2):  # a commit that is written again replaces itself
         eventlog.write_log(events(spark, [dict(symbol="NEW", price=1.0, size=1.0)]), path, "s2", "live", commit="c2")
     assert eventlog.read_manifest(spark, path).count() == 5 and eventlog.read_log(spark, path).count() == 84

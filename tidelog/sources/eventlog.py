@@ -220,6 +220,12 @@ def list_files(spark: SparkSession, path: str, symbol: str | None = None) -> Dat
     return (files.filter(F.col("symbol") == symbol) if symbol else files).orderBy("path")
 
 
+def storage_files(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, day, bytes of the log's files, from their names and sizes alone."""
+    day = F.to_date(F.regexp_extract("path", r"event_date=([0-9-]+)", 1))
+    return list_files(spark, path).select("symbol", day.alias("day"), F.col("length").alias("bytes"))
+
+
 def size_text(bytes_: Column, unit: str) -> Column:
     """Bytes as MB or GB with two decimals."""
     return F.format_string("%.2f", bytes_ / (1024 ** {"MB": 2, "GB": 3}[unit]))
