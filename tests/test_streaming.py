@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import metrics
 from tidelog.sources import eventlog
-from tidelog.streaming import ingest
+from tidelog.streaming import feed, ingest
 
 BASE = 1_704_844_800_000_000_000
 
 
 @pytest.fixture
-def feed(spark, tmp_path):
+def files_in(spark, tmp_path):
     """Writes one input file for each call, and opens them as a stream of one file a batch."""
 
     class Feed:
@@ -29,43 +29,43 @@ def feed(spark, tmp_path):
     return Feed()
 
 
-def test_log_restarts(spark, feed, tmp_path):
+def test_log_restarts(spark, files_in, tmp_path):
     """A second run goes on where the first one ended; nothing is written twice."""
     path, checkpoint = f"file://{tmp_path}/log", f"file://{tmp_path}/checkpoint"
     schema = "symbol string, price double, size double, ts_event_ns long, ts_receive_ns long, ts_monotonic_ns long, venue string, source string, seq long, bid double, ask double"
     tick = lambda k, price=1.0: ("S", price, 1.0, BASE + k, BASE + k, BASE + k, "", "t", k, None, None)
-    feed.put([tick(1), tick(2, -1.0), tick(3)], schema)
-    run = lambda mode: eventlog.append_stream(ingest.ticks_to_trades(feed.open()), path, checkpoint, "s", mode, every=None).awaitTermination()
+    files_in.put([tick(1), tick(2, -1.0), tick(3)], schema)
+    run = lambda mode: eventlog.append_stream(ingest.ticks_to_trades(files_in.open()), path, checkpoint, "s", mode, every=None).awaitTermination()
     run("live")
     run("live")
     assert sorted(r.seq for r in eventlog.read_log(spark, path).collect()) == [1, 3]
-    feed.put([tick(4), tick(5)], schema)
+    files_in.put([tick(4), tick(5)], schema)
     run("delayed")
     got = eventlog.read_log(spark, path)
     assert sorted((r.seq, r.venue, r.feed_mode) for r in got.collect()) == [(1, "SMART", "live"), (3, "SMART", "live"), (4, "SMART", "delayed"), (5, "SMART", "delayed")]
     assert eventlog.incomplete_files(got, eventlog.read_manifest(spark, path)).count() == 0
 
 
-def test_state_over_batches(spark, feed, tmp_path):
+def test_state_over_batches(spark, files_in, tmp_path):
     schema = "symbol string, seq long, ts_monotonic_ns long, arrival long"
-    feed.put([("a", 1, 10, 1), ("a", 3, 12, 2), ("b", 1, 5, 3)], schema)
-    first = ingest.run_available(ingest.order_check(feed.open()), checkpoint=f"file://{tmp_path}/c", out=f"file://{tmp_path}/o")
+    files_in.put([("a", 1, 10, 1), ("a", 3, 12, 2), ("b", 1, 5, 3)], schema)
+    first = ingest.run_available(ingest.order_check(files_in.open()), checkpoint=f"file://{tmp_path}/c", out=f"file://{tmp_path}/o")
     assert {(r.symbol, r.seq, r.accepted) for r in first.collect()} == {("a", 1, True), ("a", 3, True), ("b", 1, True)}
-    feed.put([("a", 2, 13, 4), ("a", 4, 11, 5), ("a", 4, 13, 6), ("b", 2, 5, 7)], schema)
-    later = ingest.run_available(ingest.order_check(feed.open()), checkpoint=f"file://{tmp_path}/c", out=f"file://{tmp_path}/o").filter("batch > 0")
+    files_in.put([("a", 2, 13, 4), ("a", 4, 11, 5), ("a", 4, 13, 6), ("b", 2, 5, 7)], schema)
+    later = ingest.run_available(ingest.order_check(files_in.open()), checkpoint=f"file://{tmp_path}/c", out=f"file://{tmp_path}/o").filter("batch > 0")
     assert sorted((r.symbol, r.seq, r.accepted) for r in later.collect()) == [("a", 2, False), ("a", 4, False), ("a", 4, True), ("b", 2, True)]
-    numbers = ingest.run_available(ingest.sequence_numbers(feed.open()))
+    numbers = ingest.run_available(ingest.sequence_numbers(files_in.open()))
     assert sorted((r.symbol, r.arrival, r.seq) for r in numbers.collect()) == [("a", 1, 1), ("a", 2, 2), ("a", 4, 3), ("a", 5, 4), ("a", 6, 5), ("b", 3, 1), ("b", 7, 2)]
 
 
-def test_late_rows(spark, feed):
+def test_late_rows(spark, files_in):
     """With a watermark, a row that comes after its window has closed is dropped; without, none is."""
     t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
     for rows in ([("k", t(0)), ("k", t(200))], [("k", t(1)), ("k", t(195))], [("k", t(2)), ("k", t(400))]):
-        feed.put(rows, "key string, at timestamp")
+        files_in.put(rows, "key string, at timestamp")
 
     def counts(late):
-        out = ingest.run_available(ingest.window_counts(feed.open(), "at", ["key"], "1 hour", late=late), "update")
+        out = ingest.run_available(ingest.window_counts(files_in.open(), "at", ["key"], "1 hour", late=late), "update")
         return {r.start: r.n for r in out.groupBy(F.col("start").cast("timestamp_ntz").alias("start")).agg(F.max_by("n", "batch").alias("n")).collect()}
 
     every = counts(None)
@@ -88,6 +88,28 @@ def test_mock_ticks(spark):
     assert 100 <= facts[0] < 105 and 195 < facts[1] < 200 and 1 <= facts[2] < 20 and 980 < facts[3] <= 1000 and facts[4] == 2 and facts[5] > 1900
 
 
+def test_tick_feed(spark, tmp_path):
+    """Ticks of a live source into the log; a second run goes on after the first, with the same ticks as one run."""
+    feed.register(spark)
+    path, checkpoint = f"file://{tmp_path}/log", f"file://{tmp_path}/checkpoint"
+
+    def run(rows):
+        ticks = spark.readStream.format("tick_feed").option("symbols", "spy, AAPL,SPY").option("rows", rows).option("batch", 200).load()
+        query = eventlog.append_stream(ingest.ticks_to_trades(ticks), path, checkpoint, "s", "live", every="0 seconds")
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    run(500)
+    assert eventlog.read_log(spark, path).count() == 500
+    run(900)
+    log = eventlog.read_log(spark, path)
+    reader = feed.Ticks(["AAPL", "SPY"], 900, 900, 0)
+    assert sorted((r.seq, r.symbol, r.price) for r in log.collect()) == sorted((t[8], t[0], t[1]) for t in map(reader.tick, range(900)))
+    assert {r.symbol for r in log.select("symbol").distinct().collect()} == {"AAPL", "SPY"} and log.filter("aggressor = 2").count() > 0
+
+
 def test_expressions(spark):
     rows = [("m_total", {"s": s}, at, float(v)) for s, steps in (("a", (0, 5, 9, 2)), ("b", (1, 1, 1, 1))) for at, v in zip((0, 10, 20, 30), steps)]
     rows += [("h_bucket", {"le": le}, at, v) for le, vs in (("1", (0.0, 2.0)), ("5", (0.0, 3.0)), ("+Inf", (0.0, 4.0))) for at, v in zip((10, 30), vs)]
