@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import ids, text
+from tidelog.functions.stem import stem
 from tidelog.operators import linker, metrics, portfolio, registry, scd2, store
 from tidelog.sources import files
 
@@ -51,6 +52,19 @@ def test_ids_and_text(spark):
     assert spark.range(1).select(text.normalize_text(F.lit("  A \t b "))).first()[0] == "a b"
 
 
+def test_stems(spark):
+    words = (
+        "running run, hopping hop, hoping hope, happily happili, relational relat, generously generous, generate generat, caresses caress, ties tie, cries cri, gas gas, kiwis kiwi, luxuriated luxuri, agreed agre, "
+        "feed feed, consistency consist, knightly knight, say say, by by, enjoy enjoy, skies sky, news news, proceeds proceed, innings inning, companies compani, international intern, technologies technolog, "
+        "hopefulness hope, replacement replac, adoption adopt, rolling roll, shed shed, sized size, apples appl, sensibility sensibl"
+    )
+    for pair in words.split(", "):
+        word, want = pair.split()
+        assert stem(word) == want
+    d = spark.createDataFrame([("The Running Widgets of Companies",), ("",), (None,)], "t string")
+    assert [r[0] for r in d.select(text.lexemes(F.col("t"))).collect()] == [["run", "widget", "compani"], [], None]
+
+
 def test_cascade(spark):
     entities = spark.createDataFrame([("CO_1", "red widget", "ACTIVE"), ("CO_2", "blue bolt", "ACTIVE"), ("CO_3", "red widgets", "INACTIVE")], "syn_id string, canonical_name string, status string")
     aliases = spark.createDataFrame([("CO_1", "Red Widget", 0.0), ("CO_2", "blue bolt", 0.4)], "syn_id string, alias string, confidence double")
@@ -128,7 +142,7 @@ def test_cascade_against_loop(spark):
     tickers = [(r.value.upper(), r.syn_id) for r in Q._tickers(spark, SMALL).filter("valid_to is null").collect() if r.syn_id in live]
     aliases = [r for r in V.aliases(spark, SMALL).collect() if r.syn_id in live]
     conf = lambda c: c if c else 1.0
-    lex = lambda x: {w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w for w in re.findall(r"[^\W_]+", x.lower()) if w not in text.STOP_WORDS}
+    lex = lambda x: {stem(w) for w in re.findall(r"[^\W_]+", x.lower()) if w not in text.STOP_WORDS}
     tier = lambda s: 0.9 if s >= 0.9 else 0.8 if s >= 0.8 else 0.7
     got = {r.mention_id: r for r in Q.link_cascade(spark, SMALL).collect()}
     canonical = {}

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stem import stem
+
 
 def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
@@ -46,10 +48,15 @@ STOP_WORDS = (
 ).split()
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stems(words: pd.Series) -> pd.Series:
+    return pd.Series([None if w is None else [stem(x) for x in w] for w in words], dtype=object)
+
+
 def lexemes(text: Column) -> Column:
-    """Distinct lower-cased words without stop words and plural s."""
+    """Distinct stems of the lower-cased words that aren't stop words."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) > 0) & ~w.isin(STOP_WORDS))
-    return F.array_distinct(F.transform(words, lambda w: F.when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)))
+    return F.array_distinct(_stems(words))
 
 
 def text_match(document: Column, query: Column) -> Column:
