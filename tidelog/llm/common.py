@@ -152,23 +152,40 @@ def hot_hashes(rows: DataFrame, keys: list[str]) -> list[int]:
     return sorted(r["item"] for r in found.select("item").collect())
 
 
-def split_hot(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows of keys that one task can hold, and those of hot keys. ``rows`` should be stored."""
-    hashed = rows.withColumn("_h", F.xxhash64(*keys))
-    hot = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot_hashes(rows, keys)], "_h long"))
-    return hashed.join(hot, "_h", "left_anti").drop("_h"), hashed.join(hot, "_h", "left_semi").drop("_h")
+#: Parts that the rows of a hot key are dealt to.
+SALTS = 4096
 
 
-def beside(rows: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
-    """``rows`` with aggregates over all rows of the same key, in one shuffle of the rows.
+def with_hot(rows: DataFrame, keys: list[str], *spread: str) -> DataFrame:
+    """``rows`` with ``_hot`` (true where the key is hot, else null) and ``_salt``.
 
-    Hot keys are aggregated in each task first, and the result is broadcast. ``rows`` should
+    The salt deals the rows of a hot key out by the columns ``spread``, and is 0 for all other
+    keys, so that a key and its salt are few enough for one task. ``rows`` should be stored.
+    """
+    hot = rows.sparkSession.createDataFrame([(h, True) for h in hot_hashes(rows, keys)], "_h long, _hot boolean")
+    marked = rows.withColumn("_h", F.xxhash64(*keys)).join(F.broadcast(hot), "_h", "left").drop("_h")
+    return marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(0))
+
+
+def hot_groups(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct values of ``columns`` in the hot rows of ``with_hot``, by partial aggregates; all others are one group that is left out."""
+    pick = [F.when(F.col("_hot"), F.col(c)).alias(c) for c in columns]
+    return rows.groupBy(*pick).agg(F.count("_hot").alias("_n")).filter("_n > 0").drop("_n")
+
+
+def beside_least(rows: DataFrame, keys: list[str], of: str) -> DataFrame:
+    """``rows`` with ``low`` and ``high``, the extremes of a column over all rows of the same key, in one shuffle of the rows.
+
+    Hot keys are aggregated in each task first, and their result is broadcast. ``rows`` should
     be stored, and its keys not null.
     """
-    cold, hot = split_hot(rows, keys)
-    cold = cold.withColumns({k: v.over(Window.partitionBy(*keys)) for k, v in aggregates.items()})
-    few = hot.groupBy(*keys).agg(*[v.alias(k) for k, v in aggregates.items()])
-    return cold.unionByName(hot.join(F.broadcast(few), keys))
+    every = with_hot(rows, keys, *[c for c in rows.columns if c not in keys])
+    pick = [F.when(F.col("_hot"), F.col(c)).alias(c) for c in keys]
+    few = every.groupBy(*pick).agg(F.min(of).alias("_low"), F.max(of).alias("_high"), F.count("_hot").alias("_n")).filter("_n > 0").drop("_n")
+    one = Window.partitionBy(*keys, "_salt")
+    found = every.join(F.broadcast(few), keys, "left")
+    found = found.withColumns({"low": F.coalesce("_low", F.min(of).over(one)), "high": F.coalesce("_high", F.max(of).over(one))})
+    return found.drop("_hot", "_salt", "_low", "_high")
 
 
 def row_mark(text: Column) -> Column:

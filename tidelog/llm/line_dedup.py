@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget_shuffles, marked, release, row_mark, split_hot, stored
+from .common import forget_shuffles, hot_groups, marked, release, row_mark, stored, with_hot
 
 
 def line_key(line: Column) -> Column:
@@ -36,18 +36,16 @@ def keep_runs(dropped: Column, n_lines: Column) -> Column:
 
 def lost_lines(keyed: DataFrame, min_docs: int) -> DataFrame:
     """doc_id, mark, n_lines, pos of the lines of ``keyed`` (those and key) that go."""
-    stream, common = split_hot(keyed, ["key"])
-    place = ["doc_id", "mark", "n_lines", "pos"]
-
-    stream = stream.repartitionByRange("key").sortWithinPartitions("key", F.desc("doc_id"), "mark", "pos")
-    key = Window.partitionBy("key")  # the range partitioning and the sort serve this as they are
-    nth = F.dense_rank().over(key.orderBy(F.desc("doc_id")))
-    stream = stream.withColumn("nth", nth).withColumn("n_docs", F.max("nth").over(key.orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    cold = stream.filter((F.col("nth") > 1) & (F.col("n_docs") >= min_docs)).select(place)
-
-    firsts = common.groupBy("key", "doc_id").agg(F.count(F.lit(1))).groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("first_doc"))
-    firsts = firsts.filter(F.col("n_docs") >= min_docs)
-    return cold.unionByName(common.join(F.broadcast(firsts), "key").filter("doc_id != first_doc").select(place))
+    rows = with_hot(keyed, ["key"], "doc_id", "mark", "pos")
+    firsts = hot_groups(rows, ["key", "doc_id"]).groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("first_doc"))
+    rows = rows.join(F.broadcast(firsts), "key", "left")
+    stream = rows.repartitionByRange("key", "_salt").sortWithinPartitions("key", "_salt", F.desc("doc_id"), "mark", "pos")
+    key = Window.partitionBy("key", "_salt").orderBy(F.desc("doc_id"))  # the range partitioning and the sort serve this as they are
+    stream = stream.withColumn("nth", F.dense_rank().over(key))
+    stream = stream.withColumn("docs", F.max("nth").over(key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    streamed = (F.col("nth") > 1) & (F.col("docs") >= min_docs)
+    counted = (F.col("n_docs") >= min_docs) & (F.col("doc_id") != F.col("first_doc"))
+    return stream.filter(F.when(F.col("_hot"), counted).otherwise(streamed)).select("doc_id", "mark", "n_lines", "pos")
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import beside, forget_shuffles, marked, maybe_in, release, row_mark, sliced, small_batches, stored
+from .common import beside_least, forget_shuffles, marked, maybe_in, release, row_mark, sliced, small_batches, stored
 
 #: Rows of one Arrow batch that a kernel returns at most.
 OUT_ROWS = 200_000
@@ -90,7 +90,7 @@ def shared_windows(docs: DataFrame, width: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.filter("doc_id is not null")
     marks = stored(docs.select("doc_id", "text").mapInArrow(_minimizer_rows(width), "m long, doc_id long"), "sub-minimizers")
-    shared = beside(marks, ["m"], low=F.min("doc_id"), high=F.max("doc_id")).filter("low < high")
+    shared = beside_least(marks, ["m"], "doc_id").filter("low < high")
     own = stored(shared.groupBy("doc_id").agg(F.collect_set("m").alias("shared")), "sub-own")
     release(marks)
     forget_shuffles(spark)
@@ -100,7 +100,7 @@ def shared_windows(docs: DataFrame, width: int) -> DataFrame:
     windows = stored(windows.mapInArrow(_window_rows(width), "h long, g int, doc_id long, at long"), "sub-windows")
     release(own)
     forget_shuffles(spark)
-    later = beside(windows, ["h", "g"], low=F.min("doc_id")).filter("doc_id > low")
+    later = beside_least(windows, ["h", "g"], "doc_id").filter("doc_id > low")
     out = stored(later.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "sub-later")
     release(windows)
     forget_shuffles(spark)
