@@ -5,7 +5,7 @@ Mentions: (mention_id, text). Candidates: (mention_id, syn_id, name, confidence,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lexemes, normalize_text, sequence_ratio, similarity, text_match, ticker_like, trigrams
@@ -14,6 +14,8 @@ from .registry import rank_in
 TICKER, ALIAS, CANONICAL, FUZZY = 1, 2, 3, 4
 RESOLVE_AT, AMBIGUOUS_GAP, TRIGRAM_AT = 0.95, 0.1, 0.3
 MOST = 10
+#: Trigrams that come last in the fuzzy match's prefixes.
+COMMON = 100
 
 
 def ticker_candidates(mentions: DataFrame, identifiers: DataFrame, entities: DataFrame) -> DataFrame:
@@ -39,30 +41,34 @@ def alias_candidates(mentions: DataFrame, aliases: DataFrame, entities: DataFram
     return rank_in(rows, ["mention_id"], [F.desc("confidence"), F.col("syn_id")], MOST).drop("rank")
 
 
-def _rare_first(rows: DataFrame, key: str, freq: DataFrame, least: float) -> DataFrame:
-    """key, _t: the rarest trigrams of each text at one of which a pair of similarity ``least`` must meet.
+def _prefix(grams: Column, common: list[str], least: float) -> Column:
+    """The trigrams at one of which a pair of similarity ``least`` must meet: the first ones, with those in ``common`` last.
 
     Of n trigrams a pair shares ``least`` * n at least, so it shares one of the n - ceil(least * n) + 1
-    that come first in any order that both sides keep; here the rarest come first.
+    that come first in any order that both sides keep.
     """
-    each = rows.select(key, "_n", F.explode("_g").alias("_t")).join(freq, "_t", "left").withColumn("_f", F.coalesce("_f", F.lit(0)))
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("_f", "_t"))
-    return each.withColumn("_k", nth).filter((F.col("_k") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1) & (F.col("_f") > 0)).select(key, "_t")
+    last = F.lit(common) if common else F.array().cast("array<string>")
+    order = lambda t: F.struct(F.array_position(last, t).alias("k"), t.alias("t"))  # noqa: E731  0 for all others
+    ordered = F.transform(F.array_sort(F.transform(grams, order)), lambda x: x["t"])
+    return F.slice(ordered, F.lit(1), F.greatest(F.lit(0), (F.size(grams) - F.ceil(F.size(grams) * least - 1e-9) + 1).cast("int")))
 
 
 def fuzzy_candidates(mentions: DataFrame, aliases: DataFrame, entities: DataFrame, least: float = TRIGRAM_AT) -> DataFrame:
-    """Trigram similarity of at least ``least``, by a prefix filter over rare trigrams instead of comparing all pairs.
+    """Trigram similarity of at least ``least``, by a prefix filter instead of comparing all pairs.
 
-    Common trigrams, which would pair everything with everything, come last in the order and
-    seldom take part; the similarity of the pairs that meet is then taken from their whole
-    arrays, so no pair is lost.
+    The COMMON most frequent trigrams, which would pair everything with everything, come last
+    in the order and seldom take part. A pair is looked at once, at the first trigram that its
+    prefixes share, and its similarity is taken from the whole arrays, so no pair is lost.
     """
-    m = mentions.select("mention_id", trigrams(normalize_text(F.col("text"))).alias("_g")).withColumn("_n", F.size("_g"))
-    texts = aliases.select(F.lower("alias").alias("_a")).distinct().withColumn("_g", trigrams(F.col("_a"))).withColumn("_n", F.size("_g"))
-    freq = texts.select(F.explode("_g").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_f"))
-    pairs = _rare_first(m, "mention_id", freq, least).join(_rare_first(texts, "_a", freq, least), "_t").select("mention_id", "_a").distinct()
-    both = pairs.join(m.withColumnsRenamed({"_g": "_gm", "_n": "_nm"}), "mention_id").join(texts, "_a")
-    near = both.filter((F.least("_n", "_nm") >= F.greatest("_n", "_nm") * least)).withColumn("similarity", similarity(F.col("_gm"), F.col("_g"))).filter(F.col("similarity") >= least)
+    m = mentions.select("mention_id", trigrams(normalize_text(F.col("text"))).alias("_gm"))
+    texts = aliases.select(F.lower("alias").alias("_a")).distinct().withColumn("_g", trigrams(F.col("_a")))
+    held = texts.select(F.explode("_g").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "t").limit(COMMON)
+    common = [r.t for r in reversed(held.collect())]  # the most frequent last of all
+    m = m.withColumn("_pm", _prefix(F.col("_gm"), common, least)).withColumn("_t", F.explode("_pm"))
+    texts = texts.withColumn("_p", _prefix(F.col("_g"), common, least)).withColumn("_t", F.explode("_p"))
+    sizes = F.least(F.size("_g"), F.size("_gm")) >= F.greatest(F.size("_g"), F.size("_gm")) * least
+    once = F.get(F.array_intersect("_pm", "_p"), F.lit(0)) == F.col("_t")
+    near = m.join(texts, "_t").filter(sizes & once).withColumn("similarity", similarity(F.col("_gm"), F.col("_g"))).filter(F.col("similarity") >= least)
     names = entities.filter("status = 'ACTIVE'").select("syn_id", F.col("canonical_name").alias("name"))
     hit = near.select("mention_id", "_a", "similarity").join(aliases.withColumn("_a", F.lower("alias")), "_a").join(names, "syn_id")
     tier = F.when(F.col("similarity") >= 0.9, 0.90).when(F.col("similarity") >= 0.8, 0.80).otherwise(0.70)
