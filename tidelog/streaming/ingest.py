@@ -21,7 +21,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a local session may use a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidelog-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
