@@ -201,3 +201,14 @@ def test_files(spark, tmp_path):
     assert files.read_gold_set(spark, f"file://{tmp_path}/g.json").count() == 2
     (tmp_path / "s.yaml").write_text("# c\nserver:\n  port: 9000\n  debug: false\nname: x\n")
     assert files.load_settings(str(tmp_path / "s.yaml"), env={"TIDELOG_SERVER__PORT": "9001"}) == {"server": {"port": 9001, "debug": False}, "name": "x"}
+
+
+def test_now_and_sessions(spark):
+    import time
+    import uuid
+
+    from tidelog.functions.ids import session_id
+
+    now = spark.range(1).select(clock.wall_ns()).first()[0]
+    assert abs(now - time.time_ns()) < 60 * clock.NS and uuid.UUID(session_id()).version == 4 and session_id() != session_id()
+    assert spark.range(1).select(ordering.monotonic_valid(F.lit(0), F.lit(5)), ordering.monotonic_valid(F.lit(6), F.lit(5)), ordering.monotonic_valid(F.lit(2 * clock.NS), F.lit(5))).first()[:] == (False, True, False)

@@ -366,3 +366,8 @@ def feed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heartbeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.table(spark, sf_dir, "events").select(F.concat(F.lit("U"), "user_id").alias("symbol"), F.col("ts").alias("at"))
     return ingest.heartbeats(e, "at", "1 hour")
+
+
+@query(f"WITH {_YEAR} SELECT event_id, strftime(CASE WHEN (t >= TIMESTAMP '2024-03-10 07:00' AND t < TIMESTAMP '2024-11-03 06:00') OR t >= TIMESTAMP '2025-03-09 07:00' THEN t - INTERVAL 4 HOUR ELSE t - INTERVAL 5 HOUR END, '%H:%M') AS clock FROM y")
+def venue_local_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_a_year(spark, sf_dir).select("event_id", clock.local_clock(F.col("t"), F.lit("America/New_York")).alias("clock"))

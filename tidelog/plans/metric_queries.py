@@ -285,7 +285,7 @@ def storage_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.storage_by_symbol(_files(spark, sf_dir))
 
 
-@query(f"WITH {_BY}, d AS (SELECT first_day AS x FROM bs UNION SELECT last_day FROM bs) SELECT CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(files) AS BIGINT) AS files, min(first_day) AS first_day, max(last_day) AS last_day, (SELECT count(*) FROM d) AS days_of_data_ref FROM bs")
+@query(f"WITH {_BY}, d AS (SELECT first_day AS x FROM bs UNION SELECT last_day FROM bs) SELECT CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(files) AS BIGINT) AS files, min(first_day) AS first_day, max(last_day) AS last_day, (SELECT count(*) FROM d) AS days_of_data_ref, printf('%.2f', sum(bytes) / (1024.0 * 1024.0 * 1024.0)) AS size_gb FROM bs")
 def storage_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.storage_total(eventlog.storage_by_symbol(_files(spark, sf_dir)))
 

@@ -240,4 +240,4 @@ def storage_by_symbol(files: DataFrame) -> DataFrame:
 def storage_total(by_symbol: DataFrame) -> DataFrame:
     """Totals; ``days_of_data_ref`` counts distinct end dates of all symbols."""
     ends = F.collect_set(F.col("first_day")), F.collect_set(F.col("last_day"))
-    return by_symbol.agg(F.sum("bytes").alias("bytes"), F.sum("files").alias("files"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.size(F.array_union(*ends)).cast("long").alias("days_of_data_ref"))
+    return by_symbol.agg(F.sum("bytes").alias("bytes"), F.sum("files").alias("files"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.size(F.array_union(*ends)).cast("long").alias("days_of_data_ref")).withColumn("size_gb", size_text(F.col("bytes"), "GB"))
