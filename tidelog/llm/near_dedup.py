@@ -87,7 +87,9 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     pair shares lies at or behind its first common shingle in either set, so a shingle with
     fewer than ``percent`` of the set from it on can't be the first of a linked pair.
     """
-    rows = sets.select("id", F.xxhash64("shingles").alias("mark"), F.size("shingles").alias("n"), F.explode("shingles").alias("bucket"))
+    # The mark comes before the explode, as next to it a set would be hashed once for each of its shingles.
+    whole = sets.select("id", F.xxhash64("shingles").alias("mark"), F.size("shingles").alias("n"), "shingles")
+    rows = whole.select("id", "mark", "n", F.explode("shingles").alias("bucket"))
     held = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), "near-frequent")
     rows = join_unique(rows, held, ["bucket"], "freq", total_of(held, "freq"))
     one = Window.partitionBy("id", "mark")  # rows that share an id each have a set of their own
