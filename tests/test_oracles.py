@@ -50,6 +50,7 @@ def scan_of(df):
 @pytest.mark.parametrize(("name", "columns"), [("replay_time_range", ["ts_event_ns"]), ("replay_seq_range", ["seq"]), ("replay_combined", ["ts_event_ns", "seq"])])
 def test_pushdown(spark, name, columns):
     """Ranges reach the Parquet scan of the written log, and only needed columns are read."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     plan = scan_of(plans.QUERIES[name](spark, DATA))
     pushed = plan.split("PushedFilters: [")[1].split("]")[0]
     for c in columns:
