@@ -34,7 +34,7 @@ PIECE, WINDOW = 32_768, 64
 #: Words in a row on which a window and a piece must agree.
 AGREED = 2
 #: Bytes that a worker's memory of stretches takes at most, those of an entry besides its text and ids, and the longest stretch.
-REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_CHARS = 64 << 20, 180, 40
+REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_CHARS = 40 << 20, 180, 40
 #: Tokens that are decoded at a time.
 TOKENS_AT_ONCE = 1 << 20
 #: Bytes of a tokenizer file that is broadcast.
