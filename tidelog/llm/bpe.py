@@ -34,7 +34,7 @@ PIECE, WINDOW = 32_768, 64
 #: Words in a row on which a window and a piece must agree.
 AGREED = 2
 #: Bytes that a worker's memory of stretches takes at most, those of an entry besides its text and ids, and the longest stretch.
-REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_CHARS = 40 << 20, 180, 40
+REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_CHARS = 96 << 20, 180, 40
 #: Tokens that are decoded at a time.
 TOKENS_AT_ONCE = 1 << 20
 #: Bytes of a tokenizer file that is broadcast.
@@ -73,7 +73,7 @@ class Piece:
 class Coder:
     """A tokenizer, and a memory of stretches between white space if it is ``space_bound``."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, remembered: int = REMEMBERED_BYTES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -82,7 +82,7 @@ class Coder:
         self.tokenizer.no_padding()
         self.space_bound = space_bound(json.loads(spec))
         self.known: dict[bytes, bytes] = {}
-        self.room = REMEMBERED_BYTES
+        self.room = remembered
         self.names: pa.Array | None = None
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
@@ -138,12 +138,12 @@ class Coder:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), self.names.take(pa.array(flat))), " ")
 
 
-def coder(spec: str) -> Coder:
-    """This worker's coder; another tokenizer takes the place of the one before."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
+def coder(spec: str, remembered: int = REMEMBERED_BYTES) -> Coder:
+    """This worker's coder; another tokenizer, or another size of its memory, takes the place of the one before."""
+    key = f"{hashlib.sha256(spec.encode()).hexdigest()}/{remembered}"
     if key not in _coders:
         _coders.clear()
-        _coders[key] = Coder(spec)
+        _coders[key] = Coder(spec, remembered)
     return _coders[key]
 
 
@@ -208,9 +208,9 @@ def _out(tool: Coder, doc_ids: pa.Array, ids: pa.ListArray, decoded: bool) -> pa
     return pa.RecordBatch.from_arrays([doc_ids, ids], schema=_IDS)
 
 
-def _encode(spec, decoded: bool):
+def _encode(spec, decoded: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = coder(spec.value)
+        tool = coder(spec.value, remembered)
         for part in sliced(batches, "text", own=_coders):
             texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
             yield _out(tool, part.column("doc_id"), _lists(tool.encode_many(texts)), decoded)
@@ -230,11 +230,11 @@ def _cut(size: int):
     return run
 
 
-def _encode_pieces(spec):
+def _encode_pieces(spec, remembered: int):
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = coder(spec.value)
+        tool = coder(spec.value, remembered)
         for batch in batches:
             for k in range(batch.num_rows):
                 part = batch.slice(k, 1)
@@ -245,9 +245,9 @@ def _encode_pieces(spec):
     return run
 
 
-def _join(spec, decoded: bool):
+def _join(spec, decoded: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = coder(spec.value)
+        tool = coder(spec.value, remembered)
         for batch in batches:
             for k in range(batch.num_rows):
                 pieces = []
@@ -266,11 +266,12 @@ def _broadcast(spark, tokenizer_path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, decoded: bool = False, remembered: int = REMEMBERED_BYTES) -> DataFrame:
     """doc_id, ids: token ids of every whole text, as the library encodes it unsplit.
 
     ``decoded`` adds a column of that name, which ``decode`` would give for the ids, without
-    a second worker and pass for each task.
+    a second worker and pass for each task. ``remembered``: bytes of a worker's memory of
+    stretches, which saves time only.
 
     No special tokens are added; their strings in a text become their ids, as the library
     does. A null or empty text has no ids. One row per row, repeated ones too. Other columns
@@ -281,14 +282,14 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     spec = _broadcast(docs.sparkSession, tokenizer_path)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
-    short = docs.filter(F.length("text") <= piece).mapInArrow(_encode(spec, decoded), schema)
+    short = docs.filter(F.length("text") <= piece).mapInArrow(_encode(spec, decoded, remembered), schema)
     long = docs.filter(F.length("text") > piece).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     # A fixed number of tasks: by their bytes, pieces would be coalesced into too few for the work they are.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = long.mapInArrow(_cut(piece), "row long, doc_id long, piece int, text string").repartition(tasks, "row", "piece")
-    coded = cut.mapInArrow(_encode_pieces(spec), cut.schema.simpleString()[7:-1] + ",ids array<int>,starts array<int>")
+    coded = cut.mapInArrow(_encode_pieces(spec, remembered), cut.schema.simpleString()[7:-1] + ",ids array<int>,starts array<int>")
     whole = coded.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("piece", "text", "ids", "starts"))).alias("pieces"))
-    return short.unionAll(whole.mapInArrow(_join(spec, decoded), schema))
+    return short.unionAll(whole.mapInArrow(_join(spec, decoded, remembered), schema))
 
 
 def _decode(spec):

@@ -60,8 +60,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(read_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-def bpe_digests(docs: DataFrame, *keep: str) -> DataFrame:
-    coded = bpe.encode(docs, tokenizer_path(), decoded=True)
+def bpe_digests(docs: DataFrame, *keep: str, remembered: int = bpe.REMEMBERED_BYTES) -> DataFrame:
+    coded = bpe.encode(docs, tokenizer_path(), decoded=True, remembered=remembered)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_hex(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"), *keep)
 
 
