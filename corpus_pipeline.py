@@ -11,6 +11,8 @@ from tidelog.llm.common import is_empty, marked, new_path, read_table, stored
 from tidelog.llm.queries import bpe_digests
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes that a worker's BPE memory takes here, where executors have all stages' needs to meet; by itself it takes more.
+REMEMBERED = 40 << 20
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -88,7 +90,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null or empty text has no ids. Repeated rows and shared or null ids each have their row;
     texts are encoded whole at any length; an empty table gives no rows.
     """
-    return bpe_digests(docs, "ids")
+    return bpe_digests(docs, "ids", remembered=REMEMBERED)
 
 
 STAGES = [
