@@ -85,7 +85,9 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     while not is_empty(levels[-1].filter("up is not null")) and 1 << (len(levels) - 1) <= most:
         a = levels[-1]
         b = a.select("tree", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("depth").alias("depth2"))
-        a = a.join(b, ["tree", "up"], "left").select("tree", "msg", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
+        done = a.filter("up is null")  # at its root: only messages further down take part in a round
+        a = a.filter("up is not null").join(b, ["tree", "up"], "left").select("tree", "msg", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
+        a = a.unionByName(done)
         levels.append(stored(a, "chat-level"))
     parents = levels[0].filter("up is not null").select("tree", F.col("up").alias("msg"))
     leaves = levels[-1].filter("up is null").join(parents, ["tree", "msg"], "left_anti")
