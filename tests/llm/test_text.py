@@ -492,5 +492,5 @@ def test_oracle(spark, name):
 
 def test_all_queries_registered():
     names = list(queries.QUERIES)
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert F is not None
