@@ -113,14 +113,47 @@ def test_row_groups_of_files(spark, tmp_path):
     path = f"file://{tmp_path}/log"
     rows = spark.range(600_000).select(*[F.lit(v).alias(k) for k, v in HEADER.items() if k not in ("ts_event_ns", "ts_receive_ns", "seq")], (F.lit(BASE) + F.col("id") * 10_000_000).alias("ts_event_ns"), (F.lit(BASE) + F.col("id") * 10_000_000).alias("ts_receive_ns"), (F.col("id") + 1).alias("seq"), F.lit(1.0).alias("price"), F.lit(1.0).alias("size"))
     assert eventlog.write_log(rows, path, "s", "replay").count() == 0
-    groups = eventlog.footers(spark, path)
+    groups = eventlog.read_zones(spark, path)
     assert groups.agg(F.sum("rows"), F.max("rows")).first()[0] == 600_000 and groups.filter("rows > 250000").count() == 0 and groups.count() >= 3
     early = (BASE, BASE + 60 * clock.NS)
     hit = eventlog.touched(groups, early)
     assert 0 < hit.filter("touched").count() < 0.7 * groups.count()
-    assert eventlog.footers(spark, path, early).count() < groups.count() and eventlog.footers(spark, path, (0, 1)).count() == 0
+    assert eventlog.read_zones(spark, path, early).count() < groups.count() and eventlog.read_zones(spark, path, (0, 1)).count() == 0
     found = eventlog.in_range(eventlog.read_log(spark, path), early)
     assert found.count() == 6001
+    some = eventlog.read_range(spark, path, early)
+    assert some.count() == 6001 and len(some.inputFiles()) < len(found.inputFiles())
+    assert eventlog.read_range(spark, path, early, (100, 199)).count() == 100 and eventlog.read_range(spark, path, (0, 1)).count() == 0
+    # what a writer that died has left behind is in no manifest
+    spark.read.schema(eventlog.ZONES).parquet(f"{path}/zones").limit(1).drop("commit").withColumn("file", F.lit("torn")).write.parquet(f"{path}/zones/commit=torn")
+    assert eventlog.read_zones(spark, path).filter("file = 'torn'").count() == 0
+
+
+def test_first_and_last_event(spark, tmp_path):
+    """The manifest has the times of the first and the last accepted event, not the extremes."""
+    rows = [dict(seq=k + 1, ts_event_ns=BASE + t, ts_receive_ns=BASE + 100, ts_monotonic_ns=k, price=1.0, size=1.0) for k, t in enumerate((10, 30, 20))]
+    assert eventlog.write_log(events(spark, rows), f"file://{tmp_path}/log", "s", "live").count() == 0
+    m = eventlog.read_manifest(spark, f"file://{tmp_path}/log").first()
+    z = eventlog.read_zones(spark, f"file://{tmp_path}/log").first()
+    assert (m.first_ts_ns - BASE, m.last_ts_ns - BASE, m.first_seq, m.last_seq, m.events) == (10, 20, 1, 3, 3) and (z.low - BASE, z.high - BASE) == (10, 30)
+
+
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_order_check_over_many_files(spark, batch):
+    """Files with and without faults, in Arrow batches that cut through them, against the fold of each file."""
+    rng = np.random.default_rng(batch)
+    rows = [(f"s{rng.integers(0, 40)}", int(k // 3 - rng.integers(0, 2) * (rng.random() < 0.1)), [None, "a", "b"][rng.integers(0, 3)], int(k - rng.integers(0, 9) * (rng.random() < 0.2)), k) for k in range(600)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {r.at: r.order_error for r in ordering.order_errors(spark.createDataFrame(rows, "symbol string, ts_monotonic_ns long, source string, seq long, at long"), ["at"], ["symbol"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    names = [None, ordering.CLOCK_BACK, ordering.SEQUENCE_BACK]
+    for s in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == s]
+        found, _ = ordering.fold(*(np.array([r[k] for r in mine], dtype=object if k == 2 else np.int64) for k in (1, 2, 3)), ordering.NOTHING)
+        assert [got[r[4]] for r in mine] == [names[x] for x in found]
 
 
 @pytest.mark.parametrize(

@@ -46,6 +46,42 @@ def test_log_restarts(spark, files_in, tmp_path):
     assert eventlog.incomplete_files(got, eventlog.read_manifest(spark, path)).count() == 0
 
 
+def test_append_refuses_late_events(spark, files_in, tmp_path):
+    """An event that is late against an earlier micro-batch, or an earlier run, is refused; nanoseconds and nulls stay as they are."""
+    path, checkpoint = f"file://{tmp_path}/log", f"file://{tmp_path}/checkpoint"
+    schema = "symbol string, seq long, ts_event_ns long, ts_receive_ns long, ts_monotonic_ns long, event_type int, venue string, source string, price double, size double, level long, ts_open_ns long, ts_close_ns long, open double, high double, low double, close double, volume double"
+    trade = lambda seq, ns, symbol="S", price=1.0, source="t": (symbol, seq, BASE + ns, BASE + ns, BASE + ns, 2, "V", source, price, 1.0, None, None, None, None, None, None, None, None)
+    bar = lambda seq, ns: ("S", seq, BASE + ns, BASE + ns, BASE + ns, 4, "V", "t", None, None, None, BASE + 1, BASE + 2, 1.0, 1.0, 1.0, 1.0, 5.0)
+    run = lambda: eventlog.append_stream(files_in.open(), path, checkpoint, "s", "live", every=None).awaitTermination()
+    files_in.put([trade(5, 500), trade(6, 600, price=-1.0)], schema)
+    files_in.put([trade(3, 300), trade(6, 500, source="other"), trade(1, 1, "T")], schema)
+    run()
+    files_in.put([trade(6, 550), bar(7, 560), trade(7, 700)], schema)
+    run()
+    log = eventlog.read_log(spark, path)
+    assert sorted((r.symbol, r.seq, r.ts_event_ns - BASE) for r in log.collect()) == [("S", 5, 500), ("S", 6, 500), ("S", 6, 550), ("S", 7, 560), ("T", 1, 1)]
+    kept = log.filter("event_type = 4").first()
+    assert (kept.ts_open_ns, kept.ts_close_ns, kept.level, kept.price) == (BASE + 1, BASE + 2, None, None)
+    refused = spark.read.parquet(f"{path}/refused")
+    assert sorted((r.seq, r.error) for r in refused.collect()) == [(3, "monotonic clock went back"), (6, "bad price"), (7, "sequence didn't grow")]
+
+
+def test_silence(spark, files_in):
+    """A key that falls silent is noticed without a further event of its own, and so is its return."""
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    files_in.put([("a", t(0)), ("b", t(0)), ("a", t(10)), ("c", t(5)), ("c", t(100))], "symbol string, at timestamp")
+    files_in.put([("b", t(60)), ("b", t(70)), (None, t(70))], "symbol string, at timestamp")
+    files_in.put([("a", t(90)), ("b", t(90)), ("a", t(15))], "symbol string, at timestamp")
+    files_in.put([("b", t(130)), ("b", t(300))], "symbol string, at timestamp")
+    got = ingest.run_available(ingest.silences(files_in.open(), "symbol", "at", 30, "60 seconds"))
+    seconds = lambda x: int((x.replace(tzinfo=None) - t(0)).total_seconds())
+    found = sorted((r.symbol or "", seconds(r["at"]), r.silent, seconds(r["last"])) for r in got.collect())
+    assert found == [
+        ("", 100, True, 70), ("a", 40, True, 10), ("a", 90, False, 10), ("a", 120, True, 90), ("b", 30, True, 0), ("b", 60, False, 0), ("b", 120, True, 90), ("b", 130, False, 90), ("b", 160, True, 130), ("b", 300, False, 130),
+        ("c", 35, True, 5), ("c", 100, False, 5), ("c", 130, True, 100),
+    ]
+
+
 def test_state_over_batches(spark, files_in, tmp_path):
     schema = "symbol string, seq long, ts_monotonic_ns long, arrival long"
     files_in.put([("a", 1, 10, 1), ("a", 3, 12, 2), ("b", 1, 5, 3)], schema)

@@ -73,21 +73,30 @@ def _order_errors(file: list[str]):
         before, last = None, NOTHING
         names = pa.array([None, CLOCK_BACK, SEQUENCE_BACK], pa.string())
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            cuts = [0, *np.flatnonzero(starts_of(batch, file, before)).tolist(), batch.num_rows]
-            fresh = set(cuts[1:-1])
-            flags = []
+            new = starts_of(batch, file, before)
             clock, seq = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ts_monotonic_ns", "seq"))
-            source = batch.column("source").to_numpy(zero_copy_only=False)
-            for a, b in zip(cuts, cuts[1:]):
-                if a in fresh:
-                    last = NOTHING
-                if a < b:
-                    found, last = fold(clock[a:b], source[a:b], seq[a:b], last)
-                    flags.append(found)
-            before = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in file)
-            yield with_column(batch, "order_error", names.take(pa.array(np.concatenate(flags))))
+            kinds = batch.column("source").dictionary_encode()
+            code = pc.fill_null(kinds.indices, -1).to_numpy(zero_copy_only=False)
+            # In order with the row before: where that holds for all of a file's rows, all are accepted.
+            faulty = ~new
+            faulty[1:] &= (clock[1:] < clock[:-1]) | ((code[1:] == code[:-1]) & (seq[1:] <= seq[:-1]))
+            faulty[0] = not new[0]
+            starts = np.flatnonzero(new)
+            starts = starts if new[0] else np.concatenate([[0], starts])
+            out = np.zeros(n, dtype=np.int8)
+            ends = np.append(starts[1:], n)
+            source = np.array([*kinds.dictionary.to_pylist(), None], dtype=object)
+            begun = last
+            for k in np.flatnonzero(np.add.reduceat(faulty, starts)).tolist():
+                a, b = int(starts[k]), int(ends[k])
+                out[a:b], begun = fold(clock[a:b], source[code[a:b]], seq[a:b], last if not new[a] else NOTHING)
+            tail = int(starts[-1])
+            last = begun if faulty[tail:].any() else (int(clock[-1]), source[code[-1]], int(seq[-1]))
+            before = tuple(batch.column(k)[n - 1].as_py() for k in file)
+            yield with_column(batch, "order_error", names.take(pa.array(out)))
 
     return run
 

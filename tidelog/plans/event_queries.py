@@ -184,7 +184,7 @@ def list_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.events(spark, sf_dir).select("symbol").distinct().orderBy("symbol")
 
 
-@query(f"""WITH {V.EVENTS} SELECT symbol || '/' || strftime(ts, '%Y-%m-%d') AS file, count(*) AS events, min(ts_event_ns) AS first_ts_ns, max(ts_event_ns) AS last_ts_ns, min_by(symbol, seq) AS first_symbol,
+@query(f"""WITH {V.EVENTS} SELECT symbol || '/' || strftime(ts, '%Y-%m-%d') AS file, count(*) AS events, min_by(ts_event_ns, seq) AS first_ts_ns, max_by(ts_event_ns, seq) AS last_ts_ns, min_by(symbol, seq) AS first_symbol,
   'SIM' AS first_venue, 'driver' AS first_source FROM ev GROUP BY 1""")
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.events(spark, sf_dir)
@@ -293,18 +293,18 @@ def flush_by_rows_or_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {V.LOG}, d AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n, min(ts_event_ns) AS low, max(ts_event_ns) AS high FROM lg GROUP BY 1)
 SELECT CAST(sum(n) AS BIGINT) AS rows, min(low) AS low, max(high) AS high, CAST(sum(n) FILTER (WHERE low <= {T1} AND high >= {T0}) AS BIGINT) AS touched_rows FROM d""")
 def footer_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the written log's row groups, by the statistics in the files' footers, and of those that a time range touches."""
+    """Rows of the written log by its zone map, and of the zones that a time range touches."""
     log = V.log(spark, sf_dir)
-    groups = eventlog.touched(eventlog.footers(spark, log.log_path), (T0, T1))
+    groups = eventlog.touched(eventlog.read_zones(spark, log.log_path), (T0, T1))
     return groups.agg(F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum(F.when(F.col("touched"), F.col("rows"))).alias("touched_rows"))
 
 
-@query(f"WITH {V.LOG} SELECT CAST(ts AS DATE) AS day, count(*) AS events, min(ts_event_ns) AS first_ts_ns, max(ts_event_ns) AS last_ts_ns FROM lg GROUP BY 1")
+@query(f"WITH {V.LOG} SELECT CAST(ts AS DATE) AS day, count(*) AS events, min_by(ts_event_ns, seq) AS first_ts_ns, max_by(ts_event_ns, seq) AS last_ts_ns FROM lg GROUP BY 1")
 def manifest_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written log's manifest, by day."""
     m = eventlog.read_manifest(spark, V.log(spark, sf_dir).log_path).filter("write_complete")
     day = F.to_date(F.regexp_extract("file", "event_date=([0-9-]+)", 1))
-    return m.groupBy(day.alias("day")).agg(F.sum("events").alias("events"), F.min("first_ts_ns").alias("first_ts_ns"), F.max("last_ts_ns").alias("last_ts_ns"))
+    return m.groupBy(day.alias("day")).agg(F.sum("events").alias("events"), F.min_by("first_ts_ns", "first_seq").alias("first_ts_ns"), F.max_by("last_ts_ns", "last_seq").alias("last_ts_ns"))
 
 
 @query(f"WITH {V.EVENTS} SELECT seq, CASE kind WHEN 1 THEN 'depth' WHEN 2 THEN 'trade' WHEN 3 THEN 'order' ELSE 'heartbeat' END AS name FROM ev")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import validate
@@ -64,13 +64,44 @@ def stream_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.run_available(ingest.sequence_numbers(rows)).drop("batch")
 
 
-@query(f"WITH {V.EVENTS} SELECT symbol, seq, round(value, 6) AS price, k AS size, 'live' AS feed_mode FROM ev WHERE kind = 2 AND value > 0 AND k > 0")
+def _replayed(spark: SparkSession, rows: DataFrame, part: Column, parts: int) -> DataFrame:
+    """``rows`` as a stream of one input file a micro-batch, in the order of ``part`` (0 to parts - 1)."""
+    path = ingest.shared_path(spark, "stream-in")
+    numbered = rows.withColumn("_part", part)
+    for k in range(parts):
+        numbered.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(f"""WITH RECURSIVE {V.EVENTS}, v AS (SELECT symbol, CAST(ts AS DATE) AS d, seq, ts_monotonic_ns AS m, value, k, kind, row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY (seq * 37) % 101, seq) AS i FROM ev WHERE {V.OK} = 1),
+f AS (SELECT symbol, d, i, seq, value, k, kind, CAST(NULL AS VARCHAR) AS error, m AS last_m, seq AS last_s FROM v WHERE i = 1
+  UNION ALL SELECT v.symbol, v.d, v.i, v.seq, v.value, v.k, v.kind, CASE WHEN v.m < f.last_m THEN 'monotonic clock went back' WHEN v.seq <= f.last_s THEN 'sequence didn''t grow' END, CASE WHEN v.m >= f.last_m AND v.seq > f.last_s THEN v.m ELSE f.last_m END,
+    CASE WHEN v.m >= f.last_m AND v.seq > f.last_s THEN v.seq ELSE f.last_s END FROM f JOIN v ON v.symbol = f.symbol AND v.d = f.d AND v.i = f.i + 1)
+SELECT symbol, seq, CAST(CASE WHEN kind <> 5 THEN value END AS DOUBLE) AS price, CASE WHEN kind <> 5 THEN k END AS size, CASE WHEN error IS NULL THEN 'live' END AS feed_mode, error FROM f
+UNION ALL SELECT symbol, seq, value, k, NULL, CASE WHEN kind = 3 THEN 'bad size' WHEN value <= 0 THEN 'bad price' ELSE 'bad size' END FROM ev WHERE {V.OK} = 0""")
 def stream_to_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks streamed into the event log, one commit for each micro-batch, and read back from it."""
-    s = _stream(spark, sf_dir).filter("event_type = 'purchase'")
-    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    day = F.concat(F.lit("D"), F.dayofmonth("ts"))  # few symbols, so few files
-    ticks = s.select(ns.alias("ts_event_ns"), (ns + 1000).alias("ts_receive_ns"), (ns + 500).alias("ts_monotonic_ns"), F.lit("").alias("venue"), day.alias("symbol"), F.concat(F.lit("U"), "user_id").alias("source"), (F.col("event_id") + 1).alias("seq"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("size"), F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask"))
+    """All events, out of order, streamed into the log over five micro-batches: what is read back from it, and what was refused.
+
+    The order check of a symbol's day goes on from batch to batch.
+    """
+    arrival = (F.col("seq") * 37) % 101
+    rows = V.events(spark, sf_dir).withColumn("ts_receive_ns", F.lit(1_735_689_600 * 1_000_000_000) + arrival)  # received in this order, after all have happened
+    stream = _replayed(spark, rows, F.floor(arrival / 21), 5)
     path, checkpoint = ingest.shared_path(spark, "stream-log"), ingest.shared_path(spark, "stream-log-checkpoint")
-    eventlog.append_stream(ingest.ticks_to_trades(ticks), path, checkpoint, "session", "live", every=None).awaitTermination()
-    return eventlog.read_log(spark, path).select(F.col("source").alias("symbol"), "seq", F.round("price", 6).alias("price"), "size", "feed_mode")
+    eventlog.append_stream(stream, path, checkpoint, "session", "live", every=None, layout=("event_date",)).awaitTermination()
+    log = eventlog.read_log(spark, path).select("symbol", "seq", "price", "size", "feed_mode", F.lit(None).cast("string").alias("error"))
+    refused = spark.read.parquet(f"{path}/refused").select("symbol", "seq", "price", "size", F.lit(None).cast("string").alias("feed_mode"), "error")
+    return log.unionByName(refused)
+
+
+@query("""WITH e AS (SELECT event_type AS kind, epoch_us(ts) // 1000000 AS t, max(epoch_us(ts)) OVER () // 1000000 AS ending FROM events),
+g AS (SELECT DISTINCT kind, t, ending FROM e), n AS (SELECT *, lag(t) OVER (PARTITION BY kind ORDER BY t) AS last, lead(t) OVER (PARTITION BY kind ORDER BY t) AS nxt FROM g),
+x AS (SELECT kind, t AS last, t + 600 AS "at", true AS silent FROM n WHERE nxt - t > 600 OR (nxt IS NULL AND t + 600 <= ending)
+  UNION ALL SELECT kind, last, t, false FROM n WHERE t - last > 600)
+SELECT kind, make_timestamp(last * 1000000) AS last, make_timestamp("at" * 1000000) AS "at", silent FROM x""")
+def stream_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When an event type had no event for over ten minutes, as timers behind a watermark notice it, and when the next one came."""
+    rows = V.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.date_trunc("second", F.col("ts")).cast("timestamp").alias("at"))
+    stream = _replayed(spark, rows, F.floor(F.dayofmonth("at") / 8), 4)
+    out = ingest.run_available(ingest.silences(stream, "kind", "at", 600))
+    return out.select("kind", F.col("last").cast("timestamp_ntz").alias("last"), F.col("at").cast("timestamp_ntz").alias("at"), "silent")

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import utc_date
 from ..operators.ordering import order_errors
 from ..operators.validate import event_error, with_decimals
 from ..schema import EVENT, EVENT_TYPES, TYPE_COLUMNS
+from ..streaming.state import check_order, rocksdb
 
 ROWS_PER_GROUP = 250_000
 OPTIONS = {
@@ -59,95 +60,130 @@ def write_log(
     ``arrival`` is the order of appending (receive time and sequence if not given). Rows are
     range-partitioned by ``layout`` and ``order`` and sorted, so that a busy symbol's day
     spreads over tasks, files and row groups hold narrow ranges, and a quiet symbol gets one
-    file. Only this commit's files are read again, for their manifest entries. A ``commit``
-    that is written again, as by a stream that restarts, replaces itself.
+    file. Only this commit's files are read again, for their zone map. A ``commit`` that is
+    written again, as by a stream that restarts, replaces itself.
     """
-    spark, commit = events.sparkSession, commit or uuid.uuid4().hex
-    staged = f"{path}/staged/commit={commit}"
-    check(as_events(events), arrival or ["ts_receive_ns", "seq"]).write.mode("overwrite").parquet(staged)
-    checked = spark.read.parquet(staged)
+    checked = check(as_events(events), arrival or ["ts_receive_ns", "seq"])
+    return write_checked(checked, path, session_id, feed_mode, commit or uuid.uuid4().hex, max_file_rows, layout, order)
+
+
+def write_checked(checked: DataFrame, path: str, session_id: str, feed_mode: str, commit: str, max_file_rows: int = 2_000_000, layout: tuple[str, ...] = LAYOUT, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Append ``checked`` events (with event_date and error) as one commit; returns the rejected ones."""
+    spark = checked.sparkSession
+    staged, refused = f"{path}/staged/commit={commit}", f"{path}/refused/commit={commit}"
+    checked.write.mode("overwrite").option("compression", "lz4_raw").parquet(staged)
+    checked = spark.read.schema(checked.schema).parquet(staged)
     rows = with_decimals(checked.filter("error is null").drop("error")).withColumn("feed_mode", F.lit(feed_mode))
     key = [*layout, *order]
     rows.repartitionByRange(*key).sortWithinPartitions(*key).write.mode("overwrite").options(**OPTIONS).option("maxRecordsPerFile", max_file_rows).partitionBy(*layout).parquet(f"{path}/events/commit={commit}")
-    facts = manifest_of(read_log(spark, path, [commit])).withColumns({"session_id": F.lit(session_id), "feed_mode": F.lit(feed_mode), "write_complete": F.lit(True)})
-    facts.write.mode("overwrite").parquet(f"{path}/manifest/commit={commit}")
-    refused = f"{path}/refused/commit={commit}"
+    zones_of(read_log(spark, path, [commit])).write.mode("overwrite").parquet(f"{path}/zones/commit={commit}")
+    facts = rolled_up(spark.read.schema(ZONES).parquet(f"{path}/zones/commit={commit}"))
+    facts = facts.withColumns({"session_id": F.lit(session_id), "feed_mode": F.lit(feed_mode), "write_complete": F.lit(True)})
+    facts.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/commit={commit}")
     checked.filter("error is not null").drop("event_date").write.mode("overwrite").parquet(refused)
     where = spark._jvm.org.apache.hadoop.fs.Path(staged)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    return spark.read.parquet(refused)
+    return spark.read.schema(checked.drop("event_date").schema).parquet(refused)
+
+
+def _reader(spark: SparkSession, path: str) -> DataFrameReader:
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT)
+    return spark.read.schema(f"{ddl}, feed_mode string, event_date date, commit string").option("basePath", f"{path}/events")
 
 
 def read_log(spark: SparkSession, path: str, commits: list[str] | None = None) -> DataFrame:
     """All events, or those of some commits; ranges of event time and sequence are pushed to the Parquet scan."""
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT)
-    reader = spark.read.schema(f"{ddl}, feed_mode string, event_date date, commit string").option("basePath", f"{path}/events")
-    return reader.parquet(*[f"{path}/events/commit={c}" for c in commits] if commits else [f"{path}/events"])
+    return _reader(spark, path).parquet(*[f"{path}/events/commit={c}" for c in commits] if commits else [f"{path}/events"])
 
 
-def append_stream(stream: DataFrame, path: str, checkpoint: str, session_id: str, feed_mode: str, arrival: list[str] | None = None, every: str | None = "2 seconds"):
+def append_stream(
+    stream: DataFrame, path: str, checkpoint: str, session_id: str, feed_mode: str, arrival: list[str] | None = None, every: str | None = "2 seconds",
+    layout: tuple[str, ...] = LAYOUT, order: tuple[str, ...] = ("seq",), file: tuple[str, ...] = LAYOUT, keep_ms: int | None = None,
+):
     """A running query that appends a stream to the log: one commit for each micro-batch, every two seconds.
 
     With ``every=None`` it takes what is available and ends. After a failure the next run with
     the same ``checkpoint`` goes on where this one ended, and a batch that was half written is
-    replaced. A batch's order check starts anew; ``order_check`` keeps it over batches. Date
-    rollover and a change of ``feed_mode`` need no closing of files, as both are in the layout
-    or in each row.
+    replaced. The last accepted event of each ``file`` (a symbol's day) is kept as state, so
+    an event that is late against an earlier micro-batch, or an earlier run, is refused; with
+    ``keep_ms`` that state goes so long after a file's last event. Date rollover and a change
+    of ``feed_mode`` need no closing of files, as both are in the layout or in each row.
     """
+    rows = as_events(stream).drop(*[f.name for f in EVENT if f.name.endswith("_decimal")])
+    rows = rows.withColumns({"event_date": utc_date("ts_event_ns"), "error": event_error()})
+    checked = check_order(rows, list(file), arrival or ["ts_receive_ns", "seq"], keep_ms)
+
     def put(batch: DataFrame, number: int) -> None:
-        write_log(batch, path, session_id, feed_mode, arrival=arrival, commit=f"{session_id}-{number:09d}")
+        write_checked(batch, path, session_id, feed_mode, f"{session_id}-{number:09d}", layout=layout, order=order)
+
+    with rocksdb(stream.sparkSession):
+        out = checked.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+        return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
-    out = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
-    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
+#: Per file and 250,000 rows in it: the ranges that pruning needs, and the first and last event by sequence.
+ZONES = (
+    "file string, zone long, rows long, low long, high long, low_seq long, high_seq long, "
+    "first struct<ts_event_ns:bigint,symbol:string,venue:string,source:string>, last_ts_ns long, commit string"
+)
+MANIFEST = "file string, events long, first_seq long, last_seq long, first_ts_ns long, last_ts_ns long, first_symbol string, first_venue string, first_source string, session_id string, feed_mode string, write_complete boolean"
 
-MANIFEST = "file string, events long, first_ts_ns long, last_ts_ns long, first_symbol string, first_venue string, first_source string, session_id string, feed_mode string, write_complete boolean"
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    if not _exists(spark, f"{path}/manifest"):
         return spark.createDataFrame([], f"{MANIFEST}, commit string")
     return spark.read.schema(f"{MANIFEST}, commit string").parquet(f"{path}/manifest")
 
 
+def zones_of(log: DataFrame) -> DataFrame:
+    """The zone map of written events: one row for every ROWS_PER_GROUP rows of a file, with partial aggregates."""
+    header = F.struct("ts_event_ns", "symbol", "venue", "source")
+    zone = F.floor(F.col("_metadata.row_index") / ROWS_PER_GROUP).cast("long")
+    return log.groupBy(F.col("_metadata.file_path").alias("file"), zone.alias("zone")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("ts_event_ns").alias("low"), F.max("ts_event_ns").alias("high"), F.min("seq").alias("low_seq"), F.max("seq").alias("high_seq"),
+        F.min_by(header, "seq").alias("first"), F.max_by("ts_event_ns", "seq").alias("last_ts_ns"),
+    )
+
+
+def rolled_up(zones: DataFrame) -> DataFrame:
+    """Manifest entries from a zone map: rows, and the header of the first and the time of the last accepted event."""
+    out = zones.groupBy("file").agg(F.sum("rows").alias("events"), F.min("low_seq").alias("first_seq"), F.max("high_seq").alias("last_seq"), F.min_by("first", "low_seq").alias("first"), F.max_by("last_ts_ns", "high_seq").alias("last_ts_ns"))
+    return out.select("file", "events", "first_seq", "last_seq", F.col("first.ts_event_ns").alias("first_ts_ns"), "last_ts_ns", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("symbol", "venue", "source")])
+
+
 def file_facts(events: DataFrame, file: Column) -> DataFrame:
-    """Per file: rows, time range and the header of its first event."""
+    """Per file: rows, header of the first and time of the last event by sequence, in which a file's events were accepted."""
     return events.groupBy(file.alias("file")).agg(
-        F.count(F.lit(1)).alias("events"), F.min("ts_event_ns").alias("first_ts_ns"), F.max("ts_event_ns").alias("last_ts_ns"),
+        F.count(F.lit(1)).alias("events"), F.min_by("ts_event_ns", "seq").alias("first_ts_ns"), F.max_by("ts_event_ns", "seq").alias("last_ts_ns"),
         F.min_by("symbol", "seq").alias("first_symbol"), F.min_by("venue", "seq").alias("first_venue"), F.min_by("source", "seq").alias("first_source"),
     )
 
 
-def manifest_of(log: DataFrame) -> DataFrame:
-    return file_facts(log, F.col("_metadata.file_path"))
-
-
 def incomplete_files(log: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files that no commit has entered into the manifest."""
     return log.select(F.col("_metadata.file_path").alias("file")).distinct().join(manifest.filter("write_complete").select("file"), "file", "left_anti")
 
 
-def footers(spark: SparkSession, path: str, time: tuple[int, int] | None = None) -> DataFrame:
-    """file, row_group, rows, low, high, low_seq, high_seq of the log's row groups, from the files' footers.
+def read_zones(spark: SparkSession, path: str, time: tuple[int, int] | None = None, seq: tuple[int, int] | None = None) -> DataFrame:
+    """The log's zone map, or the zones that ranges of event time and sequence touch; zones of half-written commits aren't in the manifest and left out."""
+    files = read_manifest(spark, path).filter("write_complete").select("file")
+    rows = spark.read.schema(ZONES).parquet(f"{path}/zones") if _exists(spark, f"{path}/zones") else spark.createDataFrame([], ZONES)
+    for low, high, asked in (("low", "high", time), ("low_seq", "high_seq", seq)):
+        if asked:
+            rows = rows.filter((F.col(low) <= asked[1]) & (F.col(high) >= asked[0]))
+    return rows.join(files, "file", "left_semi")
 
-    With a time range, only of files whose manifest entry overlaps it. The driver reads the
-    footers, some KB each, so ask for a range on a large log.
-    """
-    files = read_manifest(spark, path)
-    if time:
-        files = files.filter((F.col("first_ts_ns") <= time[1]) & (F.col("last_ts_ns") >= time[0]))
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    rows = []
-    for f in sorted(r.file for r in files.select("file").collect()):
-        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)), conf))
-        try:
-            for k, block in enumerate(reader.getFooter().getBlocks()):
-                of = {c.getPath().toDotString(): c.getStatistics() for c in block.getColumns()}
-                rows.append((f, k, block.getRowCount(), *[int(x) for c in ("ts_event_ns", "seq") for x in (of[c].genericGetMin(), of[c].genericGetMax())]))
-        finally:
-            reader.close()
-    return spark.createDataFrame(rows, "file string, row_group long, rows long, low long, high long, low_seq long, high_seq long")
+
+def read_range(spark: SparkSession, path: str, time: tuple[int, int] | None = None, seq: tuple[int, int] | None = None) -> DataFrame:
+    """The events in ranges of event time and sequence, from those files only that the zone map says may hold some."""
+    files = [r.file for r in read_zones(spark, path, time, seq).select("file").distinct().collect()]  # names, as for any read
+    log = _reader(spark, path).parquet(*files) if files else read_log(spark, path).limit(0)
+    return in_range(log, time, seq)
 
 
 def touched(groups: DataFrame, time: tuple[int, int]) -> DataFrame:

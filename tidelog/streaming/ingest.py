@@ -4,17 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ordering import NOTHING, fold
 from ..operators.validate import positive
 from ..sources.eventlog import as_events, newest
+from .state import Numbering, check_order, rocksdb, silences  # noqa: F401
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -62,7 +59,8 @@ def run_available(stream: DataFrame, mode: str = "append", checkpoint: str | Non
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with rocksdb(spark):
+        query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.IntegerType())])).parquet(out)
 
@@ -80,38 +78,16 @@ def window_counts(stream: DataFrame, at: str, keys: list[str], size: str, slide:
     return rows.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
-_STATE = "m long, source string, seq long"
-
-
-def _fold(batches: Iterator[pd.DataFrame], state: GroupState) -> pd.DataFrame:
-    last = tuple(state.get) if state.exists else NOTHING
-    rows = pd.concat(list(batches)).sort_values("arrival", kind="stable")
-    found, last = fold(rows.ts_monotonic_ns.to_numpy(), rows.source.to_numpy(dtype=object), rows.seq.to_numpy(), last)
-    state.update(last)
-    return rows.assign(accepted=found == 0)
-
-
-def _check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    yield _fold(batches, state)[["symbol", "seq", "accepted"]]
-
-
 def order_check(stream: DataFrame) -> DataFrame:
-    """Rejects late rows: per symbol, against the last accepted event, with state across batches (symbol, seq, ts_monotonic_ns, arrival, and source if there is one)."""
+    """symbol, seq, accepted: late rows against the last accepted event of their symbol, with state across batches (symbol, seq, ts_monotonic_ns, arrival, and source if there is one)."""
     source = F.col("source") if "source" in stream.columns else F.lit("")
-    rows = stream.select("symbol", "seq", "ts_monotonic_ns", "arrival", source.alias("source"))
-    return rows.groupBy("symbol").applyInPandasWithState(_check, "symbol string, seq long, accepted boolean", _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def _number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (last,) = state.get if state.exists else (0,)
-    rows = pd.concat(list(batches)).sort_values("arrival", kind="stable")
-    state.update((last + len(rows),))
-    yield rows.assign(seq=range(last + 1, last + len(rows) + 1))[["symbol", "arrival", "seq"]]
+    rows = stream.select("symbol", "seq", "ts_monotonic_ns", "arrival", source.alias("source"), F.lit(None).cast("string").alias("error"))
+    return check_order(rows, ["symbol"], ["arrival"]).select("symbol", "seq", F.col("error").isNull().alias("accepted"))
 
 
 def sequence_numbers(stream: DataFrame) -> DataFrame:
     """symbol, arrival, seq: each symbol's rows numbered from 1 by arrival, with state across batches."""
-    return stream.select("symbol", "arrival").groupBy("symbol").applyInPandasWithState(_number, "symbol string, arrival long, seq long", "seq long", "append", GroupStateTimeout.NoTimeout)
+    return stream.select("symbol", "arrival").groupBy("symbol").transformWithStateInPandas(Numbering(), "symbol string, arrival long, seq long", "append", "none")
 
 
 def mock_ticks(spark: SparkSession, n: int, symbols: list[str], seed: int = 0, start_ns: int = 1_704_844_800_000_000_000, step_ns: int = 1_000_000) -> DataFrame:
