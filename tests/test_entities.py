@@ -5,6 +5,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,7 +151,7 @@ def test_cascade_against_loop(spark):
         canonical.setdefault(r.mention_id, {})[r.syn_id] = r.confidence
     for r in Q._cascade_mentions(spark, SMALL).collect():
         n = re.sub(r"\s+", " ", r.text.lower()).strip()
-        found = {s: 1.0 for t, s in tickers if re.fullmatch(r"[A-Z]{1,5}(\.[A-Z])?", r.text) and t == r.text.strip().upper()}
+        found = {s: 1.0 for t, s in tickers if re.fullmatch(r"[A-Z]{1,5}(\.[A-Z])?", r.text.strip()) and t == r.text.strip().upper()}
         if not found:
             for a in aliases:
                 if a.alias.lower() == n:
@@ -213,3 +214,55 @@ def test_batch_is_atomic(spark):
     assert sorted((r.k, r.v, r.action) for r in merged.collect()) == [(1, "a", "kept"), (1, "b", "updated"), (2, "b", "inserted")] and errors.count() == 0
     with pytest.raises(ValueError):
         scd2.merge_batch(current, staged.limit(0), *args)
+
+
+def test_one_owner_from_one_batch(spark):
+    """Of staged rows that ask for a value the first one gets it; blanks around it don't matter; repetitions are left alone."""
+    none = spark.createDataFrame([], "syn_id string, scheme string, value string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    staged = spark.createDataFrame([("A", "S", "X", day(1), None), ("B", "S", " X ", day(2), None), ("A", "S", "X", day(1), None), ("C", "S", "Y", day(3), None), ("D", "S", "Y", day(2), None)], none.schema)
+    fresh, refused = registry.add_identifiers(none, staged)
+    assert sorted((r.syn_id, r.value) for r in fresh.collect()) == [("A", "X"), ("D", "Y")] and sorted(r.syn_id for r in refused.collect()) == ["B", "C"]
+    assert registry.unique_active_violations(none.unionByName(fresh)).count() == 0
+    fresh, refused = registry.add_identifiers(none.unionByName(fresh), spark.createDataFrame([("B", "S", "X", day(9), None), ("A", "S", "X", day(1), None), ("A", "S", "Z", day(9), None)], none.schema))
+    assert [(r.syn_id, r.value) for r in fresh.collect()] == [("A", "Z")] and [r.syn_id for r in refused.collect()] == ["B"]
+
+
+def test_seed_with_repeated_keys(spark):
+    have = spark.createDataFrame([("a", 1)], "k string, v long")
+    got = registry.insert_missing(have, spark.createDataFrame([("a", 9), ("b", 3), ("b", 2), ("b", 2)], have.schema), ["k"])
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 1), ("b", 2)]
+
+
+def test_ticker_with_blanks(spark):
+    e = spark.createDataFrame([("CO_1", "Apple", "ACTIVE")], "syn_id string, canonical_name string, status string")
+    i = spark.createDataFrame([("CO_1", "TICKER", "aapl", None)], "syn_id string, scheme string, value string, valid_to string")
+    m = spark.createDataFrame([(1, "AAPL"), (2, "  AAPL "), (3, "\u2003AAPL\n"), (4, "AA PL"), (5, None), (6, "aapl")], "mention_id long, text string")
+    assert sorted(r.mention_id for r in linker.ticker_candidates(m, i, e).collect()) == [1, 2, 3]
+    assert [r[0] for r in m.limit(3).select(text.normalize_text(F.concat(F.col("text"), F.lit("\u00a0\u3000X")))).collect()] == ["aapl x"] * 3
+
+
+@pytest.mark.parametrize("batch", [10_000, 4])
+def test_kept_versions_against_loop(spark, batch):
+    """Drift inside the tolerance, nulls and changes, in Arrow batches that cut through keys."""
+    rng = np.random.default_rng(batch)
+    rows = [(int(rng.integers(0, 12)), k, [None, "a", "b"][rng.integers(0, 3)] if rng.random() < 0.2 else "a", None if rng.random() < 0.1 else round(0.5 + float(rng.integers(0, 4)) * (0.005 if k % 2 else 0.03), 4)) for k in range(400)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = sorted((r.k, r.valid_from, r.more) for r in scd2.merge(None, spark.createDataFrame([(*r, r[1] * 2) for r in rows], "k long, valid_from long, v string, c double, more long"), ["k"], ["v"], ["c"], ["valid_from"], ["more"]).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, last = [], {}
+    for k, at, v, c in sorted(rows):
+        old = last.get(k)
+        if old is None or old[0] != v or (old[1] is None) != (c is None) or c is not None and abs(old[1] - c) > scd2.TOLERANCE:
+            last[k] = (v, c)
+            want.append((k, at, at * 2))
+    assert got == want
+
+
+def test_gold_set_bounds(spark, tmp_path):
+    """The bounds of a gold set's confidences reach the verdicts."""
+    (tmp_path / "gold.json").write_text('{"test_cases": [{"id": "1", "text": "t", "expected_syn_id": "A", "expected_confidence_min": 0.9}, {"id": "2", "text": "u", "expected_confidence_max": 0.8}]}')
+    cases = files.read_gold_set(spark, f"file://{tmp_path}/gold.json").withColumns({"expected": F.col("expected_syn_id"), "resolved": F.lit("A"), "confidence": F.lit(0.7)})
+    assert {r.id: r.verdict for r in linker.case_verdicts(cases).collect()} == {"1": "fp", "2": "tn"}

@@ -34,6 +34,14 @@ def test_registry(spark):
     assert bad.count() == 0 and more.edges.filter("source = 'me'").count() == 1
     assert [x.error for x in r.add_edges(edge.withColumn("rel_type", F.lit("LIKES")))[1].collect()] == ["unknown relation"]
     assert more.close_edges(edge, day(5)).edges.filter("source = 'me' and valid_to is null").count() == 0
+    full = edge.withColumns({"attrs": F.lit('{"b": 1, "a": 2}'), "evidence": F.lit("e"), "observed_at": day(3), "note": F.lit("n")})
+    more, bad = more.add_edges(full.withColumn("valid_from", day(3)))
+    again, bad2 = more.add_edges(full.withColumns({"valid_from": day(4), "attrs": F.lit('{"a":2,"b":1}'), "observed_at": day(4)}))  # the same values
+    changed, bad3 = again.add_edges(full.withColumns({"valid_from": F.lit(None).cast("timestamp_ntz"), "attrs": F.lit('{"a": 3}'), "observed_at": day(7)}))
+    assert bad.count() == bad2.count() == bad3.count() == 0
+    versions = changed.edges.filter("source = 'me'").orderBy("valid_from").collect()
+    assert [(v.attrs, v.evidence, v.observed_at.day, v.note, v.valid_from.day, v.valid_to and v.valid_to.day) for v in versions[1:]] == [('{"a":2,"b":1}', "e", 3, "n", 3, 7), ('{"a":3}', "e", 7, "n", 7, None)]
+    assert [x.observed_at.day for x in changed.edges_of(versions[0].src_syn_id, active_only=False).collect()][1:3] == [7, 3]  # the first one was observed now
     att = one.select(make_id("CO", F.lit(1)).alias("syn_id"), F.lit("PROFILE").alias("key"), F.lit("JSON").alias("datatype"), F.lit(None).cast("string").alias("value_string"), F.lit(None).cast("double").alias("value_number"), F.lit('{"a":  1}').alias("value_json"), F.lit("driver").alias("source"), F.lit(1.0).alias("confidence"), day(2).alias("valid_from"))
     with_att, bad = r.add_attributes(att)
     assert bad.count() == 0 and with_att.attributes.filter("value_json = '{\"a\":1}' and valid_to is null").count() == 1

@@ -10,8 +10,17 @@ from pyspark.sql import types as T
 from .stem import stem
 
 
+#: White space of all scripts, and the four separators of ASCII.
+BLANK = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def normalize_text(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """In lower case, with one space for any white space."""
+    return F.trim(F.regexp_replace(F.lower(text), f"{BLANK}+", " "))
 
 
 def ticker_like(text: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lexemes, normalize_text, sequence_ratio, similarity, text_match, ticker_like, trigrams
+from ..functions.text import lexemes, normalize_text, sequence_ratio, similarity, text_match, ticker_like, trigrams, trimmed
 from .registry import rank_in
 
 TICKER, ALIAS, CANONICAL, FUZZY = 1, 2, 3, 4
@@ -21,7 +21,7 @@ COMMON = 100
 def ticker_candidates(mentions: DataFrame, identifiers: DataFrame, entities: DataFrame) -> DataFrame:
     held = identifiers.filter("scheme = 'TICKER' and valid_to is null").select("syn_id", F.upper("value").alias("_t"))
     live = entities.filter("status = 'ACTIVE'").select("syn_id", F.col("canonical_name").alias("name"))
-    hit = mentions.filter(ticker_like(F.col("text"))).withColumn("_t", F.upper(F.trim("text"))).join(held, "_t").join(live, "syn_id")
+    hit = mentions.withColumn("_t", trimmed(F.col("text"))).filter(ticker_like(F.col("_t"))).join(held, "_t").join(live, "syn_id")
     return hit.select("mention_id", "syn_id", "name", F.lit(1.0).alias("confidence"), F.lit(TICKER).alias("strategy")).distinct()
 
 

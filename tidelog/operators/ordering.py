@@ -68,51 +68,66 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
 
-def _order_errors(file: list[str]):
+def _walk(rows: pa.RecordBatch, file: list[str], before: tuple | None, last: Last) -> tuple[np.ndarray, tuple, Last]:
+    """Which rows of a sorted batch are refused (1 or 2), its last row's file and the state behind it.
+
+    "In order with the row before" is found for the whole batch at once; where it holds for all
+    of a file's rows they are accepted, and only the other files are folded.
+    """
+    n = rows.num_rows
+    new = starts_of(rows, file, before)
+    clock, seq = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("ts_monotonic_ns", "seq"))
+    kinds = rows.column("source").dictionary_encode()
+    code = pc.fill_null(kinds.indices, -1).to_numpy(zero_copy_only=False)
+    source = np.array([*kinds.dictionary.to_pylist(), None], dtype=object)
+    faulty = ~new
+    faulty[1:] &= (clock[1:] < clock[:-1]) | ((code[1:] == code[:-1]) & (seq[1:] <= seq[:-1]))
+    faulty[0] = not new[0]  # a file that goes on from the batch before is compared with its state
+    starts = np.flatnonzero(new)
+    starts = starts if new[0] else np.concatenate([[0], starts])
+    ends, out, held = np.append(starts[1:], n), np.zeros(n, dtype=np.int8), last
+    folded = np.flatnonzero(np.add.reduceat(faulty, starts))
+    for a, b in zip(starts[folded].tolist(), ends[folded].tolist()):
+        out[a:b], held = fold(clock[a:b], source[code[a:b]], seq[a:b], NOTHING if new[a] else last)
+    if not len(folded) or folded[-1] != len(starts) - 1:
+        held = (int(clock[-1]), source[code[-1]], int(seq[-1]))
+    return out, tuple(rows.column(k)[n - 1].as_py() for k in file), held
+
+
+def _order_errors(file: list[str], error: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, last = None, NOTHING
         names = pa.array([None, CLOCK_BACK, SEQUENCE_BACK], pa.string())
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            new = starts_of(batch, file, before)
-            clock, seq = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ts_monotonic_ns", "seq"))
-            kinds = batch.column("source").dictionary_encode()
-            code = pc.fill_null(kinds.indices, -1).to_numpy(zero_copy_only=False)
-            # In order with the row before: where that holds for all of a file's rows, all are accepted.
-            faulty = ~new
-            faulty[1:] &= (clock[1:] < clock[:-1]) | ((code[1:] == code[:-1]) & (seq[1:] <= seq[:-1]))
-            faulty[0] = not new[0]
-            starts = np.flatnonzero(new)
-            starts = starts if new[0] else np.concatenate([[0], starts])
-            out = np.zeros(n, dtype=np.int8)
-            ends = np.append(starts[1:], n)
-            source = np.array([*kinds.dictionary.to_pylist(), None], dtype=object)
-            begun = last
-            for k in np.flatnonzero(np.add.reduceat(faulty, starts)).tolist():
-                a, b = int(starts[k]), int(ends[k])
-                out[a:b], begun = fold(clock[a:b], source[code[a:b]], seq[a:b], last if not new[a] else NOTHING)
-            tail = int(starts[-1])
-            last = begun if faulty[tail:].any() else (int(clock[-1]), source[code[-1]], int(seq[-1]))
-            before = tuple(batch.column(k)[n - 1].as_py() for k in file)
-            yield with_column(batch, "order_error", names.take(pa.array(out)))
+            found = batch.column(error) if error else pa.nulls(batch.num_rows, pa.string())
+            good = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+            if len(good):
+                rows = batch.select([*file, "ts_monotonic_ns", "source", "seq"])
+                refused, before, last = _walk(rows if len(good) == len(found) else rows.take(pa.array(good)), file, before, last)
+                every = np.zeros(len(found), dtype=np.int8)
+                every[good] = refused
+                found = pc.coalesce(found, names.take(pa.array(every)))
+            if error:
+                yield batch.set_column(batch.schema.get_field_index(error), error, found)
+            else:
+                yield with_column(batch, "order_error", found)
 
     return run
 
 
-def order_errors(events: DataFrame, arrival: list[str], file: list[str]) -> DataFrame:
+def order_errors(events: DataFrame, arrival: list[str], file: list[str], error: str | None = None) -> DataFrame:
     """``events`` with ``order_error``: null if accepted by the order check of its file.
 
     The monotonic clock must not go back and the sequence must grow for one source, both
     against the last *accepted* event of the file; a refused one doesn't advance the state.
     So this is a fold over each file's events in arrival order and not a comparison with the
     row before. A file (a symbol's day) is read as a sorted stream in which the fold keeps
-    three values; no list of its events is ever built.
+    three values; no list of its events is ever built. With ``error``, a column that has
+    errors already, those rows take no part and the others' errors are put there.
     """
-    schema = T.StructType([*events.schema, T.StructField("order_error", T.StringType())])
+    schema = events.schema if error else T.StructType([*events.schema, T.StructField("order_error", T.StringType())])
     sorted_rows = events.repartition(*file).sortWithinPartitions(*file, *arrival)
-    return sorted_rows.mapInArrow(_order_errors(file), schema)
+    return sorted_rows.mapInArrow(_order_errors(file, error), schema)
 
 
 def accept_in_order(events: DataFrame, arrival: list[str], file: list[str] | str = "symbol") -> DataFrame:

@@ -123,17 +123,32 @@ def unique_active_violations(identifiers: DataFrame) -> DataFrame:
     return identifiers.filter("valid_to is null").groupBy("scheme", "value").agg(F.countDistinct("syn_id").alias("holders")).filter("holders > 1")
 
 
-def add_identifiers(current: DataFrame, staged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows to append (new keys only) and rows refused because another entity holds the value."""
-    held = current.filter("valid_to is null").select("scheme", "value", F.col("syn_id").alias("holder"))
-    clash = staged.join(held, ["scheme", "value"]).filter("syn_id <> holder").drop("holder")
-    fresh = staged.join(clash.select("syn_id", "scheme", "value"), ["syn_id", "scheme", "value"], "left_anti")
-    return fresh.join(current.select("syn_id", "scheme", "value", "valid_from"), ["syn_id", "scheme", "value", "valid_from"], "left_anti"), clash
+def add_identifiers(current: DataFrame, staged: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows to append, and rows refused because another entity holds the value (blanks around it don't count).
+
+    A value of a scheme belongs to the entity that holds it openly, or else to that of its first
+    staged row by ``order`` (valid_from if not given), then by syn_id; staged rows of all others
+    are refused. Of what is left, an entity's first row for a scheme and start goes in, unless
+    the table has one; the others are repetitions.
+    """
+    staged = staged.withColumn("value", F.trim("value"))
+    place = F.struct(*(order or ["valid_from"]), "syn_id")
+    held = current.filter("valid_to is null").groupBy("scheme", F.trim("value").alias("value")).agg(F.sort_array(F.collect_set("syn_id")).alias("_stored"))  # a few, as a rule one
+    first = staged.groupBy("scheme", "value").agg(F.min_by("syn_id", place).alias("_first"))
+    rows = staged.join(first, ["scheme", "value"]).join(held, ["scheme", "value"], "left")
+    mine = F.when(F.col("_stored").isNull(), F.col("syn_id") == F.col("_first")).otherwise((F.size("_stored") == 1) & F.array_contains("_stored", F.col("syn_id")))
+    rows = rows.withColumn("_mine", mine)
+    key = ["syn_id", "scheme", "valid_from"]
+    fresh = rows.filter("_mine").join(current.select(*key), key, "left_anti")
+    one = fresh.groupBy(*key).agg(F.min_by(F.struct(*staged.columns), F.struct(*(order or ["valid_from"]), "value")).alias("_r"))
+    return one.select(*[F.col(f"_r.{c}").alias(c) for c in staged.columns]), rows.filter("not _mine").select(*staged.columns)
 
 
 def insert_missing(table: DataFrame, seed: DataFrame, keys: list[str]) -> DataFrame:
-    """Insert that leaves existing keys alone."""
-    return table.unionByName(seed.join(table.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    """Insert that leaves existing keys alone; of seed rows that share a key, the smallest by its other columns goes in."""
+    one = seed.groupBy(*keys).agg(F.min(F.struct(*[c for c in seed.columns if c not in keys] or keys)).alias("_r"))
+    fresh = one.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in seed.columns])
+    return table.unionByName(fresh.join(table.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
 def cascade_delete(child: DataFrame, column: str, gone: DataFrame, key: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,17 +30,43 @@ def _differs(old: tuple, new: tuple, exact: int) -> bool:
 
 
 def _kept(keys: list[str], exact: list[str], near: list[str]):
+    """Flags of sorted rows: whether each differs from the last kept one of its key.
+
+    Where a row is the very same as the one before, or differs by more than the tolerance, the
+    row before is enough; only keys with a drift inside the tolerance are gone through row by row.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, last = None, ()
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            flags = []
-            for new, row in zip(starts_of(batch, keys, before).tolist(), zip(*(batch.column(c).to_pylist() for c in [*exact, *near]))):
-                flags.append(new or _differs(last, row, len(exact)))
-                if flags[-1]:
-                    last = row
-            before = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+            new, changed = starts_of(batch, keys, before), starts_of(batch, exact, None)
+            drift = np.zeros(n, dtype=bool)
+            for c in near:
+                x, none = batch.column(c).to_numpy(zero_copy_only=False).astype(float), batch.column(c).is_null().to_numpy(zero_copy_only=False)
+                gap = np.abs(np.where(none, 0.0, x)[1:] - np.where(none, 0.0, x)[:-1])
+                changed[1:] |= (none[1:] != none[:-1]) | (gap > TOLERANCE)
+                drift[1:] |= (gap > 0) & (gap <= TOLERANCE)
+            flags = new | changed
+            drift &= ~new
+            drift[0] = not new[0]  # a key that goes on from the batch before is compared with what was kept there
+            starts = np.flatnonzero(new)
+            starts = starts if new[0] else np.concatenate([[0], starts])
+            ends = np.append(starts[1:], n)
+            value = lambda k: tuple(batch.column(c)[k].as_py() for c in [*exact, *near])  # noqa: B023, E731
+            for k in np.flatnonzero(np.add.reduceat(drift, starts)).tolist():
+                held = last
+                for i in range(int(starts[k]), int(ends[k])):
+                    row = value(i)
+                    flags[i] = new[i] or _differs(held, row, len(exact))
+                    held = row if flags[i] else held
+                if k == len(starts) - 1:
+                    last = held
+            if not drift[starts[-1] :].any():
+                last = value(int(np.flatnonzero(flags)[-1]))
+            before = tuple(batch.column(k)[n - 1].as_py() for k in keys)
             yield with_column(batch, "_keep", pa.array(flags, pa.bool_()))
 
     return run
@@ -57,17 +84,23 @@ def _flagged(rows: DataFrame, keys: list[str], exact: list[str], near: list[str]
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(_kept(keys, exact, near), schema)
 
 
-def merge(current: DataFrame | None, staged: DataFrame, keys: list[str], exact: list[str], near: list[str], order: list[str]) -> DataFrame:
+def merge(current: DataFrame | None, staged: DataFrame, keys: list[str], exact: list[str], near: list[str], order: list[str], carry: list[str] | None = None) -> DataFrame:
     """All versions after applying the staged rows in order, with ``action`` (kept, inserted or updated).
 
     Per key: a first row is inserted; a changed one closes the kept version at its own
     valid_from and is inserted (updated); one without change is dropped. A change is judged
     against the last kept version, so slow drift inside the tolerance adds up: where there is a
     tolerance, each key's rows are read as a sorted stream that holds one version. ``current``
-    holds stored versions (its open rows take part as the first kept version).
+    holds stored versions (its open rows take part as the first kept version). The columns
+    ``carry`` go along with their version without being compared; a table that lacks one has nulls there.
     """
-    fields = ["valid_from", *exact, *near]
+    more = [c for c in carry or [] if c not in {*keys, "valid_from", *exact, *near}]
+    fields = ["valid_from", *exact, *near, *more]
     steps = [f"_o{k}" for k in range(len(order))]
+    given = [*staged.schema, *(current.schema if current is not None else [])]
+    kinds = {f.name: f.dataType for f in reversed(given)}
+    full = lambda d: d.withColumns({c: F.lit(None).cast(kinds[c]) for c in more if c not in d.columns}) if more else d
+    staged, current = full(staged), current if current is None else full(current)
     rows = staged.select(*keys, *fields, F.lit(1).alias("_new"), *[F.col(c).alias(o) for c, o in zip(order, steps)])
     done = None
     if current is not None:
@@ -87,7 +120,7 @@ def merge_errors(current: DataFrame, staged: DataFrame, keys: list[str]) -> Data
     return staged.join(old, keys).filter("valid_from <= open_from")
 
 
-def merge_batch(current: DataFrame, staged: DataFrame, keys: list[str], exact: list[str], near: list[str], order: list[str], error: Column, most: int = 1000) -> tuple[DataFrame | None, DataFrame]:
+def merge_batch(current: DataFrame, staged: DataFrame, keys: list[str], exact: list[str], near: list[str], order: list[str], error: Column, most: int = 1000, carry: list[str] | None = None) -> tuple[DataFrame | None, DataFrame]:
     """An atomic batch of 1 to ``most`` staged rows: the new versions, or None and the rows at fault with their errors.
 
     ``error`` names what is wrong with a row's own values. A row that doesn't start after its
@@ -103,7 +136,7 @@ def merge_batch(current: DataFrame, staged: DataFrame, keys: list[str], exact: l
     errors = checked.withColumn("error", F.coalesce(error, late)).filter("error is not null").drop("_open", "_last")
     if errors.take(1):
         return None, errors
-    return merge(current, staged, keys, exact, near, order), errors
+    return merge(current, staged, keys, exact, near, order, carry), errors
 
 
 def close(current: DataFrame, keys: DataFrame, on: list[str], at: Column) -> DataFrame:

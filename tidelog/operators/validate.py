@@ -58,11 +58,12 @@ def type_rules(kind: str) -> list[Rule]:
 
 
 def event_error() -> Column:
-    """Header rules first, then those of the event's type; null if all are met."""
-    out = F.lit("unknown event type")
+    """Header rules first, then those of the event's type; null if all are met. A type that isn't known is the only error then."""
+    own = F.lit(None).cast("string")
     for kind, code in EVENT_TYPES.items():
-        out = F.when(F.col("event_type") == code, first_error(header_rules() + type_rules(kind))).otherwise(out)
-    return out
+        own = F.when(F.col("event_type") == code, first_error(type_rules(kind))).otherwise(own)
+    known = F.coalesce(F.col("event_type").isin(*EVENT_TYPES.values()), F.lit(False))
+    return F.when(~known, "unknown event type").otherwise(F.coalesce(first_error(header_rules()), own))
 
 
 def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -196,11 +196,12 @@ def _cascade_mentions(spark, sf_dir) -> DataFrame:
     return V.mentions(spark, sf_dir).unionByName(_ticker_mentions(spark, sf_dir))
 
 
-@query(f"""WITH {V.ENTITIES}, {V.IDENTIFIERS}, t AS (SELECT syn_id, upper(substr(value, 1, 3)) AS value FROM ids WHERE valid_to IS NULL), m AS (SELECT DISTINCT value AS text FROM t)
-SELECT DISTINCT m.text, en.syn_id, 1.0 AS confidence FROM m JOIN t ON t.value = m.text JOIN en ON en.syn_id = t.syn_id WHERE en.status = 'ACTIVE' AND regexp_matches(m.text, '^[A-Z]{{1,5}}(\\.[A-Z])?$')""")
+@query(f"""WITH {V.ENTITIES}, {V.IDENTIFIERS}, t AS (SELECT syn_id, upper(substr(value, 1, 3)) AS value FROM ids WHERE valid_to IS NULL), m AS (SELECT value AS text FROM t UNION SELECT '  ' || value || chr(9) || chr(160) FROM t)
+SELECT DISTINCT m.text, en.syn_id, 1.0 AS confidence FROM m JOIN t ON t.value = trim(m.text, ' ' || chr(9) || chr(160)) JOIN en ON en.syn_id = t.syn_id WHERE en.status = 'ACTIVE' AND regexp_matches(t.value, '^[A-Z]{{1,5}}(\\.[A-Z])?$')""")
 def link_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = V.identifiers(spark, sf_dir).withColumn("value", F.substring("value", 1, 3))
-    m = i.filter("valid_to is null").select(F.upper("value").alias("text")).distinct().withColumn("mention_id", F.col("text"))
+    held = F.upper("value")
+    m = i.filter("valid_to is null").select(F.explode(F.array(held, F.concat(F.lit("  "), held, F.lit("\t\u00a0")))).alias("text")).distinct().withColumn("mention_id", F.col("text"))
     return linker.ticker_candidates(m, i, V.entities(spark, sf_dir)).select(F.col("mention_id").alias("text"), "syn_id", "confidence")
 
 
@@ -324,15 +325,20 @@ def insert_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {V.IDENTIFIERS}, o AS (SELECT * FROM ids WHERE valid_to IS NULL), n AS (SELECT 'CO_' || lpad(CAST(c_custkey AS VARCHAR), 26, '0') AS syn_id, CASE WHEN c_custkey % 3 = 1 THEN 'NICK' ELSE 'TICKER' END AS scheme, 'X' || (c_custkey - c_custkey % 2) AS value, c_custkey AS k FROM customer)
-SELECT syn_id, scheme, value, CASE WHEN k % 3 = 1 THEN 'unknown scheme' WHEN EXISTS (SELECT 1 FROM o WHERE o.scheme = n.scheme AND o.value = n.value AND o.syn_id <> n.syn_id) THEN 'another entity holds the value' END AS error FROM n""")
+SELECT syn_id, scheme, value, CASE WHEN k % 3 = 1 THEN 'unknown scheme' WHEN EXISTS (SELECT 1 FROM o WHERE o.scheme = n.scheme AND o.value = n.value AND o.syn_id <> n.syn_id) THEN 'another entity holds the value'
+  WHEN NOT EXISTS (SELECT 1 FROM o WHERE o.scheme = n.scheme AND o.value = n.value) AND EXISTS (SELECT 1 FROM n x WHERE x.k % 3 <> 1 AND x.scheme = n.scheme AND x.value = n.value AND x.syn_id < n.syn_id) THEN 'another entity holds the value' END AS error FROM n
+  UNION ALL SELECT syn_id, scheme, value, 'another entity holds the value' FROM n WHERE k % 3 <> 1 AND k % 5 = 0 AND (EXISTS (SELECT 1 FROM o WHERE o.scheme = n.scheme AND o.value = n.value AND o.syn_id <> n.syn_id)
+    OR EXISTS (SELECT 1 FROM n x WHERE x.k % 3 <> 1 AND x.scheme = n.scheme AND x.value = n.value AND x.syn_id < n.syn_id))
+  UNION ALL SELECT syn_id, scheme, value, 'unknown scheme' FROM n WHERE k % 3 = 1 AND k % 5 = 0""")
 def insert_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New identifiers of all customers: which go in, and why the others don't."""
+    """New identifiers of all customers, two of whom ask for each value and some of whom ask twice: which go in, and why the others don't."""
     k = F.col("c_custkey")
     new = V.table(spark, sf_dir, "customer").select(idf.make_id("CO", k).alias("syn_id"), F.when(k % 3 == 1, "NICK").otherwise("TICKER").alias("scheme"), F.concat(F.lit("X"), k - k % 2).alias("value"), F.lit("2030-01-01").cast("timestamp_ntz").alias("valid_from"))
+    new = new.unionByName(new.filter(F.substring("syn_id", -1, 1).isin("0", "5")).withColumn("value", F.concat(F.lit(" "), "value", F.lit(" "))))
     i = V.identifiers(spark, sf_dir)
     table, bad = store.insert_identifiers(i, new)
     fresh = table.filter("valid_from = timestamp_ntz'2030-01-01'").select("syn_id", "scheme", "value", F.lit(None).cast("string").alias("error"))
-    return fresh.unionByName(bad.select("syn_id", "scheme", "value", "error"))
+    return fresh.unionByName(bad.select("syn_id", "scheme", F.trim("value").alias("value"), "error"))
 
 
 @query(f"""WITH e AS (SELECT s_suppkey AS k, {_GOOD.format(p="OR", k="s_suppkey", n=26)} AS src_syn_id, CASE WHEN s_suppkey % 6 = 1 THEN 'XX_1' WHEN s_suppkey % 6 = 2 THEN {_GOOD.format(p="OR", k="s_suppkey", n=26)} ELSE {_GOOD.format(p="CM", k="s_suppkey", n=26)} END AS dst_syn_id FROM supplier)
@@ -478,12 +484,30 @@ def check_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.check_violations(e).select("src_syn_id", "dst_syn_id", "violation")
 
 
-@query("SELECT r_name AS name, CASE WHEN r_regionkey % 2 = 0 THEN 'old' ELSE 'new' END AS origin FROM region")
+@query("""SELECT p_name AS name, 'old' AS origin FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_name, min('new' || p_size) FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 2 = 0) GROUP BY p_name""")
 def seed_insert_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions seeded into a table that has half of them: known ones are left alone."""
-    r = V.table(spark, sf_dir, "region")
-    have = r.filter("r_regionkey % 2 = 0").select(F.col("r_name").alias("name"), F.lit("old").alias("origin"))
-    return registry.insert_missing(have, r.select(F.col("r_name").alias("name"), F.lit("new").alias("origin")), ["name"])
+    """Part names, many of them repeated, seeded into a table that has some: known ones are left alone, and each new one goes in once."""
+    p = V.table(spark, sf_dir, "part")
+    have = p.filter("p_partkey % 2 = 0").select(F.col("p_name").alias("name"), F.lit("old").alias("origin"))
+    return registry.insert_missing(have, p.select(F.col("p_name").alias("name"), F.concat(F.lit("new"), "p_size").alias("origin")), ["name"])
+
+
+@query("""WITH RECURSIVE d AS (SELECT l_suppkey AS s, l_partkey % 20 AS p, l_shipdate AS t, min(l_returnflag) AS flag, min(l_linestatus) AS st, min(l_discount) * 0.3 AS c FROM lineitem GROUP BY 1, 2, 3),
+n AS (SELECT *, row_number() OVER (PARTITION BY s, p ORDER BY t) AS i FROM d),
+f AS (SELECT s, p, t, flag, st, c, i, true AS keep, flag AS lf, st AS ls, c AS lc FROM n WHERE i = 1
+  UNION ALL SELECT n.s, n.p, n.t, n.flag, n.st, n.c, n.i, n.flag <> lf OR n.st <> ls OR abs(n.c - lc) > 0.01, CASE WHEN n.flag <> lf OR n.st <> ls OR abs(n.c - lc) > 0.01 THEN n.flag ELSE lf END,
+    CASE WHEN n.flag <> lf OR n.st <> ls OR abs(n.c - lc) > 0.01 THEN n.st ELSE ls END, CASE WHEN n.flag <> lf OR n.st <> ls OR abs(n.c - lc) > 0.01 THEN n.c ELSE lc END FROM f JOIN n ON n.s = f.s AND n.p = f.p AND n.i = f.i + 1)
+SELECT s AS supplier, p AS part, '{"flag":"' || flag || '"}' AS attrs, st AS evidence, round(c, 6) AS confidence, CAST(t AS TIMESTAMP) AS valid_from, CAST(t AS TIMESTAMP) + INTERVAL 1 DAY AS observed_at,
+  CAST(lead(t) OVER (PARTITION BY s, p ORDER BY t) AS TIMESTAMP) AS valid_to FROM f WHERE keep""")
+def edge_upsert_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge versions by attrs, evidence and a drifting confidence, with when they were observed; half are stored first, the rest is merged into them."""
+    li = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier"), (F.col("l_partkey") % 20).alias("part"), F.col("l_shipdate").alias("valid_from"))
+    day = li.agg(F.format_string('{ "flag" : "%s" }', F.min("l_returnflag")).alias("attrs"), F.min("l_linestatus").alias("evidence"), (F.min("l_discount") * 0.3).alias("confidence"))
+    day = day.withColumns({"attrs": store.no_empty_json(F.col("attrs")), "observed_at": F.col("valid_from") + F.expr("interval 1 day")})
+    cut, args = F.lit("1997-01-01").cast("timestamp_ntz"), (["supplier", "part"], ["attrs", "evidence"], ["confidence"], ["valid_from"], ["observed_at"])
+    stored = scd2.merge(None, day.filter(F.col("valid_from") < cut), *args)
+    return scd2.merge(stored, day.filter(F.col("valid_from") >= cut), *args).drop("action").withColumn("confidence", F.round("confidence", 6))
 
 
 @query("SELECT 'COMPANY' AS type, count(*) AS n FROM customer UNION ALL SELECT 'COMMODITY', count(*) FROM part UNION ALL SELECT 'ORG', count(*) FROM supplier UNION ALL SELECT 'SECTOR', count(*) FROM nation UNION ALL SELECT 'THEME', count(*) FROM region")

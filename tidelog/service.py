@@ -18,6 +18,25 @@ EDGE_KEY, ATTRIBUTE_KEY = ["src_syn_id", "dst_syn_id", "rel_type"], ["syn_id", "
 ATTRIBUTE_VALUES = ["datatype", "value_string", "value_number", "value_json", "source"]
 
 
+EDGE_VALUES = ["attrs", "source", "evidence"]
+
+
+def _edges(rows: DataFrame) -> DataFrame:
+    """Edges with all that a version is made of."""
+    text, time = F.lit(None).cast("string"), F.lit(None).cast("timestamp_ntz")
+    for c, empty in (("attrs", text), ("source", text), ("evidence", text), ("confidence", F.lit(1.0)), ("observed_at", time), ("valid_from", time), ("valid_to", time)):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, empty)
+    seen = F.coalesce("observed_at", F.current_timestamp().cast("timestamp_ntz"))
+    return rows.withColumns({"attrs": store.no_empty_json(F.col("attrs")), "observed_at": seen, "valid_from": F.coalesce("valid_from", "observed_at", seen)})
+
+
+def _others(keys: list[str], values: list[str], *tables: DataFrame) -> list[str]:
+    """The columns of a version that are neither compared nor part of its validity."""
+    known = {*keys, *values, "confidence", "valid_from", "valid_to"}
+    return list(dict.fromkeys(["observed_at"] * ("rel_type" in keys) + [c for t in tables for c in t.columns if c not in known]))
+
+
 @dataclass(frozen=True)
 class Registry:
     entities: DataFrame
@@ -56,8 +75,13 @@ class Registry:
         return replace(self, aliases=table), bad
 
     def add_edges(self, staged: DataFrame) -> tuple[Registry, DataFrame]:
-        """An atomic batch of 1 to 1000 edges (with valid_from): all are applied, or none."""
-        table, bad = scd2.merge_batch(self.edges, staged, EDGE_KEY, ["source"], ["confidence"], ["valid_from"], store.edge_error())
+        """An atomic batch of 1 to 1000 edges: all are applied, or none.
+
+        A version changes by attrs (as JSON values; an empty object counts as missing), source,
+        evidence or a confidence that drifts by over 0.01; it carries all other columns. A
+        missing valid_from is observed_at, and a missing observed_at is now.
+        """
+        table, bad = scd2.merge_batch(_edges(self.edges), _edges(staged), EDGE_KEY, EDGE_VALUES, ["confidence"], ["valid_from"], store.edge_error(), carry=_others(EDGE_KEY, EDGE_VALUES, self.edges, staged))
         return (self if table is None else replace(self, edges=table.drop("action"))), bad
 
     def close_edges(self, keys: DataFrame, at: Column) -> Registry:
@@ -69,7 +93,8 @@ class Registry:
         table, bad = scd2.merge_batch(tidy(self.attributes), staged, ATTRIBUTE_KEY, ATTRIBUTE_VALUES, ["confidence"], ["valid_from"], store.attribute_error())
         if table is None:
             return self, bad
-        table, _ = scd2.merge_batch(tidy(self.attributes), tidy(staged), ATTRIBUTE_KEY, ATTRIBUTE_VALUES, ["confidence"], ["valid_from"], F.lit(None).cast("string"))
+        carry = _others(ATTRIBUTE_KEY, ATTRIBUTE_VALUES, self.attributes, staged)
+        table = scd2.merge(tidy(self.attributes), tidy(staged), ATTRIBUTE_KEY, ATTRIBUTE_VALUES, ["confidence"], ["valid_from"], carry)
         return replace(self, attributes=table.drop("action")), bad
 
     def link(self, mentions: DataFrame, kind: str | None = None) -> tuple[DataFrame, DataFrame]:

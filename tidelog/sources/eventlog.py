@@ -47,8 +47,7 @@ def check(events: DataFrame, arrival: list[str], file: tuple[str, ...] = LAYOUT)
     As in a writer's append, events that fail validation don't take part in the order check.
     """
     rows = events.withColumns({"event_date": utc_date("ts_event_ns"), "error": event_error()})
-    good = order_errors(rows.filter("error is null").drop("error"), arrival, list(file))
-    return good.withColumnRenamed("order_error", "error").unionByName(rows.filter("error is not null"))
+    return order_errors(rows, arrival, list(file), "error")
 
 
 def write_log(

@@ -53,7 +53,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
     return reader.load()
 
 
-CASES = "test_cases array<struct<id:string,text:string,expected_syn_id:string,expected_name:string,expected_type:string,expected_confidence:double,category:string>>"
+CASES = "test_cases array<struct<id:string,text:string,expected_syn_id:string,expected_name:string,expected_type:string,expected_confidence:double,expected_confidence_min:double,expected_confidence_max:double,category:string>>"
 
 
 def read_gold_set(spark: SparkSession, path: str) -> DataFrame:
