@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slices import neighbour
+
 
 def latest_sum(samples: DataFrame, at: int, tie: str) -> DataFrame:
     """Sum over series of the last sample up to ``at``."""
@@ -17,10 +19,34 @@ def latest_sum(samples: DataFrame, at: int, tie: str) -> DataFrame:
     return last.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
 
 
+#: Seconds of the slices that a series is cut into, so that no task holds a whole one.
+SLICE = 21_600
+
+
 def steps(samples: DataFrame, keys: list[str], tie: str) -> DataFrame:
     """Each sample's growth over the one before; a drop counts as a restart from 0."""
-    old = F.lag("value").over(Window.partitionBy(*keys).orderBy("at", tie))
-    return samples.withColumn("step", F.when(old.isNull(), None).when(F.col("value") < old, F.col("value")).otherwise(F.col("value") - old))
+    old = F.col("_old")
+    rows = neighbour(samples, keys, list(dict.fromkeys(["at", tie])), "value", "_old", SLICE)
+    return rows.withColumn("step", F.when(old.isNull(), None).when(F.col("value") < old, F.col("value")).otherwise(F.col("value") - old)).drop("_old")
+
+
+def growth(samples: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """keys, slice, first, last, growth, resets: a counter's mergeable state in each slice of time, by ``merged_growth``."""
+    inner = Window.partitionBy(*keys, "slice").orderBy("at", tie)
+    rows = samples.withColumn("slice", F.floor(F.col("at") / SLICE).cast("long"))
+    old = F.lag("value").over(inner)
+    rows = rows.withColumns({"_reset": old.isNotNull() & (F.col("value") < old), "_step": F.when(old.isNull(), 0.0).when(F.col("value") < old, F.col("value")).otherwise(F.col("value") - old)})
+    place = F.struct("at", tie)
+    return rows.groupBy(*keys, "slice").agg(F.min_by("value", place).alias("first"), F.max_by("value", place).alias("last"), F.sum("_step").alias("growth"), F.count_if("_reset").alias("resets"))
+
+
+def merged_growth(states: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, growth, resets over all slices: between two slices a counter grows from the last value of one to the first of the next, or restarts."""
+    w = Window.partitionBy(*keys).orderBy("slice")  # one row a slice
+    old = F.lag("last").over(w)
+    seam = F.when(old.isNull(), 0.0).when(F.col("first") < old, F.col("first")).otherwise(F.col("first") - old)
+    rows = states.withColumns({"_seam": seam, "_reset": F.coalesce(F.col("first") < old, F.lit(False))})
+    return rows.groupBy(*keys).agg((F.sum("growth") + F.sum("_seam")).alias("growth"), (F.sum("resets") + F.count_if("_reset")).alias("resets"))
 
 
 def rates(samples: DataFrame, keys: list[str], tie: str, at: int, window: int) -> DataFrame:
@@ -101,8 +127,8 @@ def label(name: str) -> Column:
 
 def latest_grid(samples: DataFrame, keys: list[str], tie: str, start: int, end: int, step: int) -> DataFrame:
     """Each series' last sample at start, start + step ... end: a sample counts until the next one of its series."""
-    after = F.lead("at").over(Window.partitionBy(*keys).orderBy("at", tie))
-    rows = samples.filter(F.col("at") <= end).withColumn("_until", F.coalesce(after, F.lit(end + 1)))
+    rows = neighbour(samples.filter(F.col("at") <= end), keys, list(dict.fromkeys(["at", tie])), "at", "_after", SLICE, back=False)
+    rows = rows.withColumn("_until", F.coalesce("_after", F.lit(end + 1)))
     first = F.greatest(F.lit(0), F.ceil((F.col("at") - start) / step)).cast("long")
     last = F.least(F.lit((end - start) // step), F.ceil((F.col("_until") - start) / step) - 1).cast("long")
     grid = rows.filter(first <= last).withColumn("point", F.explode(F.sequence(first, last)))

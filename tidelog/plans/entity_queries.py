@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids as idf
+from .. import catalog
 from ..operators import linker, registry, scd2, store
 from . import query
 from . import views as V
@@ -529,3 +530,39 @@ def request_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     rows = V.table(spark, sf_dir, "part").select(k, F.when(k % 8 == 1, "").when(k % 8 == 5, F.repeat(F.lit("x"), 501)).otherwise(F.col("p_name")).alias("alias"), F.when(k % 4 == 2, F.repeat(F.lit("e"), 11)).otherwise(F.lit("en")).alias("lang"))
     return rows.select("p_partkey", store.length_error(["alias", "lang"]).alias("error"))
+
+
+_B32 = "substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST(({x} >> {k}) & 31 AS INTEGER) + 1, 1)"
+_MS = " || ".join(_B32.format(x="ms", k=5 * k) for k in range(9, -1, -1))
+_NOISE = " || ".join(_B32.format(x=f"CAST('0x' || substr(h, {5 * p + 1}, 5) AS BIGINT)", k=5 * k) for p in range(4) for k in range(3, -1, -1))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderdate, epoch_ms(o_orderdate) AS ms, sha256(o_custkey || chr(31) || o_orderkey) AS h FROM orders),
+i AS (SELECT o_orderkey, o_orderdate AS made_at, 'SE_' || {_MS} || {_NOISE} AS syn_id FROM o) SELECT o_orderkey, syn_id, made_at, row_number() OVER (ORDER BY syn_id) = rank() OVER (ORDER BY made_at) + count(*) OVER (PARTITION BY made_at ORDER BY syn_id) - 1 AS in_order FROM i""")
+def sortable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An id for each order from its date and keys, the time read back from it, and whether its place among a day's ids follows that time."""
+    o = V.table(spark, sf_dir, "orders")
+    rows = o.select("o_orderkey", "o_orderdate", idf.sortable_id("SE", F.col("o_orderdate"), F.col("o_custkey"), F.col("o_orderkey")).alias("syn_id"))
+    made = idf.id_time(F.col("syn_id")).cast("timestamp_ntz")
+    days = rows.groupBy("o_orderdate").agg(F.min("syn_id").alias("low"), F.max("syn_id").alias("high"))
+    before = days.withColumn("_last", F.lag("high").over(Window.partitionBy(F.lit(0)).orderBy("o_orderdate")))  # one row a day
+    checked = rows.join(before, "o_orderdate")
+    return checked.select("o_orderkey", "syn_id", made.alias("made_at"), F.coalesce(F.col("syn_id") > F.col("_last"), F.lit(True)).alias("in_order"))
+
+
+@query(f"""WITH {V.ENTITIES}, {V.IDENTIFIERS}, {V.ATTRIBUTES}, {V.EDGES}
+SELECT en.syn_id, 'identifier' AS kind, scheme AS name, value FROM en JOIN ids USING (syn_id) WHERE ids.valid_to IS NULL AND en.type = 'COMPANY'
+UNION ALL SELECT en.syn_id, 'attribute', key, coalesce(value_string, value_json, CAST(CAST(round(value_number * 100) AS BIGINT) AS VARCHAR)) FROM en JOIN att USING (syn_id) WHERE att.valid_to IS NULL AND en.type = 'COMPANY'
+UNION ALL SELECT en.syn_id, 'edge out', rel_type, dst_syn_id FROM en JOIN ed ON src_syn_id = en.syn_id WHERE ed.valid_to IS NULL AND en.type IN ('COMPANY', 'SECTOR')
+UNION ALL SELECT en.syn_id, 'edge both', rel_type, CASE WHEN src_syn_id = en.syn_id THEN dst_syn_id ELSE src_syn_id END FROM en JOIN ed ON src_syn_id = en.syn_id OR dst_syn_id = en.syn_id WHERE ed.valid_to IS NULL AND en.type = 'SECTOR' AND rel_type = 'BELONGS_TO'
+UNION ALL SELECT 'all', 'stats', 'active_edges', CAST((SELECT count(*) FROM ed WHERE valid_to IS NULL) AS VARCHAR)""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry asked in SQL alone: three functions that return tables, in LATERAL joins, and the view of its counts."""
+    edges = V.edges(spark, sf_dir).withColumns({"attrs": F.lit(None).cast("string"), "source": F.lit("driver")})
+    catalog.register(spark, V.entities(spark, sf_dir), V.identifiers(spark, sf_dir), V.aliases(spark, sf_dir), V.attributes(spark, sf_dir).withColumn("observed_at", F.col("valid_from")), edges, V.quarantine(spark, sf_dir))
+    return spark.sql("""
+      SELECT e.syn_id, 'identifier' AS kind, f.scheme AS name, f.value FROM entity_registry e, LATERAL active_identifiers(e.syn_id) f WHERE e.type = 'COMPANY'
+      UNION ALL SELECT e.syn_id, 'attribute', f.key, coalesce(f.value_string, f.value_json, cast(cast(round(f.value_number * 100) AS bigint) AS string)) FROM entity_registry e, LATERAL active_attributes(e.syn_id) f WHERE e.type = 'COMPANY'
+      UNION ALL SELECT e.syn_id, 'edge out', f.rel_type, f.dst_syn_id FROM entity_registry e, LATERAL active_edges(e.syn_id) f WHERE e.type IN ('COMPANY', 'SECTOR')
+      UNION ALL SELECT e.syn_id, 'edge both', f.rel_type, CASE WHEN f.src_syn_id = e.syn_id THEN f.dst_syn_id ELSE f.src_syn_id END FROM entity_registry e, LATERAL active_edges(e.syn_id, 'both', 'BELONGS_TO') f WHERE e.type = 'SECTOR'
+      UNION ALL SELECT 'all', 'stats', 'active_edges', cast(active_edges AS string) FROM ontology_stats""")

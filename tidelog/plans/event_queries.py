@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..operators import ordering, validate
+from ..operators import ordering, slices, validate
 from ..sources import eventlog
 from ..streaming import ingest
 from . import query
@@ -247,6 +247,27 @@ def aggressor_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("aggressor").agg(F.count(F.lit(1)).alias("n"))
 
 
+_HOUR = 3_600_000_000_000
+
+
+@query(f"""WITH q AS (SELECT user_id % 20 AS sym, (epoch_us(ts) // 3600000000) * {_HOUR} AS t, value * 0.99 AS bid, value * 1.01 AS ask, event_id FROM events WHERE event_type <> 'view' AND day(ts) > 3),
+u AS (SELECT sym, t, max_by(bid, event_id) AS bid, max_by(ask, event_id) AS ask FROM q GROUP BY 1, 2),
+t AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_partkey % 20 AS sym, 1704067200000000000 + (l_orderkey % 720) * {_HOUR} AS t, l_quantity AS price FROM lineitem),
+j AS (SELECT t.*, u.bid, u.ask FROM t ASOF LEFT JOIN u ON t.sym = u.sym AND t.t >= u.t)
+SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(bid, 6) AS bid, round(ask, 6) AS ask, CAST(CASE WHEN bid IS NULL OR bid = 0 OR ask = 0 OR bid >= ask THEN 2 WHEN price >= ask THEN 0 WHEN price <= bid THEN 1
+  WHEN price > (bid + ask) / 2 + greatest((ask - bid) * 0.1, price * 0.0001) THEN 0 WHEN price < (bid + ask) / 2 - greatest((ask - bid) * 0.1, price * 0.0001) THEN 1 ELSE 2 END AS BIGINT) AS aggressor FROM j""")
+def prevailing_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades with the quote that held at their time and the aggressor it implies; hourly times, so many tie, and trades before any quote."""
+    e = V.table(spark, sf_dir, "events").filter("event_type <> 'view' and day(ts) > 3")
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000) * _HOUR
+    quotes = e.select((F.col("user_id") % 20).alias("sym"), hour.alias("t"), (F.col("value") * 0.99).alias("bid"), (F.col("value") * 1.01).alias("ask"), "event_id")
+    li = V.table(spark, sf_dir, "lineitem")
+    trades = li.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", (F.col("l_partkey") % 20).alias("sym"), (F.lit(1_704_067_200 * clock.NS) + (F.col("l_orderkey") % 720) * _HOUR).alias("t"), F.col("l_quantity").alias("price"))
+    rows = slices.prevailing(trades, quotes, ["sym"], "t", ["bid", "ask"], ["event_id"], 24 * _HOUR)
+    side = ingest.infer_aggressor(F.col("price"), F.col("bid"), F.col("ask")).cast("long")
+    return rows.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.round("bid", 6).alias("bid"), F.round("ask", 6).alias("ask"), side.alias("aggressor"))
+
+
 @query(f"WITH {V.EVENTS} SELECT CAST(kind AS BIGINT) AS event_type, count(*) AS n, min(k / 2) AS low, max(k / 2) AS high FROM ev WHERE k / 2 > 0 AND k / 2 < 60 GROUP BY kind")
 def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latencies of half a second per unit of props.k; what isn't in (0, 60) is left out."""

@@ -37,6 +37,13 @@ def rate_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rates(spark, sf_dir).select("series", F.round("rate", 9).alias("rate"))
 
 
+@query(f"WITH {V.SAMPLES}, {_STEP} SELECT series, round(coalesce(sum(step), 0), 6) AS growth, count(*) FILTER (WHERE value < p) AS resets FROM st GROUP BY series")
+def counter_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth and restarts of every counter over all its samples, merged from states of six hours."""
+    states = metrics.growth(V.samples(spark, sf_dir), ["series"], "event_id")
+    return metrics.merged_growth(states, ["series"]).withColumn("growth", F.round("growth", 6))
+
+
 EDGES = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, float("inf")]
 
 
