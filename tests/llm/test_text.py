@@ -346,6 +346,77 @@ def test_extract_marks_that_hold():
         assert html_extract.extract(f"<body><article>{BODY}</article>{away}</body>") == BODY_TEXT
 
 
+AWAY = ["user-comments", "comment-thread", "post-comments", "disqus_thread", "discussion", "ad-slot", "google-ad", "advert-300x250", "share-buttons", "related-posts", "nav-links", "cookie-message", "comments", "ad-container", "readerComments", "comment-list__item"]
+PROSE = "<p>I disagree, strongly, with all of this, and here is a long reason why.</p>"
+
+
+@pytest.mark.parametrize("name", AWAY)
+@pytest.mark.parametrize("text", ["<p>Nice, thanks.</p>", PROSE, PROSE * 2, "plain"])
+def test_extract_marked_parts_go(name, text):
+    """Comments, adverts and the like go inside and outside an article, whatever their length; nothing of the article does."""
+    part = f"<div class='{name}'>{text}</div>"
+    for page in (f"<article>{BODY}{part}</article>", f"<article>{BODY}</article>{part}", f"<main><article>{part}{BODY}</article></main>", f"<main>{part}<article>{BODY}</article></main>", f"<div class='post'>{BODY}{PROSE * 3}</div>{part}"):
+        assert html_extract.extract(f"<body>{page}</body>") == BODY_TEXT + ("\n" + PROSE[3:-4]) * 3 * ("post'>" in page)
+
+
+def test_extract_doubts():
+    """A class with a word that may mean something else is settled by links and ratios; dated records without any class are comments."""
+    prose, links = PROSE * 3, "<a href=x>One of many</a> <a href=y>Two of them</a>"
+    kept = BODY_TEXT + ("\n" + PROSE[3:-4]) * 3
+    for name in ("market-share-table", "cookie-recipe", "ad-hoc-analysis", "social-history", "has-comments", "no-sidebar"):
+        assert html_extract.extract(f"<body><article>{BODY}<div class='{name}'>{prose}</div></article></body>") == kept
+    for name in ("share-this-page", "related-by-topic", "popular-tags-menu"):
+        assert html_extract.extract(f"<body><article>{BODY}<div class='{name}'>{links}</div></article></body>") == BODY_TEXT
+    assert html_extract.extract(f"<body><article>{BODY}<section id='discussion'>{prose}</section></article></body>") == kept
+    record = "<div><b class='author'>Ann</b> <time>3 May</time><p>I disagree, for one, and say so.</p></div>"
+    assert html_extract.extract(f"<body><article>{BODY}{prose}</article><div>{record * 4}</div></body>") == kept
+    assert html_extract.extract(f"<body><div>{BODY}{prose * 4}</div><div>{record * 3}</div></body>").endswith(PROSE[3:-4])
+    assert "I disagree, for one" in html_extract.extract(f"<body><article>{BODY}{record * 4}</article></body>")
+
+
+def brute_selected(page):
+    """Selected texts by path ratios, from another parser and plain sums."""
+    from html.parser import HTMLParser
+
+    found = []
+
+    class Walk(HTMLParser):
+        stack: list = []
+
+        def handle_starttag(self, tag, attrs):
+            self.stack = [*self.stack, tag]
+
+        def handle_endtag(self, tag):
+            self.stack = self.stack[:-1]
+
+        def handle_data(self, data):
+            if data.strip():
+                found.append((tuple(self.stack), " ".join(data.split())))
+
+    Walk().feed(page)
+    n = len(found)
+    ratio = lambda f: [sum(f(t) for p, t in found if p == q) / sum(p == q for p, _ in found) for q, _ in found]
+
+    def smooth(x):
+        w = lambda i, j: math.exp(-((i - j) ** 2) / 2) * (abs(i - j) <= 2)
+        return [sum(w(i, j) * x[j] for j in range(n)) / sum(w(i, j) for j in range(n)) for i in range(n)]
+
+    fused = [a * (1 + b) for a, b in zip(smooth(ratio(len)), smooth(ratio(lambda t: sum(c in ".,;:!?。，、؛؟…" for c in t))))]
+    mean = sum(fused) / n
+    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / n)
+    return [(t, x >= (min(mean, 0.8 * spread) if spread else mean)) for (_, t), x in zip(found, fused)]
+
+
+def test_extract_ratios_by_brute_force():
+    rng = random.Random(4)
+    for _ in range(60):
+        part = lambda: rng.choice(["<div><span>{}</span></div>", "<div>{}</div>", "<section><b>{}</b><i>x</i></section>", "<div><div><em>{}</em></div></div>"]).format(rng.choice(["Home", "A sentence, of some length, with marks. " * rng.randint(1, 6), "a b c"]))
+        page = "<html><body>" + "".join(part() for _ in range(rng.randint(1, 25))) + "</body></html>"
+        _, nodes = html_extract.parse(page)
+        texts = [(node, " ".join(t.split())) for node, t in nodes if t and t.strip()]
+        assert list(zip((t for _, t in texts), html_extract.content_nodes(texts))) == brute_selected(page)
+
+
 @pytest.mark.parametrize(
     ("inside", "want"),
     [

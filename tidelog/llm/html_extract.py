@@ -49,12 +49,20 @@ AWAY = frozenset("nav aside form footer head script style noscript noembed nofra
 #: Marked tags that also just wrap a page or its article, as a form does in ASP.NET.
 WRAPS = frozenset("form fieldset label object canvas audio video".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-#: Words that mark an element as something other than the article, if a class or id consists of them (and PLACES) alone.
+#: Words that mark an element as something other than the article. A class or id that consists of them and of words that say
+#: nothing by themselves (PLACES, COMPANIONS) is a hint; with any other word it is a doubt, which the page's structure and ratios settle.
 AWAY_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs "
     "sidebar aside rail footer masthead topbar toolbar comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert "
-    "popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget widgets form".split()
+    "popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget widgets form discussion discussions".split()
 )
+#: Words that are a hint beside any other.
+STRONG_WORDS = frozenset("comment comments commentlist disqus advert adverts advertisement advertising adsense".split())
+COMPANIONS = frozenset("user users reader readers guest thread threads post posts slot unit google button buttons icon icons link links message messages count item items story stories more your our".split())
+#: With these, a class says what else a page has.
+ABOUT = frozenset("with without has no".split())
+#: Classes that a comment's date or author has.
+_RECORD_SIGN = re.compile(r"\b(?:author|byline|date|datetime|timestamp|posted|avatar|username|user-?name|permalink)\b", re.I)
 PLACES = frozenset("site page main primary secondary top bottom left right area list container wrapper wrap box block section bar header".split())
 NEVER_AWAY = frozenset(("html", "body", "article", "main"))
 #: Tags that don't end an open <head>.
@@ -74,7 +82,7 @@ _FAMILIES = WALLS | {"p"} | {t for ends, bars in CLOSES.values() for t in f"{end
 class Node:
     """An element. What it takes from those around it is found once, so that a page takes time in proportion to its length at any depth."""
 
-    __slots__ = ("away", "depth", "firm_above", "foreign", "held", "in_main", "main", "mark", "near", "parent", "path", "tag", "under_main", "whole")
+    __slots__ = ("away", "depth", "firm_above", "foreign", "held", "in_link", "in_main", "linked", "main", "mark", "near", "parent", "path", "picked", "records", "signed", "tag", "under_main", "whole")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str, paths: dict[tuple[int, str], int]) -> None:
         self.tag, self.parent, self.away = tag, parent, False
@@ -88,26 +96,34 @@ class Node:
         self.near = self if tag in _FAMILIES else parent and parent.near
         #: The <svg> or <math> whose syntax holds in this element.
         self.foreign = self if tag in FOREIGN else None if parent is None or tag in HTML_IN_FOREIGN else parent.foreign
-        self.main = tag == "main" or tag == "article" and not _hinted(tag, attrs)
+        self.main = tag == "main" or tag == "article" and _hinted(tag, attrs) != "hint"
         #: Whether an element that is main, or firmly marked, is around or is this one.
         self.under_main = parent is not None and parent.under_main or self.main
         self.firm_above = parent is not None and parent.firm_above or self.mark == "firm"
         self.held, self.whole = 0, False
+        #: Whether it is, or is in, a link; text in links and text that the ratios select in it; whether it has a date or an author, and how many children of each tag do.
+        self.in_link = tag == "a" or parent is not None and parent.in_link
+        self.linked = self.picked = 0
+        self.signed = tag == "time" or _RECORD_SIGN.search(attrs) is not None
+        self.records: Counter[str] | None = None
 
 
 def _values(attrs: str) -> list[tuple[str, str]]:
     return [(name.lower(), html.unescape(a or b or c)) for name, a, b, c in _ATTR.findall(attrs)] if attrs.strip() else []
 
 
-def _hinted(tag: str, attrs: str) -> bool:
-    """Whether a whole class or id names something other than an article. Ids of headings are made of their text."""
+def _hinted(tag: str, attrs: str) -> str:
+    """Whether a class or id names something other than an article ("hint"), or may do so ("doubt"). Ids of headings are made of their text, and those of sections may be."""
+    found = ""
     for name, value in _values(attrs):
         if name == "class" or name == "id" and tag not in HEADINGS:
             for token in value.split():
-                words = {w.lower() for w in _WORDS.findall(token)}
-                if words & AWAY_WORDS and words <= AWAY_WORDS | PLACES:
-                    return True
-    return False
+                words = {w.lower() for w in _WORDS.findall(token) if len(w) > 1}
+                away = set() if words & ABOUT else words & AWAY_WORDS
+                if away & STRONG_WORDS or away and words <= AWAY_WORDS | PLACES | COMPANIONS and not (name == "id" and tag == "section"):
+                    return "hint"
+                found = "doubt" if away else found
+    return found
 
 
 def _mark(tag: str, attrs: str, parent: Node) -> str:
@@ -123,7 +139,7 @@ def _mark(tag: str, attrs: str, parent: Node) -> str:
             return "firm"
         if name == "role" and value.lower() in AWAY_ROLES:
             return "wraps" if value.lower() == "form" else "firm"
-    return "wraps" if tag in WRAPS else "hint" if _hinted(tag, attrs) else ""
+    return "wraps" if tag in WRAPS else _hinted(tag, attrs)
 
 
 def _up(node: Node | None) -> Iterator[Node]:
@@ -251,6 +267,36 @@ def content_nodes(texts: list[tuple[Node, str]]) -> list[bool]:
     return [x >= least for x in fused]
 
 
+def find_records(elements: list[Node]) -> None:
+    """Marks elements, in no <article> or <main> and not yet marked, that hold three or more like records with a date or an author each, as reader comments are."""
+    for n in reversed(elements):
+        up = n.parent
+        if up is not None and n.signed:
+            up.signed = True
+            if n.tag in ("div", "section") and n.held:
+                up.records = up.records or Counter()
+                up.records[n.tag] += 1
+    for n in elements:
+        if not n.mark and not n.in_main and n.tag not in NEVER_AWAY and n.records and max(n.records.values()) >= 3:
+            n.mark = "hint"
+
+
+def settle_doubts(elements: list[Node], texts: list[tuple[Node, str]], picked: list[bool]) -> None:
+    """A doubt becomes a hint where most of the element's text is in links, or the ratios select less than half of it; else it is dropped."""
+    doubts = [n for n in elements if n.mark == "doubt"]
+    if not doubts:
+        return
+    for (node, text), ok in zip(texts, picked):
+        node.linked += len(text) * node.in_link
+        node.picked += len(text) * ok
+    for n in reversed(elements):
+        if n.parent is not None:
+            n.parent.linked += n.linked
+            n.parent.picked += n.picked
+    for n in doubts:
+        n.mark = "hint" if 2 * n.linked >= n.held or 2 * n.picked < n.held else ""
+
+
 def put_away(elements: list[Node], texts: list[tuple[Node, str]]) -> None:
     """Sets ``away`` on the elements that are marked, or in such an element, unless the mark is void.
 
@@ -259,9 +305,12 @@ def put_away(elements: list[Node], texts: list[tuple[Node, str]]) -> None:
     (or with none that holds selected text) every mark is void on an element that holds more
     than half of the selected text, and that of a tag that only wraps is on any page.
     """
-    if not any(n.mark for n in elements):
+    if not any(n.mark or n.signed for n in elements):
         return
     hold(elements, texts, [True] * len(texts))
+    find_records(elements)
+    if not any(n.mark for n in elements):
+        return
     mains, around = [n for n in elements if n.main and n.held], set()  # an empty one says nothing
     for n in mains:
         for a in _up(n.parent):
@@ -269,6 +318,7 @@ def put_away(elements: list[Node], texts: list[tuple[Node, str]]) -> None:
                 break
             around.add(a)
     picked = content_nodes(texts)
+    settle_doubts(elements, texts, picked)
     total = hold(elements, texts, picked)
     within = any(ok and node.under_main for (node, _), ok in zip(texts, picked))
     lost = all(n.parent.firm_above for n in mains)
