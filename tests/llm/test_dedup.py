@@ -59,6 +59,34 @@ def test_exact_later_runs(spark, make_docs, odd_rows, tmp_path, weak):
     assert exact_dedup.exact_dedup(make_docs([]).limit(0), digest=digest, state_dir=str(tmp_path / "state")).count() == 0
 
 
+@pytest.mark.parametrize("weak", [False, True])
+@pytest.mark.parametrize("kind", ["renamed", "derived", "exploded", "gone"])
+def test_exact_later_runs_of_any_input(spark, tmp_path, weak, kind):
+    """Kept state with a renamed column, a text made from others, rows that share a place in a file, and files that have changed since."""
+    digest = (lambda t: F.unhex(F.sha2(F.substring(t, 1, 2), 256))) if weak else exact_dedup.sha256_of
+    parts = [[(5, "Abc X"), (6, "abc y"), (7, "zz")], [(4, "abc  x"), (8, "ABC Y"), (9, "abc z"), (3, "zz")], [(2, "abc z"), (10, "new"), (11, "abc x"), (1, "ab")]]
+    seen = []
+    for k, part in enumerate(parts):
+        path = f"file://{tmp_path}/{'same' if kind == 'gone' else k}"
+        spark.createDataFrame([(i, t, [t, t + "!"]) for i, t in part], "doc_id long, body string, words array<string>").coalesce(1).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        rows = part
+        if kind == "derived":
+            docs, rows = docs.withColumn("body", F.lower("body")), [(i, t.lower()) for i, t in part]
+        if kind == "exploded":
+            docs, rows = docs.select("doc_id", F.explode("words").alias("body")), [(i, x) for i, t in part for x in (t, t + "!")]
+        got = exact_dedup.exact_dedup(docs, text_col="body", digest=digest, state_dir=f"file://{tmp_path}/state").collect()
+        seen += rows
+        want = {(i, r[1], r[2]) for (i, t), r in zip(seen, _exact_rows(seen))}
+        assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, k, n) for (i, t), (i2, k, n) in zip(seen, _exact_rows(seen)) if (i, t) in rows} <= want
+
+
+def _exact_rows(rows):
+    """(id, smallest id of its text, rows of its text) of every row."""
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
+    return [(i, min(j for j, u in rows if norm(u) == norm(t)), sum(norm(u) == norm(t) for _, u in rows)) for i, t in rows]
+
+
 def test_exact_empty(make_docs):
     assert exact_dedup.exact_dedup(make_docs([]).limit(0)).count() == 0
 

@@ -7,7 +7,8 @@ compared: the whole normalised text of every later document against the text tha
 the state's locator; where a digest proves ambiguous, its texts are grouped by their bytes.
 
 With a ``state_dir`` journal, state and checkpoint outlive the run, so that later input is
-deduplicated against all earlier input, whose texts are read again at their locators only.
+deduplicated against all earlier input. The normalised text of every digest's first document is
+kept there too, so nothing of what earlier input was read from need stay as it was.
 """
 
 from __future__ import annotations
@@ -44,16 +45,29 @@ def sha256_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
-def located(docs: DataFrame, id_col: str, text_col: str, state_dir: str | None) -> DataFrame:
-    """doc_id, text, path, locator of every row; input that isn't read from Parquet files is written to some first."""
+def is_plain(rows: DataFrame) -> bool:
+    """Whether each row is one row of a file: a scan with projections and filters only. A generator, union or join gives rows that share a place."""
+    todo, plain = [rows._jdf.queryExecution().analyzed()], {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+    while todo:
+        node = todo.pop()
+        if node.nodeName().split(" ")[0] not in plain:
+            return False
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return True
+
+
+def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, locator of every row; input whose rows aren't rows of Parquet files is written to some first."""
+    plain = is_plain(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     try:
-        rows = docs.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+        rows = docs.select("*", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("row")) if plain else None
     except AnalysisException:
-        path = new_path(docs.sparkSession, "dedup-texts") if state_dir is None else f"{state_dir}/texts/{new_path(docs.sparkSession, 'texts').rsplit('/', 1)[1]}"
-        docs.write.parquet(path)
-        return located(docs.sparkSession.read.schema(docs.schema).parquet(path), "doc_id", "text", state_dir)
-    return rows.withColumn("locator", F.struct(F.xxhash64("path").alias("file"), F.col("row").cast("long").alias("row"))).drop("row")
+        rows = None
+    if rows is None:
+        return located(stored(docs, "dedup-texts"), "doc_id", "text")
+    return rows.select("doc_id", "text", F.struct("file", "row").alias("locator"))
 
 
 def state_stream(journal: DataFrame) -> DataFrame:
@@ -107,31 +121,34 @@ def exact_dedup(
     stays only if its whole group has none. Other columns are ignored. An empty table gives
     no rows.
 
-    ``state_dir``, a folder that all executors reach, keeps the state. Then keep_id and
-    group_size also count the documents of all earlier runs with this folder and ``digest``;
-    the files that these were read from must still be there, as hits are compared with them.
+    ``state_dir``, a folder that all executors reach, keeps the state and the texts of first
+    occurrences. Then keep_id and group_size also count the documents of all earlier runs with
+    this folder and ``digest``, whatever has become of the files that these were read from.
     """
     spark = docs.sparkSession
     where = state_dir or new_path(spark, "dedup")
-    rows = located(docs, id_col, text_col, state_dir)
-    entry = rows.select("doc_id", "locator", digest(normalised(F.col("text"))).alias("digest"), "path")
+    rows = located(docs, id_col, text_col)
+    entry = rows.select("doc_id", "locator", digest(normalised(F.col("text"))).alias("digest"))
     run = f"{where}/journal/run-{new_path(spark, 'x')[-32:]}"
-    entry.drop("path").write.parquet(run)
-    shape = entry.drop("path").schema
-    journal = spark.read.schema(shape).parquet(run)
-    if state_dir:
-        rows.select(F.col("locator.file").alias("file"), "path").distinct().write.mode("append").parquet(f"{where}/files")
+    if state_dir:  # two runs may read the same file, so a locator counts for its run only
+        entry = entry.withColumn("locator", F.struct(F.xxhash64("locator.file", F.lit(run)).alias("file"), "locator.row"))
+        rows = rows.withColumn("locator", F.struct(F.xxhash64("locator.file", F.lit(run)).alias("file"), "locator.row"))
+    entry.write.parquet(run)
+    journal = spark.read.schema(entry.schema).parquet(run)
     files = len(journal.inputFiles())
-    state = run_stream(spark, f"{where}/journal/run-*", shape, f"{where}/checkpoint", max(1, -(-files // batches)))
+    state = run_stream(spark, f"{where}/journal/run-*", entry.schema, f"{where}/checkpoint", max(1, -(-files // batches)))
     decided = stored(join_unique(journal, state, ["digest"], "group_size", total_of(state, "group_size")), "dedup-decided")
     forget_shuffles(spark)
-    clashes = stored(clashing(rows, decided, f"{where}/files" if state_dir else None), "dedup-clashes")
+    kept = kept_texts(spark, where) if state_dir else None
+    clashes = stored(clashing(rows, decided, kept), "dedup-clashes")
     forget_shuffles(spark)
     release(state)
-    if not state_dir:
+    if state_dir:
+        keep_texts(rows, decided, clashes, kept, where)
+    else:
         drop_path(spark, where)
     if not is_empty(clashes):
-        decided = regrouped(rows, decided, clashes, digest, f"{where}/files" if state_dir else None, f"{where}/journal/run-*", shape)
+        decided = regrouped(rows, decided, clashes, digest, kept, f"{where}/journal/run-*", entry.schema)
     return decided.select(
         "doc_id", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "digest",
@@ -146,50 +163,63 @@ def texts_at(rows: DataFrame, picked: DataFrame) -> DataFrame:
     return picked.hint("merge").join(some, "locator")
 
 
-def earlier_rows(spark: SparkSession, picked: DataFrame, files: str, text_col: str = "text") -> DataFrame | None:
-    """The documents (locator, text) of the files of earlier runs in which ``picked`` locators are.
+_KEPT = "digest binary, locator struct<file:bigint,row:bigint>, text string, run int"
 
-    The driver gets the files' names, as for any read.
-    """
-    names = spark.read.parquet(files).join(picked.select("locator.file").distinct(), "file", "left_semi").select("path").distinct()
-    names = [r.path for r in names.collect()]
-    if not names:
+
+def kept_texts(spark: SparkSession, state_dir: str) -> DataFrame | None:
+    """digest, locator, text, run: of every digest of earlier runs its first text, and all texts since it has proved ambiguous."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/kept")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return None
-    rows = spark.read.parquet(*names).select(F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").cast("long").alias("row"))
-    return rows.select("text", F.struct(F.xxhash64("path").alias("file"), "row").alias("locator"))
+    return spark.read.schema(_KEPT).parquet(f"{state_dir}/kept")
+
+
+def keep_texts(rows: DataFrame, decided: DataFrame, clashes: DataFrame, kept: DataFrame | None, state_dir: str) -> None:
+    """Adds the texts of digests that are new, and of all rows under an ambiguous one."""
+    first = decided.filter("locator = keep_locator").select("digest", "locator")
+    number = 0
+    if kept is not None:
+        first = first.join(kept.select("digest"), "digest", "left_anti")
+        number = (kept.agg(F.max("run")).first()[0] or 0) + 1
+    picked = stored(first.unionByName(decided.join(clashes, "digest").select("digest", "locator")).distinct(), "dedup-keep")
+    texts_at(rows, picked).select("digest", "locator", "text").write.parquet(f"{state_dir}/kept/run={number}")
+    release(picked)
 
 
-def clashing(rows: DataFrame, decided: DataFrame, files: str | None) -> DataFrame:
-    """Digests under which a text differs from the kept one, by comparing whole texts.
+def clashing(rows: DataFrame, decided: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """Digests under which a text differs from a kept one, by comparing whole texts.
 
     Only documents of entries with a hit are read, by their locators. The kept text is copied
     once for every MEMBERS_PER_COPY rows, so no task gets a whole hot group.
     """
     hit = decided.filter("group_size > 1").withColumn("copies", F.ceil(F.col("group_size") / MEMBERS_PER_COPY).cast("int"))
     got = stored(texts_at(rows, hit.select("locator", "keep_locator", "digest", "copies")), "dedup-hits")
-    kept = got.filter("locator = keep_locator").select("digest", "copies", "text")
-    if files:
-        old = hit.select("digest", "copies", F.col("keep_locator").alias("locator")).distinct()
-        old = stored(old.join(rows.select("locator"), "locator", "left_anti"), "dedup-earlier")
-        there = earlier_rows(rows.sparkSession, old, files)
-        if there is not None:
-            kept = kept.unionByName(texts_at(there, old).select("digest", "copies", "text"))
-    kept = kept.select("digest", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("text").alias("kept_text"))
+    texts = got.filter("locator = keep_locator").select("digest", "copies", "text")
+    if kept is not None:  # what earlier runs have under the digest, even if a smaller id is kept by now
+        asked = stored(hit.select("digest", "copies").distinct(), "dedup-earlier")
+        place = lambda d: d.withColumn("_at", F.xxhash64("digest"))
+        some = maybe_in(place(kept), "_at", place(asked).select(F.col("_at").alias("id"))).select("digest", "text")
+        texts = texts.unionByName(asked.join(some, "digest").select("digest", "copies", "text"))
+    texts = texts.select("digest", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("text").alias("kept_text"))
     members = got.select("digest", F.pmod(F.xxhash64("locator.file", "locator.row"), F.col("copies")).cast("int").alias("copy"), "text")
-    return members.join(kept, ["digest", "copy"]).filter(F.col("text") != F.col("kept_text")).select("digest").distinct()
+    return members.join(texts, ["digest", "copy"]).filter(F.col("text") != F.col("kept_text")).select("digest").distinct()
 
 
-def regrouped(rows: DataFrame, decided: DataFrame, clashes: DataFrame, digest: Callable[[Column], Column], files: str | None, journal: str, shape: T.StructType) -> DataFrame:
-    """``decided`` with the rows of ambiguous digests grouped by their bytes, those of earlier runs among them."""
+def regrouped(rows: DataFrame, decided: DataFrame, clashes: DataFrame, digest: Callable[[Column], Column], kept: DataFrame | None, journal: str, shape: T.StructType) -> DataFrame:
+    """``decided`` with the rows of ambiguous digests grouped by their bytes, those of earlier runs among them.
+
+    An earlier row's text is the one that was kept for it; before its digest proved ambiguous,
+    all rows had the digest's first text.
+    """
     spark = rows.sparkSession
     now = rows.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text"))).join(clashes, "digest")
     every = now
-    if files:
-        entries = spark.read.schema(shape).parquet(journal).join(clashes, "digest").join(rows.select("locator"), "locator", "left_anti")
-        entries = stored(entries.select("locator", "doc_id", "digest"), "dedup-ambiguous")
-        there = earlier_rows(spark, entries, files)
-        if there is not None:
-            every = now.unionByName(texts_at(there, entries).select("doc_id", "digest", "text"))
+    if kept is not None:
+        old = stored(kept.join(clashes, "digest"), "dedup-ambiguous")
+        entries = spark.read.schema(shape).parquet(journal).join(clashes, "digest").join(rows.select("locator"), "locator", "left_anti").select("locator", "doc_id", "digest")
+        first = old.groupBy("digest").agg(F.min_by("text", "run").alias("_first"))
+        before = entries.join(old.select("locator", "text"), "locator", "left").join(first, "digest", "left")
+        every = now.unionByName(before.select("doc_id", "digest", F.coalesce("text", "_first").alias("text")).filter("text is not null"))
     groups = every.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     fixed = now.join(groups, ["digest", "text"])
     columns = ["doc_id", "digest", "keep_id", "group_size"]
