@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import ids, text
 from tidelog.functions.stem import stem
-from tidelog.operators import linker, metrics, portfolio, registry, scd2, store
+from tidelog.operators import linker, metrics, names, portfolio, registry, scd2, slices, store
 from tidelog.sources import files
 
 
@@ -63,7 +63,8 @@ def test_stems(spark):
         word, want = pair.split()
         assert stem(word) == want
     d = spark.createDataFrame([("The Running Widgets of Companies",), ("",), (None,)], "t string")
-    assert [r[0] for r in d.select(text.lexemes(F.col("t"))).collect()] == [["run", "widget", "compani"], [], None]
+    found = names.postings(d.select(F.col("t").alias("id"), F.col("t").alias("text")).filter("t is not null"))
+    assert sorted((r.positions[0], r.lexeme) for r in found.collect()) == [(2, "run"), (3, "widget"), (5, "compani")]
 
 
 def test_cascade(spark):
@@ -266,3 +267,55 @@ def test_gold_set_bounds(spark, tmp_path):
     (tmp_path / "gold.json").write_text('{"test_cases": [{"id": "1", "text": "t", "expected_syn_id": "A", "expected_confidence_min": 0.9}, {"id": "2", "text": "u", "expected_confidence_max": 0.8}]}')
     cases = files.read_gold_set(spark, f"file://{tmp_path}/gold.json").withColumns({"expected": F.col("expected_syn_id"), "resolved": F.lit("A"), "confidence": F.lit(0.7)})
     assert {r.id: r.verdict for r in linker.case_verdicts(cases).collect()} == {"1": "fp", "2": "tn"}
+
+
+def test_name_search(spark):
+    """All of a query's lexemes must be there; rank by occurrences, length and the first place."""
+    t = spark.createDataFrame([("a", "Red widgets, red"), ("b", "the big red widget"), ("c", "widget"), ("d", "red"), ("e", ""), ("f", "A widget of red")], "id string, text string")
+    index = names.postings(t)
+    q = spark.createDataFrame([("the red widgets",), ("of the",), ("red purple",), ("WIDGET",)], "query string")
+    got = {(r.query, r.id): round(r.rank, 6) for r in names.matches(q, index).collect()}
+    assert got == {("the red widgets", "a"): 1.0, ("the red widgets", "b"): round(2 / 6, 6), ("the red widgets", "f"): round(2 / 5, 6), ("WIDGET", "a"): round(1 / 4, 6), ("WIDGET", "b"): round(1 / 7, 6), ("WIDGET", "c"): 1.0, ("WIDGET", "f"): round(1 / 5, 6)}
+
+
+def test_sortable_ids(spark):
+    """The order of ids is that of their times; a time reads back; equal keys and times give equal ids."""
+    at = [dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=7 * k * k) for k in range(300)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(at)], "k long, t timestamp").withColumn("i", ids.sortable_id("CO", F.col("t"), F.col("k")))
+    got = rows.select("k", "t", "i", ids.id_time(F.col("i")).alias("back"), ids.id_valid(F.col("i")).alias("ok")).orderBy("i").collect()
+    assert [r.k for r in got] == list(range(300)) and all(r.back == r.t and r.ok for r in got) and len({r.i for r in got}) == 300
+    assert rows.select("i").exceptAll(rows.select(ids.sortable_id("CO", F.col("t"), F.col("k")))).count() == 0
+    odd = spark.createDataFrame([("CO_short",), (None,), ("CO_" + "u" * 26,), ("CO_" + "Z" * 26,)], "i string")
+    assert [r[0] for r in odd.select(ids.id_time(F.col("i"))).collect()] == [None] * 4
+
+
+@pytest.mark.parametrize("width", [1, 3, 100])
+def test_slices(spark, width):
+    """Neighbours and prevailing values over slices, against plain loops; ties, gaps, nulls and null keys."""
+    rng = random.Random(width)
+    facts = [(rng.choice(["a", "b", None]), rng.randint(0, 60), k, rng.choice([None, float(k)])) for k in range(80)]
+    rows = [(rng.choice(["a", "b", None, "c"]), rng.randint(-5, 70), k) for k in range(80)]
+    f = spark.createDataFrame(facts, "key string, at long, n long, v double").repartition(3)
+    r = spark.createDataFrame(rows, "key string, at long, id long").repartition(3)
+    want = {}
+    for key, at, i in rows:
+        before = [(t, n, v) for k, t, n, v in facts if k == key and t <= at]
+        want[i] = max(before)[1:] if before else (None, None)
+    got = {x.id: (x.n, x.v) for x in slices.prevailing(r, f, ["key"], "at", ["n", "v"], ["n"], width).collect()}
+    assert got == want
+    near = {x.n: (x.low, x.high) for x in slices.neighbour(slices.neighbour(f, ["key"], ["at", "n"], "v", "low", width), ["key"], ["at", "n"], "v", "high", width, back=False).collect()}
+    for key in ("a", "b", None):
+        mine = sorted((t, n, v) for k, t, n, v in facts if k == key)
+        for j, (_, n, _) in enumerate(mine):
+            assert near[n] == (mine[j - 1][2] if j else None, mine[j + 1][2] if j + 1 < len(mine) else None)
+
+
+def test_merged_growth(spark):
+    rng = random.Random(1)
+    rows, value = [], 0.0
+    for k in range(200):
+        value = 0.0 if rng.random() < 0.05 else value + rng.randint(0, 5)
+        rows.append(("s", k * 3_000, k, value))
+    got = metrics.merged_growth(metrics.growth(spark.createDataFrame(rows, "series string, at long, n long, value double"), ["series"], "n"), ["series"]).first()
+    pairs = [(a[3], b[3]) for a, b in zip(rows, rows[1:])]
+    assert (got.growth, got.resets) == (sum(b if b < a else b - a for a, b in pairs), sum(b < a for a, b in pairs))

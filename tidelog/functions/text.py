@@ -29,8 +29,7 @@ def ticker_like(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct 3-grams of the lower-cased words, each padded by two blanks in front and one behind."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
+    grams = F.transform(words_of(text), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 
 
@@ -57,22 +56,12 @@ STOP_WORDS = (
 ).split()
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stems(words: pd.Series) -> pd.Series:
-    return pd.Series([None if w is None else [stem(x) for x in w] for w in words], dtype=object)
+@F.pandas_udf(T.StringType())
+def stems(words: pd.Series) -> pd.Series:
+    """The stem of each word."""
+    return words.map(stem, na_action="ignore")
 
 
-def lexemes(text: Column) -> Column:
-    """Distinct stems of the lower-cased words that aren't stop words."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) > 0) & ~w.isin(STOP_WORDS))
-    return F.array_distinct(_stems(words))
-
-
-def text_match(document: Column, query: Column) -> Column:
-    """All query lexemes occur in the document; an empty query matches nothing."""
-    return (F.size(query) > 0) & (F.size(F.array_except(query, document)) == 0)
-
-
-def text_rank(document: Column, query: Column) -> Column:
-    """A declared substitute rank: the share of the document's lexemes that the query names."""
-    return F.size(F.array_intersect(document, query)) / F.greatest(F.size(document), F.lit(1))
+def words_of(text: Column) -> Column:
+    """The lower-cased words: runs of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)

@@ -5,17 +5,16 @@ Mentions: (mention_id, text). Candidates: (mention_id, syn_id, name, confidence,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lexemes, normalize_text, sequence_ratio, similarity, text_match, ticker_like, trigrams, trimmed
+from ..functions.text import normalize_text, sequence_ratio, similarity, ticker_like, trigrams, trimmed
+from . import names
 from .registry import rank_in
 
 TICKER, ALIAS, CANONICAL, FUZZY = 1, 2, 3, 4
 RESOLVE_AT, AMBIGUOUS_GAP, TRIGRAM_AT = 0.95, 0.1, 0.3
 MOST = 10
-#: Trigrams that come last in the fuzzy match's prefixes.
-COMMON = 100
 
 
 def ticker_candidates(mentions: DataFrame, identifiers: DataFrame, entities: DataFrame) -> DataFrame:
@@ -34,54 +33,72 @@ def _alias_confidence(c: Column) -> Column:
     return F.when(c.isNull() | (c == 0), 1.0).otherwise(c)
 
 
+def _holders(rows: DataFrame, text: str, order: list[Column]) -> DataFrame:
+    """Of the rows that share a text, those of its first MOST entities in ``order``: no more can be among a mention's candidates. Spark prunes them in each task first."""
+    place = F.dense_rank().over(Window.partitionBy(text).orderBy(*order))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= MOST).drop("_place")
+
+
+def _live(entities: DataFrame) -> DataFrame:
+    return entities.filter("status = 'ACTIVE'").select("syn_id", F.col("canonical_name").alias("name"))
+
+
 def alias_candidates(mentions: DataFrame, aliases: DataFrame, entities: DataFrame) -> DataFrame:
-    names = entities.filter("status = 'ACTIVE'").select("syn_id", F.col("canonical_name").alias("name"))
-    hit = mentions.withColumn("_n", normalize_text(F.col("text"))).join(aliases.withColumn("_n", F.lower("alias")), "_n").join(names, "syn_id")
-    rows = hit.select("mention_id", "syn_id", "name", F.least(_alias_confidence(F.col("confidence")), F.lit(0.95)).alias("confidence"), F.lit(ALIAS).alias("strategy")).distinct()
+    sure = F.least(_alias_confidence(F.col("confidence")), F.lit(0.95))
+    held = aliases.select("syn_id", F.lower("alias").alias("_n"), sure.alias("confidence")).join(_live(entities), "syn_id").distinct()
+    held = _holders(held, "_n", [F.desc("confidence"), F.col("syn_id")])
+    rows = mentions.select("mention_id", normalize_text(F.col("text")).alias("_n")).join(held, "_n").select("mention_id", "syn_id", "name", "confidence", F.lit(ALIAS).alias("strategy")).distinct()
     return rank_in(rows, ["mention_id"], [F.desc("confidence"), F.col("syn_id")], MOST).drop("rank")
 
 
-def _prefix(grams: Column, common: list[str], least: float) -> Column:
-    """The trigrams at one of which a pair of similarity ``least`` must meet: the first ones, with those in ``common`` last.
+def signatures(texts: DataFrame, key: str, frequency: DataFrame, least: float) -> DataFrame:
+    """gram, position, size, key: of each text (key, grams) the rarest trigrams, one of which a pair of similarity ``least`` must share.
 
     Of n trigrams a pair shares ``least`` * n at least, so it shares one of the n - ceil(least * n) + 1
-    that come first in any order that both sides keep.
+    that come first in any order that both sides keep; here by ``frequency``, which leaves
+    common trigrams out.
     """
-    last = F.lit(common) if common else F.array().cast("array<string>")
-    order = lambda t: F.struct(F.array_position(last, t).alias("k"), t.alias("t"))  # noqa: E731  0 for all others
-    ordered = F.transform(F.array_sort(F.transform(grams, order)), lambda x: x["t"])
-    return F.slice(ordered, F.lit(1), F.greatest(F.lit(0), (F.size(grams) - F.ceil(F.size(grams) * least - 1e-9) + 1).cast("int")))
+    rows = texts.select(key, F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(frequency, "gram", "left")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("n", F.lit(0)), "gram"))  # the trigrams of one text
+    rows = rows.withColumn("position", place).filter(F.col("position") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+    return rows.select("gram", "position", "size", key)
 
 
 def fuzzy_candidates(mentions: DataFrame, aliases: DataFrame, entities: DataFrame, least: float = TRIGRAM_AT) -> DataFrame:
-    """Trigram similarity of at least ``least``, by a prefix filter instead of comparing all pairs.
+    """Trigram similarity of at least ``least``, by a rarity-ordered signature index instead of comparing all pairs.
 
-    The COMMON most frequent trigrams, which would pair everything with everything, come last
-    in the order and seldom take part. A pair is looked at once, at the first trigram that its
-    prefixes share, and its similarity is taken from the whole arrays, so no pair is lost.
+    Only ids, positions and sizes meet: sizes and positions bound what a pair can share, and
+    the texts are fetched for pairs that may be near enough, so no pair is lost.
     """
-    m = mentions.select("mention_id", trigrams(normalize_text(F.col("text"))).alias("_gm"))
-    texts = aliases.select(F.lower("alias").alias("_a")).distinct().withColumn("_g", trigrams(F.col("_a")))
-    held = texts.select(F.explode("_g").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "t").limit(COMMON)
-    common = [r.t for r in reversed(held.collect())]  # the most frequent last of all
-    m = m.withColumn("_pm", _prefix(F.col("_gm"), common, least)).withColumn("_t", F.explode("_pm"))
-    texts = texts.withColumn("_p", _prefix(F.col("_g"), common, least)).withColumn("_t", F.explode("_p"))
-    sizes = F.least(F.size("_g"), F.size("_gm")) >= F.greatest(F.size("_g"), F.size("_gm")) * least
-    once = F.get(F.array_intersect("_pm", "_p"), F.lit(0)) == F.col("_t")
-    near = m.join(texts, "_t").filter(sizes & once).withColumn("similarity", similarity(F.col("_gm"), F.col("_g"))).filter(F.col("similarity") >= least)
-    names = entities.filter("status = 'ACTIVE'").select("syn_id", F.col("canonical_name").alias("name"))
-    hit = near.select("mention_id", "_a", "similarity").join(aliases.withColumn("_a", F.lower("alias")), "_a").join(names, "syn_id")
+    asked = mentions.select("mention_id", trigrams(normalize_text(F.col("text"))).alias("grams"))
+    texts = aliases.select(F.lower("alias").alias("_a")).distinct().select("_a", F.xxhash64("_a").alias("_id"), trigrams(F.col("_a")).alias("grams"))
+    frequency = texts.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    m = signatures(asked, "mention_id", frequency, least).select("gram", F.col("position").alias("_pm"), F.col("size").alias("_sm"), "mention_id")
+    t = signatures(texts, "_id", frequency, least)
+    shared = 1 + F.least(F.col("_sm") - F.col("_pm"), F.col("size") - F.col("position"))
+    needed = F.ceil((F.col("_sm") + F.col("size")) * (least / (1 + least)) - 1e-9)
+    sizes = F.least("size", "_sm") >= F.greatest("size", "_sm") * least - 1e-9
+    pairs = m.join(t, "gram").filter(sizes & (shared >= needed)).select("mention_id", "_id").distinct()
+    near = pairs.join(asked.withColumnRenamed("grams", "_gm"), "mention_id").join(texts.withColumnRenamed("grams", "_g"), "_id")
+    near = near.withColumn("similarity", similarity(F.col("_gm"), F.col("_g"))).filter(F.col("similarity") >= least).select("mention_id", "_a", "similarity")
+    held = aliases.select("syn_id", F.lower("alias").alias("_a"), _alias_confidence(F.col("confidence")).alias("_c")).join(_live(entities), "syn_id").distinct()
+    hit = near.join(_holders(held, "_a", [F.col("syn_id")]), "_a")
     tier = F.when(F.col("similarity") >= 0.9, 0.90).when(F.col("similarity") >= 0.8, 0.80).otherwise(0.70)
-    rows = hit.select("mention_id", "syn_id", "name", F.least(tier, _alias_confidence(F.col("confidence"))).alias("confidence"), F.lit(FUZZY).alias("strategy"), "similarity").distinct()
+    rows = hit.select("mention_id", "syn_id", "name", F.least(tier, F.col("_c")).alias("confidence"), F.lit(FUZZY).alias("strategy"), "similarity").distinct()
     return rank_in(rows, ["mention_id"], [F.desc("similarity"), F.col("syn_id"), F.desc("confidence")], MOST).drop("rank")
 
 
-def canonical_candidates(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """Full-text match of names, confidence 0.85 times the sequence ratio; blocked by one shared lexeme."""
-    q = mentions.select("mention_id", normalize_text(F.col("text")).alias("_n")).withColumn("_q", lexemes(F.col("_n"))).filter(F.size("_q") > 0)
-    d = entities.filter("status = 'ACTIVE'").select("syn_id", F.col("canonical_name").alias("name")).withColumn("_d", lexemes(F.col("name")))
-    block = q.withColumn("_t", F.array_min("_q")).join(d.withColumn("_t", F.explode("_d")), "_t").filter(text_match(F.col("_d"), F.col("_q")))
-    rows = block.withColumn("confidence", sequence_ratio(F.col("_n"), F.lower("name")) * 0.85).select("mention_id", "syn_id", "name", "confidence", F.lit(CANONICAL).alias("strategy"))
+def canonical_candidates(mentions: DataFrame, entities: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Full-text match of names, confidence 0.85 times the sequence ratio; each name is looked at once, however many entities have it.
+
+    ``index`` are the postings of the lower-cased names (``names.postings``), made here if not given.
+    """
+    held = _live(entities).withColumn("_name", F.lower("name"))
+    index = names.postings(held.select(F.col("_name").alias("id"), F.col("_name").alias("text")).distinct()) if index is None else index
+    asked = mentions.select("mention_id", normalize_text(F.col("text")).alias("_n"))
+    match = names.matches(asked.select(F.col("_n").alias("query")).distinct(), index)
+    scored = match.withColumn("confidence", sequence_ratio(F.col("query"), F.col("id")) * 0.85).select(F.col("query").alias("_n"), F.col("id").alias("_name"), "confidence")
+    rows = asked.join(scored, "_n").join(_holders(held, "_name", [F.col("syn_id")]), "_name").select("mention_id", "syn_id", "name", "confidence", F.lit(CANONICAL).alias("strategy"))
     return rank_in(rows, ["mention_id"], [F.desc("confidence"), F.col("syn_id")], MOST).drop("rank")
 
 
@@ -93,8 +110,8 @@ def cascade(candidates: list[DataFrame], entities: DataFrame | None = None, kind
     rows = candidates[0].select("mention_id", "syn_id", "name", "confidence", "strategy")
     for more in candidates[1:]:
         rows = rows.unionByName(more.select(rows.columns))
-    first = rows.groupBy("mention_id").agg(F.min("strategy").alias("strategy"))
-    rows = rows.join(first, ["mention_id", "strategy"])
+    first = F.min("strategy").over(Window.partitionBy("mention_id"))  # at most MOST rows a strategy
+    rows = rows.withColumn("_first", first).filter(F.col("strategy") == F.col("_first")).drop("_first")
     if kind is not None:
         rows = rows.join(entities.filter(F.col("type") == kind).select("syn_id"), "syn_id", "left_semi")
     return dedup(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lexemes, text_match, text_rank
+from . import names
 from .scd2 import as_of
 
 
@@ -59,10 +59,10 @@ def edge_stats(edges: DataFrame) -> DataFrame:
     return edges.groupBy("rel_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("valid_to").isNull()).alias("active"), F.avg("confidence").alias("avg_confidence"))
 
 
-def search(entities: DataFrame, query: str, limit: int) -> DataFrame:
-    """Full-text search of names, best rank first."""
-    rows = entities.withColumns({"_d": lexemes(F.col("canonical_name")), "_q": lexemes(F.lit(query))}).filter(text_match(F.col("_d"), F.col("_q")))
-    return rows.withColumn("rank", text_rank(F.col("_d"), F.col("_q"))).drop("_d", "_q").orderBy(F.desc("rank"), "canonical_name", "syn_id").limit(limit)
+def search(entities: DataFrame, query: str, limit: int, index: DataFrame | None = None) -> DataFrame:
+    """Full-text search of names, best rank first; over a stored ``index`` (``names.write_index``), or one made here."""
+    index = names.postings(entities.select(F.col("syn_id").alias("id"), F.col("canonical_name").alias("text"))) if index is None else index
+    return names.search(entities, index, query, limit)
 
 
 def active_identifiers(identifiers: DataFrame, syn_id: str | None = None) -> DataFrame:

@@ -230,12 +230,12 @@ def link_alias_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def link_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linker.canonical_candidates(V.mentions(spark, sf_dir), V.entities(spark, sf_dir)).select("mention_id", "syn_id", F.round("confidence", 6).alias("confidence"))
+    return linker.canonical_candidates(V.mentions(spark, sf_dir), V.entities(spark, sf_dir), V.canonical_index(spark, sf_dir)).select("mention_id", "syn_id", F.round("confidence", 6).alias("confidence"))
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
     m, e, a = _cascade_mentions(spark, sf_dir), V.entities(spark, sf_dir), V.aliases(spark, sf_dir)
-    return linker.cascade([linker.ticker_candidates(m, _tickers(spark, sf_dir), e), linker.alias_candidates(m, a, e), linker.canonical_candidates(m, e), linker.fuzzy_candidates(m, a, e)])
+    return linker.cascade([linker.ticker_candidates(m, _tickers(spark, sf_dir), e), linker.alias_candidates(m, a, e), linker.canonical_candidates(m, e, V.canonical_index(spark, sf_dir)), linker.fuzzy_candidates(m, a, e)])
 
 
 @query()
@@ -285,10 +285,22 @@ def calibration_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linker.gates(_calibrated(spark, sf_dir))
 
 
-@query(f"""WITH {V.ENTITIES} SELECT syn_id, canonical_name, round(2.0 / len(list_distinct(string_split(lower(canonical_name), ' '))), 6) AS rank FROM en WHERE list_contains(string_split(lower(canonical_name), ' '), 'red') AND list_contains(string_split(lower(canonical_name), ' '), 'widget')
-ORDER BY rank DESC, canonical_name, syn_id LIMIT 20""")
+@query(f"""WITH {V.ENTITIES}, w AS (SELECT syn_id, canonical_name, list_transform(string_split(replace(lower(canonical_name), '#', ' '), ' '), lambda x: CASE WHEN x IN ('widget', 'widgets') THEN 'widget' ELSE x END) AS w FROM en),
+h AS (SELECT *, len(list_filter(w, lambda x: x IN ('red', 'widget'))) AS hits, least(list_position(w, 'red'), list_position(w, 'widget')) AS first FROM w WHERE list_contains(w, 'red') AND list_contains(w, 'widget'))
+SELECT syn_id, canonical_name, round(hits / (len(w) + first - 1), 6) AS rank FROM h ORDER BY rank DESC, canonical_name, syn_id LIMIT 20""")
 def search_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.search(V.entities(spark, sf_dir), "the red widgets", 20).select("syn_id", "canonical_name", F.round("rank", 6).alias("rank"))
+    """A full-text query against the stored index of all names."""
+    return registry.search(V.entities(spark, sf_dir), "the red widgets", 20, V.name_index(spark, sf_dir)).select("syn_id", "canonical_name", F.round("rank", 6).alias("rank"))
+
+
+@query(f"""WITH {V.ENTITIES}, w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS lexeme FROM part WHERE p_partkey % 10 <> 9),
+e AS (SELECT syn_id, list_distinct(string_split(lower(canonical_name), ' ')) AS w, string_split(lower(canonical_name), ' ') AS every FROM en WHERE type = 'COMMODITY')
+SELECT CASE lexeme WHEN 'large' THEN 'larg' ELSE lexeme END AS lexeme, count(*) AS texts, CAST(sum(list_position(every, lexeme)) AS BIGINT) AS first_positions FROM w JOIN e ON list_contains(e.w, lexeme) GROUP BY lexeme""")
+def name_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index by lexeme: how many part names have it, and where."""
+    index = V.name_index(spark, sf_dir).filter("id like 'CM_%'")
+    live = index.filter(F.substring("id", -1, 1) != "9").select("lexeme").distinct()
+    return index.join(live, "lexeme", "left_semi").groupBy("lexeme").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("positions")[0]).cast("long").alias("first_positions"))
 
 
 @query(f"WITH {V.ENTITIES}, {V.EDGES} SELECT src_syn_id, dst_syn_id FROM ed WHERE src_syn_id NOT IN (SELECT syn_id FROM en WHERE status = 'INACTIVE')")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import make_id
+from ..operators import names
 from ..sources.eventlog import as_events, read_log, write_log
 from ..streaming.ingest import shared_path
 
@@ -35,20 +38,26 @@ EVENTS = """ev AS (SELECT epoch_us(ts) * 1000 AS ts_event_ns, epoch_us(ts) * 100
   value, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k, ts, event_id, user_id FROM events)"""
 
 
-_logs: dict[tuple[str, str], str] = {}
+_paths: dict[tuple[str, str, str], str] = {}
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as a written log, by date and then by time; written once for a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    path = _logs.get(key)
+def _stored_once(spark: SparkSession, sf_dir: str, name: str, last: str, write: Callable[[str], None]) -> str:
+    """The path of what ``write`` has written for a session, or writes now if its ``last`` file isn't there (any more)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _paths.get(key)
     if path is not None:
-        there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+        there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{last}")
         if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
             path = None
     if path is None:
-        path = _logs[key] = shared_path(spark, "log")
-        write_log(events(spark, sf_dir), path, "driver", "replay", layout=("event_date",), order=("ts_event_ns", "seq"))
+        path = _paths[key] = shared_path(spark, name)
+        write(path)
+    return path
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a written log, by date and then by time; written once for a session."""
+    path = _stored_once(spark, sf_dir, "log", "manifest", lambda p: write_log(events(spark, sf_dir), p, "driver", "replay", layout=("event_date",), order=("ts_event_ns", "seq")))
     out = read_log(spark, path)
     out.log_path = path
     return out
@@ -81,6 +90,19 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored full-text index of all entities' names, written once for a session."""
+    path = _stored_once(spark, sf_dir, "names", "_SUCCESS", lambda p: names.write_index(entities(spark, sf_dir).select(F.col("syn_id").alias("id"), F.col("canonical_name").alias("text")), p))
+    return names.read_index(spark, path)
+
+
+def canonical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index of the active entities' distinct names in lower case, written once for a session."""
+    names_ = entities(spark, sf_dir).filter("status = 'ACTIVE'").select(F.lower("canonical_name").alias("id")).distinct()
+    path = _stored_once(spark, sf_dir, "canonical", "_SUCCESS", lambda p: names.write_index(names_.withColumn("text", F.col("id")), p))
+    return names.read_index(spark, path)
+
+
 def _entity(name: str, key: str, label: str, prefix: str, kind: str) -> str:
     return f"SELECT '{prefix}_' || lpad(CAST({key} AS VARCHAR), 26, '0') AS syn_id, '{kind}' AS type, {label} AS canonical_name, CASE WHEN {key} % 10 = 9 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status FROM {name}"
 
