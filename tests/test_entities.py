@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import ids, text
 from tidelog.functions.stem import stem
-from tidelog.operators import linker, metrics, names, portfolio, registry, scd2, slices, store
+from tidelog.operators import features, linker, metrics, names, portfolio, registry, scd2, slices, store
 from tidelog.sources import files
 
 
@@ -319,3 +319,25 @@ def test_merged_growth(spark):
     got = metrics.merged_growth(metrics.growth(spark.createDataFrame(rows, "series string, at long, n long, value double"), ["series"], "n"), ["series"]).first()
     pairs = [(a[3], b[3]) for a, b in zip(rows, rows[1:])]
     assert (got.growth, got.resets) == (sum(b if b < a else b - a for a, b in pairs), sum(b < a for a, b in pairs))
+
+
+def test_features_never_look_ahead(spark):
+    """Rows of later days, or observed later, change no value of an earlier day."""
+    rng = random.Random(6)
+    d = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    trades = [(rng.choice("ab"), d(rng.randint(0, 20)), k, float(rng.randint(1, 9)), 1.0) for k in range(60)]
+    quotes = [(rng.choice("ab"), d(rng.randint(0, 20)), float(rng.randint(0, 5)), float(rng.randint(3, 9))) for k in range(60)]
+    links = [(rng.choice("ab"), d(a := rng.randint(0, 20)), d(a + rng.randint(-3, 9)), rng.choice([None, d(a + rng.randint(0, 12))])) for _ in range(60)]
+    seen = []
+    for last in (d(30), d(11)):
+        t = spark.createDataFrame([r for r in trades if r[1] <= last], "symbol string, day date, at long, price double, size double")
+        q = spark.createDataFrame([r for r in quotes if r[1] <= last], "symbol string, day date, bid double, ask double")
+        m = spark.createDataFrame([(k, a, o, e if e and e <= last else None) for k, a, o, e in links if max(a, o) <= last], "key string, valid_from date, observed_at date, valid_to date")
+        market = features.market_features(t, q, "2024-01-01", "2024-01-21")
+        counts = features.link_counts(m, "key", "2024-01-03", "2024-01-21", "n")
+        near = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+        seen.append((sorted((near(r) for r in market.filter("day <= '2024-01-12'").collect())), sorted(tuple(r) for r in counts.filter("day <= '2024-01-12'").collect())))
+        if last == d(30):
+            want = sorted((k, d(n), sum(x == k and max(a, o) <= d(n) and (e is None or e > d(n)) for x, a, o, e in links)) for k in "ab" for n in range(2, 21))
+            assert sorted(tuple(r) for r in counts.collect()) == want
+    assert seen[0] == seen[1]

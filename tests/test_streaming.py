@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import metrics
+from tidelog.service import Monitor
 from tidelog.sources import eventlog
-from tidelog.streaming import feed, ingest
+from tidelog.streaming import feed, ingest, observe
 
 BASE = 1_704_844_800_000_000_000
 
@@ -66,6 +67,25 @@ def test_append_refuses_late_events(spark, files_in, tmp_path):
     assert sorted((r.seq, r.error) for r in refused.collect()) == [(3, "monotonic clock went back"), (6, "bad price"), (7, "sequence didn't grow")]
 
 
+def test_listener_counts(spark, files_in, tmp_path):
+    """Received, written and refused events and the last time, from what the stream observes; over micro-batches."""
+    schema = "symbol string, price double, size double, ts_event_ns long, ts_receive_ns long, ts_monotonic_ns long, venue string, source string, seq long, bid double, ask double"
+    tick = lambda k: ("S", 1.0, 1.0, BASE + k * 10**9, BASE + k * 10**9, BASE + k, "", "t", k, None, None)
+    files_in.put([tick(1), tick(5)], schema)
+    files_in.put([tick(3), tick(6), tick(7)], schema)
+    heard = observe.IngestListener()
+    spark.streams.addListener(heard)
+    try:
+        query = eventlog.append_stream(ingest.ticks_to_trades(files_in.open()), f"file://{tmp_path}/log", f"file://{tmp_path}/c", "s", "live", every=None, name="heard")
+        query.awaitTermination()
+        assert heard.wait(str(query.runId))
+    finally:
+        spark.streams.removeListener(heard)
+    monitor = Monitor(heard.samples(spark))
+    value = lambda name: monitor.instant(metrics.Expr("sum", name, {"query": "heard"}), 1 << 40).first().value
+    assert [value(n) for n in (*observe.COUNTERS.values(), observe.LAST)] == [5.0, 4.0, 1.0, BASE / 1e9 + 7]
+
+
 def test_silence(spark, files_in):
     """A key that falls silent is noticed without a further event of its own, and so is its return."""
     t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics, portfolio
+from ..operators import features, metrics, portfolio
 from ..sources import eventlog
 from . import query
 from . import views as V
@@ -300,3 +300,32 @@ def storage_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(count(*) AS BIGINT) AS events, round(count(*) / 23400.0, 6) AS events_per_s FROM events")
 def session_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("events"), F.round(F.count(F.lit(1)) / 23_400, 6).alias("events_per_s"))
+
+
+@query("""WITH t AS (SELECT 'U' || (user_id % 50) AS symbol, CAST(ts AS DATE) AS day, event_id AS n, value AS price, 1.0 AS size FROM events WHERE event_type = 'purchase' AND value > 0),
+q AS (SELECT 'U' || (user_id % 50) AS symbol, CAST(ts AS DATE) AS day, value * (1 - CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 10000) AS bid, value * (1 + CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 10000) AS ask FROM events WHERE event_type = 'click'),
+a AS (SELECT symbol, day, max_by(price, n) AS close, sum(size) AS volume FROM t GROUP BY 1, 2),
+b AS (SELECT symbol, day, sum((ask - bid) / ((ask + bid) / 2) * 10000) AS spreads, count(*) AS quotes FROM q WHERE bid > 0 AND bid < ask GROUP BY 1, 2),
+s AS (SELECT DISTINCT symbol FROM t UNION SELECT symbol FROM q), d AS (SELECT symbol, CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day FROM s),
+c AS (SELECT symbol, day, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY day) AS close, volume, spreads, quotes FROM d LEFT JOIN a USING (symbol, day) LEFT JOIN b USING (symbol, day)),
+r AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS r FROM c)
+SELECT symbol, day, round(close, 6) AS close, round(sqrt(avg(r * r) OVER w), 6) AS realized_vol, round(sum(spreads) OVER w / nullif(sum(quotes) OVER w, 0), 4) AS avg_spread_bps, CAST(coalesce(sum(volume) OVER w, 0) AS DOUBLE) AS volume
+FROM r WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS 4 PRECEDING)""")
+def daily_market_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Close, volatility, spread and volume of five days, for every symbol and day of the month."""
+    e = V.table(spark, sf_dir, "events").withColumns({"symbol": F.concat(F.lit("U"), F.col("user_id") % 50), "day": F.to_date("ts"), "k": F.get_json_object("props", "$.k").cast("double") / 10_000})
+    trades = e.filter("event_type = 'purchase' and value > 0").select("symbol", "day", F.col("event_id").alias("at"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
+    quotes = e.filter("event_type = 'click'").select("symbol", "day", (F.col("value") * (1 - F.col("k"))).alias("bid"), (F.col("value") * (1 + F.col("k"))).alias("ask"))
+    out = features.market_features(trades, quotes, "2024-01-01", "2024-01-30")
+    return out.withColumns({"close": F.round("close", 6), "realized_vol": F.round("realized_vol", 6), "avg_spread_bps": F.round("avg_spread_bps", 4)})
+
+
+@query("""WITH l AS (SELECT l_suppkey, l_partkey, min(l_shipdate) AS a, max(l_shipdate) AS b, count(*) AS n FROM lineitem GROUP BY 1, 2),
+k AS (SELECT l_partkey, greatest(CAST(a AS DATE), CAST(a AS DATE) + CAST(l_suppkey % 10 AS INTEGER)) AS known, CASE WHEN n % 2 = 1 THEN CAST(b AS DATE) + 300 END AS gone FROM l),
+p AS (SELECT DISTINCT l_partkey FROM l), d AS (SELECT l_partkey, CAST(unnest(generate_series(TIMESTAMP '1997-01-01', TIMESTAMP '1997-01-31', INTERVAL 1 DAY)) AS DATE) AS day FROM p)
+SELECT d.l_partkey AS part, d.day, count(k.known) AS suppliers FROM d LEFT JOIN k ON k.l_partkey = d.l_partkey AND k.known <= d.day AND (k.gone IS NULL OR k.gone > d.day) GROUP BY 1, 2""")
+def daily_supplier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every part and day of a month the suppliers known that day; a supplier is observed some days after its first delivery, and some leave."""
+    li = V.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_partkey").alias("part")).agg(F.to_date(F.min("l_shipdate")).alias("valid_from"), F.to_date(F.max("l_shipdate")).alias("last"), F.count(F.lit(1)).alias("n"))
+    links = li.select("part", "valid_from", F.date_add("valid_from", (F.col("l_suppkey") % 10).cast("int")).alias("observed_at"), F.when(F.col("n") % 2 == 1, F.date_add("last", 300)).alias("valid_to"))
+    return features.link_counts(links, "part", "1997-01-01", "1997-01-31", "suppliers")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import validate
+from .. import service
+from ..operators import metrics, validate
 from ..sources import eventlog
-from ..streaming import ingest
+from ..streaming import ingest, observe
 from . import query
 from . import views as V
 
@@ -105,3 +108,26 @@ def stream_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _replayed(spark, rows, F.floor(F.dayofmonth("at") / 8), 4)
     out = ingest.run_available(ingest.silences(stream, "kind", "at", 600))
     return out.select("kind", F.col("last").cast("timestamp_ntz").alias("last"), F.col("at").cast("timestamp_ntz").alias("at"), "silent")
+
+
+@query(f"WITH {V.EVENTS} SELECT count(*) AS received, CAST(sum({V.OK}) AS BIGINT) AS written, CAST(sum(1 - {V.OK}) AS BIGINT) AS invalid, CAST(floor(max(CASE WHEN {V.OK} = 1 THEN ts_event_ns END) / 1e9) AS BIGINT) AS last_event FROM ev")
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream into the log has received, written and refused, as its listener heard it over three micro-batches."""
+    rows = V.events(spark, sf_dir)
+    heard = observe.IngestListener()
+    spark.streams.addListener(heard)
+    try:
+        path, checkpoint = ingest.shared_path(spark, "counted-log"), ingest.shared_path(spark, "counted-log-checkpoint")
+        stream = _replayed(spark, rows, F.floor(F.col("seq") * 3 / (V.table(spark, sf_dir, "events").count() + 1)), 3)
+        query = eventlog.append_stream(stream, path, checkpoint, "session", "live", every=None, layout=("event_date",), file=("event_date",), name=f"counted-{heard.__hash__()}")
+        query.awaitTermination()
+        heard.wait(str(query.runId))
+    finally:
+        spark.streams.removeListener(heard)
+    monitor = service.Monitor(heard.samples(spark))
+    at = int(time.time()) + 1
+    values = [monitor.instant(metrics.Expr("sum", name), at).select(F.floor("value").alias(kind)) for kind, name in (*observe.COUNTERS.items(), ("last_event", observe.LAST))]
+    out = values[0]
+    for v in values[1:]:  # one row each
+        out = out.join(v)
+    return out

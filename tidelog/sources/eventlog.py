@@ -15,6 +15,7 @@ from ..functions.clock import utc_date
 from ..operators.ordering import order_errors
 from ..operators.validate import event_error, with_decimals
 from ..schema import EVENT, EVENT_TYPES, TYPE_COLUMNS
+from ..streaming.observe import counted
 from ..streaming.state import check_order, rocksdb
 
 ROWS_PER_GROUP = 250_000
@@ -98,6 +99,7 @@ def read_log(spark: SparkSession, path: str, commits: list[str] | None = None) -
 def append_stream(
     stream: DataFrame, path: str, checkpoint: str, session_id: str, feed_mode: str, arrival: list[str] | None = None, every: str | None = "2 seconds",
     layout: tuple[str, ...] = LAYOUT, order: tuple[str, ...] = ("seq",), file: tuple[str, ...] = LAYOUT, keep_ms: int | None = None,
+    name: str | None = None,
 ):
     """A running query that appends a stream to the log: one commit for each micro-batch, every two seconds.
 
@@ -107,16 +109,18 @@ def append_stream(
     an event that is late against an earlier micro-batch, or an earlier run, is refused; with
     ``keep_ms`` that state goes so long after a file's last event. Date rollover and a change
     of ``feed_mode`` need no closing of files, as both are in the layout or in each row.
+    Each micro-batch observes what it took in and refused, for an ``IngestListener``, under the query's ``name``.
     """
     rows = as_events(stream).drop(*[f.name for f in EVENT if f.name.endswith("_decimal")])
     rows = rows.withColumns({"event_date": utc_date("ts_event_ns"), "error": event_error()})
-    checked = check_order(rows, list(file), arrival or ["ts_receive_ns", "seq"], keep_ms)
+    checked = counted(check_order(rows, list(file), arrival or ["ts_receive_ns", "seq"], keep_ms))
 
     def put(batch: DataFrame, number: int) -> None:
         write_checked(batch, path, session_id, feed_mode, f"{session_id}-{number:09d}", layout=layout, order=order)
 
     with rocksdb(stream.sparkSession):
         out = checked.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+        out = out.queryName(name) if name else out
         return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
