@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_empty, small_batches, stored
+from .common import Scratch, is_empty, small_batches, stored
 
 #: ``### role: text </turn>\n`` a turn; a backslash goes before these strings inside a role or text.
 TURN, END = "### ", " </turn>\n"
@@ -135,7 +135,9 @@ def format_chats(messages: DataFrame, top: int = 1, learn: frozenset[str] = froz
     small_batches(messages.sparkSession)
     if not is_empty(messages.groupBy("tree", "msg").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")):
         messages = messages.groupBy("tree", "msg").agg(F.min(F.struct("parent", "score", "role", "text")).alias("m")).select("tree", "msg", "m.*")
-    path = best_paths(messages, top).join(messages.select("tree", "msg", "role", "text"), ["tree", "msg"])
+    with Scratch() as s:
+        best = s.keep(stored(best_paths(messages, top), "chat-best"))
+    path = best.join(messages.select("tree", "msg", "role", "text"), ["tree", "msg"])
     turns = path.groupBy("tree", "leaf", "score").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
     turns = turns.withColumn("tree", F.when(F.col("tree") != "", F.substring("tree", 2, 1 << 30)))
     return turns.mapInArrow(_format(learn), "tree string, leaf long, score double, formatted string, mask array<struct<start:long,end:long>>")

@@ -63,12 +63,45 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
 
 
+_OPEN: list[Scratch] = []
+
+
+class Scratch:
+    """``with Scratch() as s:`` deletes, at its end, all tables that were ``stored`` inside, but for those that it ``keep``s.
+
+    What is kept belongs to the scratch around it, if there is one, so an operator's tables
+    last only as long as they are read.
+    """
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+        self.kept: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        _OPEN.append(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _OPEN.remove(self)
+        for t in self.made:
+            if t.stored_at not in self.kept:
+                release(t)
+            elif _OPEN:
+                _OPEN[-1].made.append(t)
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.append(table.stored_at)
+        return table
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if _OPEN:
+        _OPEN[-1].made.append(out)
     return out
 
 

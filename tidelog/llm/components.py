@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, stored
+from .common import Scratch, is_empty, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,6 +15,11 @@ def components(edges: DataFrame) -> DataFrame:
     isn't gathered in one task), follows that pointer once more and replaces the ends of
     all edges. A star vanishes in one round, a path halves at least.
     """
+    with Scratch() as s:
+        return s.keep(_components(edges))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
     roots = None
     while not is_empty(edges):
@@ -32,6 +37,4 @@ def components(edges: DataFrame) -> DataFrame:
         a = edges.join(hook.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
         both = a.join(hook.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").filter("x <> y")
         edges = stored(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
-    if roots is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots
+    return stored(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "cc-roots") if roots is None else roots

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_mark, sliced, small_batches, stored
+from .common import release, row_mark, sliced, small_batches, stored
 
 #: Bytes of item text of one index, which is built in the driver and broadcast.
 SHARD_BYTES = 4 << 20
@@ -250,6 +250,7 @@ def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "te
         whole = Whole(n or 0, total or 0, longest or 1, {bytes(r.term): r.n for r in seen.filter(F.col("shard") == k).select("term", "n").collect()})
         rows = sorted(items.filter(F.col("shard") == k).select("item_id", "text").collect(), key=order)
         yield spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in rows], whole))
+    release(items, words, each, seen)
 
 
 def decontaminate(

@@ -168,4 +168,5 @@ def resample(
     drawn = percent * scored.filter(may).count() // 100
     order = [may.desc(), F.desc("score"), F.asc_nulls_first("doc_id"), F.desc("weight"), F.desc("n_features")]
     out = numbered(scored, order, "dsir-ranks")
+    release(scored)
     return out.withColumn("rank", F.when(F.col("number") <= drawn, F.col("number"))).select("doc_id", "n_words", "n_features", "weight", "score", "rank")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import forget_shuffles, is_empty, join_unique, maybe_in, sliced, small_batches, stored, total_of
+from .common import HOT_KEYS, Scratch, forget_shuffles, is_empty, join_unique, maybe_in, sliced, small_batches, stored, total_of
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -71,10 +71,19 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
+    """The candidate pairs (a, b; a stored table) whose full shingle sets have 100 * intersection >= percent * union.
+
+    Pairs of an a with over 1/HOT_KEYS of all pairs, such as a star's centre (fewer than HOT_KEYS
+    of them), are dealt out, and its set is copied once for each part of that size.
+    """
+    many = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")), "near-degrees")
+    most = max(1, total_of(many, "pairs") // HOT_KEYS)
+    hot = F.broadcast(many.filter(F.col("pairs") > most).select("a", F.ceil(F.col("pairs") / most).cast("int").alias("copies")))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("copies")), F.lit(0)).cast("int").alias("copy"))
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")).join(hot, "a", "left")
+    left = left.select("a", "s", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("s", "t")))
+    both = dealt.join(left, ["a", "copy"]).join(right, "b").withColumn("same", F.size(F.array_intersect("s", "t")))
     ok = F.col("same") * 100 >= (F.size("s") + F.size("t") - F.col("same")) * percent
     return stored(both.filter(ok).select("a", "b").distinct(), "near-links")
 
@@ -153,7 +162,12 @@ def near_components(
 
 
 def _components(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """``near_components`` of documents (doc_id, text) whose ids are distinct or null."""
+    """``near_components`` of documents (doc_id, text) whose ids are distinct or null; a stored table, all others are deleted."""
+    with Scratch() as s:
+        return s.keep(stored(_linked(docs, width, percent, bands, rows), "near-components"))
+
+
+def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
     spark = docs.sparkSession
     signed = stored(docs.mapInArrow(_signatures(width, bands, rows), "doc_id long, n long, d1 long, d2 long, bands array<long>"), "near-signatures")
     real = signed.filter("n > 0 and doc_id is not null")
@@ -184,13 +198,16 @@ def _components(docs: DataFrame, width: int, percent: int, bands: int, rows: int
         parts = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
         largest = stored(parts.groupBy("bucket").agg(F.max_by("root", F.struct("part", "root")).alias("largest"), F.sum("part").alias("size")), "near-largest")
         live = stored(join_unique(live.drop("size"), largest, ["bucket"], "size", total_of(largest, "size")), "near-parts")
-        centres = stored(first_of_buckets(live.filter("root <> largest")).select("bucket", F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("pos").alias("c_pos"), F.col("root").alias("c_root")), "near-centres")
+        centre = F.struct(F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("pos").alias("c_pos"), F.col("root").alias("c_root"))
+        centres = first_of_buckets(live.filter("root <> largest")).groupBy("bucket", "size").agg(F.collect_list(centre).alias("centres"))  # BLOCK / size at most
+        centres = stored(centres, "near-centres")
         # The largest intersection that a pair can have whose first common shingle is this one.
         most = F.least(F.col("n") - F.col("pos"), F.col("c_n") - F.col("c_pos")) + 1
         able = most * (100 + percent) >= (F.col("n") + F.col("c_n")) * percent
-        pairs = live.join(centres, "bucket").filter((F.col("root") != F.col("c_root")) & able)
+        met = join_unique(live.drop("size"), centres, ["bucket"], "size", total_of(centres, "size"))
+        pairs = met.select("id", "n", "pos", "root", F.explode("centres").alias("m")).select("*", "m.*").filter((F.col("root") != F.col("c_root")) & able)
         pairs = stored(pairs.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct(), "near-pairs")
-        live = stored(live.select("bucket", "id", "n", "pos").join(centres.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti"), "near-rest")
+        live = stored(live.select("bucket", "id", "n", "pos").join(centres.select("bucket", F.explode("centres.c").alias("id")), ["bucket", "id"], "left_anti"), "near-rest")
         if not is_empty(pairs):
             more = confirmed(pairs, sets, percent)
             if not is_empty(more):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, small_batches, stored
+from .common import release, sliced, small_batches, stored
 
 #: Labelled documents that training may see.
 LABELLED = 6_000
@@ -319,7 +319,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[
     shape = "doc_id long, " + ", ".join(f"{t}{k} array<int>" for t in TARGETS for k in (0, 1))
     seen = docs.filter("doc_id is not null").select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(columns, shape)
     free = stored(seen.join(labels.select("doc_id"), "doc_id", "left_anti"), "quality-unlabelled")
-    return {t: s and co_train(s, _draw(free, t)) for t, s in starts.items()}
+    models = {t: s and co_train(s, _draw(free, t)) for t, s in starts.items()}
+    release(free)
+    return models
 
 
 def _score(models):
