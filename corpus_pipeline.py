@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate as decontamination
 from tidelog.llm import exact_dedup, near_dedup, quality
-from tidelog.llm.common import is_empty, marked, new_path, read_table, stored
+from tidelog.llm.common import Scratch, drop_path, is_empty, marked, new_path, read_table, stored
 from tidelog.llm.queries import bpe_digests
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -110,6 +110,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with Scratch():  # what a stage has stored goes once its rows are written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if name != STAGES[0][0]:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
