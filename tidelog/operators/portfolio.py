@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def valued(positions: DataFrame) -> DataFrame:
+    """Positions (quantity, avg_price, price) with market_value, unrealized_pnl and its percentage of the cost; null where that is 0. A short position gains as the price falls."""
+    cost = F.abs(F.col("quantity")) * F.col("avg_price")
+    pnl = (F.col("price") - F.col("avg_price")) * F.col("quantity")
+    return positions.withColumns({"market_value": F.col("quantity") * F.col("price"), "unrealized_pnl": pnl, "unrealized_pnl_percent": F.try_divide(pnl * 100, cost)})
+
+
 def exposures(positions: DataFrame, keys: list[str]) -> DataFrame:
     """Gross, net, long and short counts of ``market_value``, by keys or in total."""
     aggs = [F.sum(F.abs("market_value")).alias("gross"), F.sum("market_value").alias("net"), F.count_if(F.col("market_value") > 0).alias("longs"), F.count_if(F.col("market_value") < 0).alias("shorts")]

@@ -319,10 +319,10 @@ def _new_entities(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {V.ENTITIES}, n AS (SELECT s_suppkey AS k, {_GOOD.format(p="OR", k="s_suppkey + 1000000", n=26)} AS syn_id, s_name FROM supplier)
-SELECT syn_id, canonical_name, status, CAST(NULL AS VARCHAR) AS error FROM en WHERE type = 'ORG' UNION ALL SELECT syn_id, s_name, 'ACTIVE', NULL FROM n WHERE k % 5 IN (0, 4)
+SELECT syn_id, canonical_name, status, CAST(NULL AS VARCHAR) AS error FROM en UNION ALL SELECT syn_id, s_name, 'ACTIVE', NULL FROM n WHERE k % 5 IN (0, 4)
 UNION ALL SELECT syn_id, CASE WHEN k % 5 = 2 THEN ' ' ELSE ' ' || s_name END, CASE WHEN k % 5 = 3 THEN 'GONE' ELSE 'ACTIVE' END, CASE k % 5 WHEN 1 THEN 'unknown type' WHEN 2 THEN 'no name' ELSE 'unknown status' END FROM n WHERE k % 5 IN (1, 2, 3)""")
 def insert_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, bad = store.insert_entities(V.entities(spark, sf_dir).filter("type = 'ORG'"), _new_entities(spark, sf_dir))
+    table, bad = store.insert_entities(V.entities(spark, sf_dir), _new_entities(spark, sf_dir))
     return table.select("syn_id", "canonical_name", "status", F.lit(None).cast("string").alias("error")).unionByName(bad.select("syn_id", "canonical_name", "status", "error"))
 
 
@@ -463,10 +463,10 @@ def link_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linker.identifier_candidates(m, i)
 
 
-@query(f"WITH {V.ALIASES} SELECT syn_id, alias, CAST(row_number() OVER (ORDER BY confidence DESC NULLS FIRST, alias, syn_id) AS BIGINT) AS k FROM al QUALIFY k <= 50")
+@query(f"WITH {V.ALIASES} SELECT syn_id, alias, CAST(row_number() OVER (PARTITION BY alias ORDER BY confidence DESC NULLS FIRST, syn_id) AS BIGINT) AS k FROM al")
 def aliases_nulls_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.aliases(spark, sf_dir).orderBy(F.desc_nulls_first("confidence"), "alias", "syn_id").limit(50)
-    return rows.select("syn_id", "alias", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_first("confidence"), "alias", "syn_id")).cast("long").alias("k"))
+    """Every alias' holders in order: those without a confidence first, then the surest."""
+    return registry.rank_in(V.aliases(spark, sf_dir), ["alias"], [F.desc_nulls_first("confidence"), F.col("syn_id")], 1 << 30).select("syn_id", "alias", F.col("rank").cast("long").alias("k"))
 
 
 @query(f"WITH {V.ATTRIBUTES} SELECT syn_id, key, datatype, value_string, value_number FROM att WHERE valid_to IS NULL")

@@ -282,10 +282,21 @@ def tick_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(((F.col("event_type") == 2) & ingest.tick_gate(F.col("price"), F.col("size"))).alias("passes")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {V.LOG} SELECT seq, symbol, CAST(kind AS BIGINT) AS event_type FROM lg")
+_BODY = ["seq", "symbol", "ts_event_ns", "ts_receive_ns", "ts_monotonic_ns", "venue", "source", "price", "size", "level", "order_id", "filled", "reason", "feed_mode"]
+_CODES = ["event_type", "side", "op", "aggressor", "state"]
+_UNUSED = ["ts_open_ns", "ts_close_ns", "open", "high", "low", "close", "volume", "open_decimal", "high_decimal", "low_decimal", "close_decimal", "volume_decimal"]
+
+
+@query(f"""WITH {V.LOG} SELECT seq, symbol, ts_event_ns, ts_receive_ns, ts_monotonic_ns, 'SIM' AS venue, 'driver' AS source, CAST(CASE WHEN kind <> 5 THEN value END AS DOUBLE) AS price, CASE WHEN kind <> 5 THEN k END AS size,
+  CASE WHEN kind = 1 THEN CAST(k AS BIGINT) % 10 END AS level, CASE WHEN kind = 3 THEN 'O' || seq END AS order_id, CASE WHEN kind = 3 THEN k / 2 END AS filled, CASE WHEN was = 'error' THEN 'error' END AS reason, 'replay' AS feed_mode,
+  CAST(kind AS BIGINT) AS event_type, CASE WHEN kind = 1 THEN seq % 2 END AS side, CASE WHEN kind = 1 THEN seq % 3 END AS op, CASE WHEN kind = 2 THEN CAST(2 AS BIGINT) END AS aggressor, CASE WHEN kind = 3 THEN CAST(CASE was WHEN 'error' THEN 5 ELSE 0 END AS BIGINT) END AS state,
+  CASE WHEN kind <> 5 THEN CAST(round(value * 1000000) AS BIGINT) END AS price_micros, CASE WHEN kind <> 5 THEN CAST(round(k * 1000) AS BIGINT) END AS size_millis, CASE WHEN kind = 3 THEN CAST(round(k / 2 * 1000) AS BIGINT) END AS filled_millis, CAST(0 AS BIGINT) AS others FROM lg""")
 def write_read_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log written with its manifest and read back: what was valid, all of it, once."""
-    return V.log(spark, sf_dir).select("seq", "symbol", F.col("event_type").cast("long").alias("event_type"))
+    """The log written with its manifest and read back: what was valid, all columns of it, once."""
+    log = V.log(spark, sf_dir)
+    micros = [(F.col(f"{c}_decimal") * unit).cast("long").alias(f"{c}_{name}") for c, unit, name in (("price", 1_000_000, "micros"), ("size", 1000, "millis"), ("filled", 1000, "millis"))]
+    others = sum((F.col(c).isNotNull().cast("long") for c in _UNUSED), F.lit(0).cast("long"))
+    return log.select(*_BODY, *[F.col(c).cast("long").alias(c) for c in _CODES], *micros, others.alias("others"))
 
 
 @query(f"""WITH RECURSIVE {V.EVENTS}, v AS (SELECT symbol, CAST(ts AS DATE) AS d, seq, ts_monotonic_ns AS m, row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY (seq * 37) % 101, seq) AS i FROM ev WHERE {_OK} = 1),

@@ -329,3 +329,14 @@ def daily_supplier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = V.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_partkey").alias("part")).agg(F.to_date(F.min("l_shipdate")).alias("valid_from"), F.to_date(F.max("l_shipdate")).alias("last"), F.count(F.lit(1)).alias("n"))
     links = li.select("part", "valid_from", F.date_add("valid_from", (F.col("l_suppkey") % 10).cast("int")).alias("observed_at"), F.when(F.col("n") % 2 == 1, F.date_add("last", 300)).alias("valid_to"))
     return features.link_counts(links, "part", "1997-01-01", "1997-01-31", "suppliers")
+
+
+@query("""WITH q AS (SELECT l_partkey AS part, sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS quantity, sum(l_extendedprice) / sum(l_quantity) AS avg_price FROM lineitem GROUP BY 1)
+SELECT part, round(quantity * p_retailprice, 2) AS market_value, round((p_retailprice - avg_price) * quantity, 2) AS unrealized_pnl, round((p_retailprice - avg_price) * quantity * 100 / nullif(abs(quantity) * avg_price, 0), 4) AS unrealized_pnl_percent FROM q JOIN part ON p_partkey = part""")
+def position_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of all parts at the retail price, with gain or loss against the average price paid."""
+    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    held = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.sum(signed).alias("quantity"), (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("avg_price"))
+    rows = held.join(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("price")), "part")
+    out = portfolio.valued(rows)
+    return out.select("part", F.round("market_value", 2).alias("market_value"), F.round("unrealized_pnl", 2).alias("unrealized_pnl"), F.round("unrealized_pnl_percent", 4).alias("unrealized_pnl_percent"))
