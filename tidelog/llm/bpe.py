@@ -302,6 +302,10 @@ def _decode(spec):
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, ids, decoded: the library's text for the ids; null or no ids give an empty text."""
+    """doc_id, ids, decoded: the library's text for the ids, one row per row.
+
+    Null or no ids give an empty text. Repeated rows and shared or null ids of documents each
+    have their row; other columns are ignored, and an empty table gives no rows.
+    """
     spec = _broadcast(encoded.sparkSession, tokenizer_path)
     return encoded.select("doc_id", "ids").mapInArrow(_decode(spec), "doc_id long, ids array<int>, decoded string")

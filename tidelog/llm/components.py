@@ -13,7 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every node to its smallest neighbour (a partial aggregate, so a hub
     isn't gathered in one task), follows that pointer once more and replaces the ends of
-    all edges. A star vanishes in one round, a path halves at least.
+    all edges. A star vanishes in one round, a path halves at least. Repeated edges count
+    once; loops and edges with a null end are left out, and so are nodes without any other
+    edge; other columns are ignored. No edges give no rows.
     """
     with Scratch() as s:
         return s.keep(_components(edges))

@@ -297,7 +297,12 @@ def _filter(index, least: float, overlap: float, text_col: str):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: float = 0.6, overlap: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose text holds no item, as ``decontaminate`` judges, with all columns."""
+    """The rows of ``docs`` whose text holds no item, as ``decontaminate`` judges, with all columns.
+
+    Each row is judged by itself, so repeated rows and shared or null ids make no difference,
+    and columns of any name pass. A null or empty text holds no item and stays; an empty
+    benchmark drops nothing; an empty table gives no rows.
+    """
     for k, index in enumerate(indexes(benchmark)):
         if k:
             docs = stored(docs, "bench-clean")  # one shard's index at a time in a worker's memory

@@ -76,6 +76,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     """doc_id, n_lines, n_dropped, text (the lines that stay, joined by a line feed): one row per row of ``docs``.
 
     Only documents that may have a bitmap are shuffled to it, whatever the sizes; all others pass whole.
+    A null text counts as empty, which is one line; rows without a bitmap, those with a null
+    id among them, keep all lines. Repeated rows each get their row; other columns are
+    ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = marked(rows, "doc_id", bitmaps.select(F.col("doc_id").alias("id")))

@@ -369,7 +369,12 @@ def _filter(models, least_quality: float, most_toxic: float):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with all columns (types as in ``documents``)."""
+    """The rows of ``docs`` that ``classify`` keeps, with all columns (types as in ``documents``).
+
+    Each row is judged by itself: repeated rows and shared or null ids make no difference, and
+    columns of any other name pass. A null text counts as empty, null metadata as a kind of
+    their own. Without usable labels all rows stay; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     models = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     return docs.mapInArrow(_filter(models, least_quality, most_toxic), docs.schema)

@@ -12,9 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Slots: a prime, over a hundred times the shards. It bounds what is broadcast.
+#: Slots: a prime, over a hundred times the shards. It bounds what is broadcast, to some 30 MB at most.
 SLOTS = 65_537
-MOST_SLOTS = 10_000_019
+MOST_SLOTS = 1_000_003
 
 
 def is_prime(n: int) -> bool:
@@ -74,7 +74,8 @@ def write_shards(rows: DataFrame, key: str, path: str, shards: list[str], files_
     They are spread by their whole content (but for maps), so rows of a hot key go to several
     tasks, and a task that is run again gets the same rows.
     A column named shard would clash with the folders' names and is written as the next free
-    name (shard_, shard__ ...); all others keep theirs.
+    name (shard_, shard__ ...); all others keep theirs. Null keys go to one shard, repeated
+    rows each are written, and an empty table writes no shard.
     """
     if "shard" in (c.lower() for c in rows.columns):
         name = next(c for c in rows.columns if c.lower() == "shard")
