@@ -193,6 +193,8 @@ def test_quality_held_out(spark):
     assert len(scored) > 100
     assert ((scored.p_quality >= 0.5) == (scored.quality > 0)).mean() > 0.93
     assert ((scored.p_toxic >= 0.5) == (scored.toxic > 0)).mean() > 0.93
+    for found, true in ((scored.p_quality < 0.5, scored.quality == 0), (scored.p_toxic >= 0.5, scored.toxic > 0)):  # more than the commoner answer gives
+        assert (true & found).sum() >= 0.9 * found.sum() and (true & found).sum() >= 0.6 * true.sum() > 0
 
 
 def test_quality_edges(spark, make_docs, odd_rows):
