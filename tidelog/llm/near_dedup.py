@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -201,11 +201,14 @@ def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) ->
         centre = F.struct(F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("pos").alias("c_pos"), F.col("root").alias("c_root"))
         centres = first_of_buckets(live.filter("root <> largest")).groupBy("bucket", "size").agg(F.collect_list(centre).alias("centres"))  # BLOCK / size at most
         centres = stored(centres, "near-centres")
-        # The largest intersection that a pair can have whose first common shingle is this one.
-        most = F.least(F.col("n") - F.col("pos"), F.col("c_n") - F.col("c_pos")) + 1
-        able = most * (100 + percent) >= (F.col("n") + F.col("c_n")) * percent
         met = join_unique(live.drop("size"), centres, ["bucket"], "size", total_of(centres, "size"))
-        pairs = met.select("id", "n", "pos", "root", F.explode("centres").alias("m")).select("*", "m.*").filter((F.col("root") != F.col("c_root")) & able)
+
+        def able(m: Column) -> Column:
+            """By the largest intersection that a pair can have whose first common shingle is this one."""
+            most = F.least(F.col("n") - F.col("pos"), m["c_n"] - m["c_pos"]) + 1
+            return (F.col("root") != m["c_root"]) & (most * (100 + percent) >= (F.col("n") + m["c_n"]) * percent)
+
+        pairs = met.select("id", F.explode(F.filter("centres", able)).alias("m")).select("id", "m.c")
         pairs = stored(pairs.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct(), "near-pairs")
         live = stored(live.select("bucket", "id", "n", "pos").join(centres.select("bucket", F.explode("centres.c").alias("id")), ["bucket", "id"], "left_anti"), "near-rest")
         if not is_empty(pairs):
