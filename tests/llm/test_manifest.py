@@ -220,3 +220,26 @@ def test_one_common_row(spark):
     forest = merkle.grow(docs.withColumn("digest", merkle.leaf_digest(F.col("doc_id"))), F.col("lang"), ["doc_id"])
     sizes = [r[1] for r in forest.kept.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 2 * 4000 / len(sizes)
+
+
+def test_manifest_over_partitions(spark):
+    """Groups that end in a later partition, before other groups; and a result whose partitions are merged."""
+    rows = [(k, lang, "t") for k, lang in enumerate(["a"] * 30 + ["b"] * 200 + ["c"] * 41 + [None] * 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        proven = merkle.manifest(docs, merkle.leaf_digest(F.col("doc_id"), F.col("lang"), F.col("text")), "lang", ["doc_id"], depth=3)
+        for result in (proven, proven.coalesce(1)):
+            got = merkle.folded(result).collect()
+            assert Counter((r.doc_id, r.digest.hex(), r.subroot.hex(), r.root.hex(), H(r.proof.hex())) for r in got) == brute_manifest(rows, 2)
+            assert all(r.verified for r in got)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_tampered_past_long(spark, tmp_path):
+    """Adding 1 to the largest number of characters gives a longer number, and no error."""
+    rows = [(k, "en", "s", (1 << 63) - 1, "t") for k in range(20)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.verified for r in queries.op13_merkle(spark, str(tmp_path)).collect()}
+    assert got == {k: zlib.crc32(str(k).encode()) % 7 != 0 for k in range(20)}

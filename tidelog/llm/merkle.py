@@ -16,7 +16,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +81,8 @@ def _local(where: dict[int, tuple[int, int]], arity: int, depth: int, nodes_only
     """Builds a sorted partition's subtrees, a block of ``arity ** depth`` aligned leaves at a time.
 
     ``where`` has, per partition, the place of its first row in its group and the size of the
-    whole group of its last row. Gives either the highest nodes, or the rows with their paths
+    whole group of its last row. Rows have their partition as ``_part``, as the task that runs
+    it may have another number. Gives either the highest nodes, or the rows with their paths
     up to these.
     """
     block = arity**depth
@@ -102,9 +102,14 @@ def _local(where: dict[int, tuple[int, int]], arity: int, depth: int, nodes_only
         return pa.RecordBatch.from_arrays([*whole.columns, *more], names=[*whole.schema.names, "pos", "near", "level", "coord"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last_size = where.get(TaskContext.get().partitionId(), (0, 0))
-        group, rows, begin = None, [], at
+        at, last_size, group, rows, begin = None, 0, None, [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            if at is None:
+                begin, last_size = where[batch.column("_part")[0].as_py()]
+                at = begin
+            batch = batch.drop_columns(["_part"])
             groups, k = batch.column("_group").to_pylist(), 0
             while k < len(groups):
                 if groups[k] != group:
@@ -163,12 +168,18 @@ def _places(counts: DataFrame) -> dict[int, tuple[int, int]]:
         of = r.last._group
     out, of, total = {}, None, 0
     for r in reversed(rows):
+        one = r.first._group == r.last._group
         if r.last._group != of:
-            of, total = r.last._group, (begin[r.part] if r.first._group == r.last._group else 0) + r.last.n
+            total = (begin[r.part] if one else 0) + r.last.n
         out[r.part] = (begin[r.part], total)
+        of, total = r.first._group, total if one else begin[r.part] + r.first.n  # an earlier partition's last group may end here, before others
     return out
 
 
+def _parted(kept: DataFrame) -> DataFrame:
+    return kept.withColumn("_part", F.spark_partition_id())
+
+
 def sorted_and_kept(rows: DataFrame, order: list[Column]) -> DataFrame:
     """``rows`` sorted over range partitions and written by ``checkpoint()``, which keeps the partitions as they are."""
     context = rows.sparkSession.sparkContext
@@ -193,7 +204,7 @@ class Forest:
     def proven(self, nodes: DataFrame) -> DataFrame:
         """The rows with pos (place in the group), proof (all siblings up to the group's root) and the columns of ``nodes``."""
         more = _with(self.kept, "pos long, near binary, level int, coord long")
-        rows = self.kept.mapInArrow(_local(self.where, self.arity, self.depth, False), more).join(nodes, ["_group", "level", "coord"])
+        rows = _parted(self.kept).mapInArrow(_local(self.where, self.arity, self.depth, False), more).join(nodes, ["_group", "level", "coord"])
         return rows.withColumn("proof", F.concat("near", "path")).drop("near", "path", "level", "coord")
 
 
@@ -210,7 +221,7 @@ def grow(leaves: DataFrame, group: Column, order: list[str], arity: int = ARITY,
     kept = sorted_and_kept(rows.withColumn("_file_row", F.col("_metadata.row_index")), order_by).drop("_file_row")
     counts = stored(kept.groupBy(F.spark_partition_id().alias("part"), "_group").agg(F.count(F.lit(1)).alias("n")), "merkle-counts")
     where = _places(counts)
-    borders = stored(kept.select("_group", "digest").mapInArrow(_local(where, arity, depth, True), "_group string, level int, coord long, digest binary"), "merkle-borders")
+    borders = stored(_parted(kept.select("_group", "digest")).mapInArrow(_local(where, arity, depth, True), "_group string, level int, coord long, digest binary"), "merkle-borders")
     sizes = counts.groupBy("_group").agg(F.sum("n").alias("size")).join(borders.groupBy("_group").agg(F.count(F.lit(1)).alias("nodes")), "_group")
     sizes = stored(sizes, "merkle-sizes")
     most = sizes.agg(F.max("size")).first()[0] or 1

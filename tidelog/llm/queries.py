@@ -108,7 +108,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     fields = lambda n: [F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")]
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
-    seen = F.when(tampered, merkle.leaf_digest(*fields(F.col("n_chars") + 1)))  # what a reader of the tampered table sees
+    seen = F.when(tampered, merkle.leaf_digest(*fields(F.col("n_chars").cast("decimal(20,0)") + 1)))  # what a reader of the tampered table sees
     proven = merkle.manifest(docs, merkle.leaf_digest(*fields(F.col("n_chars"))), "lang", ["doc_id"], carry={"seen": seen})
     checked = merkle.folded(proven.withColumn("seen", F.coalesce("seen", "digest")), "seen")
     text = lambda c: F.lower(F.hex(c))
