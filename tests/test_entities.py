@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -341,3 +342,12 @@ def test_features_never_look_ahead(spark):
             want = sorted((k, d(n), sum(x == k and max(a, o) <= d(n) and (e is None or e > d(n)) for x, a, o, e in links)) for k in "ab" for n in range(2, 21))
             assert sorted(tuple(r) for r in counts.collect()) == want
     assert seen[0] == seen[1]
+
+
+def test_identifier_pairs_arent_shuffled(spark):
+    """Repeated rows and mentions of several values give each pair once; pairs of a mention with one value pass no aggregate."""
+    m = spark.createDataFrame([("m", "T", "x"), ("m", "T", "x"), ("n", "T", "x"), ("n", "T", "y"), ("o", "I", "x"), (None, "T", "y")], "mention_id string, scheme string, value string")
+    i = spark.createDataFrame([("a", "T", "x", None), ("a", "T", "x", None), ("a", "T", "y", None), ("b", "T", "y", None), ("c", "T", "x", 1)], "syn_id string, scheme string, value string, valid_to int")
+    found = linker.identifier_candidates(m, i)
+    assert Counter(map(tuple, found.collect())) == Counter([("m", "a"), ("n", "a"), ("n", "b"), (None, "a"), (None, "b")])
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")

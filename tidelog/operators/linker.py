@@ -25,8 +25,18 @@ def ticker_candidates(mentions: DataFrame, identifiers: DataFrame, entities: Dat
 
 
 def identifier_candidates(mentions: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """Exact (scheme, value); its own query, not part of the cascade."""
-    return mentions.join(identifiers.filter("valid_to is null"), ["scheme", "value"]).select("mention_id", "syn_id").distinct()
+    """Exact (scheme, value); its own query, not part of the cascade.
+
+    There may be far more pairs than rows, so repetitions go before the join, and what a
+    mention with one value finds isn't shuffled. Only one with several may find an entity twice.
+    """
+    asked = mentions.select("mention_id", "scheme", "value").distinct()
+    asked = asked.withColumn("_values", F.count(F.lit(1)).over(Window.partitionBy("mention_id")))  # the values of one mention
+    held = identifiers.filter("valid_to is null").select("scheme", "value", "syn_id").distinct()
+    parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as sizes of the inputs say nothing about the pairs
+    held = held.repartition(parts, "scheme", "value")
+    find = lambda rows: rows.join(held, ["scheme", "value"]).select("mention_id", "syn_id")
+    return find(asked.filter("_values = 1")).unionByName(find(asked.filter("_values > 1")).distinct())
 
 
 def _alias_confidence(c: Column) -> Column:
