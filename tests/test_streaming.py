@@ -181,3 +181,33 @@ def test_expressions(spark):
     assert {(r.labels["s"], round(r.value * 60)) for r in labelled} == {("a", 11), ("b", 0)}
     with pytest.raises(ValueError):
         metrics.query_instant(d, metrics.Expr("max", "m_total"), 30)
+
+
+def test_order_check_of_large_groups(spark, files_in, monkeypatch):
+    """A group's rows are never one frame, many files share a call, and a null among its numbers leaves nanoseconds whole."""
+    from tidelog.streaming import state
+
+    frames = []
+    monkeypatch.setattr(state.pd, "concat", lambda *a, **k: frames.append(a))
+    monkeypatch.setattr(state, "HELD", 3)
+    calls = []
+    check = state.OrderCheck(["error", "n"], state.pa.schema([("check_file", state.pa.string()), ("check_clock", state.pa.int64()), ("check_seq", state.pa.int64()), ("check_source", state.pa.string()), ("check_arrival0", state.pa.int64())]))
+
+    class Value:
+        kept = None
+        exists = lambda self: self.kept is not None
+        get = lambda self: self.kept
+
+        def update(self, value):
+            self.kept = value
+            calls.append(1)
+
+    check.last = Value()
+    rows = [(f"f{k % 4}", 10 + k - 5 * (k == 9), k + 1 - 8 * (k == 14), None if k % 2 else "s", k, None if k != 6 else "bad", k) for k in range(16)]
+    frame = state.pd.DataFrame(rows, columns=["check_file", "check_clock", "check_seq", "check_source", "check_arrival0", "error", "n"])
+    got = [r for part in (frame[:8], frame[8:]) for f in check.handleInputRows((0,), iter([part[k : k + 2] for k in range(0, 8, 2)]), None) for r in f.itertuples(index=False)]
+    assert [(r.n, r.error) for r in got if r.error] == [(6, "bad"), (9, "monotonic clock went back"), (14, "sequence didn't grow")] and [r.n for r in got] == list(range(16))
+    assert not frames and len(calls) == 2
+    files_in.put([("a", 1, BASE + 1, 1), ("a", 2, BASE + 3, 2), ("a", None, BASE + 2, 3), ("a", 3, BASE + 2, 4)], "symbol string, seq long, ts_monotonic_ns long, arrival long")
+    out = ingest.run_available(ingest.order_check(files_in.open()))
+    assert sorted((r.seq or 0, r.accepted) for r in out.collect() if r.seq) == [(1, True), (2, True), (3, False)]

@@ -68,7 +68,7 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
 
-def _walk(rows: pa.RecordBatch, file: list[str], before: tuple | None, last: Last) -> tuple[np.ndarray, tuple, Last]:
+def walk(rows: pa.RecordBatch, file: list[str], before: tuple | None, last: Last) -> tuple[np.ndarray, tuple, Last]:
     """Which rows of a sorted batch are refused (1 or 2), its last row's file and the state behind it.
 
     "In order with the row before" is found for the whole batch at once; where it holds for all
@@ -103,7 +103,7 @@ def _order_errors(file: list[str], error: str | None):
             good = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
             if len(good):
                 rows = batch.select([*file, "ts_monotonic_ns", "source", "seq"])
-                refused, before, last = _walk(rows if len(good) == len(found) else rows.take(pa.array(good)), file, before, last)
+                refused, before, last = walk(rows if len(good) == len(found) else rows.take(pa.array(good)), file, before, last)
                 every = np.zeros(len(found), dtype=np.int8)
                 every[good] = refused
                 found = pc.coalesce(found, names.take(pa.array(every)))

@@ -3,57 +3,115 @@
 from __future__ import annotations
 
 import contextlib
+import pickle
+import tempfile
+import time
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.ordering import CLOCK_BACK, NOTHING, SEQUENCE_BACK, fold
+from ..operators.ordering import CLOCK_BACK, NOTHING, SEQUENCE_BACK, starts_of, walk
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextlib.contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries that are started inside keep their state in RocksDB, which state with timers needs."""
-    before = spark.conf.get(_PROVIDER, None)
+    """Queries that are started inside keep their state in RocksDB, which state with timers needs, in three partitions a core at most.
+
+    Every partition of a state has a store to load and to commit in each micro-batch, and a Python worker, however few its rows.
+    """
+    most = max(32, 3 * spark.sparkContext.defaultParallelism)
+    before = {k: spark.conf.get(k, None) for k in (_PROVIDER, _PARTITIONS)}
     spark.conf.set(_PROVIDER, _ROCKSDB)
+    spark.conf.set(_PARTITIONS, str(min(most, int(spark.conf.get(_PARTITIONS)))))
     try:
         yield
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Groups that the files of an order check are dealt to: a call of the processor has the rows of many small files.
+PARTS = 512
+#: Rows of a group that a task holds as a frame; the others wait in a temporary file while the facts of all are sorted.
+HELD = 100_000
 
 
 class OrderCheck(StatefulProcessor):
-    """Sets ``error`` on a file's rows that the order check refuses; a value state holds the last accepted event.
+    """Sets ``error`` on rows that the order check of their file refuses; a value state holds the last accepted events of a group of files.
 
-    Rows that have an error already take no part. A key's rows of one micro-batch are put in
-    their order of arrival first, so a trigger bounds what a task holds.
+    Rows that have an error already take no part. A file's rows of one micro-batch are put in
+    their order of arrival first, behind the file's last accepted event. Only what the check
+    looks at is held for that, and sorted for all files of a group at once.
     """
 
-    def __init__(self, arrival: list[str], keep_ms: int | None = None) -> None:
-        self.arrival, self.keep_ms = arrival, keep_ms
+    def __init__(self, columns: list[str], facts: pa.Schema, keep_ms: int | None = None) -> None:
+        self.columns, self.facts, self.keep_ms = columns, facts, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "clock long, source string, seq long", self.keep_ms)
+        self.last = handle.getValueState("last", "files binary")
+
+    def _seeds(self, now: int) -> pa.Table:
+        if not self.last.exists():
+            return pa.schema([*self.facts, ("at", pa.int64())]).empty_table()
+        held = pa.ipc.open_stream(self.last.get()[0]).read_all()
+        return held if self.keep_ms is None else held.filter(pc.greater_equal(held.column("at"), now - self.keep_ms))
+
+    def _refused(self, good: pa.Table) -> np.ndarray:
+        """Which of the rows are refused (1 by their clock, 2 by their sequence); the state goes on."""
+        now = int(time.time() * 1000)
+        seeds = self._seeds(now)
+        every = pa.concat_tables([seeds, good.append_column("at", pa.repeat(pa.scalar(now, pa.int64()), len(good)))])
+        every = every.append_column("_new", pa.array(np.arange(len(every)) >= len(seeds)))
+        arrival = [c for c in self.facts.names if c.startswith("check_arrival")]
+        order = pc.sort_indices(every, sort_keys=[(c, "ascending") for c in ("check_file", "_new", *arrival)]).to_numpy()
+        rows = pa.table({"check_file": every["check_file"], "ts_monotonic_ns": every["check_clock"], "source": every["check_source"], "seq": every["check_seq"]}).take(order).combine_chunks().to_batches()[0]
+        found = walk(rows, ["check_file"], None, NOTHING)[0]
+        fine = np.flatnonzero(found == 0)
+        codes = np.cumsum(starts_of(rows, ["check_file"], None))[fine]
+        last = order[fine[np.append(codes[1:] != codes[:-1], True)]]
+        sink = pa.BufferOutputStream()
+        kept = every.drop_columns(["_new"]).take(np.sort(last)).combine_chunks()
+        with pa.ipc.new_stream(sink, kept.schema) as out:
+            out.write_table(kept)
+        self.last.update((sink.getvalue().to_pybytes(),))
+        back = np.zeros(len(every), dtype=np.int8)
+        back[order] = found
+        return back[len(seeds) :]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(self.arrival, kind="stable", ignore_index=True)
-        good = np.flatnonzero(frame.error.isnull())
-        if len(good):
-            last = tuple(self.last.get()) if self.last.exists() else NOTHING
-            some = frame.iloc[good]
-            found, last = fold(some.ts_monotonic_ns.to_numpy(), some.source.to_numpy(dtype=object), some.seq.to_numpy(), last)
-            self.last.update(last)
-            frame["error"] = frame.error.astype(object)
-            frame.iloc[good, frame.columns.get_loc("error")] = np.array([None, CLOCK_BACK, SEQUENCE_BACK], dtype=object)[found]
-        yield frame
+        frames, facts, good, n = [], [], [], 0
+        with tempfile.TemporaryFile() as more:
+            for frame in rows:
+                good.append(frame.error.isnull().to_numpy())
+                facts.append(pa.Table.from_pandas(frame.loc[good[-1], self.facts.names], self.facts, preserve_index=False))
+                n += len(frame)
+                if n <= HELD:
+                    frames.append(frame[self.columns])
+                else:
+                    pickle.dump(frame[self.columns], more, protocol=5)
+            checked = pa.concat_tables(facts)
+            refused = self._refused(checked) if len(checked) else np.zeros(0, dtype=np.int8)
+            names, at = np.array([None, CLOCK_BACK, SEQUENCE_BACK], dtype=object), 0
+            more.seek(0)
+            for k, some in enumerate(good):
+                frame = frames[k] if k < len(frames) else pickle.load(more)
+                error = frame.error.to_numpy(dtype=object, copy=True)
+                error[some] = names[refused[at : at + some.sum()]]
+                at += some.sum()
+                yield frame.assign(error=error)
 
     def close(self) -> None:
         pass
@@ -67,12 +125,17 @@ def _safe(schema: T.StructType) -> list[str]:
 def check_order(stream: DataFrame, file: list[str], arrival: list[str], keep_ms: int | None = None) -> DataFrame:
     """``stream`` (with ``error``) after the order check of its files, whose state outlives micro-batches and restarts.
 
-    With ``keep_ms`` a file's state goes that long after its last event; without, it stays. A
-    number that isn't one becomes null, which concerns refused events only.
+    With ``keep_ms`` a file's state goes that long after its last event; without, it stays.
     """
-    packed = [c for c in _safe(stream.schema) if c not in {"ts_monotonic_ns", "seq", *arrival}]
-    rows = stream.withColumns({c: F.col(c).cast("string") for c in packed}) if packed else stream
-    out = rows.groupBy(*file).transformWithStateInPandas(OrderCheck(arrival, keep_ms), rows.schema, "append", "none")
+    packed = _safe(stream.schema)
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit((1 << 63) - 1)) if isinstance(stream.schema[c].dataType, T.IntegralType) else F.col(c)
+    # names that begin with an underscore get lost on the way to a frame
+    facts = {"check_file": F.to_json(F.struct(*file), {"ignoreNullFields": "false"}), "check_clock": whole("ts_monotonic_ns"), "check_seq": whole("seq"), "check_source": F.col("source"), **{f"check_arrival{k}": whole(c) for k, c in enumerate(arrival)}}
+    rows = stream.withColumns({**facts, "check_part": F.pmod(F.xxhash64(*file), F.lit(PARTS))})
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in packed}) if packed else rows
+    shape = T.StructType([rows.schema[c] for c in stream.columns])
+    held = pa.schema([(c, to_arrow_type(rows.schema[c].dataType)) for c in facts])
+    out = rows.groupBy("check_part").transformWithStateInPandas(OrderCheck(stream.columns, held, keep_ms), shape, "append", "none")
     return out.withColumns({c: F.col(c).cast(stream.schema[c].dataType) for c in packed}) if packed else out
 
 
