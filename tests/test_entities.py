@@ -351,3 +351,12 @@ def test_identifier_pairs_arent_shuffled(spark):
     found = linker.identifier_candidates(m, i)
     assert Counter(map(tuple, found.collect())) == Counter([("m", "a"), ("n", "a"), ("n", "b"), (None, "a"), (None, "b")])
     assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_versions_are_merged_once(spark):
+    """What is stored first isn't made again for each part of the merge that reads it."""
+    from tidelog import plans
+
+    found = plans.QUERIES["edge_upsert_full"](spark, "/root/testdata/sf0.001")
+    assert any("edge-versions" in f for f in found.inputFiles())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1

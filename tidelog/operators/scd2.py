@@ -26,7 +26,13 @@ def as_of(at: Column, prefix: str = "") -> Column:
 def _differs(old: tuple, new: tuple, exact: int) -> bool:
     if old[:exact] != new[:exact]:
         return True
-    return any((a is None) != (b is None) or a is not None and abs(a - b) > TOLERANCE for a, b in zip(old[exact:], new[exact:]))
+    for a, b in zip(old[exact:], new[exact:]):
+        if a is None or b is None:
+            if a is not b:
+                return True
+        elif abs(a - b) > TOLERANCE:
+            return True
+    return False
 
 
 def _kept(keys: list[str], exact: list[str], near: list[str]):
@@ -56,10 +62,13 @@ def _kept(keys: list[str], exact: list[str], near: list[str]):
             starts = starts if new[0] else np.concatenate([[0], starts])
             ends = np.append(starts[1:], n)
             value = lambda k: tuple(batch.column(c)[k].as_py() for c in [*exact, *near])  # noqa: B023, E731
-            for k in np.flatnonzero(np.add.reduceat(drift, starts)).tolist():
+            folded = np.flatnonzero(np.add.reduceat(drift, starts)).tolist()
+            if folded:  # as lists once, not value by value
+                rows = list(zip(*(batch.column(c).to_pylist() for c in [*exact, *near])))
+            for k in folded:
                 held = last
                 for i in range(int(starts[k]), int(ends[k])):
-                    row = value(i)
+                    row = rows[i]
                     flags[i] = new[i] or _differs(held, row, len(exact))
                     held = row if flags[i] else held
                 if k == len(starts) - 1:

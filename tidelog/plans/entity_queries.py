@@ -519,7 +519,10 @@ def edge_upsert_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = li.agg(F.format_string('{ "flag" : "%s" }', F.min("l_returnflag")).alias("attrs"), F.min("l_linestatus").alias("evidence"), (F.min("l_discount") * 0.3).alias("confidence"))
     day = day.withColumns({"attrs": store.no_empty_json(F.col("attrs")), "observed_at": F.col("valid_from") + F.expr("interval 1 day")})
     cut, args = F.lit("1997-01-01").cast("timestamp_ntz"), (["supplier", "part"], ["attrs", "evidence"], ["confidence"], ["valid_from"], ["observed_at"])
-    stored = scd2.merge(None, day.filter(F.col("valid_from") < cut), *args)
+    first = scd2.merge(None, day.filter(F.col("valid_from") < cut), *args)
+    path = V.shared_path(spark, "edge-versions")  # the merge reads what is stored twice, for its open rows and the others
+    first.write.parquet(path)
+    stored = spark.read.schema(first.schema).parquet(path)
     return scd2.merge(stored, day.filter(F.col("valid_from") >= cut), *args).drop("action").withColumn("confidence", F.round("confidence", 6))
 
 
