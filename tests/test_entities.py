@@ -360,3 +360,31 @@ def test_versions_are_merged_once(spark):
     found = plans.QUERIES["edge_upsert_full"](spark, "/root/testdata/sf0.001")
     assert any("edge-versions" in f for f in found.inputFiles())
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_common_lexeme_and_shared_name_are_dealt_out(spark, monkeypatch):
+    """All texts have one lexeme, and a query asks for it: neither its postings nor a shared name's entities meet in one task."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    monkeypatch.setattr(names, "CHUNK", 100)
+    texts = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("common x"), F.col("id") % 1000, F.when(F.col("id") % 3 == 0, " common").otherwise("")).alias("text"))
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        index = names.postings(texts)
+        parts = [r["count"] for r in index.filter("lexeme = 'common'").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == 2000 and max(parts) < 1000
+        assert {r.frequency for r in index.filter("lexeme = 'common'").collect()} == {2000} and {r.frequency for r in index.filter("lexeme <> 'common'").collect()} == {2}
+        asked = spark.createDataFrame([("common",), ("commons x7",), ("x7 x8",), ("common y",), ("the",)], "query string")
+        found = names.matches(asked, index)
+        assert sum(r["count"] for r in found.filter("query = 'common'").groupBy(F.spark_partition_id()).count().collect()) == 2000
+        assert len(re.findall(r"Generate posexplode\(_words#\d+\), \[query#", found._jdf.queryExecution().executedPlan().toString())) == 1  # a query's words are looked up once
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    want = {("common", str(k)): ((2 if k % 3 == 0 else 1) / (3 if k % 3 == 0 else 2)) for k in range(2000)}
+    want |= {("commons x7", str(k)): (3 / 3 if k % 3 == 0 else 2 / 2) for k in (7, 1007)}
+    assert {(r.query, r.id): r["rank"] for r in found.collect()} == want
+    held = spark.range(3000).select(F.format_string("CO_%05d", "id").alias("syn_id"), F.lit("one").alias("_name"))
+    got = linker._holders(held, "_name", [F.col("syn_id")])
+    assert sorted(r.syn_id for r in got.collect()) == [f"CO_{k:05d}" for k in range(10)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [") == 1  # dealt out before anything is sorted

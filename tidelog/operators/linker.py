@@ -15,6 +15,8 @@ from .registry import rank_in
 TICKER, ALIAS, CANONICAL, FUZZY = 1, 2, 3, 4
 RESOLVE_AT, AMBIGUOUS_GAP, TRIGRAM_AT = 0.95, 0.1, 0.3
 MOST = 10
+#: Parts that the entities of one text are ranked in first.
+PARTS = 64
 
 
 def ticker_candidates(mentions: DataFrame, identifiers: DataFrame, entities: DataFrame) -> DataFrame:
@@ -44,9 +46,15 @@ def _alias_confidence(c: Column) -> Column:
 
 
 def _holders(rows: DataFrame, text: str, order: list[Column]) -> DataFrame:
-    """Of the rows that share a text, those of its first MOST entities in ``order``: no more can be among a mention's candidates. Spark prunes them in each task first."""
-    place = F.dense_rank().over(Window.partitionBy(text).orderBy(*order))
-    return rows.withColumn("_place", place).filter(F.col("_place") <= MOST).drop("_place")
+    """Of the rows that share a text, those of its first MOST entities in ``order``: no more can be among a mention's candidates.
+
+    All entities may share one, so they are dealt out by id and ranked in each part first.
+    """
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("syn_id"), F.lit(PARTS))).repartition(text, "_part")
+    for keys in ([text, "_part"], [text]):
+        place = F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order))
+        rows = rows.withColumn("_place", place).filter(F.col("_place") <= MOST).drop("_place")
+    return rows.drop("_part")
 
 
 def _live(entities: DataFrame) -> DataFrame:

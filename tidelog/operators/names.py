@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.text import STOP_WORDS, stems, words_of
 
 POSTINGS = "lexeme string, frequency long, id string, positions array<int>, length int"
+#: Parts that a lexeme's postings are counted in, and postings of a lexeme that meet a query in one task.
+PARTS, CHUNK = 256, 10_000
 
 
 def _lexemes(texts: DataFrame, text: str) -> DataFrame:
@@ -24,10 +26,15 @@ def _lexemes(texts: DataFrame, text: str) -> DataFrame:
 
 
 def postings(texts: DataFrame) -> DataFrame:
-    """The index of ``texts`` (id, text), with distinct ids."""
+    """The index of ``texts`` (id, text), with distinct ids.
+
+    A lexeme may be in most texts, so its postings get its frequency in PARTS parts, by ids.
+    """
     rows = _lexemes(texts.select("id", "text"), "text").groupBy("lexeme", "id", "length").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    many = rows.groupBy("lexeme").agg(F.count(F.lit(1)).alias("frequency"))
-    return rows.join(many, "lexeme").select("lexeme", "frequency", "id", "positions", "length")
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    many = rows.groupBy("lexeme", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    many = many.withColumn("frequency", F.sum("_n").over(Window.partitionBy("lexeme"))).drop("_n")  # at most PARTS rows a lexeme
+    return rows.join(many, ["lexeme", "_part"]).select("lexeme", "frequency", "id", "positions", "length")
 
 
 def write_index(texts: DataFrame, path: str) -> None:
@@ -43,21 +50,21 @@ def matches(queries: DataFrame, index: DataFrame) -> DataFrame:
     """query, id, rank: the texts that have all lexemes of a query (``query``, distinct); one without lexemes finds nothing.
 
     A query goes to the postings of its rarest lexeme alone; the texts found there are then
-    looked up under the others. The rank is a declared substitute: the occurrences of the
-    query's lexemes over the text's words and the words before the first of them.
+    looked up under the others. Where even that lexeme has many postings, they are dealt out
+    by id. The rank is a declared substitute: the occurrences of the query's lexemes over the
+    text's words and the words before the first of them.
     """
     asked = _lexemes(queries.select("query"), "query").select("query", "lexeme").distinct()
     known = index.groupBy("lexeme").agg(F.first("frequency").alias("_n"))
-    whole = Window.partitionBy("query")  # the lexemes of one query
-    asked = asked.join(known, "lexeme", "left").withColumns({"_asked": F.count(F.lit(1)).over(whole), "_known": F.count("_n").over(whole)}).filter("_asked = _known")
-    rarest = F.row_number().over(whole.orderBy("_n", "lexeme")) == 1
-    asked = asked.withColumn("_lead", rarest)
-    found = asked.filter("_lead").join(index.select("lexeme", "id", "positions", "length"), "lexeme")
-    found = found.select("query", "id", "_asked", "length", F.size("positions").alias("hits"), F.col("positions")[0].alias("first"))
-    rest = found.filter("_asked > 1").select("query", "id", "_asked").join(asked.filter("not _lead").select("query", "lexeme"), "query")
-    rest = rest.join(index.select("lexeme", "id", "positions", "length"), ["lexeme", "id"]).select("query", "id", "_asked", "length", F.size("positions").alias("hits"), F.col("positions")[0].alias("first"))
-    every = found.unionByName(rest).groupBy("query", "id").agg(F.count(F.lit(1)).alias("_n"), F.first("_asked").alias("_asked"), F.sum("hits").alias("hits"), F.min("first").alias("first"), F.first("length").alias("length"))
-    return every.filter("_n = _asked").select("query", "id", (F.col("hits") / (F.col("length") + F.col("first") - 1)).alias("rank"))
+    lexemes = F.sort_array(F.collect_list(F.struct("_n", "lexeme")))  # the lexemes of one query, the rarest first; unknown ones before all
+    asked = asked.join(known, "lexeme", "left").groupBy("query").agg(lexemes.alias("_l")).filter(F.col("_l")[0]["_n"].isNotNull())
+    parts = lambda n: F.ceil(n / CHUNK)
+    lead = asked.select("query", F.col("_l")[0]["lexeme"].alias("lexeme"), F.slice("_l.lexeme", 2, F.size("_l")).alias("_rest"), F.explode(F.sequence(F.lit(0), parts(F.col("_l")[0]["_n"]) - 1)).alias("_part"))
+    dealt = index.select("lexeme", F.pmod(F.xxhash64("id"), parts(F.col("frequency"))).alias("_part"), "id", "length", F.size("positions").alias("hits"), F.col("positions")[0].alias("first"))
+    found = lead.join(dealt, ["lexeme", "_part"]).select("query", "id", "length", F.col("hits").alias("_hits"), F.col("first").alias("_first"), F.size("_rest").alias("_others"), F.explode_outer("_rest").alias("lexeme"))
+    every = found.join(dealt.select("lexeme", "id", "hits", "first"), ["lexeme", "id"], "left").groupBy("query", "id", "length", "_hits", "_first", "_others")
+    every = every.agg(F.count("hits").alias("_n"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.min("first").alias("first")).filter("_n = _others")
+    return every.select("query", "id", ((F.col("_hits") + F.col("hits")) / (F.col("length") + F.least("_first", "first") - 1)).alias("rank"))
 
 
 def search(entities: DataFrame, index: DataFrame, query: str, limit: int) -> DataFrame:
