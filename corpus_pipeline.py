@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate as decontamination
 from tidelog.llm import exact_dedup, near_dedup, quality
-from tidelog.llm.common import Scratch, drop_path, is_empty, marked, new_path, read_table, stored
+from tidelog.llm.common import Scratch, drop_path, give_back, is_empty, marked, new_path, read_table, stored
 from tidelog.llm.queries import bpe_digests
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -49,6 +49,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     an empty table gives no rows. Columns besides those of ``documents`` are dropped, here and
     in all stages.
     """
+    give_back(spark)
     return quality.keep_good(docs.select(COLUMNS), read_table(spark, sf_dir, "labels"))
 
 
@@ -60,6 +61,7 @@ def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     any other; of a group with no other, one row stays. A null text equals an empty one.
     Texts are compared whole at any length; an empty table gives no rows.
     """
+    give_back(spark)
     rows = numbered(docs.select(COLUMNS))
     return first_rows(rows, exact_dedup.exact_dedup(rows, "row"))
 
@@ -70,6 +72,7 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Shared and null ids count as in the stage before. Texts without words are linked with
     nothing, so all of them stay. Texts are compared whole; an empty table gives no rows.
     """
+    give_back(spark)
     rows = numbered(docs.select(COLUMNS))
     return first_rows(rows, near_dedup.near_components(rows, "row", width=5, percent=80))
 
@@ -81,6 +84,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     difference. A null or empty text holds no item and stays; a long one is searched whole. An
     empty table gives no rows, and an empty benchmark drops none.
     """
+    give_back(spark)
     return decontamination.keep_clean(docs.select(COLUMNS), read_table(spark, sf_dir, "benchmark"))
 
 
@@ -90,6 +94,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null or empty text has no ids. Repeated rows and shared or null ids each have their row;
     texts are encoded whole at any length; an empty table gives no rows.
     """
+    give_back(spark)
     return bpe_digests(docs, "ids", remembered=REMEMBERED)
 
 

@@ -567,3 +567,23 @@ def test_all_queries_registered():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert F is not None
+
+
+def test_pipeline_gives_memory_back(spark, monkeypatch):
+    """Executors collect garbage before each stage, and the classifier's ids take no Python workers."""
+    import corpus_pipeline as p
+    from pyspark import SparkContext
+    from tidelog.llm.common import give_back
+
+    give_back(spark)
+
+    def stop(*args, **more):
+        raise InterruptedError
+
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    monkeypatch.setattr(p, "give_back", stop)
+    for _, stage in p.STAGES:
+        with pytest.raises(InterruptedError):
+            stage(spark, docs, SMALL)
+    monkeypatch.setattr(SparkContext, "parallelize", stop)
+    assert any(quality.train(docs, labels).values())

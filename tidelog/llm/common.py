@@ -123,6 +123,12 @@ def forget_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let executors collect garbage, as a heap that has grown for one job else stays as large in all later ones, beside their workers."""
+    tasks = 2 * spark.sparkContext.defaultParallelism  # some for each executor
+    spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

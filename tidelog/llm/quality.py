@@ -310,7 +310,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[
     order = F.xxhash64("doc_id")
     spark = docs.sparkSession
     taken = sorted((r for r in labels.withColumn("o", order).orderBy("o", "doc_id").limit(labelled).collect()), key=lambda r: r.o)
-    rows = _sample(docs, spark.createDataFrame([(i,) for i in sorted({r.doc_id for r in taken})], "doc_id long"))
+    # As an Arrow table, since rows would take Python workers of their own on the executors.
+    rows = _sample(docs, spark.createDataFrame(pa.table({"doc_id": pa.array(sorted({r.doc_id for r in taken}), pa.int64())})))
     known = [r for r in taken if r.doc_id in rows]
     starts = {t: start_of([rows[r.doc_id] for r in known], np.array([float(r[t] > 0) for r in known])) for t in TARGETS}
     if not any(starts.values()):
