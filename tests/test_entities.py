@@ -388,3 +388,40 @@ def test_common_lexeme_and_shared_name_are_dealt_out(spark, monkeypatch):
     got = linker._holders(held, "_name", [F.col("syn_id")])
     assert sorted(r.syn_id for r in got.collect()) == [f"CO_{k:05d}" for k in range(10)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [") == 1  # dealt out before anything is sorted
+
+
+def test_cascade_spreads_a_mention(spark):
+    """A ticker may have any number of holders: they are counted by partial aggregates, and no table or index is broadcast because its file is small."""
+    from tidelog.plans import QUERIES
+    from tidelog.plans import entity_queries as Q
+
+    assert all("cascade-mentions" in f for f in Q._cascade_mentions(spark, SMALL).inputFiles())  # orders are read for the mentions once
+    for name in ("link_cascade", "link_ticker", "link_alias_exact", "link_alias_fuzzy", "link_canonical"):
+        assert not re.search(r"BroadcastHashJoin \[(syn_id|lexeme|_word|_name)#", QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString())
+    holders = spark.range(2000).select(F.format_string("CO_%05d", "id").alias("syn_id"), F.lit("x").alias("name"), F.lit(1.0).alias("confidence"))
+    first = holders.select(F.lit(1).cast("long").alias("mention_id"), "*", F.lit(1).alias("strategy"))
+    other = holders.filter("syn_id < 'CO_00003'").crossJoin(spark.createDataFrame([(1, 2), (2, 3), (2, 4)], "mention_id long, strategy int")).select("mention_id", "syn_id", "name", F.lit(0.9).alias("confidence"), "strategy")
+    ranked = linker.cascade([first, other.filter("strategy < 4"), other.filter("strategy = 4")])
+    decided = linker.decide(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "mention_id long, text string"), ranked)
+    assert not re.search(r"windowspecdefinition\(mention_id#\d+L?, confidence#\d+ DESC NULLS LAST, syn_id", decided._jdf.queryExecution().optimizedPlan().toString())
+    assert {r.mention_id: (r.resolved_id, r.reason) for r in decided.collect()} == {1: ("CO_00000", None), 2: (None, "Ambiguous: 3 candidates with similar confidence"), 3: (None, "No candidates found")}
+    got = ranked.collect()
+    assert sorted((r.mention_id, r["rank"], r.syn_id, r.strategy) for r in got) == [(1, k + 1, f"CO_{k:05d}", 1) for k in range(2000)] + [(2, k + 1, f"CO_{k:05d}", 3) for k in range(3)]
+
+
+def test_decide_against_loop(spark):
+    """Ties, missing confidences and mentions of one candidate, as by a full order of the candidates."""
+    rng = random.Random(5)
+    rows = [(k, f"E{j}", rng.choice([None, 0.5, 0.85, 0.9, 0.94, 0.95, 1.0])) for k in range(200) for j in rng.sample(range(20), rng.randint(0, 5))]
+    m = spark.createDataFrame([(k, f"t{k}") for k in range(200)], "mention_id long, text string")
+    got = {r.mention_id: r for r in linker.decide(m, spark.createDataFrame(rows, "mention_id long, syn_id string, confidence double")).collect()}
+    assert len(got) == 200
+    for k in range(200):
+        mine = sorted((c is None, -(c or 0), s, c) for i, s, c in rows if i == k)
+        c1, c2 = (mine[i][3] if len(mine) > i else None for i in (0, 1))
+        reason = None
+        if c1 is None:
+            reason = "No candidates found"
+        elif c1 < 0.95:
+            reason = f"Ambiguous: {len(mine)} candidates with similar confidence" if c2 is not None and c1 - c2 < 0.1 else f"Low confidence: best={c1:.2f} < threshold=0.95"
+        assert (got[k].resolved_id, got[k].confidence, got[k].reason) == (mine[0][2] if c1 is not None and c1 >= 0.95 else None, c1, reason)

@@ -5,6 +5,8 @@ Mentions: (mention_id, text). Candidates: (mention_id, syn_id, name, confidence,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,7 @@ PARTS = 64
 
 def ticker_candidates(mentions: DataFrame, identifiers: DataFrame, entities: DataFrame) -> DataFrame:
     held = identifiers.filter("scheme = 'TICKER' and valid_to is null").select("syn_id", F.upper("value").alias("_t"))
-    live = entities.filter("status = 'ACTIVE'").select("syn_id", F.col("canonical_name").alias("name"))
-    hit = mentions.withColumn("_t", trimmed(F.col("text"))).filter(ticker_like(F.col("_t"))).join(held, "_t").join(live, "syn_id")
+    hit = mentions.withColumn("_t", trimmed(F.col("text"))).filter(ticker_like(F.col("_t"))).join(held, "_t").join(_live(entities), "syn_id")
     return hit.select("mention_id", "syn_id", "name", F.lit(1.0).alias("confidence"), F.lit(TICKER).alias("strategy")).distinct()
 
 
@@ -58,7 +59,8 @@ def _holders(rows: DataFrame, text: str, order: list[Column]) -> DataFrame:
 
 
 def _live(entities: DataFrame) -> DataFrame:
-    return entities.filter("status = 'ACTIVE'").select("syn_id", F.col("canonical_name").alias("name"))
+    """Never broadcast: a small file may hold many entities, and every task would have all of them in memory."""
+    return entities.filter("status = 'ACTIVE'").select("syn_id", F.col("canonical_name").alias("name")).hint("merge")
 
 
 def alias_candidates(mentions: DataFrame, aliases: DataFrame, entities: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def fuzzy_candidates(mentions: DataFrame, aliases: DataFrame, entities: DataFram
     needed = F.ceil((F.col("_sm") + F.col("size")) * (least / (1 + least)) - 1e-9)
     sizes = F.least("size", "_sm") >= F.greatest("size", "_sm") * least - 1e-9
     pairs = m.join(t, "gram").filter(sizes & (shared >= needed)).select("mention_id", "_id").distinct()
-    near = pairs.join(asked.withColumnRenamed("grams", "_gm"), "mention_id").join(texts.withColumnRenamed("grams", "_g"), "_id")
+    near = pairs.join(asked.withColumnRenamed("grams", "_gm").hint("merge"), "mention_id").join(texts.withColumnRenamed("grams", "_g").hint("merge"), "_id")
     near = near.withColumn("similarity", similarity(F.col("_gm"), F.col("_g"))).filter(F.col("similarity") >= least).select("mention_id", "_a", "similarity")
     held = aliases.select("syn_id", F.lower("alias").alias("_a"), _alias_confidence(F.col("confidence")).alias("_c")).join(_live(entities), "syn_id").distinct()
     hit = near.join(_holders(held, "_a", [F.col("syn_id")]), "_a")
@@ -116,35 +118,48 @@ def canonical_candidates(mentions: DataFrame, entities: DataFrame, index: DataFr
     asked = mentions.select("mention_id", normalize_text(F.col("text")).alias("_n"))
     match = names.matches(asked.select(F.col("_n").alias("query")).distinct(), index)
     scored = match.withColumn("confidence", sequence_ratio(F.col("query"), F.col("id")) * 0.85).select(F.col("query").alias("_n"), F.col("id").alias("_name"), "confidence")
-    rows = asked.join(scored, "_n").join(_holders(held, "_name", [F.col("syn_id")]), "_name").select("mention_id", "syn_id", "name", "confidence", F.lit(CANONICAL).alias("strategy"))
+    rows = asked.join(scored, "_n").join(_holders(held, "_name", [F.col("syn_id")]).hint("merge"), "_name").select("mention_id", "syn_id", "name", "confidence", F.lit(CANONICAL).alias("strategy"))
     return rank_in(rows, ["mention_id"], [F.desc("confidence"), F.col("syn_id")], MOST).drop("rank")
 
 
 def cascade(candidates: list[DataFrame], entities: DataFrame | None = None, kind: str | None = None) -> DataFrame:
     """Each mention keeps the candidates of its first strategy that found any, one per entity, best first.
 
-    With ``kind``, only entities of that type are left, after the strategy is chosen.
+    ``candidates`` come in the order of their strategies. The first may find any number for a
+    mention (all holders of a ticker), the others MOST each, so the first one's are kept as they
+    are, and the others' only where it found none. With ``kind``, only entities of that type are
+    left, after the strategy is chosen.
     """
-    rows = candidates[0].select("mention_id", "syn_id", "name", "confidence", "strategy")
-    for more in candidates[1:]:
-        rows = rows.unionByName(more.select(rows.columns))
-    first = F.min("strategy").over(Window.partitionBy("mention_id"))  # at most MOST rows a strategy
-    rows = rows.withColumn("_first", first).filter(F.col("strategy") == F.col("_first")).drop("_first")
+    rows, *others = (c.select("mention_id", "syn_id", "name", "confidence", "strategy") for c in candidates)
+    if others:
+        rest = reduce(DataFrame.unionByName, others).join(rows.select("mention_id").distinct(), "mention_id", "left_anti")
+        first = F.min("strategy").over(Window.partitionBy("mention_id"))  # at most MOST rows a strategy
+        rows = rows.unionByName(rest.withColumn("_first", first).filter(F.col("strategy") == F.col("_first")).drop("_first"))
     if kind is not None:
         rows = rows.join(entities.filter(F.col("type") == kind).select("syn_id"), "syn_id", "left_semi")
     return dedup(rows)
 
 
 def dedup(candidates: DataFrame) -> DataFrame:
-    """One candidate per mention and entity: the highest confidence; ``rank`` orders a mention's candidates."""
+    """One candidate per mention and entity: the highest confidence; ``rank`` orders a mention's candidates.
+
+    Nothing here reads ``rank``, so a mention's candidates meet in one task only for callers that do.
+    """
     best = rank_in(candidates, ["mention_id", "syn_id"], [F.desc("confidence"), F.col("name")], 1).drop("rank")
-    return rank_in(best, ["mention_id"], [F.desc("confidence"), F.col("syn_id")], 1 << 30)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("confidence"), "syn_id")))
 
 
-def decide(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
-    """mention_id, resolved id if the best is sure enough, else the reason for quarantine."""
-    of = lambda rank, c: F.max(F.when(F.col("rank") == rank, F.col(c)))
-    top = ranked.groupBy("mention_id").agg(of(1, "syn_id").alias("best"), of(1, "confidence").alias("c1"), of(2, "confidence").alias("c2"), F.count(F.lit(1)).alias("n"))
+def decide(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """mention_id, resolved id if the best is sure enough, else the reason for quarantine.
+
+    ``candidates`` has one row per mention and entity. A mention may have any number, so those
+    of one confidence are counted first, by partial aggregates.
+    """
+    tied = candidates.groupBy("mention_id", "confidence").agg(F.min("syn_id").alias("best"), F.count(F.lit(1)).alias("n"))
+    tied = tied.withColumn("_place", F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("confidence"))))
+    of = lambda place, c: F.max(F.when(F.col("_place") == place, F.col(c)))
+    second = F.when(of(1, "n") > 1, of(1, "confidence")).otherwise(of(2, "confidence"))
+    top = tied.groupBy("mention_id").agg(of(1, "best").alias("best"), of(1, "confidence").alias("c1"), second.alias("c2"), F.sum("n").alias("n"))
     low = F.format_string("Low confidence: best=%.2f < threshold=0.95", "c1")
     ambiguous = F.format_string("Ambiguous: %d candidates with similar confidence", "n")
     reason = F.when(F.col("c1").isNull(), "No candidates found").when(F.col("c1") >= RESOLVE_AT, None).when(F.col("c1") - F.col("c2") < AMBIGUOUS_GAP, ambiguous).otherwise(low)

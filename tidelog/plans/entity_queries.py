@@ -193,8 +193,9 @@ def _ticker_mentions(spark, sf_dir) -> DataFrame:
 
 
 def _cascade_mentions(spark, sf_dir) -> DataFrame:
-    """Part names and tickers."""
-    return V.mentions(spark, sf_dir).unionByName(_ticker_mentions(spark, sf_dir))
+    """Part names and tickers, stored once for a session: every strategy reads them, and making them reads all orders."""
+    made = V.mentions(spark, sf_dir).unionByName(_ticker_mentions(spark, sf_dir))
+    return spark.read.schema(made.schema).parquet(V.stored_once(spark, sf_dir, "cascade-mentions", "_SUCCESS", lambda p: made.write.mode("overwrite").parquet(p)))
 
 
 @query(f"""WITH {V.ENTITIES}, {V.IDENTIFIERS}, t AS (SELECT syn_id, upper(substr(value, 1, 3)) AS value FROM ids WHERE valid_to IS NULL), m AS (SELECT value AS text FROM t UNION SELECT '  ' || value || chr(9) || chr(160) FROM t)

@@ -41,7 +41,7 @@ EVENTS = """ev AS (SELECT epoch_us(ts) * 1000 AS ts_event_ns, epoch_us(ts) * 100
 _paths: dict[tuple[str, str, str], str] = {}
 
 
-def _stored_once(spark: SparkSession, sf_dir: str, name: str, last: str, write: Callable[[str], None]) -> str:
+def stored_once(spark: SparkSession, sf_dir: str, name: str, last: str, write: Callable[[str], None]) -> str:
     """The path of what ``write`` has written for a session, or writes now if its ``last`` file isn't there (any more)."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     path = _paths.get(key)
@@ -57,7 +57,7 @@ def _stored_once(spark: SparkSession, sf_dir: str, name: str, last: str, write:
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a written log, by date and then by time; written once for a session."""
-    path = _stored_once(spark, sf_dir, "log", "manifest", lambda p: write_log(events(spark, sf_dir), p, "driver", "replay", layout=("event_date",), order=("ts_event_ns", "seq")))
+    path = stored_once(spark, sf_dir, "log", "manifest", lambda p: write_log(events(spark, sf_dir), p, "driver", "replay", layout=("event_date",), order=("ts_event_ns", "seq")))
     out = read_log(spark, path)
     out.log_path = path
     return out
@@ -92,14 +92,14 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored full-text index of all entities' names, written once for a session."""
-    path = _stored_once(spark, sf_dir, "names", "_SUCCESS", lambda p: names.write_index(entities(spark, sf_dir).select(F.col("syn_id").alias("id"), F.col("canonical_name").alias("text")), p))
+    path = stored_once(spark, sf_dir, "names", "_SUCCESS", lambda p: names.write_index(entities(spark, sf_dir).select(F.col("syn_id").alias("id"), F.col("canonical_name").alias("text")), p))
     return names.read_index(spark, path)
 
 
 def canonical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored index of the active entities' distinct names in lower case, written once for a session."""
     names_ = entities(spark, sf_dir).filter("status = 'ACTIVE'").select(F.lower("canonical_name").alias("id")).distinct()
-    path = _stored_once(spark, sf_dir, "canonical", "_SUCCESS", lambda p: names.write_index(names_.withColumn("text", F.col("id")), p))
+    path = stored_once(spark, sf_dir, "canonical", "_SUCCESS", lambda p: names.write_index(names_.withColumn("text", F.col("id")), p))
     return names.read_index(spark, path)
 
 
