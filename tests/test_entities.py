@@ -425,3 +425,16 @@ def test_decide_against_loop(spark):
         elif c1 < 0.95:
             reason = f"Ambiguous: {len(mine)} candidates with similar confidence" if c2 is not None and c1 - c2 < 0.1 else f"Low confidence: best={c1:.2f} < threshold=0.95"
         assert (got[k].resolved_id, got[k].confidence, got[k].reason) == (mine[0][2] if c1 is not None and c1 >= 0.95 else None, c1, reason)
+
+
+def test_identifier_of_a_common_value_is_dealt_out(spark, monkeypatch):
+    """A value that most rows have is met in several tasks, each pair once, also if all rows have one scheme as a constant."""
+    monkeypatch.setattr(linker, "BLOCK", 8, raising=False)
+    m = spark.range(60).select(F.concat(F.lit("m"), "id").alias("mention_id"), F.lit("T").alias("scheme"), F.when(F.col("id") < 50, "x").when(F.col("id") < 55, "y:0").when(F.col("id") < 58, "z").alias("value"))
+    i = spark.range(40).select(F.concat(F.lit("e"), "id").alias("syn_id"), F.lit("T").alias("scheme"), F.when(F.col("id") < 30, "x").when(F.col("id") < 34, "y:0").when(F.col("id") < 36, "y").alias("value"), F.lit(None).cast("int").alias("valid_to"))
+    found = linker.identifier_candidates(m.union(m), i.union(i))
+    want = [(f"m{a}", f"e{b}") for a in range(50) for b in range(30)] + [(f"m{a}", f"e{b}") for a in range(50, 55) for b in range(30, 34)]
+    assert Counter(map(tuple, found.collect())) == Counter(want)
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 1 and max(tasks) < 1000
+    assert not linker.identifier_candidates(m, i.filter("false")).collect() and not linker.identifier_candidates(m.filter("false"), i).collect()

@@ -19,6 +19,8 @@ RESOLVE_AT, AMBIGUOUS_GAP, TRIGRAM_AT = 0.95, 0.1, 0.3
 MOST = 10
 #: Parts that the entities of one text are ranked in first.
 PARTS = 64
+#: Mentions, and entities, of one value that meet in one task.
+BLOCK = 4096
 
 
 def ticker_candidates(mentions: DataFrame, identifiers: DataFrame, entities: DataFrame) -> DataFrame:
@@ -27,18 +29,43 @@ def ticker_candidates(mentions: DataFrame, identifiers: DataFrame, entities: Dat
     return hit.select("mention_id", "syn_id", "name", F.lit(1.0).alias("confidence"), F.lit(TICKER).alias("strategy")).distinct()
 
 
+def _dealt(rows: DataFrame, key: str, own: str, other: str, blocks: DataFrame) -> DataFrame:
+    """Rows in one of the blocks that their value's ``own`` side has, once for each block of the ``other`` side.
+
+    A pair of blocks is named by one text (no two by the same): of several columns one may be a constant, and a join that leaves it
+    out deals its rows out anew, over as few partitions as their size asks for.
+    """
+    rows = rows.join(F.broadcast(blocks), ["scheme", "value"], "left")
+    count = lambda c: F.coalesce(F.col(c), F.lit(1)).cast("int")
+    place = F.pmod(F.xxhash64(key), count(own)).cast("int").alias(f"_at{own}")
+    rows = rows.select("scheme", "value", key, place, F.explode(F.sequence(F.lit(0), count(other) - 1)).alias(f"_at{other}"))
+    return rows.select(F.concat(F.length("scheme"), F.lit(":"), "scheme", "value", F.lit(":"), "_at_m", F.lit(":"), "_at_e").alias("_cell"), key)
+
+
 def identifier_candidates(mentions: DataFrame, identifiers: DataFrame) -> DataFrame:
     """Exact (scheme, value); its own query, not part of the cascade.
 
     There may be far more pairs than rows, so repetitions go before the join, and what a
     mention with one value finds isn't shuffled. Only one with several may find an entity twice.
+    Mentions and entities of a common value are dealt out to blocks of BLOCK rows, and each pair of
+    blocks is made by itself: a mention meets a block's entities as one list.
     """
-    asked = mentions.select("mention_id", "scheme", "value").distinct()
-    asked = asked.withColumn("_values", F.count(F.lit(1)).over(Window.partitionBy("mention_id")))  # the values of one mention
-    held = identifiers.filter("valid_to is null").select("scheme", "value", "syn_id").distinct()
+    keys = ["scheme", "value"]
+    known = F.col("scheme").isNotNull() & F.col("value").isNotNull()
+    asked = mentions.filter(known).select("mention_id", *keys).distinct()
+    held = identifiers.filter(known & F.col("valid_to").isNull()).select(*keys, "syn_id").distinct()
+    # Only values with more than a block on either side, so fewer than one for BLOCK rows.
+    many = [rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(c)).filter(F.col(c) > 1) for rows, c in ((asked, "_m"), (held, "_e"))]
+    blocks = many[0].join(many[1], keys, "full")
     parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as sizes of the inputs say nothing about the pairs
-    held = held.repartition(parts, "scheme", "value")
-    find = lambda rows: rows.join(held, ["scheme", "value"]).select("mention_id", "syn_id")
+    lists = _dealt(held, "syn_id", "_e", "_m", blocks).groupBy("_cell").agg(F.collect_list("syn_id").alias("_ids"))
+    values = F.count(F.lit(1)).over(Window.partitionBy("mention_id"))  # the values of one mention
+    asked = asked.withColumn("_values", values)
+
+    def find(rows: DataFrame) -> DataFrame:
+        met = _dealt(rows, "mention_id", "_m", "_e", blocks).repartition(parts, "_cell").hint("merge").join(lists, "_cell")
+        return met.select("mention_id", F.explode("_ids").alias("syn_id"))
+
     return find(asked.filter("_values = 1")).unionByName(find(asked.filter("_values > 1")).distinct())
 
 
